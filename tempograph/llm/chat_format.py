@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, read_table
 
+#: Conversations that a task holds as Python values at once.
+STEP = 64
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Control strings of the reserved ids, in their order after the tokenizer's last id.
 SYSTEM, USER, ASSISTANT, OTHER, NAMED, END = range(6)
@@ -40,6 +42,9 @@ def unescape(text: str) -> str:
 
 class Codec:
     def __init__(self, definition: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -75,15 +80,11 @@ class Codec:
         np.add.at(edges, closes, -1)
         return ids, np.cumsum(edges)[: len(ids)].astype(np.int8)
 
-    def render(self, ids: list[int]) -> str:
-        out, run = [], []
-        for i in [*ids, self.first]:
-            if i >= self.first:
-                out += [self.decode(run), CONTROLS[i - self.first]]
-                run = []
-            else:
-                run.append(i)
-        return "".join(out[:-1])
+    @staticmethod
+    def render(turns: list[tuple[str, str]]) -> str:
+        """The text that the ids of these turns stand for."""
+        head = lambda role: CONTROLS[ROLES[role]] if role in ROLES else CONTROLS[OTHER] + escape(role) + CONTROLS[NAMED]
+        return "".join(head(role) + escape(text) + CONTROLS[END] for role, text in turns)
 
     def read(self, ids: list[int], mask: list[int]) -> tuple[list[tuple[str, str]], list[str]]:
         """The turns, and the texts under the mask, from token ids."""
@@ -100,7 +101,7 @@ class Codec:
                 role = unescape(self.decode(run))
             elif mark == END:
                 turns.append((role, unescape(self.decode(run))))
-                under.append(unescape(self.decode(held)))
+                under.append(turns[-1][1] if held == run else unescape(self.decode(held)))
             else:
                 role = names.get(mark, "")
             run, held = [], []
@@ -123,12 +124,13 @@ def format_chats(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         codec = Codec(definition.value)
 
         def work(batch: pa.RecordBatch) -> dict:
-            made = [codec.assemble(list(zip(r, t))) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            return {"conv_id": batch.column(0), "input_ids": [i for i, _ in made], "loss_mask": [m.tolist() for _, m in made], "formatted": [codec.render(i) for i, _ in made]}
+            chats = [list(zip(r, t)) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            made = [codec.assemble(c) for c in chats]
+            return {"conv_id": batch.column(0), "input_ids": [np.array(i, np.int32) for i, _ in made], "loss_mask": [m for _, m in made], "formatted": [codec.render(c) for c in chats]}
 
         return work
 
-    return map_batches(chats, make, "conv_id long, input_ids array<int>, loss_mask array<byte>, formatted string")
+    return map_batches(chats, make, "conv_id long, input_ids array<int>, loss_mask array<byte>, formatted string", STEP)
 
 
 def read_chats(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -149,7 +151,7 @@ def read_chats(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         return work
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return map_batches(formatted.select("conv_id", "input_ids", "loss_mask", "formatted"), make, schema)
+    return map_batches(formatted.select("conv_id", "input_ids", "loss_mask", "formatted"), make, schema, STEP)
 
 
 #: A conversation whose texts hold the template's own control strings.

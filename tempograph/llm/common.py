@@ -38,8 +38,8 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """Run make()(batch) -> columns over Arrow batches; make is called once a task."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, step: int = 512) -> DataFrame:
+    """Run make()(batch) -> columns over Arrow batches of at most step rows; make is called once a task."""
     names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
     types = df.sparkSession.createDataFrame([], schema).schema
 
@@ -48,8 +48,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
         arrow = to_arrow_schema(types)
         work = make()
-        for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            if (out := work(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
