@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, STREAMS, SEED = 0.1, 4, 42
 SPACE = "▁"
 _PART = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-_MASK = (1 << 64) - 1
+_MASK, _NONE = (1 << 64) - 1, 1 << 60
 
 
 class Pieces:
@@ -55,57 +56,83 @@ class Encoder:
         self.pieces, self.seed, self.below = pieces, seed, int(rate * (1 << 32))
         self.texts = {i: p for p, i in pieces.ids.items()}
         order = {p: r for r, p in enumerate(sorted(pieces.ids, key=lambda p: -pieces.scores[p]))}
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair of ids -> place in the merge order and id of the merged piece, in one number
         for p, i in pieces.ids.items():
             for k in range(1, len(p)):
                 if p[:k] in pieces.ids and p[k:] in pieces.ids:
-                    self.merges[pieces.ids[p[:k]] << 20 | pieces.ids[p[k:]]] = (order[p], i)
+                    self.merges[pieces.ids[p[:k]] << 20 | pieces.ids[p[k:]]] = order[p] << 20 | i
+        self.chars = {c: i for c, i in pieces.ids.items() if len(c) == 1 and c != SPACE} | {" ": pieces.ids[SPACE]}
         self.known: dict[int, _Parts] = {}
 
-    def skips(self, key: int, pair: int, at: int) -> bool:
-        h = (pair * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F + key) & _MASK
-        h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
-        h = ((h ^ (h >> 32)) * 0x94D049BB133111EB) & _MASK
-        return (h >> 32) < self.below
-
     def key(self, stream: int) -> int:
         import xxhash
 
         return xxhash.xxh64_intdigest(f"{self.seed}:{stream}")
 
+    def skips(self, key: int, pair: int, at: int) -> bool:
+        h = ((pair ^ key) * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F) & _MASK
+        return (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32 < self.below
+
     def part(self, text: str, key: int) -> list[int]:
         """Ids of one part, in which a space stands for U+2581."""
-        ids, merges = self.pieces.ids, self.merges
-        left_ids = [ids.get(SPACE, -1) if c == " " else -1 if c == SPACE else ids.get(c, -1) for c in text]
-        n = len(left_ids)
+        ids = [self.chars.get(c, -1) for c in text]
+        if len(ids) <= 40:
+            ids, at = self._merge_short(ids, key)
+        else:
+            ids, at = self._merge_long(ids, key)
+        if min(ids) >= 0:
+            return ids
+        out = []
+        for i, a in zip(ids, at):
+            out += [i] if i >= 0 else [self.pieces.byte_ids[b] for b in text[a].encode("utf-8", "surrogatepass")]
+        return out
+
+    def _merge_short(self, ids: list[int], key: int) -> tuple[list[int], list[int]]:
+        """The agenda of a short part is a list: its least entry is found by min."""
+        find, below = self.merges.get, self.below
+        agenda = [find(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        at = list(range(len(ids)))
+        while agenda:
+            best = min(agenda)
+            if best == _NONE:
+                break
+            i = agenda.index(best)
+            if below:
+                h = (((ids[i] << 20 | ids[i + 1]) ^ key) * 0x9E3779B97F4A7C15 + at[i] * 0xC2B2AE3D27D4EB4F) & _MASK
+                if (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32 < below:
+                    agenda[i] = _NONE
+                    continue
+            ids[i] = new = best & 0xFFFFF
+            del ids[i + 1], at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = find(new << 20 | ids[i + 1], _NONE)
+            if i:
+                agenda[i - 1] = find(ids[i - 1] << 20 | new, _NONE)
+        return ids, at
+
+    def _merge_long(self, ids: list[int], key: int) -> tuple[list[int], list[int]]:
+        """The agenda of a long part is a heap, its symbols a linked list."""
+        merges, n, below = self.merges, len(ids), self.below
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = left_ids[i] << 20 | left_ids[i + 1]
-            if left_ids[i] >= 0 and left_ids[i + 1] >= 0 and pair in merges:
-                agenda.append((merges[pair][0], i, i + 1, pair))
+        agenda = [(merges[p], i, i + 1, p) for i in range(n - 1) if (p := ids[i] << 20 | ids[i + 1]) in merges]
         heapq.heapify(agenda)
-        below = self.below
         while agenda:
-            _, i, j, pair = heapq.heappop(agenda)
-            if right[i] != j or left_ids[i] < 0 or left_ids[j] < 0 or left_ids[i] << 20 | left_ids[j] != pair or (below and self.skips(key, pair, i)):
+            best, i, j, pair = heapq.heappop(agenda)
+            if right[i] != j or ids[i] == -2 or ids[i] << 20 | ids[j] != pair or (below and self.skips(key, pair, i)):
                 continue
-            left_ids[i], left_ids[j] = merges[pair][1], -2
+            ids[i], ids[j] = best & 0xFFFFF, -2
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if left_ids[k] >= 0 and (p := left_ids[i] << 20 | left_ids[k]) in merges:
-                    heapq.heappush(agenda, (merges[p][0], i, k, p))
-            if (h := left[i]) >= 0 and left_ids[h] >= 0 and (p := left_ids[h] << 20 | left_ids[i]) in merges:
-                heapq.heappush(agenda, (merges[p][0], h, i, p))
-        out, i = [], 0
+                if (p := ids[i] << 20 | ids[k]) in merges:
+                    heapq.heappush(agenda, (merges[p], i, k, p))
+            if (h := left[i]) >= 0 and (p := ids[h] << 20 | ids[i]) in merges:
+                heapq.heappush(agenda, (merges[p], h, i, p))
+        at, i = [], 0
         while i < n:
-            if left_ids[i] >= 0:
-                out.append(left_ids[i])
-            else:
-                out += [self.pieces.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass")]
+            at.append(i)
             i = right[i]
-        return out
+        return [ids[i] for i in at], at
 
     def encode(self, text: str, stream: int = 0) -> np.ndarray:
         if not text:
@@ -128,7 +155,7 @@ class _Parts(dict):
         self.encoder, self.key = encoder, key
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encoder.part(part, self.key), np.int32).tobytes()
+        ids = array("i", self.encoder.part(part, self.key)).tobytes()
         if len(part) <= 64:
             if len(self) >= 150_000:
                 self.clear()

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix trees.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes). All sets are ordered by one global order: shingles
-that many sets share come last, the others by hash. Two sets of Jaccard similarity t or more then share a shingle among the
+that many sets share come last, by how many do, the others by hash. Two sets of Jaccard similarity t or more then share a shingle among the
 first n - ceil(t n) + 1 of each. Sets that meet at such a shingle are verified by a trie: their ordered sets are stored in a
 prefix tree, the probing set walks it once, partial overlaps are shared by all sets below a node, and a subtree is left as
 soon as the overlap so far plus what remains cannot reach the bound.
@@ -24,23 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, read_table
+from .common import cut, read_table
 
 #: Most frequent shingles that are broadcast (8 bytes each), and the count from which a shingle may be one.
-MAX_FREQUENT, FREQUENT = 1_000_000, 48
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    """Word -> 64-bit hash; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+MAX_FREQUENT, FREQUENT = 1_000_000, 8
+#: Up to so many ids of documents to verify are broadcast; more are joined by shuffle.
+MAX_BROADCAST_IDS = 2_000_000
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 20
+#: A pair has to meet at a shingle for each so many of its smaller set, once at least, before it is verified.
+EXTRA = 48
+
+_MULTIPLIER, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = np.random.default_rng(20_000).integers(1, 1 << 64, 256, np.uint64)
+_VALUE[65:91] = _VALUE[97:123]  # A-Z are hashed as a-z
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -50,19 +50,85 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingle_set(text: bytes | None, hashes: _WordHashes, width: int = 5) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the word shingles of a UTF-8 text."""
-    words = text.lower().split() if text else []  # bytes: only A-Z change, and only ASCII space splits
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    k = min(n, width)
-    h = np.full(n - k + 1, k, np.uint64)
+def _power(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd multiplier, and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        k = 0x2545F4914F6CDD1D
+        for i, base in enumerate((k, pow(k, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def _word_hashes(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and first bytes of the words of UTF-8 bytes, in which texts begin at firsts."""
+    n = len(data)
+    space = _SPACE[data]
+    begin = ~space
+    stop = begin.copy()
+    begin[1:] &= space[:-1]
+    stop[:-1] &= space[1:]
+    inner = firsts[(firsts > 0) & (firsts < n)]
+    begin[inner] = ~space[inner]
+    stop[inner - 1] = ~space[inner - 1]
+    b, e = np.flatnonzero(begin), np.flatnonzero(stop)
+    up, down = _power(n)
+    v = _VALUE[data] * up[:n]
+    total = np.cumsum(v, dtype=np.uint64)
+    h = (total[e] - total[b] + v[b]) * down[b] + (e - b).astype(np.uint64) * _LENGTH
+    return _mix(h), b
+
+
+def _sorted_set(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    keep = np.ones(len(h), bool)
+    keep[1:] = h[1:] != h[:-1]
+    return h[keep]
+
+
+def _shingles(w: np.ndarray, k: int) -> np.ndarray:
+    h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
         h *= _MULTIPLIER
-        h += w[i : n - k + 1 + i]
-    return np.unique(_mix(h))
+        h += w[i : len(w) - k + 1 + i]
+    return _mix(h)
+
+
+def _long_text(data: np.ndarray) -> np.ndarray:
+    """Word hashes of one text, in pieces cut at white space."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + SLICE, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        parts.append(_word_hashes(data[at:end], np.zeros(1, np.int64))[0])
+        at = end
+    return np.concatenate(parts)
+
+
+def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
+    """For each text the ascending distinct 64-bit hashes of its word shingles; none for null."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
+        if offsets[hi] - offsets[lo] > SLICE:
+            w = _long_text(data[offsets[lo] : offsets[hi]])
+            edges = np.array([0, len(w)])
+        else:
+            firsts = offsets[lo:hi] - offsets[lo]
+            w, b = _word_hashes(data[offsets[lo] : offsets[hi]], firsts)
+            edges = np.append(np.searchsorted(b, firsts), len(w))
+        all_h = _shingles(w, width) if len(w) >= width else w[:0]
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if y - x >= width:
+                yield _sorted_set(all_h[x : y - width + 1].copy())
+            else:
+                yield _shingles(w[x:y], y - x) if y > x else w[:0]
+        lo = hi
 
 
 def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -73,11 +139,15 @@ def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    if len(frequent):
-        last = _in_sorted(s, frequent)
-        if last.any():
-            s = np.concatenate([s[~last], s[last]])
+def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first shingles in the global order: by rarity class (of those that are frequent), then by hash."""
+    tokens, classes = frequent
+    if len(tokens) and len(s):
+        at = np.searchsorted(tokens, s)
+        at[at == len(tokens)] = 0
+        rarity = np.where(tokens[at] == s, classes[at], 0)
+        if rarity.any():
+            s = s[np.argsort(rarity, kind="stable")]
     n = len(s)
     return s[: n - (percent * n + 99) // 100 + 1]
 
@@ -115,44 +185,55 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     return out
 
 
-def _classes(docs: DataFrame, percent: int) -> DataFrame:
-    """kind 0: doc_id, n, class of its set; kind 1: prefix shingle and the number of distinct sets that a task saw it in; kind 2: rows of prefixes."""
-    schema = "kind int, doc_id long, n long, cls long, token long"
+def _classes(docs: DataFrame) -> DataFrame:
+    """kind 0: doc_id, n, class of its set; kind 1: a shingle and the number of distinct sets that a task saw it in, from two on."""
+    names = ["kind", "doc_id", "n", "cls", "token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, seen, held, size = _WordHashes(), set(), [], 0
-        none = np.empty(0, np.uint64)
+        seen, held, size = set(), [], 0
 
-        def counts():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n > 1
-            k = int(keep.sum())
-            made = pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(n[keep].astype(np.int64)), pa.nulls(k, pa.int64()), pa.array(tokens[keep].view(np.int64))], ["kind", "doc_id", "n", "cls", "token"])
-            total = pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(n) and int(n.sum())], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["kind", "doc_id", "n", "cls", "token"])
-            return [made, total]
+        def counts() -> pa.RecordBatch:
+            tokens = np.sort(np.concatenate(held))
+            edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            n = np.diff(np.append(edge, len(tokens)))
+            tokens, n = tokens[edge[n > 1]], n[n > 1]
+            k = len(tokens)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int64()), pa.array(tokens.view(np.int64))], names)
 
         for batch in batches:
             ns, classes = [], []
-            for text in as_bytes(batch.column(1)):
-                s = shingle_set(text, hashes)
+            for s in shingle_sets(batch.column(1)):
                 ns.append(len(s))
                 cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                 classes.append(cls)
                 if cls is not None and cls not in seen:
                     seen.add(cls)
-                    held.append(_prefix(s, none, percent))
-                    size += len(held[-1])
+                    held.append(s)
+                    size += len(s)
             k = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int64())], ["kind", "doc_id", "n", "cls", "token"])
-            if size > 4_000_000:
-                yield from counts()
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int64())], names)
+            if size > 8_000_000:
+                yield counts()
                 held, size = [], 0
         if held:
-            yield from counts()
+            yield counts()
+
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, cls long, token long")
 
-    return docs.mapInArrow(run, schema)
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in at least FREQUENT sets, ascending, and their rarity classes; if there are more than MAX_FREQUENT, only the most frequent classes."""
+    classed = cut(counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token", F.log2("n").cast("int").alias("rarity")))
+    sizes = {r[0]: r[1] for r in classed.groupBy("rarity").count().collect()}
+    least = 0
+    while sum(n for k, n in sizes.items() if k >= least) > MAX_FREQUENT:
+        least += 1
+    rows = classed.where(F.col("rarity") >= least).collect()
+    tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r[1] for r in rows], np.uint8)[order]
 
 
 def _prefix_rows(docs: DataFrame, frequent, percent: int) -> DataFrame:
@@ -161,11 +242,10 @@ def _prefix_rows(docs: DataFrame, frequent, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, seen, last = _WordHashes(), set(), frequent.value
+        seen, last = set(), frequent.value
         for batch in batches:
             tokens, ns, classes, places = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                s = shingle_set(text, hashes)
+            for s in shingle_sets(batch.column(1)):
                 if len(s) and (cls := xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)) not in seen:
                     seen.add(cls)
                     tokens.append(p := _prefix(s, last, percent))
@@ -197,56 +277,70 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
         yield rest
 
 
-def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """kind 0: the rows of shingles that two classes or more have; kind 1: pairs of neighbours and pairs with leaders by size."""
+def _meet(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that two classes or more have, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "n", "cls", "pos"]
-        told: set = set()
-        for t in _runs(batches, names):
-            token, cls, n = t["token"], t["cls"], t["n"]
+        for t in _runs(batches, ["token", "n", "cls", "pos"]):
+            token, cls = t["token"], t["cls"]
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # repeats come from copies in several tasks
             t = {k: v[fresh] for k, v in t.items()}
-            token, cls, n = t["token"], t["cls"], t["n"]
-            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            length = np.diff(np.append(edge, len(token)))
+            edge = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1]))
+            length = np.diff(np.append(edge, len(t["token"])))
             many = np.repeat(length > 1, length)
-            if not many.any():
-                continue
-            pairs = []
-            for start, k in zip(edge[length > 1].tolist(), length[length > 1].tolist()):
-                c, m = cls[start : start + k].tolist(), n[start : start + k].tolist()
-                lead = 0
-                for i in range(1, k):
-                    if m[lead] * 100 < percent * m[i]:
-                        lead = i - 1 if m[i - 1] * 100 >= percent * m[i] else i
-                    for j in {lead, i - 1}:
-                        if j != i and m[j] * 100 >= percent * m[i]:
-                            pair = (c[j], c[i]) if c[j] < c[i] else (c[i], c[j])
-                            if pair not in told:
-                                told.add(pair)
-                                pairs.append(pair)
-            if len(told) > 1_000_000:
-                told.clear()
-            a = np.array(pairs, np.int64).reshape(-1, 2)
-            k, p = int(many.sum()), len(a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array([0, 1], np.int32), [k, p])), pa.array(np.append(token[many], np.zeros(p, np.int64))), pa.array(np.append(cls[many], a[:, 0])), pa.array(np.append(n[many], np.zeros(p, np.int32))), pa.array(np.append(t["pos"][many], np.zeros(p, np.int32))), pa.array(np.append(np.zeros(k, np.int64), a[:, 1]))],
-                ["kind", "token", "cls", "n", "pos", "other"],
-            )
+            df = np.repeat(length, length)[many]
+            yield pa.RecordBatch.from_arrays([pa.array(t[k][many]) for k in ("token", "n", "cls", "pos")] + [pa.array(df)], ["token", "n", "cls", "pos", "df"])
 
     sorted_rows = rows.select("token", "n", "cls", "pos").repartition("token").sortWithinPartitions("token", "n", "cls")
-    return sorted_rows.mapInArrow(run, "kind int, token long, cls long, n int, pos int, other long")
+    return sorted_rows.mapInArrow(run, "token long, n int, cls long, pos int, df long")
+
+
+def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
+    """cls, other, prefix: each class with the most central class at a shingle whose size allows.
+
+    What near copies have changed is rare and so first in their order; the text that they come from has shared shingles only. So a
+    class is the more central, the more classes share the shingles of its prefix.
+    """
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    central = rows.groupBy("cls").agg((-F.sum("df") / F.first(prefix)).alias("order"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["token", "order", "cls", "n", "prefix"]):
+            edge = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1]))
+            group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(t["token"]))))
+            n, lead, open_ = t["n"].astype(np.int64), np.full(len(group), -1), np.ones(len(group), bool)
+            for _ in range(most):  # the first row of a group that has no leader becomes one
+                at = np.flatnonzero(open_)
+                if not len(at):
+                    break
+                first = at[np.append(True, group[at][1:] != group[at][:-1])]
+                of = first[np.searchsorted(group[first], group[at])]
+                ok = 100 * np.minimum(n[at], n[of]) >= percent * np.maximum(n[at], n[of])
+                lead[at[ok]] = of[ok]
+                open_[at[ok]] = False
+            got = np.flatnonzero((lead >= 0) & (lead != np.arange(len(lead))))
+            yield pa.RecordBatch.from_arrays([pa.array(t["cls"][got]), pa.array(t["cls"][lead[got]]), pa.array(t["prefix"][got])], ["cls", "other", "prefix"])
+
+    work = rows.join(central, "cls").select("token", "order", "cls", "n", prefix.cast("long").alias("prefix"))
+    met = work.repartition("token").sortWithinPartitions("token", "order", "cls").mapInArrow(run, "cls long, other long, prefix long")
+    counted = met.groupBy("cls", "other", "prefix").count().where(4 * F.col("count") >= F.col("prefix"))
+    return counted.groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs that meet at a shingle, lie in two components, and that sizes and places allow."""
+    """All pairs that meet at a shingle, lie in two components, and that sizes and places allow.
+
+    Of a pair of overlap o or more, at least EXTRA common shingles are among the first n - o + EXTRA of both sets; what of EXTRA
+    lies beyond the kept prefixes is not asked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cls", "other", "least"]
         for t in _runs(batches, ["token", "n", "cls", "pos", "comp"]):
             token = t["token"]
             edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])).tolist() + [len(token)]
+            made, size = [], 0
             for lo, hi in zip(edge[:-1], edge[1:]):
                 comp = t["comp"][lo:hi]
                 if (comp == comp[0]).all():
@@ -255,26 +349,42 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 ends = np.searchsorted(n, n * 100 // percent, "right")
                 for i in range(hi - lo):
                     j = slice(i + 1, int(ends[i]))
-                    reach = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                    ok = (comp[j] != comp[i]) & (reach * (100 + percent) >= percent * (n[i] + n[j]))
+                    need = -(-percent * (n[i] + n[j]) // (100 + percent))
+                    kept = np.minimum(n[i] + (-percent * n[i] // 100) + 1 - (n[i] - need), n[j] + (-percent * n[j] // 100) + 1 - (n[j] - need))
+                    least = np.clip(np.minimum(n[i] // EXTRA, kept), 1, None)
+                    ok = (comp[j] != comp[i]) & (pos[i] < n[i] - need + least) & (pos[j] < n[j] - need + least)
                     if ok.any():
                         other = cls[j][ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, cls[i])), pa.array(np.maximum(other, cls[i]))], ["cls", "other"])
+                        made.append((np.minimum(other, cls[i]), np.maximum(other, cls[i]), least[ok]))
+                        size += len(other)
+                        if size > 100_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
+                            made, size = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
+
+    met = rows.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "cls long, other long, least long")
+    return met.groupBy("cls", "other", "least").count().where("count >= least").select("cls", "other")
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "cls long, other long")
 
+def _sets(rows: DataFrame) -> DataFrame:
+    """cls, shingles from rows (cls, text), for the texts that are of the class (repeated ids may have others)."""
 
-def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        import xxhash
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, hashes).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], ["cls", "shingles"])
+            kept = [(c, s) for c, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))) if xxhash.xxh3_64_intdigest(s := x.tobytes()) - (1 << 63) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], ["cls", "shingles"])
 
-    return docs.mapInArrow(run, "cls long, shingles binary")
+    return rows.mapInArrow(run, "cls long, shingles binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose similarity reaches the bound."""
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (written ones) whose similarity reaches the bound; texts are read again for their classes only."""
+    wanted = cut(pairs.select("cls").union(pairs.select("other")).distinct().join(reps, "cls"))
+    few = wanted.count() <= MAX_BROADCAST_IDS
+    sets = cut(_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("cls", "text")))
     left = sets.select(F.col("cls"), F.col("shingles").alias("probe"))
     right = sets.select(F.col("cls").alias("other"), F.col("shingles").alias("stored"))
 
@@ -319,23 +429,16 @@ def near_duplicate_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity percent/100 or more)."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(_classes(docs, percent))
+    seen = cut(_classes(docs))
     members = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    total = seen.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bound = max(FREQUENT, total // MAX_FREQUENT)  # so at most MAX_FREQUENT shingles reach it
-    tokens = seen.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).select("token").collect()
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in tokens], np.int64).view(np.uint64)))
-    met = cut(_meet(_prefix_rows(docs, frequent, percent), percent))
-    rows = met.where("kind = 0").select("token", "n", "cls", "pos")
-    pairs = met.where("kind = 1").select("cls", "other").distinct()
+    frequent = spark.sparkContext.broadcast(_frequent(seen.where("kind = 1").select("token", "n")))
+    rows = cut(_meet(_prefix_rows(docs, frequent, percent)))
     reps = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = rows.select("cls").distinct().join(reps, "cls")
-    sets = cut(_sets(docs.join(wanted, "doc_id").select("cls", "text").dropDuplicates(["cls"])))
-    comps = cut(components(_verify(pairs, sets, percent)))
+    comps = cut(components(_verify(cut(_leaders(rows, percent)), docs, reps, percent)))
     of = lambda c: F.coalesce("comp", c)
     labelled = rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"))
     mixed = labelled.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("token")
-    more = cut(_verify(_across(labelled.join(mixed, "token", "left_semi"), percent).distinct(), sets, percent))
+    more = cut(_verify(cut(_across(labelled.join(mixed, "token", "left_semi"), percent)), docs, reps, percent))
     named = lambda df, c: df.join(comps.withColumnRenamed("node", c), c, "left").withColumn(c, of(c)).drop("comp")
     over = components(named(named(more, "cls"), "other"))
     classes = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", of("cls").alias("first"))
