@@ -28,7 +28,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, STREAMS, SEED = 0.1, 4, 42
 SPACE = "▁"
 _PART = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-_MASK, _NONE = (1 << 64) - 1, 1 << 60
+_MASK, _NONE, _SPREAD = (1 << 64) - 1, 1 << 60, 0x9E3779B97F4A7C15
+#: Parts that are remembered for each stream; widths of the tables in which parts are merged together.
+KNOWN, WIDTHS = 150_000, (6, 9, 13, 18, 28)
 
 
 class Pieces:
@@ -62,7 +64,8 @@ class Encoder:
                 if p[:k] in pieces.ids and p[k:] in pieces.ids:
                     self.merges[pieces.ids[p[:k]] << 20 | pieces.ids[p[k:]]] = order[p] << 20 | i
         self.chars = {c: i for c, i in pieces.ids.items() if len(c) == 1 and c != SPACE} | {" ": pieces.ids[SPACE]}
-        self.known: dict[int, _Parts] = {}
+        self.known: dict[int, dict[str, bytes]] = {}  # of each stream the ids of parts, as bytes
+        self.char_ids = None
 
     def key(self, stream: int) -> int:
         import xxhash
@@ -82,10 +85,7 @@ class Encoder:
             ids, at = self._merge_long(ids, key)
         if min(ids) >= 0:
             return ids
-        out = []
-        for i, a in zip(ids, at):
-            out += [i] if i >= 0 else [self.pieces.byte_ids[b] for b in text[a].encode("utf-8", "surrogatepass")]
-        return out
+        return self._with_bytes(text, ids, at)
 
     def _merge_short(self, ids: list[int], key: int) -> tuple[list[int], list[int]]:
         """The agenda of a short part is a list: its least entry is found by min."""
@@ -134,13 +134,109 @@ class Encoder:
             i = right[i]
         return [ids[i] for i in at], at
 
+    def _table(self) -> None:
+        """The merges as an open hash table in numpy, and the ids of characters."""
+        self.bits = 20
+        size = 1 << self.bits
+        self.slots, self.values = np.full(size, -1, np.int64), np.full(size, _NONE, np.int64)
+        for pair, value in self.merges.items():
+            at = (pair * _SPREAD & _MASK) >> (64 - self.bits)
+            while self.slots[at] >= 0:
+                at = (at + 1) % size
+            self.slots[at], self.values[at] = pair, value
+        self.char_ids = np.full(0x110000, -1, np.int64)
+        for c, i in self.chars.items():
+            self.char_ids[ord(c)] = i
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = np.where((left >= 0) & (right >= 0), left << 20 | right, -2)
+        at = ((pair.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = self.slots[at]
+        out = np.where(got == pair, self.values[at], _NONE)
+        again = np.flatnonzero((got != pair) & (got >= 0) & (pair >= 0))
+        while len(again):
+            at[again] = (at[again] + 1) & ((1 << self.bits) - 1)
+            got = self.slots[at[again]]
+            hit = got == pair[again]
+            out[again[hit]] = self.values[at[again[hit]]]
+            again = again[~hit & (got >= 0)]
+        return out
+
+    def _merge_many(self, parts: list[str], keys: np.ndarray, width: int) -> list[bytes]:
+        """As _merge_short for many parts of at most width characters at once: each round takes the least entry of every agenda."""
+        n, none = len(parts), np.int64(_NONE)
+        lengths = np.fromiter(map(len, parts), np.int64, n)
+        ids = self.char_ids[np.array(parts, f"U{width}").view(np.uint32).reshape(n, width)]
+        ids[np.arange(width) >= lengths[:, None]] = -3
+        at = np.tile(np.arange(width, dtype=np.int64), (n, 1))
+        agenda = self._find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+        agenda = np.concatenate([agenda, np.full((n, 1), none)], 1)
+        rows, columns = np.arange(n), np.arange(width - 1)
+        while len(rows):
+            a = agenda[rows]
+            i = a.argmin(1)
+            best = a[np.arange(len(rows)), i]
+            alive = best < none
+            rows, i, best = rows[alive], i[alive], best[alive]
+            pair = ids[rows, i] << 20 | ids[rows, i + 1]
+            h = (pair.astype(np.uint64) ^ keys[rows]) * np.uint64(0x9E3779B97F4A7C15) + at[rows, i].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            skip = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < np.uint64(self.below)
+            agenda[rows[skip], i[skip]] = none
+            r, k = rows[~skip], i[~skip]
+            new = best[~skip] & 0xFFFFF
+            ids[r, k] = new
+            take = columns + (columns > k[:, None])
+            for table, end in ((ids, -3), (at, 0)):
+                table[r, :-1] = np.take_along_axis(table[r], take, 1)
+                table[r, -1] = end
+            agenda[r, :-1] = np.take_along_axis(agenda[r], columns + (columns >= k[:, None]), 1)
+            agenda[r, k] = self._find(new, ids[r, k + 1])
+            inner = k > 0
+            r, k, new = r[inner], k[inner], new[inner]
+            agenda[r, k - 1] = self._find(ids[r, k - 1], new)
+        some = ids != -3
+        ends = np.append(0, np.cumsum(some.sum(1))).tolist()
+        flat = ids[some].astype(np.int32).tobytes()
+        out = [flat[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:])]
+        for row in np.flatnonzero((ids == -1).any(1)).tolist():
+            m = ends[row + 1] - ends[row]
+            out[row] = array("i", self._with_bytes(parts[row], ids[row, :m].tolist(), at[row, :m].tolist())).tobytes()
+        return out
+
+    def _with_bytes(self, text: str, ids: list[int], at: list[int]) -> list[int]:
+        out = []
+        for i, a in zip(ids, at):
+            out += [i] if i >= 0 else [self.pieces.byte_ids[b] for b in text[a].encode("utf-8", "surrogatepass")]
+        return out
+
+    def learn(self, asked: dict[int, set[str]]) -> None:
+        """Encode the parts of each stream that aren't known yet."""
+        if self.char_ids is None:
+            self._table()
+        for stream, parts in asked.items():
+            known = self.known.setdefault(stream, {})
+            new = [p for p in parts if p not in known]
+            if len(known) + len(new) > KNOWN:
+                known.clear()
+                new = list(parts)
+            low = 0
+            for width in WIDTHS:
+                some = [p for p in new if low < len(p) <= width]
+                low = width
+                if some:
+                    known.update(zip(some, self._merge_many(some, np.full(len(some), self.key(stream), np.uint64), width)))
+            known.update((p, array("i", self.part(p, self.key(stream))).tobytes()) for p in new if len(p) > low)
+
+    def encode_all(self, texts: list[str], streams: list[int]) -> list[np.ndarray]:
+        parts = [_PART.findall(" " + t) if t else [] for t in texts]
+        asked: dict[int, set[str]] = {}
+        for p, s in zip(parts, streams):
+            asked.setdefault(s, set()).update(p)
+        self.learn(asked)
+        return [np.frombuffer(b"".join(map(self.known[s].__getitem__, p)), np.int32) for p, s in zip(parts, streams)]
+
     def encode(self, text: str, stream: int = 0) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        parts = self.known.get(stream)
-        if parts is None:
-            parts = self.known[stream] = _Parts(self, self.key(stream))
-        return np.frombuffer(b"".join(map(parts.__getitem__, _PART.findall(" " + text))), np.int32)
+        return self.encode_all([text], [stream])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the first space is the encoder's."""
@@ -148,21 +244,6 @@ class Encoder:
         return b[1:]
 
 
-class _Parts(dict):
-    """Part -> its ids as bytes; emptied when it has grown large."""
-
-    def __init__(self, encoder: Encoder, key: int) -> None:
-        self.encoder, self.key = encoder, key
-
-    def __missing__(self, part: str) -> bytes:
-        ids = array("i", self.encoder.part(part, self.key)).tobytes()
-        if len(part) <= 64:
-            if len(self) >= 150_000:
-                self.clear()
-            self[part] = ids
-        return ids
-
-
 _encoders: dict = {}
 
 
@@ -191,7 +272,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate
             for at in range(0, batch.num_rows, 256):  # ids take several times the room of their text
                 doc_ids, texts = batch.column(0)[at : at + 256], batch.column(1)[at : at + 256].to_pylist()
                 stream = [stream_of(i, seed, streams) for i in doc_ids.to_pylist()]
-                ids = [encoder.encode(t or "", s) for t, s in zip(texts, stream)]
+                ids = encoder.encode_all([t or "" for t in texts], stream)
                 n = [len(i) for i in ids]
                 same = [encoder.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts)]
                 values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))

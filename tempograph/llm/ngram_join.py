@@ -28,8 +28,8 @@ from .common import cut, read_table
 
 #: Most frequent shingles that are broadcast (8 bytes each), and the count from which a shingle may be one.
 MAX_FREQUENT, FREQUENT = 1_000_000, 8
-#: Up to so many ids of documents to verify are broadcast; more are joined by shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+#: Up to so many rows of two ids (16 bytes) are broadcast; larger tables are joined by shuffle.
+MAX_BROADCAST_ROWS = 2_000_000
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 #: A pair has to meet at a shingle for each so many of its smaller set, once at least, before it is verified.
@@ -277,8 +277,21 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
         yield rest
 
 
-def _meet(rows: DataFrame) -> DataFrame:
-    """The rows of shingles that two classes or more have, and how many."""
+def _has_partner(n: np.ndarray, pos: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the smallest other set of the group that may match lets a common shingle be at this place; rows are sorted by group and n."""
+    key = group * (1 << 32) + n
+    at = np.searchsorted(key, group * (1 << 32) + -(-percent * n // 100))
+    own = np.arange(len(n))
+    at = np.where(at == own, own + 1, at)
+    inside = at < len(n)
+    at[~inside] = 0
+    inside &= (group[at] == group) & (100 * np.minimum(n[at], n) >= percent * np.maximum(n[at], n))
+    need = -(-percent * (n + n[at]) // (100 + percent))
+    return inside & (pos < n - need + np.maximum(n // EXTRA, 1))
+
+
+def _meet(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of shingles that two classes or more have, and how many do; rows whose place rules out all sizes at hand are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["token", "n", "cls", "pos"]):
@@ -289,6 +302,7 @@ def _meet(rows: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1]))
             length = np.diff(np.append(edge, len(t["token"])))
             many = np.repeat(length > 1, length)
+            many[many] = _has_partner(t["n"][many].astype(np.int64), t["pos"][many].astype(np.int64), np.repeat(np.arange(len(edge)), length)[many], percent)
             df = np.repeat(length, length)[many]
             yield pa.RecordBatch.from_arrays([pa.array(t[k][many]) for k in ("token", "n", "cls", "pos")] + [pa.array(df)], ["token", "n", "cls", "pos", "df"])
 
@@ -324,7 +338,7 @@ def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
 
     work = rows.join(central, "cls").select("token", "order", "cls", "n", prefix.cast("long").alias("prefix"))
     met = work.repartition("token").sortWithinPartitions("token", "order", "cls").mapInArrow(run, "cls long, other long, prefix long")
-    counted = met.groupBy("cls", "other", "prefix").count().where(4 * F.col("count") >= F.col("prefix"))
+    counted = met.groupBy("cls", "other", "prefix").count().where(10 * F.col("count") >= F.col("prefix"))
     return counted.groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
 
 
@@ -380,11 +394,15 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cls long, shingles binary")
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is small."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (written ones) whose similarity reaches the bound; texts are read again for their classes only."""
     wanted = cut(pairs.select("cls").union(pairs.select("other")).distinct().join(reps, "cls"))
-    few = wanted.count() <= MAX_BROADCAST_IDS
-    sets = cut(_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("cls", "text")))
+    sets = cut(_sets(docs.join(_sized(wanted), "doc_id").select("cls", "text")))
     left = sets.select(F.col("cls"), F.col("shingles").alias("probe"))
     right = sets.select(F.col("cls").alias("other"), F.col("shingles").alias("stored"))
 
@@ -432,11 +450,11 @@ def near_duplicate_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     seen = cut(_classes(docs))
     members = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")
     frequent = spark.sparkContext.broadcast(_frequent(seen.where("kind = 1").select("token", "n")))
-    rows = cut(_meet(_prefix_rows(docs, frequent, percent)))
+    rows = cut(_meet(_prefix_rows(docs, frequent, percent), percent))
     reps = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     comps = cut(components(_verify(cut(_leaders(rows, percent)), docs, reps, percent)))
     of = lambda c: F.coalesce("comp", c)
-    labelled = rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"))
+    labelled = rows.join(_sized(comps.withColumnRenamed("node", "cls")), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"))
     mixed = labelled.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("token")
     more = cut(_verify(cut(_across(labelled.join(mixed, "token", "left_semi"), percent)), docs, reps, percent))
     named = lambda df, c: df.join(comps.withColumnRenamed("node", c), c, "left").withColumn(c, of(c)).drop("comp")
