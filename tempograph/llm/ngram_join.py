@@ -34,6 +34,8 @@ MAX_BROADCAST_ROWS = 2_000_000
 SLICE = 1 << 20
 #: A pair has to meet at a shingle for each so many of its smaller set, once at least, before it is verified.
 EXTRA = 48
+#: Partners of a set that are verified in one trie.
+PIECE = 256
 
 _MULTIPLIER, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -400,28 +402,44 @@ def _sized(ids: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (written ones) whose similarity reaches the bound; texts are read again for their classes only."""
-    wanted = cut(pairs.select("cls").union(pairs.select("other")).distinct().join(reps, "cls"))
-    sets = cut(_sets(docs.join(_sized(wanted), "doc_id").select("cls", "text")))
-    left = sets.select(F.col("cls"), F.col("shingles").alias("probe"))
-    right = sets.select(F.col("cls").alias("other"), F.col("shingles").alias("stored"))
+    """The pairs (written ones) whose similarity reaches the bound; texts are read again for their classes only.
+
+    The sets of a probe's partners meet the probe in pieces of about PIECE, so a probe of many partners is in many tasks.
+    """
+    probes = pairs.groupBy("other").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    dealt = cut(pairs.join(probes, "other").withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces"))).select("cls", "other", "piece"))
+    asked = dealt.select(F.col("other").alias("cls"), F.col("other").alias("probe"), "piece", F.lit(0).alias("part")).distinct().union(dealt.select("cls", F.col("other").alias("probe"), "piece", F.lit(1).alias("part")))
+    wanted = cut(asked.select("cls").distinct().join(reps, "cls"))
+    sets = _sets(docs.join(_sized(wanted), "doc_id").select("cls", "text"))
+    few = 2 * dealt.count() <= MAX_BROADCAST_ROWS
+    met = sets.join(F.broadcast(asked) if few else asked, "cls").select("probe", "piece", "part", "cls", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, probe, held = None, None, []
+
+        def found() -> pa.RecordBatch:
+            sets = [x for _, x in held]
+            good = [c for (c, _), n in zip(held, trie_overlaps(probe, sets, percent) if probe is not None else [-1] * len(sets)) if n >= 0]
+            return pa.RecordBatch.from_arrays([pa.array(good, pa.int64()), pa.array([key[0]] * len(good), pa.int64())], ["cls", "other"])
+
         for batch in batches:
-            cls = batch.column(0).to_numpy()
-            other = batch.column(1).to_numpy()
-            probes, stored = batch.column(2), batch.column(3)
-            by = np.argsort(cls, kind="stable")
-            edge = np.flatnonzero(np.append(True, np.diff(cls[by]) != 0)).tolist() + [len(by)] if len(by) else [0]
-            good = []
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                rows = by[lo:hi].tolist()
-                probe = np.frombuffer(probes[rows[0]].as_py(), np.uint64)
-                found = trie_overlaps(probe, [np.frombuffer(stored[i].as_py(), np.uint64) for i in rows], percent)
-                good += [i for i, x in zip(rows, found) if x >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[good]), pa.array(other[good])], ["cls", "other"])
+            for lead, piece, part, cls, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (lead, piece):
+                    if held:
+                        yield found()
+                    key, probe, held = (lead, piece), None, []
+                x = np.frombuffer(x, np.uint64)
+                if part == 0:
+                    probe = x
+                else:
+                    held.append((cls, x))
+                    if len(held) >= 2 * PIECE:
+                        yield found()
+                        held = []
+        if held:
+            yield found()
 
-    return pairs.join(right, "other").join(left, "cls").select("cls", "other", "probe", "stored").mapInArrow(run, "cls long, other long")
+    return met.repartition("probe", "piece").sortWithinPartitions("probe", "piece", "part").mapInArrow(run, "cls long, other long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
