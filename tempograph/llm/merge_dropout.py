@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, STREAMS, SEED = 0.1, 4, 42
@@ -30,7 +30,7 @@ SPACE = "▁"
 _PART = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _MASK, _NONE, _SPREAD = (1 << 64) - 1, 1 << 60, 0x9E3779B97F4A7C15
 #: Parts that are remembered for each stream; widths of the tables in which parts are merged together.
-KNOWN, WIDTHS = 150_000, (6, 9, 13, 18, 28)
+KNOWN, WIDTHS = 80_000, (6, 9, 13, 18, 28)
 
 
 class Pieces:
@@ -136,7 +136,7 @@ class Encoder:
 
     def _table(self) -> None:
         """The merges as an open hash table in numpy, and the ids of characters."""
-        self.bits = 20
+        self.bits = 19
         size = 1 << self.bits
         self.slots, self.values = np.full(size, -1, np.int64), np.full(size, _NONE, np.int64)
         for pair, value in self.merges.items():
@@ -279,7 +279,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(stream, pa.int32()), pa.array(n, pa.int64()), values, pa.array(same)], ["doc_id", "stream", "n_tokens", "ids", "decodes"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, stream int, n_tokens long, ids array<int>, decodes boolean")
+    return docs.mapInArrow(tidy(run), "doc_id long, stream int, n_tokens long, ids array<int>, decodes boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -291,7 +291,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if i is None else encoder.decode(i) for i in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

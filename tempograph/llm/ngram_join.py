@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, tidy
 
 #: Most frequent shingles that are broadcast (8 bytes each), and the count from which a shingle may be one.
 MAX_FREQUENT, FREQUENT = 1_000_000, 8
@@ -216,13 +216,13 @@ def _classes(docs: DataFrame) -> DataFrame:
                     size += len(s)
             k = len(ns)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int64())], names)
-            if size > 8_000_000:
+            if size > 4_000_000:
                 yield counts()
                 held, size = [], 0
         if held:
             yield counts()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, cls long, token long")
+    return docs.mapInArrow(tidy(run), "kind int, doc_id long, n long, cls long, token long")
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def _prefix_rows(docs: DataFrame, frequent, percent: int) -> DataFrame:
                 k = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), k)), pa.array(np.repeat(np.array(ns, np.int32), k)), pa.array(np.concatenate(places))], ["token", "cls", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, cls long, n int, pos int")
+    return docs.mapInArrow(tidy(run), "token long, cls long, n int, pos int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -309,7 +309,7 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t[k][many]) for k in ("token", "n", "cls", "pos")] + [pa.array(df)], ["token", "n", "cls", "pos", "df"])
 
     sorted_rows = rows.select("token", "n", "cls", "pos").repartition("token").sortWithinPartitions("token", "n", "cls")
-    return sorted_rows.mapInArrow(run, "token long, n int, cls long, pos int, df long")
+    return sorted_rows.mapInArrow(tidy(run), "token long, n int, cls long, pos int, df long")
 
 
 def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
@@ -339,7 +339,7 @@ def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t["cls"][got]), pa.array(t["cls"][lead[got]]), pa.array(t["prefix"][got])], ["cls", "other", "prefix"])
 
     work = rows.join(central, "cls").select("token", "order", "cls", "n", prefix.cast("long").alias("prefix"))
-    met = work.repartition("token").sortWithinPartitions("token", "order", "cls").mapInArrow(run, "cls long, other long, prefix long")
+    met = work.repartition("token").sortWithinPartitions("token", "order", "cls").mapInArrow(tidy(run), "cls long, other long, prefix long")
     counted = met.groupBy("cls", "other", "prefix").count().where(10 * F.col("count") >= F.col("prefix"))
     return counted.groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
 
@@ -379,7 +379,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
 
-    met = rows.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "cls long, other long, least long")
+    met = rows.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(tidy(run), "cls long, other long, least long")
     return met.groupBy("cls", "other", "least").count().where("count >= least").select("cls", "other")
 
 
@@ -393,7 +393,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             kept = [(c, s) for c, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))) if xxhash.xxh3_64_intdigest(s := x.tobytes()) - (1 << 63) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], ["cls", "shingles"])
 
-    return rows.mapInArrow(run, "cls long, shingles binary")
+    return rows.mapInArrow(tidy(run), "cls long, shingles binary")
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
         if held:
             yield found()
 
-    return met.repartition("probe", "piece").sortWithinPartitions("probe", "piece", "part").mapInArrow(run, "cls long, other long").distinct()
+    return met.repartition("probe", "piece").sortWithinPartitions("probe", "piece", "part").mapInArrow(tidy(run), "cls long, other long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read_table
+from .common import map_batches, read_table, tidy
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 OUT = len(KINDS)
@@ -235,7 +235,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[i] = pa.array([n if t is None or t == old else len(t) for t, old, n in zip(new, texts, columns[i].to_pylist())], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
