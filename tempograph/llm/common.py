@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as white space between words: the six ASCII ones.
+#: Rows of an Arrow batch at most.
+ROWS = 1000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -35,7 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def tidy(run: Callable) -> Callable:
-    """run, after which a worker process gives freed memory back: it lives on beside the next stage's."""
+    """run, after which a worker process gives freed memory back: it lives on beside the next stage's.
+
+    Rows of texts are large, so the session's Arrow batches are held to ROWS rows.
+    """
+    conf = SparkSession.active().conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
