@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most, and of a table of sources or languages that is broadcast.
+ROWS, MAX_BROADCAST_KEYS = 1000, 100_000
 #: What counts as white space between words: the six ASCII ones.
-#: Rows of an Arrow batch at most.
-ROWS = 1000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """A table of a row a key, written, and to be broadcast if it has few rows; else it is joined by shuffle."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+
+
 def tidy(run: Callable) -> Callable:
     """run, after which a worker process gives freed memory back: it lives on beside the next stage's.
 

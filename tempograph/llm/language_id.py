@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read_table
+from .common import map_batches, read_table, sized
 
 DIM, SYMBOLS, SEED, MAX_PER_LANG, CHUNK = 1024, 128, 7, 4000, 128
 
@@ -85,7 +85,7 @@ class Bundler:
 
 def learn(learning: DataFrame, dim: int = DIM, bound: int = MAX_PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their prototypes, from rows (doc_id, text, lang); bound texts of each language about."""
-    sizes = learning.groupBy("lang").count()
+    sizes = sized(learning.groupBy("lang").count())
     chosen = learning.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.least(F.lit(1.0), bound / F.col("count")) * 1_000_003)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, word_count
+from .common import cut, read_table, sized, word_count
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 17
 
@@ -44,7 +44,7 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
 def copies(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """rows (source, size, u, ...) with source_size, target and copies."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = targets(sizes, weights, cap).withColumnRenamed("source", "its_source")
+    t = sized(targets(sizes, weights, cap).withColumnRenamed("source", "its_source"))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     joined = rows.join(t, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
     return joined.withColumn("copies", (F.floor(rate) + (F.col("u") < rate - F.floor(rate)).cast("long")).cast("long"))
