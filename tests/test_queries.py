@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - {"minhash_near_dups"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() >= 0
 
