@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vacancy
+from ..operators import review
 from ..sources import payloads
 from ..sources.tables import table
 
@@ -110,3 +111,81 @@ def document_sections(spark, d):
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_blocks, CAST(sum(length(b)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[。\n]')), ' ') AS b FROM documents) WHERE length(b) >= 8 GROUP BY 1")
 def document_blocks(spark, d):
     return text.blocks(table(spark, d, "documents"), "source").groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).cast("long").alias("chars"))
+
+
+EVIDENCE = "e AS (SELECT DISTINCT l_orderkey AS claim_id, l_orderkey * 10 + l_linenumber AS evidence_id FROM lineitem)"
+STATES = "CASE o_orderstatus WHEN 'F' THEN 'supported' WHEN 'O' THEN 'unsupported' ELSE o_orderstatus END"
+
+
+def evidence(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id")).distinct()
+
+
+@query(f"""WITH {EVIDENCE}, c AS (SELECT o_orderkey AS claim_id, {STATES} AS v, unnest([3, 1, 5]) AS line, unnest([1, 2, 3]) AS place FROM orders),
+k AS (SELECT claim_id, string_agg(line::VARCHAR, ',' ORDER BY place) AS cited FROM c JOIN e ON e.claim_id = c.claim_id AND evidence_id = c.claim_id * 10 + line GROUP BY ALL)
+SELECT o_orderkey AS claim_id, CASE WHEN {STATES} IN ('supported', 'unsupported', 'uncertain') THEN {STATES} ELSE 'uncertain' END AS verdict, coalesce(cited, '') AS cited FROM orders LEFT JOIN k ON claim_id = o_orderkey""".replace("SELECT claim_id, string_agg", "SELECT c.claim_id, string_agg"))
+def review_verdicts(spark, d):
+    """Each order as a claim that cites its lines 3, 1 and 5; the digits of the lines that it has are left."""
+    k = F.col("o_orderkey")
+    r = table(spark, d, "orders").select(k.alias("claim_id"), F.expr(STATES).alias("verdict"), F.array(k * 10 + 3, k * 10 + 1, k * 10 + 5).alias("cited"))
+    v = review.verdicts(r, evidence(spark, d))
+    return v.select("claim_id", "verdict", F.array_join(F.transform("cited", lambda x: (x % 10).cast("string")), ",").alias("cited"))
+
+
+@query("SELECT o_orderkey AS claim_id, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus WHEN c_acctbal >= 0 THEN 'published' WHEN c_acctbal < 0 THEN 'rejected' ELSE 'unverified' END AS state FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def claim_decisions(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), "o_custkey", F.when(F.col("o_orderstatus") == "O", "unverified").otherwise(F.col("o_orderstatus")).alias("state"))
+    accept = o.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("claim_id", (F.col("c_acctbal") >= 0).alias("accept"))
+    return review.decide(o.select("claim_id", "state"), accept)
+
+
+@query(f"WITH {EVIDENCE} SELECT o_orderkey AS claim_id, CAST(place AS INT) AS place, evidence_id FROM (SELECT o_orderkey, unnest([3, 1, 5]) AS line, unnest([0, 1, 2]) AS place FROM orders) JOIN e ON evidence_id = o_orderkey * 10 + line")
+def claim_provenance(spark, d):
+    k = F.col("o_orderkey")
+    return review.provenance(table(spark, d, "orders").select(k.alias("claim_id"), F.array(k * 10 + 3, k * 10 + 1, k * 10 + 5).alias("evidence_ids")), evidence(spark, d).select("evidence_id"))
+
+
+@query("SELECT event_id AS change_id, event_type AS kind, user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS rolled_back FROM events")
+def change_log_rollback(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("change_id"), F.col("event_type").alias("kind"), F.lit(False).alias("rolled_back"), "user_id")
+    bad = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    return review.rolled_back(log, log.join(bad, "user_id", "left_semi")).select("change_id", "kind", "rolled_back")
+
+
+_FOUND = "f AS (SELECT d.doc_id, item_id, strpos(d.text, b.text) - 1 AS start, length(b.text) AS n, source FROM documents d JOIN benchmark b ON length(b.text) >= 60 AND contains(d.text, b.text))"
+
+
+@query(f"""WITH {_FOUND}, q AS (SELECT doc_id, item_id, start + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS s, n, source FROM f),
+t AS (SELECT item_id, max((substring(d.text, s + 1, n) = b.text)::INT) AS t, (count(DISTINCT q.source) >= 2)::INT AS m FROM q JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) GROUP BY 1)
+SELECT count(*) AS n_claims, avg(coalesce(t, 0)) AS traceable_rate, avg(coalesce(m, 0)) AS multi_source_rate FROM benchmark LEFT JOIN t USING (item_id)""")
+def evidence_trace_rates(spark, d):
+    """Each benchmark item as a claim, with its places in documents as evidence; places of every third item are off by one."""
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    places = text.locate(docs, bench.select("item_id", F.col("text").alias("quote"))).join(docs.select("doc_id", "source"), "doc_id").join(bench.select("item_id", F.col("text").alias("quote")), "item_id")
+    start = F.col("start") + (F.col("item_id") % 3 == 0).cast("int")
+    e = places.select(F.col("item_id").alias("claim_id"), "doc_id", F.col("source").alias("source_id"), start.alias("start"), (start + F.length("quote")).alias("end"), "quote")
+    return review.claim_rates(bench.select(F.col("item_id").alias("claim_id")), e, docs)
+
+
+@query("""WITH j AS (SELECT unnest(['quality', 'toxic']) AS field, unnest([(length(text) >= 300)::INT = quality AND lang IS NOT NULL, (toxic = 0) AND lang IS NOT NULL]) AS hit FROM labels JOIN documents USING (doc_id))
+SELECT coalesce(field, 'micro') AS field, count(*) AS n, avg(coalesce(hit, false)::INT) AS accuracy FROM j GROUP BY ROLLUP (field)""")
+def field_accuracy(spark, d):
+    """Predictions of labels by length, for documents with a language only; a document without has none and counts as wrong."""
+    docs = table(spark, d, "documents")
+    gold = table(spark, d, "labels").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", "toxic")
+    pred = docs.where("lang is not null").select("doc_id", (F.length("text") >= 300).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    return review.field_accuracy(gold, pred, "doc_id", ["quality", "toxic"])
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand AS src, p_type AS dst FROM part), m AS (SELECT src, dst, length(dst) % 2 = 0 AS active FROM c WHERE src < 'Brand#3')
+SELECT src, dst, CASE WHEN active IS NULL THEN 'asymmetry' ELSE 'manual' END AS rule, CASE WHEN active IS NULL THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS confidence, coalesce(active, true) AS active, active IS NOT NULL AS locked FROM c LEFT JOIN m USING (src, dst)""")
+def prereq_overrides(spark, d):
+    c = table(spark, d, "part").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst")).distinct()
+    manual = c.where("src < 'Brand#3'").withColumn("active", F.length("dst") % 2 == 0)
+    return review.with_overrides(c.withColumns({"rule": F.lit("asymmetry"), "confidence": F.lit(0.5)}), manual)
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[:80] AS ls FROM documents)
+SELECT doc_id, CAST(i AS INT) AS line, text, least(0.96, 0.04 + i * 0.035)::DOUBLE AS y FROM (SELECT doc_id, unnest(ls) AS text, unnest(range(len(ls))) AS i FROM l)""")
+def evidence_lines(spark, d):
+    return review.text_lines(table(spark, d, "documents"))

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from tempograph.functions import text, vacancy
-from tempograph.sources import payloads
+from tempograph.operators import review
+from tempograph.sources import files, payloads
 
 
 def values(spark, rows, f):
@@ -76,3 +77,33 @@ def test_near_blocks_equal_brute_force(spark):
     blocks = {(s, t) for _, s, t in rows if t and len(t) >= 8}
     want = {(s, a, b) for s, a in blocks for s2, b in blocks if s == s2 and a < b and len(g(a) & g(b)) >= 0.8 * len(g(a) | g(b))}
     assert {(r.source, r.a, r.b) for r in text.near_blocks(docs, "source").collect()} == want
+
+
+def test_trace_flags(spark):
+    shape = "doc_id long, name string, start int, end int, surface string, box array<double>"
+    gold = spark.createDataFrame([(1, "Go", 0, 2, "Go", [0.0, 0.0, 1.0, 1.0]), (1, "C", 3, 4, "C", None), (1, "Java", 9, 13, "Java", None)], shape)
+    pred = spark.createDataFrame([(1, "Go", 0, 2, "go", [0.0, 0.0, 1.0, 0.9]), (1, "C", 2, 3, "C", None), (1, "Rust", 0, 1, "R", None)], shape)
+    docs = spark.createDataFrame([(1, "Go C")], "doc_id long, text string")
+    got = {r.name: tuple(r)[2:] for r in review.trace_flags(pred, gold, docs).collect()}
+    assert got == {"Go": (True, True, True, True), "C": (False, True, False, False)}
+
+
+def test_accepted_aliases_and_skill_of(spark):
+    claims = spark.createDataFrame([(1, "golang", "go", "unverified"), (2, "js", "js", "published"), (3, "x", None, "unverified")], "claim_id long, surface string, skill_id string, state string")
+    yes = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "claim_id long, accept boolean")
+    assert [tuple(r) for r in review.accepted_aliases(claims, yes).collect()] == [("golang", "go")]
+    assert values(spark, ["ac:go", "other", None], review.skill_of) == ["go", None, None]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "skills.jsonl").write_text('{"id":"go","name":"Go","aliases":["golang"]}\n{"id":"c","name":"C"}\n{"id":"","name":"x"}\n')
+    (tmp_path / "data" / "aliases.jsonl").write_text('{"skill_id":"go","surface":"golang"}\n{"skill_id":"go","surface":"GoLang"}\n')
+    got = {r.id: r.surfaces for r in files.read_vocabulary(spark, str(tmp_path), "0.1").collect()}
+    assert got == {"go": ["Go", "golang", "GoLang"], "c": ["C"]}
+    assert files.read_vocabulary(spark, str(tmp_path / "none"), "0.1").count() == 0
+    (tmp_path / "moka.jsonl").write_text('{"a":1,"posted_at":"2024-01-02"}\n{"a":2,"posted_at":"soon"}\n{"a":3,"posted_at":"2020-01-02"}\n')
+    path = files.slice_path(spark, str(tmp_path), "moka")
+    assert sorted(r.a for r in files.since(files.read_rows(spark, path), "posted_at", "2023-01-01").collect()) == [1, 2]
+    (tmp_path / "boards.txt").write_text("# boards\nacme\tAcme Inc\n\nsolo\n")
+    assert [tuple(r) for r in files.read_lists(spark, str(tmp_path / "boards.txt")).collect()] == [("acme", "Acme Inc"), ("solo", "solo")]
