@@ -4,12 +4,12 @@
 2. n-gram Jaccard join: the smallest doc_id of each group of near duplicates stays.
 3. PII: personal data in texts is masked.
 4. mixing: documents are repeated or left out so that sources get their target weights.
-5. encoding: the ids of each text under merge-dropout, checked to decode to it.
+5. encoding: the ids of each text under merge-dropout, each copy by its own draws, checked to decode to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm.common import read_table, shared_dir
@@ -37,7 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs)
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))  # copies that mixing made; equal rows, so any order is one
+    return encode_documents(docs.withColumn("copy", F.row_number().over(same)))
 
 
 STAGES = [

@@ -2,20 +2,21 @@
 
 The vocabulary and the merge order (scores) are those of a public merge-type model. A text is split where no piece can cross: at
 line ends and before runs of spaces. In each part an agenda gives the best candidate merge, leftmost on ties; a candidate is skipped
-if a hash keyed by seed, stream, both pieces and place falls below the rate. Each document has one of STREAMS streams, by keyed hash of
-its doc_id, so equal words are segmented in various ways, and every run in the same ways. Parts are encoded once a stream and
-task and then looked up. Characters without a piece, and U+2581 itself, become byte pieces, so decoding gives every text back.
+if a hash keyed by seed, document (its doc_id, and the number of its copy after mixing), both pieces and place in the text falls
+below the rate. So each occurrence of a word has its own draws, and every run the same ones. Only the merges without dropout of
+a part are remembered: an occurrence that passes all their draws is segmented so, any other is merged with its own draws.
+Characters without a piece, and U+2581 itself, become byte pieces, so decoding gives every text back.
 
-A null text is encoded as no ids and decoded as null; an empty text as no ids. A null doc_id has stream 0. Repeated rows give equal
-rows. Rows are independent: nothing is shuffled.
+A null text is encoded as no ids and decoded as null; an empty text as no ids. A null doc_id draws by its text. Repeated rows give
+equal rows, unless a column numbers them. Rows are independent: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from .common import read_table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, STREAMS, SEED = 0.1, 4, 42
+RATE, SEED = 0.1, 42
 SPACE = "▁"
 _PART = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-_MASK, _NONE, _SPREAD = (1 << 64) - 1, 1 << 60, 0x9E3779B97F4A7C15
-#: Parts that are remembered for each stream; widths of the tables in which parts are merged together.
-KNOWN, WIDTHS = 80_000, (6, 9, 13, 18, 28)
+_MASK, _NONE, _END, _SPREAD = (1 << 64) - 1, 1 << 60, 0xFFFFF, 0x9E3779B97F4A7C15
+#: Parts whose merges without dropout are remembered; occurrences at once; widths of the tables in which parts are merged together.
+KNOWN, AT_ONCE, WIDTHS = 320_000, 1 << 16, (6, 9, 13, 18, 28)
 
 
 class Pieces:
@@ -53,6 +54,27 @@ class Pieces:
                 self.bytes_of.append(p.replace(SPACE, " ").encode())
 
 
+def _draws(pair: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Encoder.skips' number of 32 bits for many candidates."""
+    h = (pair.astype(np.uint64) ^ key) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+
+
+class _Rows:
+    """A table that grows."""
+
+    def __init__(self, columns: int, kind: type = np.int64) -> None:
+        self.room, self.rows = np.empty((1024, columns), kind), np.empty((0, columns), kind)
+
+    def add(self, rows: np.ndarray) -> None:
+        n = len(self.rows)
+        if n + len(rows) > len(self.room):
+            self.room = np.empty((2 * (n + len(rows)), rows.shape[1]), self.room.dtype)
+            self.room[:n] = self.rows
+        self.room[n : n + len(rows)] = rows
+        self.rows = self.room[: n + len(rows)]
+
+
 class Encoder:
     def __init__(self, pieces: Pieces, seed: int = SEED, rate: float = RATE) -> None:
         self.pieces, self.seed, self.below = pieces, seed, int(rate * (1 << 32))
@@ -64,8 +86,8 @@ class Encoder:
                 if p[:k] in pieces.ids and p[k:] in pieces.ids:
                     self.merges[pieces.ids[p[:k]] << 20 | pieces.ids[p[k:]]] = order[p] << 20 | i
         self.chars = {c: i for c, i in pieces.ids.items() if len(c) == 1 and c != SPACE} | {" ": pieces.ids[SPACE]}
-        self.known: dict[int, dict[str, bytes]] = {}  # of each stream the ids of parts, as bytes
-        self.char_ids = None
+        self.known: dict[str, int] = {}  # rows of parts in the table of merges without dropout
+        self.char_ids, self.all_chars = None, frozenset(self.chars)
 
     def key(self, stream: int) -> int:
         import xxhash
@@ -76,18 +98,18 @@ class Encoder:
         h = ((pair ^ key) * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F) & _MASK
         return (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32 < self.below
 
-    def part(self, text: str, key: int) -> list[int]:
-        """Ids of one part, in which a space stands for U+2581."""
+    def part(self, text: str, key: int, start: int = 0) -> list[int]:
+        """Ids of one part, in which a space stands for U+2581; its first character is at start."""
         ids = [self.chars.get(c, -1) for c in text]
         if len(ids) <= 40:
-            ids, at = self._merge_short(ids, key)
+            ids, at = self._merge_short(ids, key, start)
         else:
-            ids, at = self._merge_long(ids, key)
+            ids, at = self._merge_long(ids, key, start)
         if min(ids) >= 0:
             return ids
         return self._with_bytes(text, ids, at)
 
-    def _merge_short(self, ids: list[int], key: int) -> tuple[list[int], list[int]]:
+    def _merge_short(self, ids: list[int], key: int, start: int = 0) -> tuple[list[int], list[int]]:
         """The agenda of a short part is a list: its least entry is found by min."""
         find, below = self.merges.get, self.below
         agenda = [find(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
@@ -98,7 +120,7 @@ class Encoder:
                 break
             i = agenda.index(best)
             if below:
-                h = (((ids[i] << 20 | ids[i + 1]) ^ key) * 0x9E3779B97F4A7C15 + at[i] * 0xC2B2AE3D27D4EB4F) & _MASK
+                h = (((ids[i] << 20 | ids[i + 1]) ^ key) * 0x9E3779B97F4A7C15 + (start + at[i]) * 0xC2B2AE3D27D4EB4F) & _MASK
                 if (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32 < below:
                     agenda[i] = _NONE
                     continue
@@ -110,7 +132,7 @@ class Encoder:
                 agenda[i - 1] = find(ids[i - 1] << 20 | new, _NONE)
         return ids, at
 
-    def _merge_long(self, ids: list[int], key: int) -> tuple[list[int], list[int]]:
+    def _merge_long(self, ids: list[int], key: int, start: int = 0) -> tuple[list[int], list[int]]:
         """The agenda of a long part is a heap, its symbols a linked list."""
         merges, n, below = self.merges, len(ids), self.below
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -118,7 +140,7 @@ class Encoder:
         heapq.heapify(agenda)
         while agenda:
             best, i, j, pair = heapq.heappop(agenda)
-            if right[i] != j or ids[i] == -2 or ids[i] << 20 | ids[j] != pair or (below and self.skips(key, pair, i)):
+            if right[i] != j or ids[i] == -2 or ids[i] << 20 | ids[j] != pair or (below and self.skips(key, pair, start + i)):
                 continue
             ids[i], ids[j] = best & 0xFFFFF, -2
             k = right[i] = right[j]
@@ -149,11 +171,12 @@ class Encoder:
             self.char_ids[ord(c)] = i
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pair = np.where((left >= 0) & (right >= 0), left << 20 | right, -2)
-        at = ((pair.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        got = self.slots[at]
-        out = np.where(got == pair, self.values[at], _NONE)
-        again = np.flatnonzero((got != pair) & (got >= 0) & (pair >= 0))
+        pair = left << 20 | right
+        at = ((pair.view(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).view(np.int64)
+        got = self.slots.take(at)
+        hit = got == pair
+        out = np.where(hit, self.values.take(at), _NONE)
+        again = np.flatnonzero(~hit & (got >= 0))
         while len(again):
             at[again] = (at[again] + 1) & ((1 << self.bits) - 1)
             got = self.slots[at[again]]
@@ -162,46 +185,48 @@ class Encoder:
             again = again[~hit & (got >= 0)]
         return out
 
-    def _merge_many(self, parts: list[str], keys: np.ndarray, width: int) -> list[bytes]:
-        """As _merge_short for many parts of at most width characters at once: each round takes the least entry of every agenda."""
+    def _merge_many(self, parts: list[str], keys: np.ndarray, starts: np.ndarray, width: int, below: int, steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As _merge_short for many parts of at most width known characters at once: each round takes the least entry of every agenda.
+
+        Gives all ids in a row and how many each part has. To steps go the part, pair and place of every merge, by rounds.
+        """
         n, none = len(parts), np.int64(_NONE)
         lengths = np.fromiter(map(len, parts), np.int64, n)
         ids = self.char_ids[np.array(parts, f"U{width}").view(np.uint32).reshape(n, width)]
-        ids[np.arange(width) >= lengths[:, None]] = -3
-        at = np.tile(np.arange(width, dtype=np.int64), (n, 1))
-        agenda = self._find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
-        agenda = np.concatenate([agenda, np.full((n, 1), none)], 1)
+        ids[np.arange(width) >= lengths[:, None]] = _END
+        agenda = np.full((n, width), none)
+        agenda[:, :-1] = self._find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+        symbols = (ids << 5 | np.arange(width)).ravel()  # the id and the place in the part
+        agenda = agenda.ravel()
         rows, columns = np.arange(n), np.arange(width - 1)
         while len(rows):
-            a = agenda[rows]
+            a = agenda.reshape(n, width).take(rows, 0)
             i = a.argmin(1)
             best = a[np.arange(len(rows)), i]
             alive = best < none
             rows, i, best = rows[alive], i[alive], best[alive]
-            pair = ids[rows, i] << 20 | ids[rows, i + 1]
-            h = (pair.astype(np.uint64) ^ keys[rows]) * np.uint64(0x9E3779B97F4A7C15) + at[rows, i].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            skip = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < np.uint64(self.below)
-            agenda[rows[skip], i[skip]] = none
-            r, k = rows[~skip], i[~skip]
-            new = best[~skip] & 0xFFFFF
-            ids[r, k] = new
-            take = columns + (columns > k[:, None])
-            for table, end in ((ids, -3), (at, 0)):
-                table[r, :-1] = np.take_along_axis(table[r], take, 1)
-                table[r, -1] = end
-            agenda[r, :-1] = np.take_along_axis(agenda[r], columns + (columns >= k[:, None]), 1)
-            agenda[r, k] = self._find(new, ids[r, k + 1])
-            inner = k > 0
-            r, k, new = r[inner], k[inner], new[inner]
-            agenda[r, k - 1] = self._find(ids[r, k - 1], new)
-        some = ids != -3
-        ends = np.append(0, np.cumsum(some.sum(1))).tolist()
-        flat = ids[some].astype(np.int32).tobytes()
-        out = [flat[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:])]
-        for row in np.flatnonzero((ids == -1).any(1)).tolist():
-            m = ends[row + 1] - ends[row]
-            out[row] = array("i", self._with_bytes(parts[row], ids[row, :m].tolist(), at[row, :m].tolist())).tobytes()
-        return out
+            r, k = rows, rows * width + i
+            if below or steps is not None:
+                pair, place = symbols[k] >> 5 << 20 | symbols[k + 1] >> 5, starts[rows] + (symbols[k] & 31)
+            if steps is not None:
+                steps.append((rows, pair, place))
+            if below:
+                skip = _draws(pair, keys[rows], place) < below
+                agenda[k[skip]] = none
+                keep = ~skip
+                r, k, i, best = r[keep], k[keep], i[keep], best[keep]
+            new = best & 0xFFFFF
+            symbols[k] = new << 5 | symbols[k] & 31
+            to = r[:, None] * width + columns
+            take = to + (columns > i[:, None])
+            symbols[to], agenda[to] = symbols.take(take), agenda.take(take)
+            symbols[r * width + width - 1], agenda[r * width + width - 1] = _END << 5, none
+            agenda[k] = self._find(new, symbols[k + 1] >> 5)
+            inner = i > 0
+            k, new = k[inner] - 1, new[inner]
+            agenda[k] = self._find(symbols[k] >> 5, new)
+        some = symbols >> 5 != _END
+        return (symbols[some] >> 5).astype(np.int32), some.reshape(n, width).sum(1)
 
     def _with_bytes(self, text: str, ids: list[int], at: list[int]) -> list[int]:
         out = []
@@ -209,31 +234,110 @@ class Encoder:
             out += [i] if i >= 0 else [self.pieces.byte_ids[b] for b in text[a].encode("utf-8", "surrogatepass")]
         return out
 
-    def learn(self, asked: dict[int, set[str]]) -> None:
-        """Encode the parts of each stream that aren't known yet."""
+    def _by_width(self, parts: list[str], keys: np.ndarray, starts: np.ndarray, below: int, steps: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_merge_many by tables of WIDTHS: all ids, where the ids of each part begin, and how many they are."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin, count, flat, size, low = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [np.empty(0, np.int32)], 0, 0
+        for width in WIDTHS:
+            some = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            if len(some):
+                its: list | None = None if steps is None else []
+                ids, n = self._merge_many([parts[x] for x in some.tolist()], keys[some], starts[some], width, below, its)
+                flat.append(ids)
+                begin[some], count[some] = size + np.cumsum(n) - n, n
+                size += len(ids)
+                if steps is not None:
+                    steps += [(some[r], pair, place) for r, pair, place in its]
+        return np.concatenate(flat), begin, count
+
+    def _clear(self) -> None:
+        # Ids of all known parts, the pairs and places of their merges; of each part where both begin and how many they are.
+        self.known, self.flat, self.merged, self.spans = {}, _Rows(1, np.int32), _Rows(1), _Rows(4)
+
+    def learn(self, parts: set[str]) -> None:
+        """The merges without dropout of parts that aren't known yet; nothing that was drawn is kept."""
+        plain, at = [], len(self.spans.rows)
+        for p in parts:
+            if len(p) <= WIDTHS[-1] and self.all_chars.issuperset(p):
+                self.known[p] = at + len(plain)
+                plain.append(p)
+            else:
+                self.known[p] = -1  # merged anew wherever it occurs
+        steps: list = []
+        zero = np.zeros(len(plain), np.int64)
+        flat, begin, count = self._by_width(plain, zero.view(np.uint64), zero, 0, steps)
+        part, pairs, places = (np.concatenate(x) for x in zip(*steps)) if steps else (zero[:0],) * 3
+        order = np.argsort(part, kind="stable")
+        n = np.bincount(part, minlength=len(plain))
+        self.spans.add(np.stack([begin + len(self.flat.rows), count, np.cumsum(n) - n + len(self.merged.rows), n], 1))
+        self.flat.add(flat[:, None])
+        self.merged.add((pairs << 5 | places)[order, None])
+
+    def _rows_of(self, parts: list[str]) -> np.ndarray:
+        """The rows of parts in the table, after learning what is new."""
         if self.char_ids is None:
             self._table()
-        for stream, parts in asked.items():
-            known = self.known.setdefault(stream, {})
-            new = [p for p in parts if p not in known]
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = list(parts)
-            low = 0
-            for width in WIDTHS:
-                some = [p for p in new if low < len(p) <= width]
-                low = width
-                if some:
-                    known.update(zip(some, self._merge_many(some, np.full(len(some), self.key(stream), np.uint64), width)))
-            known.update((p, array("i", self.part(p, self.key(stream))).tobytes()) for p in new if len(p) > low)
+            self._clear()
+        row = np.fromiter(map(self.known.get, parts, repeat(-2)), np.int64, len(parts))
+        missing = np.flatnonzero(row == -2)
+        if len(missing):
+            new = {parts[x] for x in missing.tolist()}
+            if len(self.known) + len(new) > KNOWN:
+                self._clear()
+                new, missing = set(parts), np.arange(len(parts))
+            self.learn(new)
+            row[missing] = [self.known[parts[x]] for x in missing.tolist()]
+        return row
+
+    def _occurrences(self, parts: list[str], keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of occurrences of parts, and how many each has.
+
+        One whose merges without dropout all pass its own draws is as without dropout; any other is merged anew with its draws.
+        """
+        row = self._rows_of(parts)
+        begin, count, first, n = (self.spans.rows.take(row, 0, mode="wrap").T if len(self.spans.rows) else np.zeros((4, len(row)), np.int64)).copy()
+        n[row < 0] = 0
+        again = np.zeros(len(parts), bool)
+        if self.below:
+            owner = np.repeat(np.arange(len(parts)), n)
+            step = self.merged.rows[:, 0].take(np.arange(len(owner)) + np.repeat(first - np.cumsum(n) + n, n))
+            again[owner[_draws(step >> 5, np.repeat(keys, n), np.repeat(starts, n) + (step & 31)) < self.below]] = True
+        some = np.flatnonzero(again)
+        flat, begin[some], count[some] = self._by_width([parts[x] for x in some.tolist()], keys[some], starts[some], self.below)
+        known = self.flat.rows[:, 0]
+        begin[some] += len(known)
+        pool, size = [known, flat], len(known) + len(flat)
+        for x in np.flatnonzero(row < 0).tolist():
+            ids = np.array(self.part(parts[x], int(keys[x]), int(starts[x])), np.int32)
+            pool.append(ids)
+            begin[x], count[x] = size, len(ids)
+            size += len(ids)
+        return np.concatenate(pool).take(np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)), count
+
+    def _encode(self, texts: list[str], keys: list[int], placed: bool) -> list[np.ndarray]:
+        """Ids of texts by their keys; places are those in the text if placed, else those in each part."""
+        parts = [_PART.findall(" " + t) if t else [] for t in texts]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = list(chain.from_iterable(parts))
+        key = np.repeat(np.array(keys, np.uint64), size)
+        starts = np.zeros(len(flat), np.int64)
+        if placed and flat:
+            length = np.fromiter(map(len, flat), np.int64, len(flat))
+            starts = np.cumsum(length) - length
+            starts -= np.repeat(starts[np.minimum(np.cumsum(size) - size, len(flat) - 1)], size)
+        done = [self._occurrences(flat[x : x + AT_ONCE], key[x : x + AT_ONCE], starts[x : x + AT_ONCE]) for x in range(0, len(flat), AT_ONCE)]
+        ids = np.concatenate([np.empty(0, np.int32), *(i for i, _ in done)])
+        ends = np.append(0, np.cumsum(np.concatenate([np.empty(0, np.int64), *(n for _, n in done)])))[np.append(0, np.cumsum(size))]
+        return [ids[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def encode_all(self, texts: list[str], streams: list[int]) -> list[np.ndarray]:
-        parts = [_PART.findall(" " + t) if t else [] for t in texts]
-        asked: dict[int, set[str]] = {}
-        for p, s in zip(parts, streams):
-            asked.setdefault(s, set()).update(p)
-        self.learn(asked)
-        return [np.frombuffer(b"".join(map(self.known[s].__getitem__, p)), np.int32) for p, s in zip(parts, streams)]
+        """Ids of texts by numbered keys and places in the parts: an equal part of one stream has equal ids."""
+        return self._encode(texts, [self.key(s) for s in streams], False)
+
+    def encode_documents(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids of texts by their own keys and places in the text: each occurrence of a part has its own draws."""
+        return self._encode(texts, keys, True)
 
     def encode(self, text: str, stream: int = 0) -> np.ndarray:
         return self.encode_all([text], [stream])[0]
@@ -256,14 +360,18 @@ def _encoder(pieces, seed: int, rate: float) -> Encoder:
     return _encoders[key]
 
 
-def stream_of(doc_id: int | None, seed: int = SEED, streams: int = STREAMS) -> int:
+def key_of(doc_id: int | None, text: str | None, copy: int = 1, seed: int = SEED) -> int:
+    """The key of a document's draws: of seed, copy and doc_id, or the text where that is null."""
     import xxhash
 
-    return 0 if doc_id is None else xxhash.xxh64_intdigest(f"{seed}:{doc_id}") % streams
+    return xxhash.xxh64_intdigest(f"{seed}:{copy}:{doc_id}" if doc_id is not None else f"{seed}:{copy}::{text or ''}".encode("utf-8", "surrogatepass"))
+
 
+def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float = RATE) -> DataFrame:
+    """doc_id, stream (the key of the document's draws, as a signed number), n_tokens, ids, and whether the ids decode to the text.
 
-def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float = RATE, streams: int = STREAMS) -> DataFrame:
-    """doc_id, stream, n_tokens, ids, and whether the ids decode to the text."""
+    A column copy, if there, numbers the rows of one document, which have draws of their own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,15 +379,16 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # ids take several times the room of their text
                 doc_ids, texts = batch.column(0)[at : at + 256], batch.column(1)[at : at + 256].to_pylist()
-                stream = [stream_of(i, seed, streams) for i in doc_ids.to_pylist()]
-                ids = encoder.encode_all([t or "" for t in texts], stream)
+                keys = [key_of(i, t, c, seed) for i, t, c in zip(doc_ids.to_pylist(), texts, batch.column(2)[at : at + 256].to_pylist())]
+                ids = encoder.encode_documents([t or "" for t in texts], keys)
                 n = [len(i) for i in ids]
                 same = [encoder.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts)]
                 values = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(stream, pa.int32()), pa.array(n, pa.int64()), values, pa.array(same)], ["doc_id", "stream", "n_tokens", "ids", "decodes"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(n, pa.int64()), values, pa.array(same)], ["doc_id", "stream", "n_tokens", "ids", "decodes"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidy(run), "doc_id long, stream int, n_tokens long, ids array<int>, decodes boolean")
+    copy = F.col("copy").cast("long") if "copy" in docs.columns else F.lit(1).cast("long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), copy.alias("copy"))
+    return docs.mapInArrow(tidy(run), "doc_id long, stream long, n_tokens long, ids array<int>, decodes boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -225,3 +225,20 @@ def test_join_on_odd_rows(odd, empty):
     got = {r.doc_id: r for r in ngram_join.near_duplicate_components(odd).collect()}
     assert got[1].n_shingles == got[2].n_shingles == got[3].n_shingles == 0 and got[4].n_shingles == 1 and got[6].component_id == 6
     assert ngram_join.near_duplicate_components(empty).count() == 0 and ngram_join.one_of_each(odd).where("doc_id = 6").count() == 1
+
+
+def test_each_occurrence_has_its_own_draws(spark):
+    encoder = merge_dropout.Encoder(merge_dropout.Pieces(merge_dropout.MODEL))
+    text = " ".join(["unbelievable"] * 500) + " 你好 " + "a1b2" * 20
+    keys = [merge_dropout.key_of(i, text, c) for i, c in ((1, 1), (1, 2), (None, 1))]
+    for key, ids in zip(keys, encoder.encode_documents([text] * 3, keys)):
+        expected, at = [], 0
+        for p in merge_dropout._PART.findall(" " + text):
+            expected += encoder.part(p, key, at)
+            at += len(p)
+        assert ids.tolist() == expected and encoder.decode(expected) == text
+        words = "".join(f"{i} " if not encoder.texts.get(i, "").startswith("▁") else f"\n{i} " for i in expected).split("\n")
+        assert len(set(words)) > 20
+    rows = [(1, text, 1), (1, text, 2), (None, text, 1), (None, text + " b", 1), (2, text, 1)]
+    got = merge_dropout.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, copy long")).collect()
+    assert len({tuple(r.ids[:500]) for r in got}) == len(rows) and all(r.decodes for r in got)

@@ -28,3 +28,10 @@ def test_pipeline_stages(spark, sf, tmp_path):
     back = {r.doc_id: r.text for r in merge_dropout.decode_documents(docs).collect()}
     assert back == dict(rows) and docs.count() == len(rows) and docs.where("not decodes").count() == 0
     assert corpus_pipeline.run(spark, sf).count() == len(rows)
+
+
+def test_copies_of_the_mix_are_encoded_by_their_own_draws(spark, sf):
+    text = "unbelievable tokenization of words " * 50
+    docs = spark.createDataFrame([(1, text, "en", "a", 1)] * 3 + [(2, text, "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [[tuple(r.ids) for r in corpus_pipeline.encoding_stage(spark, docs, sf).collect()] for _ in range(2)]
+    assert len(set(got[0])) == 4 and sorted(got[0]) == sorted(got[1])
