@@ -2,8 +2,9 @@
 
 The base finds e-mail addresses, IP addresses, card and phone numbers (leftmost, non-overlapping, each kind by itself). The field
 has a node for each token with a digit or an @; all other tokens are surely outside. Chain edges link neighbouring nodes; skip
-edges link each token to the next equal one and to the next similar one in the document, however far, so that edges grow with
-the tokens and not with their square. Loopy sum-product messages, computed for all documents of a batch at once, make labels of
+edges link each token to the next equal one, to similar ones (of its length, one half equal, at most two characters different) and
+numbers to those that end in the same digits, whatever stands between digits, in the document, however far, so that edges grow
+with the tokens and not with their square. Loopy sum-product messages, computed for all documents of a batch at once, make labels of
 such tokens agree: digits of a phone number are marked where they recur without their prefix, and keys after `token =` are
 found as secrets. Tokens in base spans are held at their label, and base spans are never changed.
 
@@ -40,9 +41,11 @@ _LONG_KEY = re.compile(r"(?=[0-9A-Za-z_-]*[0-9])(?=[0-9A-Za-z_-]*[A-Za-z])[0-9A-
 
 #: Log-potentials. Nodes: outside has 2; a base span holds its label; else what a token looks like.
 UNARY = {"outside": 2.0, "base": 12.0, "at": 1.0, "dotted": 1.0, "digits": 0.8, "phone": 0.5, "key": 1.5, "named": 2.5}
-#: Neighbours of one label; equal tokens of one label; similar ones.
-CHAIN, SKIP, ALIKE = 0.5, 3.0, 0.8
+#: Neighbours of one label; equal tokens of one label, or of equal digits; similar ones. One link to a base span decides.
+CHAIN, SKIP, ALIKE = 0.5, 3.0, 2.6
 ROUNDS = 8
+#: Digits that numbers must share at their ends, and characters of which two may differ in similar tokens.
+END, LIKE = 7, 8
 
 
 def _luhn(digits: str) -> bool:
@@ -114,7 +117,7 @@ class _Graph:
         self.spans: list[tuple[int, int, int]] = []  # document, start, end of each node
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        last_end, at, equal, alike = -2, 0, {}, {}
+        last_end, at, equal, alike, ends, first = -2, 0, {}, {}, {}, len(self.unary)
         for m in _TOKEN.finditer(text):
             start, end = m.span()
             while at < len(base) and base[at][2] <= start:
@@ -133,10 +136,51 @@ class _Graph:
                     if word in equal:
                         self.edges.append((equal[word], node, SKIP))
                     equal[word] = node
-                    like = (word[:4], len(word))
-                    if like in alike and alike[like][1] != word:
-                        self.edges.append((alike[like][0], node, ALIKE))
-                    alike[like] = (node, word)
+                if len(word) >= LIKE:
+                    # Tokens that differ in one place share a half.
+                    h = len(word) // 2
+                    near = {alike[k] for k in ((len(word), 0, word[:h]), (len(word), 1, word[h:])) if k in alike}
+                    self.edges += [(n, node, ALIKE) for n, w in near if w != word and sum(x != y for x, y in zip(w, word)) <= 2]
+                    alike[len(word), 0, word[:h]] = alike[len(word), 1, word[h:]] = (node, word)
+                if not any(map(str.isalpha, word)):
+                    self._link_digits(node, first, text, next(((s, e) for s, k, e in base[at : at + 3] if k in (2, 3) and s < end and e > start), None), ends)
+
+    def _link_digits(self, node: int, first: int, text: str, span: tuple[int, int] | None, ends: dict) -> None:
+        """Link a number to the last one of which it is the end, or which is its end; its parts before it in a run, too.
+
+        A base span counts as a whole, at its last token.
+        """
+        start, end = self.spans[node][1:]
+        if span and _digits(text[end : span[1]]):
+            return
+        digits = _digits(text[span[0] : span[1]] if span else text[start:end])
+        run = node  # the first token of the number
+        while run > first and self.spans[run][1] - self.spans[run - 1][2] == 1:
+            s, e = self.spans[run - 1][1:]
+            if not 0 < len(before := _digits(text[s:e])) <= 6 or any(map(str.isalpha, text[s:e])) or span and e <= span[0] or len(digits) >= 19:
+                break
+            run -= 1
+            if not span:
+                digits = before + digits
+        if len(digits) < END:
+            return
+        key = digits[-END:]
+        if key in ends:
+            other, known = ends[key]
+            n = 0
+            while n < min(len(digits), len(known)) and digits[-1 - n] == known[-1 - n]:
+                n += 1
+            own = 0  # digits from a token of the run on
+            for i in range(node, run - 1, -1):
+                own += len(_digits(text[self.spans[i][1] : self.spans[i][2]]))
+                if own > n and i < node:
+                    break
+                if own <= n or n == len(known):
+                    self.edges.append((other, i, SKIP))
+                if own >= n:
+                    break
+        if key not in ends or span or len(digits) >= len(ends[key][1]):
+            ends[key] = (node, digits)
 
     def labels(self) -> np.ndarray:
         """Of each node, the label of the largest belief; outside unless its share is over one half."""

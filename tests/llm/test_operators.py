@@ -100,6 +100,14 @@ def test_field_marks_consistently_and_leaves_clean_text_alone(docs):
     assert len(base) == 1 and {pii.KINDS[k] for _, k, _ in added} == {"phone", "secret"} and not clean
 
 
+def test_numbers_recur_in_other_forms():
+    for t, hidden in (("a +1-614-555-8001 b 614-555-8001 c", "614-555-8001"), ("+16145558001 or 6145558001", "6145558001"), ("+1 (614) 555-8001, 6145558001", "6145558001"), ("6145558001 or +1 (614) 555-8001", "6145558001"), ("+1 614 555 8001 or 614 555 8001", "614 555 8001"), ("+1-614-555-8001 or 1-614-555-8007", "1-614-555-8007")):
+        (_, added), = pii.find_spans([t])
+        assert [(pii.KINDS[k], t[s:e]) for s, k, e in added] == [("phone", hidden)]
+    (_, added), = pii.find_spans(["+1-614-555-8001 on 2023-01-01 and 2023-01-02, 9145558222 or 1234567890"])
+    assert not added
+
+
 def test_pii_query_and_redaction(spark, odd, empty):
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ODD) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
