@@ -1,7 +1,8 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers (leftmost, non-overlapping, each kind by itself). The field
-has a node for each token with a digit or an @; all other tokens are surely outside. Chain edges link neighbouring nodes; skip
+has a node for each token with a digit or an @, and for names of addresses that the text has, alone or as `name at domain`; all
+other tokens are surely outside. Chain edges link neighbouring nodes; skip
 edges link each token to the next equal one, to similar ones (of its length, one half equal, at most two characters different) and
 numbers to those that end in the same digits, whatever stands between digits, in the document, however far, so that edges grow
 with the tokens and not with their square. Loopy sum-product messages, computed for all documents of a batch at once, make labels of
@@ -35,6 +36,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_AT = re.compile(r"(?i)[\x20\x09-\x0D]+(?:at|@|\(at\)|\[at\]|\{at\})[\x20\x09-\x0D]+")
 _KEYS = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|auth)[^\x20\x09-\x0D]*[\x20\x09-\x0D]*(?:[=:][\x20\x09-\x0D]*)?$")
 _CORE = re.compile(r"[0-9A-Za-z](?:.*[0-9A-Za-z])?", re.S)
 _LONG_KEY = re.compile(r"(?=[0-9A-Za-z_-]*[0-9])(?=[0-9A-Za-z_-]*[A-Za-z])[0-9A-Za-z_-]{20,}")
@@ -110,6 +113,58 @@ def _unary(token: str, before: str, kind: int | None) -> list[float]:
     return p
 
 
+def _mail_parts(text: str, base: list[tuple[int, int, int]]) -> dict[str, list[str]]:
+    """Of each name before the @ of a base span, the addresses it is in, in order."""
+    found: dict[str, list[str]] = {}
+    for s, k, e in base:
+        if k == 0:
+            mail = text[s:e].lower()
+            of = found.setdefault(mail.partition("@")[0].strip("._%+-"), [])
+            if mail not in of:
+                of.append(mail)
+    found.pop("", None)
+    return found
+
+
+def _tokens(text: str, mails: dict[str, list[str]]) -> Iterator[tuple[int, int, str | None]]:
+    """Start and end of each node, and the address that it resembles.
+
+    Nodes are tokens with a digit or an @, names of addresses of the text, and `name at domain`. A name that could be a word
+    (letters only) is one with its domain only.
+    """
+    if not mails:
+        yield from ((*m.span(), None) for m in _TOKEN.finditer(text))
+        return
+    done = 0
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        if start < done:
+            continue
+        core = _CORE.search(m[0])
+        of = mails.get(core[0].lower()) if core else None
+        mail = None
+        if of:
+            if (at := _AT.match(text, end)) and (domain := _DOMAIN.match(text, at.end())):
+                domains = {x.partition("@")[2]: x for x in of}
+                if mail := domains.get(domain[0].lower()):
+                    end = domain.end()
+            if not mail and not core[0].isalpha():
+                mail = of[0]
+        if mail or _MARK.search(m[0]):
+            yield start, end, mail
+            done = end
+
+
+def _at(base: list[tuple[int, int, int]], at: int, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The addresses among base spans from at on that meet a token, as (start, kind, end)."""
+    out = []
+    while at < len(base) and base[at][0] < end:
+        if base[at][1] == 0 and base[at][2] > start:
+            out.append(base[at])
+        at += 1
+    return out
+
+
 class _Graph:
     def __init__(self) -> None:
         self.unary: list[list[float]] = []
@@ -118,18 +173,26 @@ class _Graph:
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
         last_end, at, equal, alike, ends, first = -2, 0, {}, {}, {}, len(self.unary)
-        for m in _TOKEN.finditer(text):
-            start, end = m.span()
+        mails = _mail_parts(text, base)
+        named: dict[str, int] = {}  # the node of each address, and nodes that wait for it
+        waits: list[tuple[int, str]] = []
+        for start, end, mail in _tokens(text, mails):
             while at < len(base) and base[at][2] <= start:
                 at += 1
             kind = next((k for s, k, e in base[at : at + 3] if s < end and e > start), None)
             node = len(self.unary)
-            self.unary.append(_unary(m[0], text[max(0, start - 24) : start].rstrip('"\'`'), kind))
+            token = text[start:end]
+            self.unary.append(_unary(token, text[max(0, start - 24) : start].rstrip('"\'`'), kind))
             self.spans.append((doc, start, end))
             if start - last_end == 1:
                 self.edges.append((node - 1, node, CHAIN))
             last_end = end
-            core = _CORE.search(m[0])
+            if mail and kind is None:
+                waits.append((node, mail))
+            elif kind == 0:
+                for k, _, e in _at(base, at, start, end):
+                    named.setdefault(text[k:e].lower(), node)
+            core = _CORE.search(token)
             if core:
                 word = core[0].lower()
                 if len(word) >= 4:
@@ -144,6 +207,7 @@ class _Graph:
                     alike[len(word), 0, word[:h]] = alike[len(word), 1, word[h:]] = (node, word)
                 if not any(map(str.isalpha, word)):
                     self._link_digits(node, first, text, next(((s, e) for s, k, e in base[at : at + 3] if k in (2, 3) and s < end and e > start), None), ends)
+        self.edges += [(named[mail], node, SKIP) for node, mail in waits if mail in named]
 
     def _link_digits(self, node: int, first: int, text: str, span: tuple[int, int] | None, ends: dict) -> None:
         """Link a number to the last one of which it is the end, or which is its end; its parts before it in a run, too.

@@ -108,6 +108,12 @@ def test_numbers_recur_in_other_forms():
     assert not added
 
 
+def test_names_of_addresses_recur_without_an_at_sign():
+    for t, hidden in (("to john.smith@example.com, from john.smith.", ["john.smith"]), ("John.Smith at example.com is john.smith@example.com", ["John.Smith at example.com"]), ("info@a.org: for info ask info (at) a.org", ["info (at) a.org"]), ("x a.b@c.de y a.b at other.de", ["a.b"]), ("no address of john.smith at example.com", [])):
+        (_, added), = pii.find_spans([t])
+        assert [(pii.KINDS[k], t[s:e]) for s, k, e in added] == [("email", h) for h in hidden]
+
+
 def test_pii_query_and_redaction(spark, odd, empty):
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ODD) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
