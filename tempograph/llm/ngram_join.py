@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read_table, tidy
@@ -188,8 +188,8 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> li
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, class of its set; kind 1: a shingle and the number of distinct sets that a task saw it in, from two on."""
-    names = ["kind", "doc_id", "n", "cls", "token"]
+    """kind 0: doc_id, key of the row, n, class of its set; kind 1: a shingle and the number of distinct sets that a task saw it in, from two on."""
+    names = ["kind", "doc_id", "key", "n", "cls", "token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -202,7 +202,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             n = np.diff(np.append(edge, len(tokens)))
             tokens, n = tokens[edge[n > 1]], n[n > 1]
             k = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int64()), pa.array(tokens.view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int64()), pa.array(tokens.view(np.int64))], names)
 
         for batch in batches:
             ns, classes = [], []
@@ -215,14 +215,14 @@ def _classes(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
             k = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int64())], names)
             if size > 4_000_000:
                 yield counts()
                 held, size = [], 0
         if held:
             yield counts()
 
-    return docs.mapInArrow(tidy(run), "kind int, doc_id long, n long, cls long, token long")
+    return docs.mapInArrow(tidy(run), "kind int, doc_id long, key long, n long, cls long, token long")
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +384,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """cls, shingles from rows (cls, text), for the texts that are of the class (repeated ids may have others)."""
+    """cls, shingles from rows (cls, text), for the texts that are of the class (all, unless keys collide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -409,8 +409,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
     probes = pairs.groupBy("other").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
     dealt = cut(pairs.join(probes, "other").withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces"))).select("cls", "other", "piece"))
     asked = dealt.select(F.col("other").alias("cls"), F.col("other").alias("probe"), "piece", F.lit(0).alias("part")).distinct().union(dealt.select("cls", F.col("other").alias("probe"), "piece", F.lit(1).alias("part")))
-    wanted = cut(asked.select("cls").distinct().join(reps, "cls"))
-    sets = _sets(docs.join(_sized(wanted), "doc_id").select("cls", "text"))
+    wanted = cut(asked.select("cls").distinct().join(reps, "cls").select("cls", "key"))
+    sets = _sets(docs.join(_sized(wanted), "key").select("cls", "text"))
     few = 2 * dealt.count() <= MAX_BROADCAST_ROWS
     met = sets.join(F.broadcast(asked) if few else asked, "cls").select("probe", "piece", "part", "cls", "shingles")
 
@@ -461,15 +461,20 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicate_components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity percent/100 or more)."""
+def _row_key() -> Column:
+    """A key of doc_id and text; of rows that have none, rows are told apart by their text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text").cast("string"))
+
+
+def _members(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, comp (null without shingles) of each row."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("key"))
     seen = cut(_classes(docs))
-    members = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    members = seen.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
     frequent = spark.sparkContext.broadcast(_frequent(seen.where("kind = 1").select("token", "n")))
     rows = cut(_meet(_prefix_rows(docs, frequent, percent), percent))
-    reps = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    reps = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     comps = cut(components(_verify(cut(_leaders(rows, percent)), docs, reps, percent)))
     of = lambda c: F.coalesce("comp", c)
     labelled = rows.join(_sized(comps.withColumnRenamed("node", "cls")), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"))
@@ -480,8 +485,13 @@ def near_duplicate_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", of("cls").alias("first"))
     classes = classes.join(over.withColumnRenamed("node", "first"), "first", "left").select("cls", "doc_id", of("first").alias("comp"))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_class = classes.join(least, "comp").select("cls", "component_id")
-    return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_class = classes.join(least, "comp").select("cls", "component_id", "comp")
+    return members.join(by_class, "cls", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
+
+
+def near_duplicate_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity percent/100 or more)."""
+    return _members(docs, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,9 +499,17 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component; of repeated rows of one doc_id one stays."""
-    found = near_duplicate_components(docs)
-    away = cut(found.groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"))
-    kept = docs.join(away.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.join(away.where("stays").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(repeated.dropDuplicates(["doc_id"]))
+    """One row of each component: that of the smallest doc_id (null last), of several texts that of the smallest key.
+
+    Rows without shingles stay, each doc_id and text once.
+    """
+    found = cut(_members(docs, 75).groupBy("comp", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = found.where("comp is not null").groupBy("comp").agg(F.min(order).getField("key").alias("first"))
+    placed = found.join(first, "comp", "left").select("key", F.coalesce(F.col("key") == F.col("first"), F.lit(True)).alias("stays"), "rows")
+    away = cut(placed.where("not stays or rows > 1"))
+    keyed = docs.withColumn("_key", _row_key())
+    kept = keyed.join(away.select(F.col("key").alias("_key")), "_key", "left_anti").select(docs.columns)
+    repeated = keyed.join(away.where("stays").select(F.col("key").alias("_key")), "_key", "left_semi")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(repeated.groupBy("_key").agg(F.min(others).alias("row")).select("row.*"))

@@ -256,3 +256,15 @@ def test_each_occurrence_has_its_own_draws(spark):
     rows = [(1, text, 1), (1, text, 2), (None, text, 1), (None, text + " b", 1), (2, text, 1)]
     got = merge_dropout.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, copy long")).collect()
     assert len({tuple(r.ids[:500]) for r in got}) == len(rows) and all(r.decodes for r in got)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a + " more"
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, "other words that are alone here"), (None, a), (None, c), (None, "x y z"), (None, "x y z"), (None, "p q r"), (3, c)]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (3, c), (3, "other words that are alone here"), (None, "x y z"), (None, "p q r")], key=str)
+    chain = [" ".join(f"w{i}" for i in range(k, k + 60)) for k in (0, 6, 12)]
+    rows = [(1, chain[0]), (None, chain[1]), (2, chain[2])]
+    got = ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {1}
