@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by prefix trees.
+"""N-gram Jaccard join by a prefix-filter index, verified by tries.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes). All sets are ordered by one global order: shingles
 that many sets share come last, by how many do, the others by hash. Two sets of Jaccard similarity t or more then share a shingle among the
-first n - ceil(t n) + 1 of each. Sets that meet at such a shingle are verified by a trie: their ordered sets are stored in a
-prefix tree, the probing set walks it once, partial overlaps are shared by all sets below a node, and a subtree is left as
-soon as the overlap so far plus what remains cannot reach the bound.
+first n - ceil(t n) + 1 of each. Candidates come from an index of these prefixes, not from a trie. Sets that meet are verified by a
+trie of the partners, ordered by plain hash: membership of all their shingles in the probing set is computed first, then partial
+overlaps are summed once for all sets below a node, and a subtree is left as soon as the overlap so far plus what remains cannot
+reach the bound.
 
 Work is linear in the text: one pass for set classes and frequent shingles, one for the prefixes, and one shuffle of the prefix
 rows. Groups of copies never make all pairs: equal sets are one class; sets that meet at a shingle are first chained to
