@@ -35,18 +35,21 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")  # linear: tried at beginnings of words only
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _AT = re.compile(r"(?i)[\x20\x09-\x0D]+(?:at|@|\(at\)|\[at\]|\{at\})[\x20\x09-\x0D]+")
 _KEYS = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|auth)[^\x20\x09-\x0D]*[\x20\x09-\x0D]*(?:[=:][\x20\x09-\x0D]*)?$")
 _CORE = re.compile(r"[0-9A-Za-z](?:.*[0-9A-Za-z])?", re.S)
-_LONG_KEY = re.compile(r"(?=[0-9A-Za-z_-]*[0-9])(?=[0-9A-Za-z_-]*[A-Za-z])[0-9A-Za-z_-]{20,}")
+_LONG = re.compile(r"[0-9A-Za-z_-]{20,}+")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 #: Log-potentials. Nodes: outside has 2; a base span holds its label; else what a token looks like.
 UNARY = {"outside": 2.0, "base": 12.0, "at": 1.0, "dotted": 1.0, "digits": 0.8, "phone": 0.5, "key": 1.5, "named": 2.5}
 #: Neighbours of one label; equal tokens of one label, or of equal digits; similar ones. One link to a base span decides.
 CHAIN, SKIP, ALIKE = 0.5, 3.0, 2.6
 ROUNDS = 8
+#: Nodes from which on the documents at hand are labelled before more are added.
+NODES = 100_000
 #: Digits that numbers must share at their ends, and characters of which two may differ in similar tokens.
 END, LIKE = 7, 8
 
@@ -106,27 +109,26 @@ def _unary(token: str, before: str, kind: int | None) -> list[float]:
         p[2] += UNARY["digits"]
     if 6 <= n <= 15 and ("-" in token or "(" in token or token[0] == "+"):
         p[3] += UNARY["phone"]
-    if _LONG_KEY.search(token):
+    if len(token) >= 20 and any(_DIGIT.search(m[0]) and _LETTER.search(m[0]) for m in _LONG.finditer(token)):
         p[4] += UNARY["key"]
         if _KEYS.search(before):
             p[4] += UNARY["named"]
     return p
 
 
-def _mail_parts(text: str, base: list[tuple[int, int, int]]) -> dict[str, list[str]]:
-    """Of each name before the @ of a base span, the addresses it is in, in order."""
-    found: dict[str, list[str]] = {}
+def _mail_parts(text: str, base: list[tuple[int, int, int]]) -> dict[str, dict[str, str]]:
+    """Of each name before the @ of a base span, the addresses it is in by their domains, in order."""
+    found: dict[str, dict[str, str]] = {}
     for s, k, e in base:
         if k == 0:
             mail = text[s:e].lower()
-            of = found.setdefault(mail.partition("@")[0].strip("._%+-"), [])
-            if mail not in of:
-                of.append(mail)
+            name, _, domain = mail.partition("@")
+            found.setdefault(name.strip("._%+-"), {}).setdefault(domain, mail)
     found.pop("", None)
     return found
 
 
-def _tokens(text: str, mails: dict[str, list[str]]) -> Iterator[tuple[int, int, str | None]]:
+def _tokens(text: str, mails: dict[str, dict[str, str]]) -> Iterator[tuple[int, int, str | None]]:
     """Start and end of each node, and the address that it resembles.
 
     Nodes are tokens with a digit or an @, names of addresses of the text, and `name at domain`. A name that could be a word
@@ -145,11 +147,10 @@ def _tokens(text: str, mails: dict[str, list[str]]) -> Iterator[tuple[int, int,
         mail = None
         if of:
             if (at := _AT.match(text, end)) and (domain := _DOMAIN.match(text, at.end())):
-                domains = {x.partition("@")[2]: x for x in of}
-                if mail := domains.get(domain[0].lower()):
+                if mail := of.get(domain[0].lower()):
                     end = domain.end()
             if not mail and not core[0].isalpha():
-                mail = of[0]
+                mail = next(iter(of.values()))
         if mail or _MARK.search(m[0]):
             yield start, end, mail
             done = end
@@ -271,6 +272,19 @@ class _Graph:
         return np.where(share.max(1) > 0.5, best, OUT)
 
 
+class _Taken:
+    """Whether a part of a text meets one of its base spans; parts are asked for in ascending order."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.spans, self.at, self.reach = spans, 0, -1  # reach: the largest end of the spans that begin before the part's end
+
+    def meets(self, start: int, end: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][0] < end:
+            self.reach = max(self.reach, self.spans[self.at][2])
+            self.at += 1
+        return self.reach > start
+
+
 def find_spans(texts: list[str]) -> list[tuple[list, list]]:
     """Of each text its base spans and those that the field adds, as (start, kind, end)."""
     bases = [base_spans(t) for t in texts]
@@ -279,24 +293,35 @@ def find_spans(texts: list[str]) -> list[tuple[list, list]]:
     for i, t in enumerate(texts):
         if _MARK.search(t):
             graph.add(i, t, bases[i])
-    if graph.unary:
-        taken = graph.labels()
-        last = None
-        for (doc, start, end), kind in zip(graph.spans, taken.tolist()):
-            if kind == OUT or any(s < end and e > start for s, _, e in bases[doc]):
-                continue
-            core = _CORE.search(texts[doc], start, end)
-            if core is None:
-                continue
-            start, end = core.span()
-            if last and last[0] == doc and last[1] == kind and kind in (2, 3) and 0 < start - added[doc][-1][2] <= 2 and not texts[doc][added[doc][-1][2] : start].strip(" ()-."):
-                added[doc][-1] = (added[doc][-1][0], kind, end)
-            else:
-                added[doc].append((start, kind, end))
-            last = (doc, kind)
+        if len(graph.unary) > NODES:
+            _add_spans(graph, texts, bases, added)
+            graph = _Graph()
+    _add_spans(graph, texts, bases, added)
     return list(zip(bases, added))
 
 
+def _add_spans(graph: _Graph, texts: list[str], bases: list[list], added: list[list]) -> None:
+    """The spans of nodes that the field labels and no base span meets; pieces of one number are one span."""
+    if not graph.unary:
+        return
+    last, doc_at, taken = None, -1, _Taken([])
+    for (doc, start, end), kind in zip(graph.spans, graph.labels().tolist()):
+        if doc != doc_at:
+            doc_at, taken = doc, _Taken(bases[doc])
+        if kind == OUT or taken.meets(start, end):
+            continue
+        core = _CORE.search(texts[doc], start, end)
+        if core is None:
+            continue
+        start, end = core.span()
+        own = added[doc]
+        if last == (doc, kind) and kind in (2, 3) and 0 < start - own[-1][2] <= 2 and not texts[doc][own[-1][2] : start].strip(" ()-."):
+            own[-1] = (own[-1][0], kind, end)
+        else:
+            own.append((start, kind, end))
+        last = (doc, kind)
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
