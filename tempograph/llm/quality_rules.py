@@ -20,7 +20,10 @@ from .common import SPACE, read_table
 #: The six ASCII white-space characters, the symbols, and phrases of boilerplate lines (lower case).
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-PHRASES = ["all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "click here", "subscribe to our", "sign up for our", "enable javascript", "powered by", "skip to content", "back to top"]
+PHRASES = ["all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "click here", "subscribe to our", "sign up for our", "enable javascript", "powered by", "skip to content", "back to top",
+           "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "hier klicken", "newsletter abonnieren", "nach oben",
+           "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "cliquez ici", "abonnez-vous", "haut de page",
+           "todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies", "haga clic aquí", "suscríbete", "volver arriba"]
 #: Shares: of words that must be left, of a line's characters that may be symbols, of a line's words that may shout or be bars.
 KEEP, SYMBOL_SHARE, SHOUT_SHARE, BAR_SHARE, WINDOW = 0.5, 0.1, 0.3, 0.25, 5
 
@@ -66,64 +69,76 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(hashes, covered))
 
 
-def line_fails(line: Column) -> Column:
-    """True for lines to remove; a line without a word isn't."""
+def n_words_of(x: Column) -> Column:
+    """Number of words of a trimmed text that isn't empty; split only where single blanks don't part them."""
+    odd = F.contains(x, F.lit("  ")) | (F.length(F.translate(x, "\t\n\x0b\f\r", "")) != F.length(x))
+    return F.when(odd, F.size(F.split(x, SPACE))).otherwise(n_of(x, " ") + 1)
 
-    def rules(x: Column) -> Column:
-        n = F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1  # words, where single blanks part them
+
+def line_loss(line: Column) -> Column:
+    """Words that go with a line: all of a line to remove, else 0; a line without a word is never removed."""
+
+    def rules(x: Column, n: Column) -> Column:
         symbols = n_of(x, SYMBOLS) > SYMBOL_SHARE * F.length(x)
-        shouts = F.length(x) - F.length(F.replace(x, F.lit("!"))) > SHOUT_SHARE * n
+        shouts = n_of(x, "!") > SHOUT_SHARE * n
         bars = (n >= 3) & (n_of(x, "|»›•") > BAR_SHARE * n)
         menu = (n <= 2) & ~x.rlike(r"[.!?…:;\"')\]]$")
         phrase = (n <= 12) & let(F.lower(x), lambda low: F.exists(F.array(*map(F.lit, PHRASES)), lambda p: F.contains(low, p)))
-        return (x != "") & (menu | phrase | shouts | symbols | bars)
+        return F.when(menu | phrase | shouts | symbols | bars, n).otherwise(0)
 
-    return let(trimmed(line), rules)
+    return let(trimmed(line), lambda x: F.when(x == "", 0).otherwise(let(n_words_of(x), lambda n: rules(x, n))))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_failed, kept, n_words_left, and clean_text: the lines that stay."""
-    return _judged(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), ["doc_id"])
+def judged(text: Column, clean: bool = True) -> Column:
+    """Counts, verdicts and clean_text (if asked for) of a text that isn't null, as one struct."""
+    lines = F.filter(F.split(text, "\n"), lambda x: trimmed(x) != "")
+    duplicates = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    losses = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_loss(x).alias("loss")))
 
+    def measured(words: Column, lines: Column) -> Column:
+        lost = F.aggregate(lines, F.lit(0), lambda n, x: n + x["loss"])
+        left = F.array_join(F.transform(F.filter(lines, lambda x: x["loss"] == 0), lambda x: x["line"]), "\n")
+        n = F.size(words).cast("long")
+        return F.struct(n.alias("n_words"), repeat_words(words).cast("long").alias("n_repeat_words"), (n - lost).alias("n_words_left"), *([left.alias("clean_text")] if clean else []))
 
-def keep_clean(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their failing lines removed, and n_chars (if there) of what is left."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    kept = _judged(docs.select(row, F.coalesce(F.col("text"), F.lit("")).alias("text")), ["doc"]).where("kept")
-    changed = F.col("n_words_left") < F.col("n_words")
-    new = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("doc.text")), "n_chars": F.when(changed, F.length("clean_text")).otherwise(F.col("doc.n_chars"))} if "n_chars" in docs.columns else {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("doc.text"))}
-    return kept.select(*[(new[c].cast(kind) if c in new else F.col(f"doc.`{c}`")).alias(c) for c, kind in docs.dtypes])
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        counts = {"word_chars": F.length(text) - n_of(text, BLANKS), "n_symbols": n_of(text, SYMBOLS), "n_dup_lines": duplicates}
+        fields = [m["n_words"].alias("n_words"), *[c.cast("long").alias(n) for n, c in counts.items()], m["n_repeat_words"].alias("n_repeat_words"), m["n_words_left"].alias("n_words_left")]
+        verdicts = [failed.alias("base_failed"), (~failed & (m["n_words_left"] >= KEEP * m["n_words"])).alias("kept")]
+        return F.struct(*fields, *([m["clean_text"].alias("clean_text")] if clean else []), *verdicts)
 
+    return let(let(words_of(text), lambda w: let(losses, lambda x: measured(w, x))), verdict)
 
-def _judged(d: DataFrame, keys: list[str]) -> DataFrame:
-    """The counts and verdicts of rows (keys, text), text not null."""
 
-    def measured(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeat_words(words).cast("long").alias("n_repeat_words"))
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
-    lines = F.filter(F.split("text", "\n"), lambda x: trimmed(x) != "")
-    duplicates = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    removed = F.filter(F.split("text", "\n"), line_fails)
-    lost = F.aggregate(removed, F.lit(0), lambda n, x: n + F.size(F.split(trimmed(x), SPACE)))
-    d = d.select(
-        *keys,
-        let(words_of(F.col("text")), measured).alias("m"),
-        (F.length("text") - n_of(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
-        n_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        duplicates.cast("long").alias("n_dup_lines"),
-        lost.cast("long").alias("n_lost"),
-        F.array_join(F.filter(F.split("text", "\n"), lambda x: ~line_fails(x)), "\n").alias("clean_text"),
-    )
-    d = d.select(*keys, "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", (F.col("m.n_words") - F.col("n_lost")).alias("n_words_left"), "clean_text")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words_left") >= KEEP * F.col("n_words")))
+
+def quality_rules(docs: DataFrame, clean: bool = True) -> DataFrame:
+    """doc_id, counts, n_words_left, clean_text (the lines that stay, if asked for), base_failed, kept."""
+    return docs.select("doc_id", judged(_text(), clean).alias("r")).select("doc_id", "r.*")
+
+
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their failing lines removed, and n_chars (if there) of what is left.
+
+    Kept rows come out of an array of none or one, as a filter would be pushed below and the rules computed twice.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    kept = docs.select(row, F.explode(F.filter(F.array(judged(_text())), lambda r: r["kept"])).alias("r"))
+    changed = F.col("r.n_words_left") < F.col("r.n_words")
+    new = {"text": F.when(changed, F.col("r.clean_text")).otherwise(F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("r.clean_text")).otherwise(F.col("doc.n_chars"))
+    return kept.select(*[(new[c].cast(kind) if c in new else F.col(f"doc.`{c}`")).alias(c) for c, kind in docs.dtypes])
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents")).select(COLUMNS)
+    return quality_rules(read_table(spark, sf_dir, "documents"), clean=False).select(COLUMNS)
 
 
 def _quoted(s: str) -> str:
@@ -138,11 +153,11 @@ g AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT r, wor
 twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) t(k) GROUP BY r),
 l AS (SELECT r, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM (SELECT r, unnest(lines) AS x FROM w)),
-f AS (SELECT r, x, len(regexp_split_to_array(x, '{SPACE}')) AS n_words, length(x) - length(replace(x, ' ', '')) + 1 AS n, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols,
+f AS (SELECT r, x, len(regexp_split_to_array(x, '{SPACE}')) AS n, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols,
   length(x) - length(replace(x, '!', '')) AS shouts, length(x) - length(regexp_replace(x, '[|»›•]', '', 'g')) AS bars FROM l),
-j AS (SELECT r, n_words, symbols > {SYMBOL_SHARE} * length(x) OR shouts > {SHOUT_SHARE} * n OR (bars > {BAR_SHARE} * n AND n >= 3)
+j AS (SELECT r, n, symbols > {SYMBOL_SHARE} * length(x) OR shouts > {SHOUT_SHARE} * n OR (bars > {BAR_SHARE} * n AND n >= 3)
   OR (n <= 2 AND NOT regexp_matches(x, '[.!?…:;"'')\]]$')) OR (n <= 12 AND len(list_filter([{", ".join(map(_quoted, PHRASES))}], lambda p: contains(lower(x), p))) > 0) AS fails FROM f),
-k AS (SELECT r, sum(n_words) AS n_left FROM j WHERE NOT fails GROUP BY r),
+k AS (SELECT r, sum(n) AS n_left FROM j WHERE NOT fails GROUP BY r),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_left, 0) AS n_left
