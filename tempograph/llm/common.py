@@ -20,13 +20,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder in the one that all executors see; only where none is configured (tests) a local one is set."""
+    """A fresh folder in spark.checkpoint.dir, which all executors see.
+
+    Where that is unset, a local master (tests) gets a temporary folder; a cluster is an error, as executors share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tempograph-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tempograph-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/tempograph-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the folders that operators of this process have written; results that aren't written elsewhere are lost."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -18,21 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read_table, sized
+from .common import map_batches, read_table, sized, tidy
 
 DIM, SYMBOLS, SEED, MAX_PER_LANG, CHUNK = 1024, 128, 7, 4000, 128
+#: Trigrams that are remembered (4 KB each), and different ones that are counted at once.
+KNOWN, SLICE = 32_768, 8192
 
 
 class Bundler:
-    """Texts to bundled trigram vectors; remembers trigrams it has bound."""
+    """Texts to bundled trigram vectors; remembers up to KNOWN trigrams that it has bound."""
 
     def __init__(self, dim: int = DIM, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         letters = rng.integers(0, 2, (SYMBOLS, dim), dtype=np.int8) * 2 - 1
-        self.first, self.second, self.third = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
+        self.dim, self.first, self.second, self.third = dim, np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
         self.place = np.full(SYMBOLS**3, -1, np.int32)
-        self.codes = np.empty(0, np.int64)
-        self.vectors = np.empty((0, dim), np.float32)
+        self.vectors, self.n = np.empty((KNOWN, dim), np.float32), 0
         self.table = np.full(0x110000, -1, np.int16)
 
     def symbols(self, text: str) -> np.ndarray:
@@ -49,19 +50,20 @@ class Bundler:
         keep[1:] = ~(gap[1:] & gap[:-1])
         return s[keep].astype(np.int64)
 
-    def _learn(self, codes: np.ndarray) -> None:
-        if len(self.codes) > 60_000:  # bounds memory: forget all and begin anew
-            self.place[:] = -1
-            self.codes, self.vectors = self.codes[:0], self.vectors[:0]
-        new = np.unique(codes)
-        new = new[self.place[new] < 0]
+    def _bound(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of distinct trigrams, SLICE at most."""
+        new = codes[self.place[codes] < 0]
+        if self.n + len(new) > KNOWN:  # bounds memory: forget all and begin anew
+            self.place[:], self.n = -1, 0
+            new = codes
         a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
-        self.place[new] = np.arange(len(self.codes), len(self.codes) + len(new))
-        self.codes = np.concatenate([self.codes, new])
-        self.vectors = np.concatenate([self.vectors, (self.first[a] * self.second[b] * self.third[c]).astype(np.float32)])
+        self.place[new] = np.arange(self.n, self.n + len(new))
+        self.vectors[self.n : self.n + len(new)] = self.first[a] * self.second[b] * self.third[c]
+        self.n += len(new)
+        return self.vectors[self.place[codes]]
 
     def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A unit vector for each text, and whether it has a letter."""
+        """A unit vector for each text, and whether it has a letter; trigrams are counted SLICE different ones at a time."""
         parts, n, letter = [], [], []
         for t in texts:
             s = self.symbols(t)
@@ -71,14 +73,14 @@ class Bundler:
             parts.append(code)
             n.append(len(code))
         codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        if len(codes) and (self.place[codes] < 0).any():
-            self._learn(codes)
-            if (self.place[codes] < 0).any():
-                self._learn(codes)
-        rows, at = np.repeat(np.arange(len(texts)), n), self.place[codes]
-        used, at = np.unique(at, return_inverse=True) if len(at) else (at, at)
-        counts = np.bincount(rows * len(used) + at, minlength=len(texts) * len(used)).reshape(len(texts), len(used)) if len(used) else np.zeros((len(texts), 0))
-        v = counts.astype(np.float32) @ self.vectors[used]
+        rows = np.repeat(np.arange(len(texts)), n)
+        used, at = np.unique(codes, return_inverse=True)
+        v = np.zeros((len(texts), self.dim), np.float32)
+        for low in range(0, len(used), SLICE):
+            some = used[low : low + SLICE]
+            its = (at >= low) & (at < low + SLICE) if len(used) > SLICE else slice(None)
+            counts = np.bincount(rows[its] * len(some) + at[its] - low, minlength=len(texts) * len(some)).reshape(len(texts), len(some))
+            v += counts.astype(np.float32) @ self._bound(some)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         return v, np.array(letter, bool)
 
@@ -100,7 +102,7 @@ def learn(learning: DataFrame, dim: int = DIM, bound: int = MAX_PER_LANG) -> tup
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.round(x * 2**20).astype(np.int64).tolist() for x in sums.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
-    parts = chosen.select("lang", "text").mapInArrow(run, "lang string, bundle array<long>")
+    parts = chosen.select("lang", "text").mapInArrow(tidy(run), "lang string, bundle array<long>")
     rows = parts.select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("p")).orderBy("lang").collect()
     p = np.array([r[1] for r in rows], np.float64).reshape(-1, dim)
     return [r[0] for r in rows], (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32)

@@ -167,7 +167,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """About bound rows (text, quality) at most, chosen by hash of doc_id; docs has held_out."""
+    """About bound rows (text, quality) at most, chosen by hash of doc_id; texts that would exceed MAX_CHARS are left out.
+
+    docs has held_out.
+    """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = labels.where(~held)
@@ -176,10 +179,9 @@ def learning_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) ->
     rows, size = [], 0
     joined = docs.where("not held_out").join(chosen, "doc_id").select("text", "quality", "doc_id")
     for text, quality, _ in joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * bound).toLocalIterator():
-        size += len(text or "")
-        if size > MAX_CHARS:
-            break
-        rows.append((text or "", int(quality)))
+        if size + len(text or "") <= MAX_CHARS:
+            size += len(text or "")
+            rows.append((text or "", int(quality)))
     return rows
 
 
