@@ -1,8 +1,8 @@
 """URL filter: host and path rules, and a logistic regression on hashed character n-grams for all other URLs.
 
 The regression is fitted by gradient descent on a small labelled URL table (at most MAX_LABELLED rows reach the driver); its
-features are made by the same Catalyst expressions that score the pages. Scoring is a projection: n-grams are hashed into
-BUCKETS weights, which are a literal of the plan. No shuffle, no Python.
+features are made by the same Catalyst expressions that score the pages. Scoring is a projection: n-grams of the host and of the
+path are hashed into BUCKETS weights, which are a literal of the plan. No shuffle, no Python.
 
 A null url, or one without ://, has an empty host and path and is scored like any other (by the bias alone). A null page_id is
 passed on; repeated rows give equal rows.
@@ -10,8 +10,7 @@ passed on; repeated rows give equal rows.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +19,27 @@ from .quality_rules import let
 
 #: Rules: (rule, verdict); host up to the first slash.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-BUCKETS, MAX_LABELLED, WIDTHS = 2048, 5000, (3, 4, 5)
-#: The labelled table: word stems of hosts that are blocked and allowed, and how they are put together.
-BAD = ["casino-win", "casino-bonus", "free-bets", "bet-now", "cheap-pills", "pills-online", "adult-x", "xxx-cams", "spam-farm", "link-farm", "ads-track", "ad-tracker", "win-prize", "loan-fast"]
-GOOD = ["library", "science", "news", "history", "weather", "museum", "garden", "recipes", "travel", "school", "therin", "thonand", "tionerat", "ththan", "blog-notes", "open-data", "well-being", "north-city"]
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: block)."""
-    rows = [(f"https://{front}{stem}.example.{end}/{lang}/{n}{tail}", label) for label, stems in ((1, BAD), (0, GOOD)) for k, stem in enumerate(stems) for n, (front, end, lang, tail) in enumerate((("", "com", "en", ""), ("www.", "net", "fr", ".html"), ("m.", "org", "de", "/"), ("blog.", "net", "es", "")), start=100 + 37 * k)]
+#: Buckets of n-grams, labelled rows at most, lengths of n-grams, and how much a blocked row counts in the fit.
+BUCKETS, MAX_LABELLED, WIDTHS, BLOCK_WEIGHT = 1 << 15, 5000, (3, 4, 5), 1.5
+#: The labelled table: words that hosts are made of, blocked and allowed; allowed ones are common words and invented names.
+BAD = ["casino", "poker", "slots", "betting", "bets", "jackpot", "lottery", "pharma", "viagra", "pills", "diet", "porn", "xxx", "sex", "escort", "adult", "torrent", "warez", "keygen", "crack",
+       "loans", "payday", "replica", "spam", "clickbait", "ads", "adserver", "tracker", "popunder", "giveaway"]
+GOOD = ["library", "science", "news", "history", "weather", "museum", "garden", "recipes", "travel", "school", "university", "music", "books", "health", "sports", "football", "data", "research", "city", "council",
+        "hospital", "cinema", "theatre", "photo", "maps", "bakery", "bicycle", "camera", "software", "energy", "forest", "river", "mountain", "academy", "archive", "journal", "market", "kitchen", "design", "nature",
+        "velora", "tandrix", "omnaro", "quillet", "brevika", "lumento", "sarvant", "nordeva", "pelagia", "ostrava", "merinth", "halcyon", "corvane", "tessaly", "andorin", "fenwick", "galanor", "isthmia", "kelvara", "wynter"]
+#: What comes before and after a word of either label, and how a URL goes on.
+MADE = ["{}", "{}-online", "the-{}", "my{}", "{}24", "best-{}", "{}-world", "{}hub"]
+REST = ["", "/", "/index.html", "/en/12", "/de/345.html", "/blog/a-post?id=7", "/2024/03/item-9/", "/fr/88#top"]
+
+
+def labelled_urls(spark: SparkSession, bad: list[str] = BAD, good: list[str] = GOOD) -> DataFrame:
+    """url, label (1: block): each word in all forms of hosts, so that forms, ends and paths say nothing by themselves."""
+    rows = []
+    for label, words in ((1, bad), (0, good)):
+        for i, word in enumerate(words):
+            for k, form in enumerate(MADE):
+                front, end, rest = ("", "www.", "m.", "blog.")[(i + k) % 4], ("com", "net", "org", "example.com", "example.org")[(i + 2 * k) % 5], REST[(3 * i + k + i // 8) % len(REST)]
+                rows.append((f"https://{front}{form.format(word)}.{end}{rest}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -44,32 +55,37 @@ def with_parts(df: DataFrame) -> DataFrame:
 
 
 def features(host: Column, path: Column) -> Column:
-    """Distinct buckets of the n-grams of host and path."""
-    text = F.concat(F.lit("^"), F.regexp_replace(host, r"^(www|m|blog)\.", ""), F.regexp_replace(path, "[0-9]+", "0"), F.lit("$"))
+    """Distinct buckets of the n-grams of the host and, apart from these, of the path."""
 
     def grams(t: Column) -> Column:
-        parts = [F.transform(F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i, n=n: (F.crc32(F.substring(t, i, F.lit(n)).cast("binary")) % BUCKETS).cast("int")) for n in WIDTHS]
-        return F.array_distinct(F.concat(*parts))
+        parts = [F.transform(F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in WIDTHS]
+        return F.concat(*parts)
 
-    return let(text, grams)
+    bucket = lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int")
+    of_host = let(F.concat(F.lit("^"), F.regexp_replace(host, r"^www\.", ""), F.lit("$")), grams)
+    of_path = let(F.concat(F.regexp_replace(path, "[0-9]+", "0"), F.lit("$")), grams)
+    return F.array_distinct(F.concat(F.transform(of_host, bucket), F.transform(of_path, lambda g: bucket(F.concat(F.lit("\t"), g)))))
 
 
-def fit(labelled: DataFrame, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> tuple[list[float], float]:
-    """Weights and bias of the logistic regression."""
+def fit(labelled: DataFrame, rounds: int = 300, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights of the buckets and bias of the logistic regression, by AdaGrad steps over all labelled rows."""
     rows = with_parts(labelled).select("url", "label", features(F.col("host"), F.col("path")).alias("f")).orderBy("url", "label").limit(MAX_LABELLED).collect()
-    w, bias = [0.0] * BUCKETS, 0.0
+    w, bias = np.zeros(BUCKETS), 0.0
+    if not rows:
+        return w, bias
+    n = np.array([len(f) for _, _, f in rows])
+    used, place = np.unique(np.array([i for _, _, f in rows for i in f], int), return_inverse=True)
+    x = np.zeros((len(rows), len(used)))
+    x[np.repeat(np.arange(len(rows)), n), place] = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
+    y, own, seen = np.array([float(label) for _, label, _ in rows]), np.zeros(len(used)), np.full(len(used), 1e-12)
     for _ in range(rounds):
-        step, move = {}, 0.0
-        for _, label, f in rows:
-            scale = 1 / math.sqrt(len(f) or 1)
-            d = label - 1 / (1 + math.exp(-(bias + scale * sum(w[i] for i in f))))
-            move += d
-            for i in f:
-                step[i] = step.get(i, 0.0) + d * scale
-        bias += rate * move / max(len(rows), 1)
-        for i, d in step.items():
-            w[i] += rate * 20 * d / len(rows) - decay * w[i]
-    return w, bias
+        d = (y - 1 / (1 + np.exp(-(bias + x @ own)))) * np.where(y == 1, BLOCK_WEIGHT, 1.0)
+        bias += rate * d.mean()
+        step = d @ x / len(rows) - decay * own
+        seen += step**2
+        own += rate * step / np.sqrt(seen)
+    w[used] = own
+    return w, float(bias)
 
 
 def rule_of(host: Column, path: Column, rules: list) -> tuple[Column, Column]:
@@ -85,7 +101,7 @@ def rule_of(host: Column, path: Column, rules: list) -> tuple[Column, Column]:
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: list = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of block by the regression)."""
     weights, bias = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))
-    table = F.array(*map(F.lit, weights))
+    table = F.lit(weights)  # one literal of BUCKETS numbers
     df = with_parts(pages.select("page_id", F.col("url").cast("string").alias("url"))).withColumn("f", features(F.col("host"), F.col("path")))
     logit = bias + F.aggregate("f", F.lit(0.0), lambda s, i: s + F.get(table, i)) / F.sqrt(F.greatest(F.size("f"), F.lit(1)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
