@@ -5,6 +5,9 @@ of all sizes by weight, stop at a multiple of their source's size, and pass the
 of cap / weight the end of that process is a prefix of capped ones, found with running sums over the table of sources. Each
 document is then emitted floor(rate) times plus one Bernoulli copy, drawn by a hash of seed and doc_id.
 
+A few long documents would take a small source far from its target. So the draws of a source are turned on the circle by one of
+TURNS equal angles: each keeps the copy's probability for every document, and the one that takes the nearest to the target is used.
+
 A null text has size 0. The null source is a source, the last one. A null doc_id draws by its text. Repeated rows draw alike.
 A source of size 0 has target 0 and its documents are not taken. An empty table gives an empty result.
 """
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table, sized, word_count
 
-WEIGHTS, CAP, SEED = (5, 2, 1), 3, 17
+WEIGHTS, CAP, SEED, TURNS = (5, 2, 1), 3, 17, 32
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -41,26 +44,51 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def copies(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """rows (source, size, u, ...) with source_size, target and copies."""
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = sized(targets(sizes, weights, cap).withColumnRenamed("source", "its_source"))
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    joined = rows.join(t, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
-    return joined.withColumn("copies", (F.floor(rate) + (F.col("u") < rate - F.floor(rate)).cast("long")).cast("long"))
+def plan(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """its_source, source_size, target, rate, turn of each source of rows (source, size, u), which are read twice; one row a source."""
+    t = sized(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumnRenamed("source", "its_source"))
+    t = t.withColumn("rate", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
+    of = rows.join(t, F.col("source").eqNullSafe(F.col("its_source")))
+    turns = [F.sum(F.when(drawn(F.lit(k / TURNS)), F.col("size")).otherwise(0)) for k in range(TURNS)]
+    sums = of.groupBy(F.col("its_source").alias("name")).agg(F.array(*turns).alias("sums"))
+    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
+    off = F.transform("sums", lambda x: F.abs(x - wanted))
+    turn = (F.array_position(off, F.array_min(off)) - 1) / F.lit(float(TURNS))
+    return sized(t.join(sums, F.col("its_source").eqNullSafe(F.col("name"))).select("its_source", "source_size", "target", "rate", turn.alias("turn")))
+
+
+def drawn(turn: Column) -> Column:
+    """Whether the copy beyond the whole ones is made."""
+    return F.pmod(F.col("u") + turn, F.lit(1.0)) < F.col("rate") - F.floor("rate")
+
+
+def copies(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows (source, u, ...) with source_size, target and copies, by the plan of their sources."""
+    joined = rows.join(of, F.col("source").eqNullSafe(F.col("its_source")))
+    return joined.withColumn("copies", (F.floor("rate") + drawn(F.col("turn")).cast("long")).cast("long")).drop("its_source", "rate", "turn")
+
+
+def _draws(docs: DataFrame, seed: int, *columns: Column | str) -> DataFrame:
+    return docs.select(*columns, "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("u"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The documents of the mix, repeats as rows of their own, with the columns of docs."""
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source"), word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("u"))
-    taken = copies(work, weights, cap).where("copies > 0")
+    of = plan(cut(_draws(docs, seed)), weights, cap)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    work = docs.select(row, "source", draw(F.col("doc_id"), F.col("text"), seed).alias("u"))
+    taken = copies(work, of).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
+def mixed_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken: how many words the mix takes of each document."""
+    rows = cut(_draws(docs, seed, "doc_id"))
+    return copies(rows, plan(rows)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), SEED).alias("u")))
-    return copies(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed_words(read_table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = rf"""
@@ -73,6 +101,9 @@ o AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, coalesce(sum(
 c AS (SELECT *, capped_at / weight < (total - before) / onward AS is_capped FROM o),
 t AS (SELECT source, source_size, CASE WHEN is_capped THEN capped_at ELSE
   (total - coalesce(sum(capped_at) FILTER (is_capped) OVER (), 0)) * weight / (sum(weight) FILTER (NOT is_capped) OVER ()) END AS target FROM c),
-r AS (SELECT d.*, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT source, source_size, target, rate, k, sum(CASE WHEN (u + k / {float(TURNS)}) - floor(u + k / {float(TURNS)}) < rate - floor(rate) THEN size ELSE 0 END) AS s FROM r, range({TURNS}) t(k) GROUP BY ALL),
+b AS (SELECT source, arg_min(k, (abs(s - (target - floor(rate) * source_size)), k)) / {float(TURNS)} AS turn FROM k GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN (u + turn) - floor(u + turn) < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source
 """

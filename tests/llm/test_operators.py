@@ -155,8 +155,7 @@ def test_native_operators_equal_sql(spark, sf, odd, module, name):
             c.register("documents", pa.Table.from_pandas(df, preserve_index=False))
             table = odd
         if module is mixing:
-            rows = table.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.draw(F.col("doc_id"), F.col("text"), mixing.SEED).alias("u"))
-            got = mixing.copies(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+            got = mixing.mixed_words(table)
         else:
             got = quality_rules.quality_rules(table).select(quality_rules.COLUMNS)
         key = lambda d: sorted(map(str, d[sorted(d.columns)].astype("float64").round(6).values.tolist()))
