@@ -3,14 +3,15 @@
 A document is the set of its distinct 5-word shingles (64-bit hashes). All sets are ordered by one global order: shingles
 that many sets share come last, by how many do, the others by hash. Two sets of Jaccard similarity t or more then share a shingle among the
 first n - ceil(t n) + 1 of each. Candidates come from an index of these prefixes, not from a trie. Sets that meet are verified by a
-trie of the partners, ordered by plain hash: membership of all their shingles in the probing set is computed first, then partial
-overlaps are summed once for all sets below a node, and a subtree is left as soon as the overlap so far plus what remains cannot
-reach the bound.
+trie of the partners in the global order: a run of shingles that all sets below a node share is looked up in the probing set once,
+when the walk comes to it, and a subtree is left as soon as the overlap so far plus what remains cannot reach the bound.
 
 Work is linear in the text: one pass for set classes and frequent shingles, one for the prefixes, and one shuffle of the prefix
 rows. Groups of copies never make all pairs: equal sets are one class; sets that meet at a shingle are first chained to
 neighbours and a leader, joined into components, and only pairs across components are looked at afterwards, all of them.
-Prefix rows go to partitions by shingle, and frequent shingles are last in the order, so that they are in few prefixes.
+Prefix rows go to partitions by shingle, and frequent shingles are last in the order, so that they are in few prefixes; where pairs
+across components are made, the rows of a frequent shingle are dealt to several tasks. Large components are broadcast to their
+classes, so that none of them lies in one task.
 
 Nulls and texts without words have no shingle: n_shingles 0, component_id is the own doc_id. A null doc_id gives component_id
 null unless its text's component holds an id. Repeated rows give a row each. An empty table gives an empty result.
@@ -35,8 +36,10 @@ MAX_BROADCAST_ROWS = 2_000_000
 SLICE = 1 << 20
 #: A pair has to meet at a shingle for each so many of its smaller set, once at least, before it is verified.
 EXTRA = 48
-#: Partners of a set that are verified in one trie.
-PIECE = 256
+#: Partners of a set that are verified in one trie, and shingles of a shared run that are looked up at once.
+PIECE, STEP = 256, 32
+#: Rows of one shingle or component beyond which they are dealt to several tasks.
+BLOCK, MAX_GROUPS = 4096, 100_000
 
 _MULTIPLIER, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -134,33 +137,46 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return table[at] == values
+def _rarity(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray | None:
+    """Rarity classes of ascending shingles, 0 for those that aren't frequent; None if none is."""
+    tokens, classes = frequent
+    if not len(tokens) or not len(s):
+        return None
+    at = np.searchsorted(tokens, s)
+    at[at == len(tokens)] = 0
+    rarity = np.where(tokens[at] == s, classes[at], 0)
+    return rarity if rarity.any() else None
 
 
 def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
     """The first shingles in the global order: by rarity class (of those that are frequent), then by hash."""
-    tokens, classes = frequent
-    if len(tokens) and len(s):
-        at = np.searchsorted(tokens, s)
-        at[at == len(tokens)] = 0
-        rarity = np.where(tokens[at] == s, classes[at], 0)
-        if rarity.any():
-            s = s[np.argsort(rarity, kind="stable")]
+    rarity = _rarity(s, frequent)
+    if rarity is not None:
+        s = s[np.argsort(rarity, kind="stable")]
     n = len(s)
     return s[: n - (percent * n + 99) // 100 + 1]
 
 
+def global_order(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles as numbers that ascend in the global order: rarity class in the high six bits, then 58 bits of the hash."""
+    rarity = _rarity(s, frequent)
+    out = s >> np.uint64(6)
+    if rarity is not None:
+        out |= np.minimum(rarity, 63).astype(np.uint64) << np.uint64(58)
+        out.sort()
+    return out
+
+
 def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Overlap of probe with each ascending set; -1 where it can't reach the bound."""
+    """Overlap of probe with each set, all ascending in one order; -1 where it can't reach the bound.
+
+    The sets are walked as a trie. A run of shingles that all sets below a node share is looked up in the probe when the walk comes
+    to it, once for all of them; a set leaves as soon as its overlap so far and what remains of both can't reach the bound.
+    """
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     n, out = len(probe), [-1] * len(sets)
-    hit = [_in_sorted(s, probe) for s in sets]
-    need = lambda m: -(-percent * (n + m) // (100 + percent))
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    need = -(-percent * (n + sizes) // (100 + percent))
     stack = [(0, len(order), 0, 0)]
     while stack:
         lo, hi, depth, overlap = stack.pop()
@@ -168,12 +184,19 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> li
         m = min(len(first), len(end))
         same = first[depth:m] == end[depth:m]
         reach = depth + (int(same.argmin()) if len(same) and not same.all() else len(same))
-        overlap += int(hit[order[lo]][depth:reach].sum())
-        behind = n - int(np.searchsorted(probe, first[reach - 1], "right")) if reach else n
-        if all(overlap + min(len(sets[i]) - reach, behind) < need(len(sets[i])) for i in order[lo:hi]):
+        behind = n
+        while depth < reach:  # the shared run in steps, so that sets without a chance leave early
+            step = first[depth : min(reach, depth + STEP)]
+            at = np.searchsorted(probe, step)
+            overlap += int((probe[np.minimum(at, n - 1)] == step).sum())
+            depth += len(step)
+            behind = n - int(np.searchsorted(probe, step[-1], "right"))
+            if (overlap + np.minimum(sizes[lo:hi] - depth, behind) < need[lo:hi]).all():
+                break
+        if depth < reach or (overlap + np.minimum(sizes[lo:hi] - reach, behind) < need[lo:hi]).all():
             continue
-        while lo < hi and len(sets[order[lo]]) == reach:
-            if overlap >= need(reach):
+        while lo < hi and sizes[lo] == reach:
+            if overlap >= need[lo]:
                 out[order[lo]] = overlap
             lo += 1
         while lo < hi:
@@ -345,23 +368,55 @@ def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
     return counted.groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with one row a key; keys of many rows are broadcast, so no task gets a large group.
+
+    A key is large from 1 / MAX_GROUPS of all rows on (and BLOCK at least, where there are few), so at most MAX_GROUPS are.
+    """
+    sizes = rows.groupBy(key).count()
+    n = rows.count()
+    large = cut(groups.join(sizes.where(F.col("count") > max(min(BLOCK, n // 1000), n // MAX_GROUPS)), key).drop("count"))
+    value = [c for c in groups.columns if c != key]
+    rows = rows.join(F.broadcast(large.withColumn("_large", F.lit(True)).withColumnsRenamed({c: f"_{c}" for c in value})), key, "left")
+    # Rows of large keys get a key of the join that no group has.
+    rows = rows.withColumn("_key", F.when(F.col("_large").isNull(), F.col(key)))
+    small = groups.withColumnRenamed(key, "_key")
+    joined = rows.join(small, "_key", "left")
+    return joined.select(*rows.drop("_large", "_key", *[f"_{c}" for c in value]).columns, *[F.coalesce(f"_{c}", c).alias(c) for c in value])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of shingles of two components or more, by parts (deal) of a shingle in which each two rows meet in exactly one.
+
+    A shingle of BLOCK rows or fewer is one part. Of a larger one, rows have a chunk each, and every two chunks are a part.
+    """
+    mixed = rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed"), F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).where("mixed").select("token", "chunks")
+    dealt = rows.join(mixed, "token").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    parts = dealt.withColumn("other", other)
+    deal = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
+    return parts.select("token", deal.cast("int").alias("deal"), "n", "cls", "pos", "comp", F.when(F.col("chunks") == 1, -1).otherwise(F.col("chunk")).alias("chunk"))
+
+
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs that meet at a shingle, lie in two components, and that sizes and places allow.
 
     Of a pair of overlap o or more, at least EXTRA common shingles are among the first n - o + EXTRA of both sets; what of EXTRA
-    lies beyond the kept prefixes is not asked for.
+    lies beyond the kept prefixes is not asked for. Rows come by parts of a shingle; in a part of two chunks, rows of one chunk don't
+    meet, as they do in the chunk's own part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cls", "other", "least"]
-        for t in _runs(batches, ["token", "n", "cls", "pos", "comp"]):
-            token = t["token"]
-            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])).tolist() + [len(token)]
+        for t in _runs(batches, ["token", "deal", "n", "cls", "pos", "comp", "chunk"]):
+            token, deal = t["token"], t["deal"]
+            edge = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (deal[1:] != deal[:-1]))).tolist() + [len(token)]
             made, size = [], 0
             for lo, hi in zip(edge[:-1], edge[1:]):
-                comp = t["comp"][lo:hi]
+                comp, chunk = t["comp"][lo:hi], t["chunk"][lo:hi]
                 if (comp == comp[0]).all():
                     continue
+                apart = chunk if (chunk != chunk[0]).any() else np.arange(hi - lo)
                 n, cls, pos = t["n"][lo:hi].astype(np.int64), t["cls"][lo:hi], t["pos"][lo:hi].astype(np.int64)
                 ends = np.searchsorted(n, n * 100 // percent, "right")
                 for i in range(hi - lo):
@@ -369,7 +424,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                     need = -(-percent * (n[i] + n[j]) // (100 + percent))
                     kept = np.minimum(n[i] + (-percent * n[i] // 100) + 1 - (n[i] - need), n[j] + (-percent * n[j] // 100) + 1 - (n[j] - need))
                     least = np.clip(np.minimum(n[i] // EXTRA, kept), 1, None)
-                    ok = (comp[j] != comp[i]) & (pos[i] < n[i] - need + least) & (pos[j] < n[j] - need + least)
+                    ok = (comp[j] != comp[i]) & (apart[j] != apart[i]) & (pos[i] < n[i] - need + least) & (pos[j] < n[j] - need + least)
                     if ok.any():
                         other = cls[j][ok]
                         made.append((np.minimum(other, cls[i]), np.maximum(other, cls[i]), least[ok]))
@@ -380,7 +435,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
 
-    met = rows.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(tidy(run), "cls long, other long, least long")
+    met = rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "cls").mapInArrow(tidy(run), "cls long, other long, least long")
     return met.groupBy("cls", "other", "least").count().where("count >= least").select("cls", "other")
 
 
@@ -402,7 +457,7 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, frequent, percent: int) -> DataFrame:
     """The pairs (written ones) whose similarity reaches the bound; texts are read again for their classes only.
 
     The sets of a probe's partners meet the probe in pieces of about PIECE, so a probe of many partners is in many tasks.
@@ -429,7 +484,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
                     if held:
                         yield found()
                     key, probe, held = (lead, piece), None, []
-                x = np.frombuffer(x, np.uint64)
+                x = global_order(np.frombuffer(x, np.uint64), frequent.value)
                 if part == 0:
                     probe = x
                 else:
@@ -476,17 +531,16 @@ def _members(docs: DataFrame, percent: int) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(seen.where("kind = 1").select("token", "n")))
     rows = cut(_meet(_prefix_rows(docs, frequent, percent), percent))
     reps = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
-    comps = cut(components(_verify(cut(_leaders(rows, percent)), docs, reps, percent)))
+    comps = cut(components(_verify(cut(_leaders(rows, percent)), docs, reps, frequent, percent)))
     of = lambda c: F.coalesce("comp", c)
     labelled = rows.join(_sized(comps.withColumnRenamed("node", "cls")), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"))
-    mixed = labelled.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("token")
-    more = cut(_verify(cut(_across(labelled.join(mixed, "token", "left_semi"), percent)), docs, reps, percent))
+    more = cut(_verify(cut(_across(_dealt(labelled), percent)), docs, reps, frequent, percent))
     named = lambda df, c: df.join(comps.withColumnRenamed("node", c), c, "left").withColumn(c, of(c)).drop("comp")
     over = components(named(named(more, "cls"), "other"))
     classes = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", of("cls").alias("first"))
-    classes = classes.join(over.withColumnRenamed("node", "first"), "first", "left").select("cls", "doc_id", of("first").alias("comp"))
+    classes = cut(_with_group(classes, over.withColumnRenamed("node", "first"), "first").select("cls", "doc_id", of("first").alias("comp")))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_class = classes.join(least, "comp").select("cls", "component_id", "comp")
+    by_class = _with_group(classes, least, "comp").select("cls", "component_id", "comp")
     return members.join(by_class, "cls", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
 
 
