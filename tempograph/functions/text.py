@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Suffixes of titles, stripped once each in this order, and the marker of redacted text.
-SUFFIXES = ["工程师", "专员", "经理", "主管", "助理", "engineer", "developer"]
+SUFFIXES = ["工程师", "工程師", "专员", "專員", "岗位", "職位", "职位"]
 REDACTED = "[已脱敏]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 ID_CARD, PHONE = r"(?<!\d)\d{17}[\dXx](?!\d)", r"(?<!\d)1[3-9]\d{9}(?!\d)"
@@ -32,13 +31,14 @@ def redact(text: Column) -> Column:
 
 def ascii_key(text: Column) -> Column:
     """The part of normalize_title that plain expressions can do."""
-    return F.regexp_replace(F.lower(text), r"[\s()\[\]{}\-_/]+", "")
+    return F.regexp_replace(F.lower(text), r"[\s()\[\]\-_/\\]+", "")
 
 
 def title_key(title: str | None) -> str | None:
     if title is None:
         return None
-    t = re.sub(r"[\s()\[\]{}（）【】\-_/]+", "", unicodedata.normalize("NFKC", title).casefold()).replace("研发", "开发")
+    t = re.sub(r"[\s()（）\[\]【】\-—_/\\]+", "", unicodedata.normalize("NFKC", title).casefold())
+    t = t.replace("研发", "开发").replace("研發", "开发")
     for s in SUFFIXES:
         t = t.removesuffix(s)
     return t.removesuffix("岗")
@@ -119,44 +119,6 @@ def merge_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, step)
 
 
-class Automaton:
-    """All overlapping hits of many patterns, in one walk over a text."""
-
-    def __init__(self, patterns: dict[str, str]) -> None:
-        self.next, self.fail, self.out = [{}], [0], [[]]
-        for p in patterns:
-            state = 0
-            for c in p:
-                if c not in self.next[state]:
-                    self.next[state][c] = len(self.next)
-                    self.next.append({})
-                    self.fail.append(0)
-                    self.out.append([])
-                state = self.next[state][c]
-            if p:
-                self.out[state].append(p)
-        queue = deque(self.next[0].values())
-        while queue:
-            s = queue.popleft()
-            for c, t in self.next[s].items():
-                f = self.fail[s]
-                while f and c not in self.next[f]:
-                    f = self.fail[f]
-                self.fail[t] = self.next[f].get(c, 0) if self.next[f].get(c, 0) != t else 0
-                self.out[t] = self.out[t] + self.out[self.fail[t]]
-                queue.append(t)
-        self.patterns = patterns
-
-    def hits(self, text: str) -> Iterator[tuple[int, int, str]]:
-        state = 0
-        for i, c in enumerate(text):
-            while state and c not in self.next[state]:
-                state = self.fail[state]
-            state = self.next[state].get(c, 0)
-            for p in self.out[state]:
-                yield i + 1 - len(p), i + 1, p
-
-
 _WORD = re.compile(r"[0-9A-Za-z_]")
 
 
@@ -167,14 +129,39 @@ def whole_word(text: str, start: int, end: int) -> bool:
     return not (start and _WORD.match(text[start - 1])) and not (end < len(text) and _WORD.match(text[end]))
 
 
-def longest(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Leftmost, then longest; what overlaps a taken hit is skipped."""
-    out, end = [], 0
-    for h in sorted(hits, key=lambda h: (h[0], -h[1])):
-        if h[0] >= end:
-            out.append(h)
-            end = h[1]
-    return out
+class Surfaces:
+    """A dictionary of surfaces, found by the lengths that begin with a character."""
+
+    def __init__(self, skill_of: dict[str, str]) -> None:
+        self.skill_of = {p: s for p, s in skill_of.items() if p}
+        self.lengths: dict[str, list[int]] = {}
+        for p in self.skill_of:
+            of = self.lengths.setdefault(p[0], [])
+            if len(p) not in of:
+                of.append(len(p))
+        for of in self.lengths.values():
+            of.sort(reverse=True)
+        self.first = re.compile("[" + re.escape("".join(self.lengths)) + "]") if self.lengths else re.compile("(?!)")
+
+    def all_hits(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """Every place of every surface, overlaps included, by start and the longest first."""
+        for m in self.first.finditer(text):
+            for n in self.lengths[m[0]]:
+                if (p := text[m.start() : m.start() + n]) in self.skill_of:
+                    yield m.start(), m.start() + n, p
+
+    def mentions(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """Whole words only, leftmost, then longest, none of which overlap."""
+        done = 0
+        for hit in self.all_hits(text):
+            if hit[0] >= done and whole_word(text, hit[0], hit[1]):
+                done = hit[1]
+                yield hit
+
+
+def too_ambiguous(surface: Column, name: Column) -> Column:
+    """Aliases of three ASCII letters or fewer in lower case are words more often than skills; a skill's own name stays."""
+    return (surface != name) & surface.rlike(r"^[\x00-\x7f]{1,3}$") & (surface == F.lower(surface)) & (surface != F.upper(surface))
 
 
 def scan(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
@@ -182,9 +169,9 @@ def scan(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(frames):
-        a = Automaton(shared.value)
+        surfaces = Surfaces(shared.value)
         for f in frames:
-            rows = [(i, s, e, shared.value[p], p) for i, t in zip(f["doc_id"], f["text"]) if t for s, e, p in longest([h for h in a.hits(t) if whole_word(t, h[0], h[1])])]
+            rows = [(i, s, e, surfaces.skill_of[p], p) for i, t in zip(f["doc_id"], f["text"]) if t for s, e, p in surfaces.mentions(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "skill_id", "surface"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, end int, skill_id string, surface string")
@@ -196,9 +183,22 @@ def first_mentions(hits: DataFrame) -> DataFrame:
     return first.select(F.concat_ws(".", F.lit("ev"), F.col("doc_id").cast("string"), "skill_id", F.col("h.start").cast("string")).alias("evidence_id"), "doc_id", "skill_id", F.col("h.start").alias("span_start"), F.col("h.end").alias("span_end"), F.col("h.surface").alias("quote"), F.concat(F.lit("ac:"), "skill_id").alias("extractor"), F.lit(0.9).alias("confidence"))
 
 
+#: White space that ends of blocks lose, as Python's strip does.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u3000"
+
+
+def placed_blocks(docs: DataFrame, *keys: str, least: int = 8) -> DataFrame:
+    """keys, doc_id, start, end, block: runs of text up to and with a full stop or line end; the mark counts for the least length."""
+    part = lambda p, last: F.struct((last["end"]).alias("start"), (last["end"] + F.length(p)).alias("end"), F.btrim(p, F.lit(BLANKS)).alias("block"))
+    zero = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("block")))
+    parts = F.aggregate(F.split("text", r"(?<=[。\n])"), zero, lambda out, p: F.concat(out, F.array(part(p, F.element_at(out, -1)))))
+    rows = docs.select(*keys, "doc_id", F.explode(parts).alias("b")).select(*keys, "doc_id", "b.*")
+    return rows.where(F.length("block") >= least)
+
+
 def blocks(docs: DataFrame, by: str, least: int = 8) -> DataFrame:
-    """by, doc_id, block: runs of text that a full stop or a line end closes."""
-    b = docs.select(by, "doc_id", F.explode(F.split("text", r"[。\n]")).alias("block")).withColumn("block", F.trim("block"))
+    """by, doc_id, block: runs of text that a full stop or a line end closes; the full stop is part of it."""
+    b = docs.select(by, "doc_id", F.explode(F.split("text", r"(?<=[。\n])")).alias("block")).withColumn("block", F.btrim("block", F.lit(BLANKS)))
     return b.where(F.length("block") >= least)
 
 
@@ -252,42 +252,252 @@ def gram_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def near_blocks(docs: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
-    """by, a < b, similarity of different blocks whose sets of character 3-grams are alike: MinHash bands meet, then exact Jaccard.
+    """by, block: blocks to which a block of another text of one source is alike, equal or by sets of character 3-grams.
 
-    Only ids travel to the bands; texts join the distinct candidates once.
+    Equal blocks are counted. Of the others, MinHash bands meet and candidates are verified by exact Jaccard: first each with the
+    first and the next one of its bucket, so that groups of near copies make no pairs among themselves; only blocks without a
+    partner then meet all of their buckets. Only ids travel to the bands; texts join the distinct candidates once.
     """
-    b = blocks(docs, by).select(by, "block").distinct().withColumn("id", F.md5(F.col("block").cast("binary")))
-    keyed = b.select(by, "id", F.posexplode(block_bands("block")).alias("band", "key"))
-    other = keyed.withColumnRenamed("id", "id_b")
-    met = keyed.withColumnRenamed("id", "id_a").join(other, [by, "band", "key"]).where("id_a < id_b").select(by, "id_a", "id_b").distinct()
-    texts = lambda n: b.select(by, F.col("id").alias(f"id_{n}"), F.col("block").alias(f"t{n}"))
-    both = met.join(texts("a"), [by, "id_a"]).join(texts("b"), [by, "id_b"])
-    return both.select(by, F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), gram_jaccard("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
+    texts = docs.select(by, F.md5(F.col("text").cast("binary")).alias("doc_id"), "text").dropDuplicates([by, "doc_id"])
+    b = blocks(texts, by).groupBy(by, "block").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("only"))
+    b = b.select(by, "block", F.md5(F.col("block").cast("binary")).alias("id"), F.when(F.col("n") == 1, F.col("only")).alias("only"))
+    keyed = b.select(by, "id", "only", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("band"), block_bands("block").alias("key"))).alias("k")).select(by, "id", "only", "k.band", "k.key")
+    bucket = Window.partitionBy(by, "band", "key").orderBy("id")
+    own = F.struct("id", "only")
+    near = keyed.select(by, "id", "only", F.array(F.first(own).over(bucket), F.lag(own).over(bucket)).alias("os")).select(by, "id", "only", F.explode("os").alias("o"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """by, id of both sides of pairs (by, id, only, o) that are alike and in different texts."""
+        apart = F.col("o.id").isNotNull() & (F.col("id") != F.col("o.id")) & (F.col("only").isNull() | F.col("o.only").isNull() | (F.col("only") != F.col("o.only")))
+        pairs = pairs.where(apart).select(by, F.least("id", "o.id").alias("id_a"), F.greatest("id", "o.id").alias("id_b")).distinct()
+        side = lambda n: b.select(by, F.col("id").alias(f"id_{n}"), F.col("block").alias(f"t{n}"))
+        both = pairs.join(side("a"), [by, "id_a"]).join(side("b"), [by, "id_b"]).where(gram_jaccard("ta", "tb") >= threshold)
+        return both.select(by, F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+
+    first = alike(near)
+    rest = keyed.where(F.col("only").isNotNull()).join(first, [by, "id"], "left_anti")
+    other = keyed.select(by, "band", "key", F.struct("id", "only").alias("o"))
+    second = alike(rest.join(other, [by, "band", "key"]))
+    found = b.where("only is null").select(by, "id").union(first).union(second).distinct()
+    return b.join(found, [by, "id"], "left_semi").select(by, "block")
+
+
+#: Phrases on benefits that say nothing about skills.
+BENEFITS = ["五险一金", "周末双休", "双休", "团队氛围好", "带薪年假", "节日福利", "定期体检", "年终奖", "加班费", "扁平化管理", "免费零食", "零食下午茶", "弹性工作", "缴纳公积金"]
+
 
+def places_of(text: str, phrases: list[str]) -> list[tuple[int, int]]:
+    """Spans of phrases, those of longer phrases first; what overlaps a taken one isn't."""
+    taken: list[tuple[int, int]] = []
+    for p in sorted(phrases, key=len, reverse=True):
+        for m in re.finditer(re.escape(p), text):
+            if all(m.end() <= s or m.start() >= e for s, e in taken):
+                taken.append(m.span())
+    return sorted(taken)
 
-def greedy_duplicates(rows: DataFrame, by: list[str], days: int = 60, least: float | None = 92.0) -> DataFrame:
-    """posting_id, duplicate_of: in arrival order (day, posting_id), the first canonical row of the block within days whose title fits.
 
-    least None asks for equal titles. Equality of `by` bounds a group; it holds the canonical rows of one company and city.
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(SPANS)
+def benefit_spans(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: [{"start": a, "end": b} for a, b in places_of(t, BENEFITS)] if t else [])
+
+
+def boilerplate(docs: DataFrame, by: str, peers: bool = True) -> DataFrame:
+    """doc_id, spans (merged): phrases on benefits and, if asked for, blocks that other texts of one `by` have, or nearly."""
+    some = "|".join(BENEFITS)
+    phrases = docs.where(F.col("text").rlike(some)).select("doc_id", F.explode(benefit_spans("text")).alias("s")).select("doc_id", "s.*")
+    if peers:
+        known = near_blocks(docs.where(F.col(by).isNotNull()), by)
+        phrases = phrases.unionByName(placed_blocks(docs, by).join(known, [by, "block"], "left_semi").select("doc_id", "start", "end"))
+    found = phrases.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    return docs.select("doc_id").join(found.select("doc_id", merge_spans(F.col("s")).alias("spans")), "doc_id", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def greedy_duplicates(rows: DataFrame, by: list[str], days: int = 60, least: float | None = 92.0, order: tuple[str, ...] = ("day", "posting_id")) -> DataFrame:
+    """posting_id, duplicate_of: in arrival order, the first canonical row of the block within days whose title fits.
+
+    rows has posting_id, day, title and the columns of by and order. Titles are compared by their keys; least None asks for equal
+    ones. Rows without a day, or with an empty title or part of by, have no duplicate and are none's. A task reads its blocks one
+    after the other, sorted, and holds the canonical rows of one block by stretches of days and by title.
     """
+    rows = rows.withColumn("key", normalize_title("title")).withColumn("number", F.datediff("day", F.lit("1970-01-01")))
+    fit = F.col("number").isNotNull() & (F.coalesce("key", F.lit("")) != "")
+    for b in by:
+        fit = fit & F.col(b).isNotNull() & (F.col(b).cast("string") != "")
+    shape = "posting_id long, duplicate_of long"
+
+    def run(frames):
+        at, equal, near = None, {}, {}
+        for f in frames:
+            out = []
+            for i, group, day, key in zip(f["posting_id"], zip(*(f[b] for b in by)), f["number"], f["key"]):
+                if group != at:
+                    at, equal, near = group, {}, {}
+                stretch = day // (days + 1)
+                found = [(n, c) for s in (stretch - 1, stretch, stretch + 1) for n, c, d in equal.get((key, s), ()) if abs(d - day) <= days]
+                if least is not None:
+                    best = min(found, default=(float("inf"), None))[0]
+                    for s in (stretch - 1, stretch, stretch + 1):
+                        for n, c, d, k in near.get(s, ()):
+                            if n >= best:
+                                break
+                            if abs(d - day) <= days and k != key and indel(key, k) >= least:
+                                best = n
+                                found.append((n, c))
+                                break
+                hit = min(found)[1] if found else None
+                if hit is None:
+                    n = sum(map(len, near.values()))
+                    equal.setdefault((key, stretch), []).append((n, i, day))
+                    near.setdefault(stretch, []).append((n, i, day, key))
+                out.append((i, hit))
+            yield pd.DataFrame(out, columns=["posting_id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+
+    sorted_rows = rows.where(fit).select("posting_id", *by, "number", "key", *[F.col(o).alias(f"order_{k}") for k, o in enumerate(order)]).repartition(*by).sortWithinPartitions(*by, *[f"order_{k}" for k in range(len(order))])
+    return sorted_rows.mapInPandas(run, shape).unionByName(rows.where(~fit | fit.isNull()).select("posting_id", F.lit(None).cast("long").alias("duplicate_of")))
+
+
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+def fold(text: str) -> tuple[str, np.ndarray]:
+    """The text in NFKC, character by character, without white space, and for each of its characters the place in the text."""
+    if text.isascii() or unicodedata.is_normalized("NFKC", text):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kept = np.flatnonzero(~np.isin(points, _SPACES))
+        return points[kept].tobytes().decode("utf-32-le", "surrogatepass"), kept
+    out, at = [], []
+    for i, c in enumerate(text):
+        for x in c if c.isascii() else unicodedata.normalize("NFKC", c):
+            if not x.isspace():
+                out.append(x)
+                at.append(i)
+    return "".join(out), np.array(at, np.int64)
+
+
+class Quotes:
+    """Places of many quotes in a text: hashes of all its windows meet those of the quotes' beginnings, then texts are compared."""
+
+    WIDTH = 8
+
+    def __init__(self, quotes: list[tuple[int, str]]) -> None:
+        self.by_width: dict[int, dict[int, list[tuple[int, str]]]] = {}
+        for i, q in quotes:
+            if q:
+                w = min(self.WIDTH, len(q))
+                self.by_width.setdefault(w, {}).setdefault(int(self.windows(q[:w], w)[0]), []).append((i, q))
+        self.known = {w: np.sort(np.array(list(d), np.uint64)) for w, d in self.by_width.items()}
+
+    @staticmethod
+    def windows(text: str, width: int) -> np.ndarray:
+        """A hash of each window of code points."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        h = np.zeros(max(len(c) - width + 1, 0), np.uint64)
+        for k in range(width if len(h) else 0):
+            h = (h + c[k : len(c) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def hits(self, text: str) -> list[tuple[int, int, int]]:
+        """(quote, start, end) of all places, overlaps included."""
+        out = []
+        for w, known in self.known.items():
+            h = self.windows(text, w)
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            for p in np.flatnonzero(known[at] == h).tolist():
+                out += [(i, p, p + len(q)) for i, q in self.by_width[w][int(h[p])] if text.startswith(q, p)]
+        return out
+
+
+#: Characters of quotes that are broadcast at most; larger tables meet the texts by a join on the hashes.
+MAX_QUOTES = 20_000_000
+
+
+def locate(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """item_id, doc_id, start, end: all places of quotes (item_id, quote) in texts; where a text has none, those of the
+    folded quote in the folded text. Blank quotes have no place."""
+    quotes = quotes.where(F.length(F.btrim("quote", F.lit(BLANKS))) > 0).select(F.col("item_id").cast("long").alias("item_id"), "quote")
+    shape = "item_id long, doc_id long, start int, end int"
+    size = quotes.agg(F.sum(F.length("quote")), F.count("*")).first()
+    if (size[0] or 0) + 40 * size[1] <= MAX_QUOTES:
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in quotes.collect()])
+
+        def run(frames):
+            every = shared.value
+            exact, folded = Quotes(every), Quotes([(i, fold(q)[0]) for i, q in every])
+            for f in frames:
+                rows = []
+                for doc, t in zip(f["doc_id"], f["text"]):
+                    rows += [(i, doc, s, e) for i, s, e in places(exact, folded, t)] if t else []
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "start", "end"])
+
+        def places(exact, folded, t):
+            found = exact.hits(t)
+            yield from found
+            has, (flat, at) = {i for i, _, _ in found}, fold(t)
+            for i, s, e in folded.hits(flat):
+                if i not in has:
+                    yield i, int(at[s]), int(at[e - 1]) + 1
+
+        return docs.select("doc_id", "text").mapInPandas(run, shape)
+    return _locate_by_join(docs, quotes)
+
+
+def _locate_by_join(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """locate for quotes of any number: windows of texts join the beginnings of quotes, exact ones and folded ones."""
+    width = Quotes.WIDTH
+
+    def windows(frames):
+        for f in frames:
+            for doc, t in zip(f["doc_id"], f["text"]):
+                for kind, x, at in ((0, t or "", None), (1, *fold(t or ""))):
+                    for w in range(1, width + 1):
+                        h = Quotes.windows(x, w).view(np.int64)
+                        for lo in range(0, len(h), 100_000):
+                            p = np.arange(lo, min(lo + 100_000, len(h)))
+                            yield pd.DataFrame({"doc_id": doc, "kind": kind, "width": w, "hash": h[p], "place": p})
+
+    def beginnings(frames):
+        for f in frames:
+            rows = [(i, k, min(width, len(x)), int(Quotes.windows(x[: min(width, len(x))], min(width, len(x))).view(np.int64)[0]), x) for i, q in zip(f["item_id"], f["quote"]) for k, x in ((0, q), (1, fold(q)[0])) if x]
+            yield pd.DataFrame(rows, columns=["item_id", "kind", "width", "hash", "form"])
 
-    def run(g):
-        g = g.sort_values(["day", "posting_id"])
-        kept, out = [], []
-        for i, day, title in zip(g["posting_id"], g["day"], g["title"]):
-            hit = next((k for k, d, t in kept if abs((day - d).days) <= days and (t == title or (least is not None and indel(t, title) >= least))), None)
-            if hit is None:
-                kept.append((i, day, title))
-            out.append((i, hit))
-        return pd.DataFrame(out, columns=["posting_id", "duplicate_of"])
+    b = quotes.mapInPandas(beginnings, "item_id long, kind int, width int, hash long, form string")
+    w = docs.select("doc_id", "text").mapInPandas(windows, "doc_id long, kind int, width int, hash long, place int")
+    near = w.join(b, ["kind", "width", "hash"]).select("doc_id", "item_id", "kind", "form", "place").join(docs.select("doc_id", "text"), "doc_id")
 
-    return rows.where("day is not null").groupBy(*by).applyInPandas(run, "posting_id long, duplicate_of long")
+    def verify(frames):
+        for f in frames:
+            rows = []
+            for doc, item, kind, form, p, t in zip(f["doc_id"], f["item_id"], f["kind"], f["form"], f["place"], f["text"]):
+                x, at = (t, None) if kind == 0 else fold(t)
+                if x.startswith(form, p):
+                    rows.append((item, doc, kind, p, p + len(form)) if at is None else (item, doc, kind, int(at[p]), int(at[p + len(form) - 1]) + 1))
+            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "kind", "start", "end"])
+
+    found = near.mapInPandas(verify, "item_id long, doc_id long, kind int, start int, end int")
+    exact = found.where("kind = 0")
+    return exact.unionByName(found.where("kind = 1").join(exact.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")).drop("kind")
 
 
-def locate(docs: DataFrame, quotes: DataFrame, width: int = 60) -> DataFrame:
-    """item_id, doc_id, start: exact places of quotes (item_id, quote) in texts; quotes are a small table."""
-    q = F.broadcast(quotes.where(F.length("quote") >= width)) if quotes.count() <= 10_000 else quotes.where(F.length("quote") >= width)
-    return docs.select("doc_id", "text").join(q, F.contains(F.col("text"), F.col("quote"))).select("item_id", "doc_id", F.expr("instr(text, quote) - 1").cast("int").alias("start"))
+def pick_places(hits: DataFrame, hints: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """item_id, doc_id, start, end: of all places of a quote in a text the one nearest to its hint, the first without one.
+
+    hints is (item_id, doc_id, hint); parts (doc_id, part_start, part_end) are the text's blocks: places in the hint's block come first.
+    """
+    h = hits.join(hints.select("item_id", "doc_id", "hint"), ["item_id", "doc_id"], "left") if hints is not None else hits.withColumn("hint", F.lit(None).cast("int"))
+    if parts is not None:
+        own = h.select("item_id", "doc_id", "hint").where("hint is not null").distinct().join(parts, "doc_id").where("part_start <= hint and hint < part_end")
+        own = own.groupBy("item_id", "doc_id").agg(F.min(F.struct("part_start", "part_end")).alias("own"))
+        h = h.join(own, ["item_id", "doc_id"], "left")
+        away = ~F.coalesce((F.col("start") >= F.col("own.part_start")) & (F.col("start") < F.col("own.part_end")), F.lit(False))
+    else:
+        away = F.lit(False)
+    best = F.min_by(F.struct("start", "end"), F.struct(away.alias("away"), F.coalesce(F.abs(F.col("start") - F.col("hint")), F.lit(0)).alias("off"), "start"))
+    return h.groupBy("item_id", "doc_id").agg(best.alias("p")).select("item_id", "doc_id", "p.start", "p.end")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import first_day
+from ..sources.shared import at_most, kept
+
+#: Edges of a vocabulary's graph that one task may hold.
+MAX_EDGES = 2_000_000
 
 
 def bursts(obs: DataFrame, by: list[str], s: float = 2.0, gamma: float = 1.0) -> DataFrame:
@@ -45,7 +49,31 @@ def mann_kendall(obs: DataFrame, by: list[str], value: str = "weight") -> DataFr
     return v.join(s, by).withColumn("z", z).select(*by, "n", "s", "var_s", "z", "slope")
 
 
-def classify(trends: DataFrame, burst_rows: DataFrame, by: list[str], z: float = 1.959964) -> DataFrame:
+#: Two-sided 5 % point of the normal distribution; a trend is one beyond it.
+Z = 1.959964
+
+
+def normal_tail(z: Column) -> Column:
+    """2 (1 - Phi(|z|)): by its series up to 3, by the continued fraction of the tail beyond, to 1e-9 and better."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), lambda a, k: F.struct((a["t"] * x * x / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * x * x / (2 * k + 1)).alias("s")), lambda a: a["s"])
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda a, k: x + k / a)
+    return F.when(z.isNull(), F.lit(None)).when(x <= 3, 1 - 2 * density * terms).otherwise(2 * density / fraction)
+
+
+def trend_test(obs: DataFrame, by: list[str], value: str = "weight") -> DataFrame:
+    """by, n, trend, p_value, slope: Mann-Kendall at 5 %; series of less than four points have no trend, p 1 and slope 0."""
+    n = obs.groupBy(*by).agg(F.count("*").alias("n")) if by else obs.agg(F.count("*").alias("n"))
+    one = obs if by else obs.withColumn("_all", F.lit(0))
+    t = mann_kendall(one, by or ["_all"], value).drop("n")
+    j = n.join(t, by, "left") if by else n.join(F.broadcast(t.drop("_all")), F.lit(True), "left")  # one row on either side
+    p = F.coalesce(normal_tail(F.col("z")), F.lit(1.0))
+    trend = F.when((F.col("z") > 0) & (p < 0.05), "increasing").when((F.col("z") < 0) & (p < 0.05), "decreasing").otherwise("no trend")
+    return j.select(*by, F.col("n").cast("long").alias("n"), trend.alias("trend"), p.alias("p_value"), F.coalesce("slope", F.lit(0.0)).alias("slope"))
+
+
+def classify(trends: DataFrame, burst_rows: DataFrame, by: list[str], z: float = Z) -> DataFrame:
     b = burst_rows.select(*by).distinct().withColumn("bursts", F.lit(True))
     kind = F.when(F.col("z") > z, "growth").when(F.col("z") < -z, "decline").when(F.col("bursts"), "hype").otherwise("stable")
     return trends.join(b, by, "left").select(*by, kind.alias("trend"))
@@ -87,9 +115,13 @@ def f_tail(f: float, a: int, b: int) -> float:
     return beta(x, p, q) if x < (p + 1) / (p + q + 2) else 1 - beta(1 - x, q, p)
 
 
-def granger(leading: DataFrame, lagging: DataFrame, by: list[str], order: int = 2, least: int = 8) -> DataFrame:
-    """by, p_value of the F test that lags of x don't help to explain y; 1 where it can't be computed."""
+def granger(leading: DataFrame, lagging: DataFrame, by: list[str], lags: DataFrame, least: int = 8, widest: int = 8) -> DataFrame:
+    """by, lag_order, p_value of the F test that lags of x don't help to explain y; 1 where it can't be computed.
+
+    lags is (by, lag_periods) of the pairs that lead; the order is the lag, at least 1, and at most widest, n - 2 and a fifth of n.
+    """
     both = leading.select(*by, "period", F.col("weight").alias("x")).join(lagging.select(*by, "period", F.col("weight").alias("y")), [*by, "period"])
+    both = both.join(lags.select(*by, "lag_periods"), by)
 
     def test(rows):
         import numpy as np
@@ -97,27 +129,55 @@ def granger(leading: DataFrame, lagging: DataFrame, by: list[str], order: int =
 
         rows = rows.sort_values("period")
         x, y, n = rows["x"].to_numpy(), rows["y"].to_numpy(), len(rows)
-        k, p = max(1, min(order, n // 5 or 1)), 1.0
+        k, p = max(1, min(int(rows["lag_periods"].iloc[0]), widest, n - 2, n // 5 or 1)), 1.0
         free = n - 3 * k - 1
         if n >= least and free > 0:
-            lags = lambda v: np.column_stack([v[k - i - 1 : n - i - 1] for i in range(k)])
+            shifted = lambda v: np.column_stack([v[k - i - 1 : n - i - 1] for i in range(k)])
             left = lambda m: float(((y[k:] - m @ np.linalg.lstsq(m, y[k:], rcond=None)[0]) ** 2).sum())
-            small = np.column_stack([np.ones(n - k), lags(y)])
-            r, u = left(small), left(np.column_stack([small, lags(x)]))
+            small = np.column_stack([np.ones(n - k), shifted(y)])
+            r, u = left(small), left(np.column_stack([small, shifted(x)]))
             p = f_tail((r - u) / k / (u / free), k, free) if u > 0 else 1.0
-        return pd.DataFrame([[*rows[by].iloc[0], float(p)]], columns=[*by, "p_value"])
+        return pd.DataFrame([[*rows[by].iloc[0], k, float(p)]], columns=[*by, "lag_order", "p_value"])
 
     kinds = dict(both.dtypes)
-    return both.groupBy(*by).applyInPandas(test, ", ".join(f"{b} {kinds[b]}" for b in by) + ", p_value double")
+    return both.groupBy(*by).applyInPandas(test, ", ".join(f"{b} {kinds[b]}" for b in by) + ", lag_order int, p_value double")
+
+
+def not_leading(obs: DataFrame, excluded: list[str]) -> DataFrame:
+    """Observations without the sources that can't lead; names are compared in lower case with _ for blanks."""
+    return obs.where(~F.replace(F.lower(F.trim("source_id")), F.lit(" "), F.lit("_")).isin(excluded)) if excluded else obs
+
+
+def inflation_series(loads: DataFrame) -> DataFrame:
+    """period, n_postings, skills_per_posting, density (mentions a character); 0 where nothing is divided by."""
+    share = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b))
+    return loads.select("period", "n_postings", share("n_skill_mentions", "n_postings").alias("skills_per_posting"), share("n_skill_mentions", "total_text_chars").alias("density"))
+
+
+def inflation_report(loads: DataFrame) -> DataFrame:
+    """One row: trend and p of skills a posting and of density, Sen's slope of density, and whether mentions are inflated.
+
+    They are if density rises with a p below 5 %: longer texts alone are no inflation. Constant series have no trend.
+    """
+    s = inflation_series(loads)
+
+    def of(value: str, name: str) -> DataFrame:
+        t = trend_test(s, [], value)
+        varies = s.agg((F.min(value) != F.max(value)).alias("varies"))
+        t = t.join(F.broadcast(varies), F.lit(True))  # one row each
+        keep = F.coalesce(F.col("varies"), F.lit(False))
+        return t.select(F.when(keep, F.col("trend")).otherwise("no trend").alias(f"{name}_trend"), F.when(keep, F.col("p_value")).otherwise(1.0).alias(f"{name}_p_value"), F.when(keep, F.col("slope")).otherwise(0.0).alias(f"{name}_slope"))
+
+    both = of("skills_per_posting", "posting").drop("posting_slope").join(F.broadcast(of("density", "density")), F.lit(True))  # one row each
+    return both.withColumn("inflated", (F.col("density_trend") == "increasing") & (F.col("density_p_value") < 0.05))
 
 
 def inflation(loads: DataFrame) -> DataFrame:
-    """period, skills_per_posting, per_kchars, adjustment: density against the first positive one."""
-    w = Window.orderBy("period")  # one row a period
-    density = F.when(F.col("total_text_chars") == 0, 0.0).otherwise(F.col("n_skill_mentions") / F.col("total_text_chars"))
-    rows = loads.select("period", F.when(F.col("n_postings") == 0, 0.0).otherwise(F.col("n_skill_mentions") / F.col("n_postings")).alias("skills_per_posting"), density.alias("c"))
-    first = F.first(F.when(F.col("c") > 0, F.col("c")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.select("period", "skills_per_posting", (1000 * F.col("c")).alias("per_kchars"), F.when(F.col("c") > 0, first / F.col("c")).otherwise(1.0).alias("adjustment"))
+    """period, skills_per_posting, per_kchars, n_postings, adjustment: the first positive density over the period's, if inflated, else 1."""
+    w = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a period
+    rows = inflation_series(loads).join(F.broadcast(inflation_report(loads).select("inflated")), F.lit(True), "left")  # one row
+    first = F.first(F.when(F.col("density") > 0, F.col("density")), ignorenulls=True).over(w)
+    return rows.select("period", "skills_per_posting", (1000 * F.col("density")).alias("per_kchars"), "n_postings", F.when(F.col("inflated") & (F.col("density") > 0), first / F.col("density")).otherwise(1.0).alias("adjustment"))
 
 
 def deflate(obs: DataFrame, points: DataFrame) -> DataFrame:
@@ -125,28 +185,49 @@ def deflate(obs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def firm_effects(panel: DataFrame) -> DataFrame:
-    """company, role_id, deviation, n_periods: mean distance of a firm's density from that of all firms in the period."""
-    rows = panel.withColumn("density", F.when(F.col("text_chars") == 0, 0.0).otherwise(F.col("n_skills") / F.col("text_chars")))
-    rows = rows.withColumn("market", F.avg("density").over(Window.partitionBy("period")))
-    return rows.groupBy("company", "role_id").agg(F.avg(F.col("density") - F.col("market")).alias("deviation"), F.count("*").alias("n_periods"))
+    """company, role_id, deviation, n_periods: mean distance of a firm's number of skills from that of all its period's rows."""
+    rows = panel.withColumn("market", F.avg("n_skills").over(Window.partitionBy("period")))
+    return rows.groupBy("company", "role_id").agg(F.avg(F.col("n_skills") - F.col("market")).alias("deviation"), F.count("*").alias("n_periods"))
 
 
 def drift(before: DataFrame, after: DataFrame, floor: float = 0.05, change: float = 0.3) -> DataFrame:
-    """Skills (role_id, skill_id, weight, period) that came above the floor, fell below it, or changed by a share."""
-    present = lambda df, name: df.where(F.col("weight") >= floor).select("role_id", "skill_id", F.col("weight").alias(name))
-    day = after.agg(F.max("period").alias("p")).select(first_day(F.col("p")).cast("string").alias("occurred_on"), F.col("p").alias("after_period"))
-    j = present(before, "before_weight").join(present(after, "after_weight"), ["role_id", "skill_id"], "full_outer")
-    kind = F.when(F.col("before_weight").isNull(), "added").when(F.col("after_weight").isNull(), "removed").when(F.abs(F.col("after_weight") - F.col("before_weight")) / F.col("before_weight") >= change, "modified")
-    j = j.withColumn("kind", kind).where("kind is not null").join(F.broadcast(day))  # one row
-    return j.select(F.concat_ws("-", F.lit("chg"), "role_id", "skill_id", "kind", "after_period").alias("change_id"), "role_id", "skill_id", "kind", "before_weight", "after_weight", "occurred_on")
+    """Skills (role_id, skill_id, weight, period) that came above the floor, fell below it, or changed by a share.
+
+    Only roles that both slices have are compared. A change occurs on the first day of the role's last period. Weights below the
+    floor count as absent, but are told.
+    """
+    roles = before.select("role_id").distinct().join(after.groupBy("role_id").agg(F.max("period").alias("after_period")), "role_id")
+    of = lambda df, name: df.groupBy("role_id", "skill_id").agg(F.max_by("weight", "period").alias(name))
+    j = of(before, "w0").join(of(after, "w1"), ["role_id", "skill_id"], "full_outer").join(roles, "role_id")
+    w0, w1 = F.coalesce("w0", F.lit(0.0)), F.coalesce("w1", F.lit(0.0))
+    was, is_ = w0 >= floor, w1 >= floor
+    kind = F.when(~was & is_, "added").when(was & ~is_, "removed").when(was & is_ & (F.abs(w1 - w0) / F.greatest(F.abs(w0), F.lit(1e-9)) >= change), "modified")
+    j = j.withColumn("kind", kind).where("kind is not null")
+    return j.select(F.concat_ws("-", F.lit("chg"), "role_id", "skill_id", "kind", "after_period").alias("change_id"), "role_id", "skill_id", "kind", F.when(was, w0).alias("before_weight"), F.when(is_, w1).alias("after_weight"), first_day(F.col("after_period")).cast("string").alias("occurred_on"))
+
+
+def pooled(edges: DataFrame, *keys: str) -> DataFrame:
+    """keys, a < b, weight: edges in either direction added up, without loops and without weights of 0 or less."""
+    e = edges.where("a <> b and weight > 0").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
+    return e.groupBy(*keys, "a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def within(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """edges with cluster_id, of those that have both ends in one cluster."""
+    ends = lambda name: members.select("cluster_id", F.col("skill_id").alias(name))
+    return edges.join(ends("a"), "a").join(ends("b"), ["cluster_id", "b"])
 
 
 def cluster_density(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """cluster_id, n, density: weight inside over the number of pairs; members is (cluster_id, skill_id), edges (a, b, weight)."""
-    known = edges.select(F.col("a").alias("skill_id")).union(edges.select("b")).distinct()
-    m = members.join(known, "skill_id", "left_semi")
-    inside = edges.join(m.select(F.col("skill_id").alias("a"), F.col("cluster_id")), "a").join(m.select(F.col("skill_id").alias("b"), F.col("cluster_id").alias("c2")), "b").where("cluster_id = c2 and a <> b").groupBy("cluster_id").agg(F.sum("weight").alias("w"))
-    sizes = members.select("cluster_id").distinct().join(m.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id", "left").join(inside, "cluster_id", "left")
+    """cluster_id, n, density: weight inside over the number of pairs; members is (cluster_id, skill_id), edges (a, b, weight).
+
+    Only members that the graph has count.
+    """
+    e = pooled(edges)
+    known = e.select(F.explode(F.array("a", "b")).alias("skill_id")).distinct()
+    n = members.join(known, "skill_id", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n"))
+    inside = within(e, members).groupBy("cluster_id").agg(F.sum("weight").alias("w"))
+    sizes = members.select("cluster_id").distinct().join(n, "cluster_id", "left").join(inside, "cluster_id", "left")
     n = F.coalesce("n", F.lit(0))
     return sizes.select("cluster_id", n.cast("long").alias("n"), F.when(n < 2, 0.0).otherwise(F.coalesce("w", F.lit(0)) * 2.0 / (n * (n - 1))).alias("density"))
 
@@ -171,16 +252,18 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
                 degree[b] += w
                 if a != b:
                     near[a][b], near[b][a] = w, w
-            of, sums, moved, rounds = {x: x for x in groups}, dict(degree), True, 0
-            while moved and rounds < 100:
-                moved, rounds = False, rounds + 1
+            of, sums, moved = {x: x for x in groups}, dict(degree), True
+            while moved:  # each move raises modularity by more than rounding, so it ends
+                moved = False
                 for x in sorted(groups):
                     own, links = of[x], {}
                     for y, w in near[x].items():
                         links[of[y]] = links.get(of[y], 0.0) + w
                     sums[own] -= degree[x]
                     gain = lambda c: links.get(c, 0.0) - resolution * sums[c] * degree[x] / (2 * total)  # noqa: B023, E731
-                    best = min(sorted({own, *links}), key=lambda c: (-round(gain(c), 12), c != own, c))  # noqa: B023
+                    best = min(sorted({own, *links}), key=lambda c: (-gain(c), c))  # noqa: B023
+                    if gain(best) <= gain(own) + 1e-9 * total:
+                        best = own
                     sums[best] += degree[x]
                     if best != own:
                         of[x], moved = best, True
@@ -197,28 +280,76 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         ordered = sorted((sorted(g) for g in groups.values()), key=lambda g: (-len(g), g))
         return pd.DataFrame([(f"cluster-{i}", x) for i, g in enumerate(ordered) for x in g], columns=["cluster_id", "skill_id"])
 
-    return edges.groupBy(F.lit("all").alias("group")).applyInPandas(cluster, "cluster_id string, skill_id string")
+    return at_most(edges, MAX_EDGES, "edges").groupBy(F.lit("all").alias("group")).applyInPandas(cluster, "cluster_id string, skill_id string")
+
+
+def recent_edges(edges: DataFrame, current: str | None = None, last: int = 4) -> DataFrame:
+    """edges (period, ...) up to the current period, if they have it, with is_recent: in one of the last periods that they have."""
+    periods = edges.select("period").distinct()
+    if current is not None:
+        has = periods.agg(F.max((F.col("period") == current).cast("int")).alias("has"))
+        periods = periods.join(F.broadcast(has), (F.col("has") != 1) | (F.col("period") <= current)).select("period")  # one row
+    place = F.dense_rank().over(Window.orderBy(F.desc("period")))  # one row a period
+    return edges.join(F.broadcast(periods.select("period", (place <= last).alias("is_recent"))), "period")
+
+
+def catalogue_hits(members: DataFrame, names: DataFrame, catalogue: DataFrame, distance: float = 0.4) -> DataFrame:
+    """cluster_id, code: the first entry of a catalogue (code, name, skill_ids) that a cluster is near to by skills or that shares its name.
+
+    names is (cluster_id, name). Names are compared without blanks and in lower case; one may hold the other. Names meet by a product of
+    clusters and entries, both small.
+    """
+    size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    entries = catalogue.select("code", F.explode("skill_ids").alias("skill_id")).distinct()
+    common = members.join(entries, "skill_id").groupBy("cluster_id", "code").agg(F.count("*").alias("common"))
+    near = common.join(entries.groupBy("code").agg(F.count("*").alias("n")), "code").join(size, "cluster_id").where(1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common")) < distance).select("cluster_id", "code")
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    named = names.select("cluster_id", plain(F.col("name")).alias("x")).where("x <> ''").crossJoin(catalogue.select("code", plain(F.col("name")).alias("y")).where("y <> ''"))
+    return near.union(named.where(F.contains("x", "y") | F.contains("y", "x")).select("cluster_id", "code")).groupBy("cluster_id").agg(F.min("code").alias("code"))
 
 
-def emerging_gates(members: DataFrame, recent: DataFrame, earlier: DataFrame, burst_skills: DataFrame, roles: DataFrame, ratio: float = 2.0, distance: float = 0.4) -> DataFrame:
-    """Of each cluster the gates in order (new, bursting, two sources, far from roles), the first that fails, and the strength.
+def emerging_gates(members: DataFrame, edges: DataFrame, burst_skills: DataFrame, roles: DataFrame, catalogue: DataFrame | None = None, names: DataFrame | None = None, ratio: float = 2.0, distance: float = 0.4) -> DataFrame:
+    """Of each cluster the gates in order (new, bursting, two sources, far from roles, in no catalogue), the first that fails, strength,
+    zone and evidence_count.
 
-    recent and earlier are (source_id, a, b, weight); roles is (role_id, skill_id).
+    edges is (source_id, a, b, weight, is_recent), roles (role_id, skill_id), names (cluster_id, name). A source sees a cluster if its recent
+    edges touch half of its skills, two at least, and one lies within. The edges are pooled once and read again.
     """
-    pooled = lambda e: e.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    now, then = cluster_density(pooled(recent), members), cluster_density(pooled(earlier), members).select("cluster_id", F.col("density").alias("was"))
+    e = kept(edges.groupBy("is_recent", "source_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)).alias("weight")))
+    now, then = cluster_density(e.where("is_recent"), members), cluster_density(e.where("not is_recent"), members).select("cluster_id", F.col("density").alias("was"))
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
     burst = members.join(burst_skills.distinct(), "skill_id", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n_bursts"))
-    ends = recent.join(members.withColumnRenamed("skill_id", "a"), "a").select("source_id", "cluster_id", F.col("a"), F.col("b")).join(members.select(F.col("skill_id").alias("b"), F.col("cluster_id").alias("c2")), "b").where("cluster_id = c2 and a <> b")
-    seen = ends.select("cluster_id", "source_id", F.col("a").alias("s")).union(ends.select("cluster_id", "source_id", "b")).distinct().groupBy("cluster_id", "source_id").agg(F.count("*").alias("covered")).join(size, "cluster_id")
-    sources = seen.where(F.col("covered") >= F.greatest(F.lit(2), F.ceil(F.col("size") / 2))).groupBy("cluster_id").agg(F.count("*").alias("n_sources"))
+    touched = e.where("is_recent").select("source_id", F.explode(F.array("a", "b")).alias("skill_id")).distinct()
+    covered = touched.join(members, "skill_id").groupBy("cluster_id", "source_id").agg(F.count("*").alias("covered")).join(size, "cluster_id")
+    inside = within(e.where("is_recent"), members)
+    sources = covered.where(F.col("covered") >= F.greatest(F.lit(2), F.floor(0.5 * F.col("size") + 0.999))).join(inside.select("cluster_id", "source_id"), ["cluster_id", "source_id"], "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n_sources"))
+    links = inside.where("a <> b and weight > 0").select("cluster_id", "a", "b").distinct().groupBy("cluster_id").agg(F.count("*").alias("n_links"))
     role_size = roles.groupBy("role_id").agg(F.count("*").alias("role_size"))
     common = members.join(roles, "skill_id").groupBy("cluster_id", "role_id").agg(F.count("*").alias("common")).join(role_size, "role_id").join(size, "cluster_id")
     near = common.groupBy("cluster_id").agg(F.min(1 - F.col("common") / (F.col("role_size") + F.col("size") - F.col("common"))).alias("d"))
-    t = now.join(then, "cluster_id").join(size, "cluster_id").join(burst, "cluster_id", "left").join(sources, "cluster_id", "left").join(near, "cluster_id", "left").na.fill({"n_bursts": 0, "n_sources": 0, "d": 1.0})
+    t = now.join(then, "cluster_id").join(size, "cluster_id")
+    for other in (burst, sources, links, near):
+        t = t.join(other, "cluster_id", "left")
+    t = t.na.fill({"n_bursts": 0, "n_sources": 0, "n_links": 0, "d": 1.0})
+    hits = catalogue_hits(members, names, catalogue, distance) if catalogue is not None and names is not None else None
+    t = t.join(hits, "cluster_id", "left") if hits is not None else t.withColumn("code", F.lit(None).cast("string"))
     t = t.withColumn("density_ratio", F.when(F.col("was") > 0, F.col("density") / F.col("was")).when(F.col("density") > 0, 99.0).otherwise(0.0))
-    failed = F.when(F.col("density_ratio") < ratio, "not_new").when(F.col("n_bursts") < 2, "few_bursts").when(F.col("n_sources") < 2, "one_source").when(F.col("d") < distance, "near_role")
+    failed = F.when(F.col("density_ratio") < ratio, "not_new").when(F.col("n_bursts") < 2, "few_bursts").when(F.col("n_sources") < 2, "one_source").when(F.col("d") < distance, "near_role").when(F.col("code").isNotNull(), "in_catalogue")
     score = F.when(F.col("density_ratio") >= 99, 1.0).when(F.col("density_ratio") <= 1, 0.0).otherwise(F.least(F.log2("density_ratio") / 2, F.lit(1.0)))
     strength = (F.col("n_bursts") / F.col("size") + F.least(F.col("n_sources") / 3, F.lit(1.0)) + F.least(F.col("d") / 0.8, F.lit(1.0)) + score) / 4
     t = t.withColumn("failed_gate", failed).withColumn("strength", strength)
-    return t.select("cluster_id", F.col("size").cast("long").alias("size"), "density_ratio", F.col("n_bursts").cast("long").alias("n_bursts"), F.col("n_sources").cast("long").alias("n_sources"), F.col("d").alias("min_distance"), "failed_gate", "strength", F.when(F.col("strength") >= 0.65, "publish").otherwise("watch").alias("zone"))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return t.select("cluster_id", whole("size"), "density_ratio", whole("n_bursts"), whole("n_sources"), F.col("d").alias("min_distance"), F.col("code").alias("catalogue_code"), "failed_gate", "strength", F.when(F.col("strength") >= 0.65, "publish").otherwise("watch").alias("zone"), (F.col("n_sources") + F.col("n_bursts") + F.col("n_links")).cast("long").alias("evidence_count"))
+
+
+def discover_emerging(edges: DataFrame, burst_skills: DataFrame, roles: DataFrame, catalogue: DataFrame, version: str, current: str | None = None, least: int = 3) -> DataFrame:
+    """role_id, name, skill_ids, zone, state, strength, evidence_count: clusters of recent edges (source_id, period, a, b, weight) that pass
+    all gates, the strongest first."""
+    flagged = recent_edges(edges, current)
+    found = louvain(pooled(flagged.where("is_recent")))
+    members = kept(found.withColumn("n", F.count("*").over(Window.partitionBy("cluster_id"))).where(F.col("n") >= least).select("cluster_id", "skill_id"))
+    ids = members.groupBy("cluster_id").agg(F.sort_array(F.collect_list("skill_id")).alias("skill_ids")).withColumn("name", F.array_join(F.slice("skill_ids", 1, 3), "-"))
+    passed = emerging_gates(members, flagged, burst_skills, roles, catalogue, ids).where("failed_gate is null").join(ids, "cluster_id")
+    role = F.concat(F.lit("cand-"), F.substring(F.md5(F.concat(F.lit(f"{version}:"), F.array_join("skill_ids", ",")).cast("binary")), 1, 12))
+    state = F.when(F.col("zone") == "publish", "held").otherwise("unverified")
+    return passed.select(role.alias("role_id"), "name", "skill_ids", "zone", state.alias("state"), "strength", "evidence_count").orderBy("zone", F.desc("strength"), "role_id")

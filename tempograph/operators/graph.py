@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import check_period, last_day
+from ..sources.shared import at_most
+
+#: Edges of a vocabulary's graph that one task may hold.
+MAX_EDGES = 2_000_000
 
 #: Weight bands of the tiers, half-open.
 TIERS = {"high": (0.7, 1.01), "medium": (0.3, 0.7), "low": (0.0, 0.3)}
@@ -63,19 +67,21 @@ def compare_roles(obs: DataFrame, a: str, b: str, period: str) -> DataFrame:
     return left.join(right, "skill_id", "full_outer").select("skill_id", side.alias("side"), "weight_a", "weight_b", F.round(F.col("weight_b") - F.col("weight_a"), 6).alias("delta"))
 
 
-def cooccurrence(edges: DataFrame, skill: str, limit: int = 50) -> DataFrame:
+def cooccurrence(edges: DataFrame, skill: str, limit: int = 200) -> DataFrame:
     """skill_id, shared_roles, max_weight of the skills that share roles with one."""
     roles = edges.where(F.col("skill_id") == skill).select("role_id").distinct()
     near = edges.join(roles, "role_id", "left_semi").where(F.col("skill_id") != skill)
-    return near.groupBy("skill_id").agg(F.countDistinct("role_id").alias("shared_roles"), F.max("weight").alias("max_weight")).orderBy(F.desc("shared_roles"), F.desc("max_weight"), "skill_id").limit(limit)
+    return near.groupBy("skill_id").agg(F.count_distinct("role_id").alias("shared_roles"), F.max("weight").alias("max_weight")).orderBy(F.desc("shared_roles"), "skill_id").limit(limit)
 
 
-def cooccurrence_two_hops(edges: DataFrame, skill: str, first: int = 5, limit: int = 50) -> DataFrame:
-    """via, skill_id, shared_roles: the neighbours of the closest neighbours."""
-    via = cooccurrence(edges, skill, first).select(F.col("skill_id").alias("via"))
-    roles = edges.join(F.broadcast(via), edges.skill_id == via.via).select("role_id", "via")  # at most `first` rows
-    far = roles.join(edges.select("role_id", "skill_id"), "role_id").where((F.col("skill_id") != F.col("via")) & (F.col("skill_id") != skill))
-    return far.groupBy("via", "skill_id").agg(F.countDistinct("role_id").alias("shared_roles")).orderBy(F.desc("shared_roles"), "via", "skill_id").limit(limit)
+def cooccurrence_two_hops(edges: DataFrame, skill: str, limit: int = 200) -> DataFrame:
+    """via, hop1, skill_id, hop2: the neighbours of all neighbours, and in how many roles each step is."""
+    e = edges.select("role_id", "skill_id").distinct()
+    roles = e.where(F.col("skill_id") == skill).select("role_id")
+    via = e.join(roles, "role_id", "left_semi").where(F.col("skill_id") != skill).groupBy(F.col("skill_id").alias("via")).agg(F.count("*").alias("hop1"))
+    of = e.join(via, e.skill_id == via.via).select("role_id", "via", "hop1")
+    far = of.join(e, "role_id").where((F.col("skill_id") != F.col("via")) & (F.col("skill_id") != skill))
+    return far.groupBy("via", "hop1", "skill_id").agg(F.count("*").alias("hop2")).orderBy(F.desc("hop1"), F.desc("hop2"), "via", "skill_id").limit(limit)
 
 
 def pair_counts(edges: DataFrame) -> DataFrame:
@@ -101,14 +107,29 @@ def prerequisites_by_asymmetry(edges: DataFrame, least: int = 3, high: float = 0
     return p.select(F.when(forward, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(forward, F.col("a")).otherwise(F.col("b")).alias("dst"), F.lit("asymmetry").alias("rule"), F.least(F.lit(1.0), F.abs(F.col("b_given_a") - F.col("a_given_b"))).alias("confidence"))
 
 
-def prerequisites_by_seniority(rows: DataFrame, pairs: DataFrame, least: int = 2, share: float = 0.6, gap: float = 0.3) -> DataFrame:
-    """rows is (skill_id, band junior or senior): of co-occurring skills, the junior one comes before the senior one."""
-    n = rows.groupBy("skill_id").agg(F.count("*").alias("n"), F.avg((F.col("band") == "junior").cast("double")).alias("junior")).where(F.col("n") >= least)
-    a = n.select(F.col("skill_id").alias("src"), F.col("junior").alias("j"))
-    b = n.select(F.col("skill_id").alias("dst"), (1 - F.col("junior")).alias("s"), F.col("junior").alias("dst_junior"))
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select(F.col("b"), F.col("a")))
-    met = both.join(a, "src").join(b, "dst").where((F.col("j") >= share) & (F.col("s") >= share) & (F.col("j") - F.col("dst_junior") >= gap))
-    return met.select("src", "dst", F.lit("seniority").alias("rule"), F.least(F.lit(0.8), F.col("j") - F.col("dst_junior")).alias("confidence"))
+#: What marks a role's name as junior or senior.
+JUNIOR = ["初级", "实习", "助理", "junior", "intern", "assistant"]
+SENIOR = ["高级", "资深", "专家", "架构", "senior", "staff", "principal", "architect"]
+
+
+def role_band(name: Column) -> Column:
+    """junior or senior, if the name has marks of one of them only; else null."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    junior, senior = (F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m)) for marks in (JUNIOR, SENIOR))
+    return F.when(junior & ~senior, "junior").when(senior & ~junior, "senior")
+
+
+def prerequisites_by_seniority(rows: DataFrame, least: int = 2, share: float = 0.6, gap: float = 0.3) -> DataFrame:
+    """rows is (skill_id, band), one a role: of any two skills, the one of junior roles comes before the one of senior roles.
+
+    Shares meet by steps of 0.05, so that the join is one on a key.
+    """
+    n = rows.where(F.col("band").isin("junior", "senior")).groupBy("skill_id").agg(F.count("*").alias("n"), F.avg((F.col("band") == "junior").cast("double")).alias("junior")).where(F.col("n") >= least)
+    step = lambda c: F.floor(c * 20).cast("int")
+    a = n.where(F.col("junior") >= share).select(F.col("skill_id").alias("src"), F.col("junior").alias("j"), F.explode(F.sequence(F.lit(0), step(F.col("junior") - gap) + 1)).alias("step"))
+    b = n.where(1 - F.col("junior") >= share).select(F.col("skill_id").alias("dst"), F.col("junior").alias("dj"), step(F.col("junior")).alias("step"))
+    met = a.join(b, "step").where((F.col("j") - F.col("dj") >= gap) & (F.col("src") != F.col("dst")))
+    return met.select("src", "dst", F.lit("seniority").alias("rule"), F.least(F.lit(0.8), F.col("j") - F.col("dj")).alias("confidence"))
 
 
 #: Which rule's edges are taken first.
@@ -137,4 +158,4 @@ def select_acyclic(candidates: DataFrame) -> DataFrame:
                 keep.append(i)
         return rows.loc[keep, ["src", "dst", "rule", "confidence"]]
 
-    return candidates.groupBy(F.lit("all").alias("group")).applyInPandas(pick, "src string, dst string, rule string, confidence double")
+    return at_most(candidates, MAX_EDGES, "candidate edges").groupBy(F.lit("all").alias("group")).applyInPandas(pick, "src string, dst string, rule string, confidence double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import at_most, kept
+
 #: Bounds of the tiers (required coverage, weighted coverage, missing critical skills) and weights of the ranking score.
 STRONG, ADEQUATE, GAPPED = (0.85, 0.80, 0), (0.60, 0.50, 1), (0.30, 0.30)
 SCORE = (0.5, 0.4, 0.1)
@@ -21,29 +23,37 @@ def merge_specs(specs: DataFrame) -> DataFrame:
 
 
 def judge(profiles: DataFrame, specs: DataFrame) -> DataFrame:
-    """Every profile against every role, skill by skill; reduced through the specs of roles, which are few."""
-    ids = profiles.select("profile_id").distinct()
-    wanted = ids.withColumn("one", F.lit(0)).join(F.broadcast(specs.withColumn("one", F.lit(0))), "one").drop("one")
+    """Every profile against every role, skill by skill: the result is as large as profiles times specs."""
     held = F.coalesce("level", F.lit(0))
-    j = wanted.join(profiles, ["profile_id", "skill_id"], "left")
+    j = profiles.select("profile_id").distinct().crossJoin(specs).join(profiles, ["profile_id", "skill_id"], "left")
     verdict = F.when(held >= F.col("required_level"), "satisfied").when(F.col("level").isNull(), "missing").otherwise("insufficient")
-    return j.select("profile_id", "role_id", "skill_id", "necessity", "importance", "required_level", held.alias("held_level"), verdict.alias("verdict"))
+    return j.select("profile_id", "role_id", "skill_id", "necessity", "importance", "required_level", held.alias("held_level"), F.col("level").isNotNull().alias("present"), verdict.alias("verdict"))
+
 
+def metrics(profiles: DataFrame, specs: DataFrame, critical: int = 3) -> DataFrame:
+    """profile_id, role_id, required_coverage, bonus_coverage, weighted_coverage, partial, n_critical, critical_missing.
 
-def metrics(judged: DataFrame, critical: int = 3) -> DataFrame:
-    """profile_id, role_id, required_coverage, bonus_coverage, weighted_coverage, partial, n_critical, critical_missing."""
-    w = Window.partitionBy("profile_id", "role_id").orderBy(F.col("necessity").desc(), F.desc("importance"), "skill_id")
-    req, ok = F.col("necessity") == "required", (F.col("verdict") == "satisfied").cast("double")
-    top = req & (F.row_number().over(w) <= critical)
-    j = judged.withColumn("critical", top)
-    share = F.when(F.col("required_level") == 0, 1.0).otherwise(F.least(F.col("held_level") / F.col("required_level"), F.lit(1.0)))
-    one = F.lit(1.0)
-    of = lambda x, where: F.coalesce(F.avg(F.when(where, x)), one)
-    imp = F.sum(F.when(req, F.col("importance")))
-    weigh = lambda x: F.when(imp.isNull() | (imp == 0), one).otherwise(F.sum(F.when(req, F.col("importance") * x)) / imp)
-    return j.groupBy("profile_id", "role_id").agg(
-        of(ok, req).alias("required_coverage"), of(ok, ~req).alias("bonus_coverage"), weigh(ok).alias("weighted_coverage"), weigh(share).alias("partial"),
-        F.sum(F.col("critical").cast("long")).alias("n_critical"), F.sum((F.col("critical") & (F.col("held_level") == 0)).cast("long")).alias("critical_missing"))
+    Only skills that a profile holds and a role asks for meet; what is missing comes from the sums of the role. So there is one row
+    for a profile and role, and none for each of the role's skills. A required level of 0 is satisfied by everyone.
+    """
+    req = F.col("necessity") == "required"
+    place = F.row_number().over(Window.partitionBy("role_id").orderBy(F.desc(req), F.desc("importance"), "skill_id"))
+    s = specs.select("role_id", "skill_id", req.alias("req"), F.col("importance").cast("double").alias("importance"), "required_level", (req & (place <= critical)).alias("critical"), (F.col("required_level") <= 0).alias("free"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    r, f, imp = F.col("req"), F.col("free"), F.col("importance")
+    roles = s.groupBy("role_id").agg(total(one(r)).alias("n_req"), total(one(~r)).alias("n_bonus"), total(F.when(r, imp)).alias("imp"), total(one(F.col("critical"))).alias("n_critical"),
+                                     total(one(r & f)).alias("req0"), total(one(~r & f)).alias("bonus0"), total(F.when(r & f, imp)).alias("imp0"))
+    held = F.col("level")
+    ok = ~f & (held >= F.col("required_level"))
+    part = F.when(f, 0.0).otherwise(F.least(held / F.col("required_level"), F.lit(1.0)))
+    met = profiles.select("profile_id", "skill_id", "level").join(s, "skill_id").groupBy("profile_id", "role_id").agg(
+        total(one(r & ok)).alias("req1"), total(one(~r & ok)).alias("bonus1"), total(F.when(r & ok, imp)).alias("imp1"), total(F.when(r, imp * part)).alias("part1"), total(one(F.col("critical") & (held > 0))).alias("critical1"))
+    j = profiles.select("profile_id").distinct().crossJoin(roles).join(met, ["profile_id", "role_id"], "left").na.fill(0.0)
+    share = lambda n, of: F.when(F.col(of) == 0, 1.0).otherwise(n / F.col(of))
+    c = F.col
+    return j.select("profile_id", "role_id", share(c("req0") + c("req1"), "n_req").alias("required_coverage"), share(c("bonus0") + c("bonus1"), "n_bonus").alias("bonus_coverage"), share(c("imp0") + c("imp1"), "imp").alias("weighted_coverage"),
+                    share(c("imp0") + c("part1"), "imp").alias("partial"), c("n_critical").cast("long").alias("n_critical"), (c("n_critical") - c("critical1")).cast("long").alias("critical_missing"))
 
 
 def tier(m: DataFrame) -> DataFrame:
@@ -54,10 +64,43 @@ def tier(m: DataFrame) -> DataFrame:
 
 
 def gaps(judged: DataFrame, burst_weights: DataFrame) -> DataFrame:
-    """Missing and insufficient skills with urgency; burst_weights is (skill_id, burst)."""
-    lack = judged.where("verdict <> 'satisfied'").join(burst_weights, "skill_id", "left")
-    deficit = F.when(F.col("verdict") == "missing", 1.0).otherwise((F.col("required_level") - F.col("held_level")) / F.col("required_level"))
-    return lack.select("profile_id", "role_id", "skill_id", F.col("verdict").alias("kind"), (F.col("importance") * deficit * (1 + F.greatest(F.coalesce("burst", F.lit(0.0)), F.lit(0.0)))).alias("urgency"))
+    """Missing and insufficient skills with urgency; burst_weights is (skill_id, burst).
+
+    A skill that isn't there is missing even where level 0 is asked for.
+    """
+    lack = judged.where(~F.col("present") | (F.col("held_level") < F.col("required_level"))).join(burst_weights, "skill_id", "left")
+    deficit = F.when(~F.col("present"), 1.0).otherwise((F.col("required_level") - F.col("held_level")) / F.col("required_level"))
+    return lack.select("profile_id", "role_id", "skill_id", F.when(F.col("present"), "insufficient").otherwise("missing").alias("kind"), F.greatest(F.col("importance") * deficit * (1 + F.greatest(F.coalesce("burst", F.lit(0.0)), F.lit(0.0))), F.lit(0.0)).alias("urgency"))
+
+
+def surplus(profiles: DataFrame, specs: DataFrame) -> DataFrame:
+    """profile_id, role_id, skill_id, held_level: what a profile holds and a role doesn't ask for."""
+    roles = specs.select("role_id").distinct()
+    return profiles.crossJoin(roles).join(specs.select("role_id", "skill_id"), ["role_id", "skill_id"], "left_anti").select("profile_id", "role_id", "skill_id", F.col("level").alias("held_level"))
+
+
+#: Names of the tiers in explanations.
+TIER_NAMES = {"strong": "高度匹配", "adequate": "基本匹配", "gapped": "有明显差距", "mismatch": "不匹配"}
+
+
+def rationale(diagnosed: DataFrame) -> Column:
+    """Why a tier was given, of tier, required_coverage, weighted_coverage, critical_missing, n_missing and n_insufficient."""
+    percent = lambda c: F.concat(F.bround(F.col(c) * 100, 0).cast("long").cast("string"), F.lit("%"))
+    some = lambda text, c, end: F.when(F.col(c) > 0, F.concat(F.lit(text), F.col(c).cast("string"), F.lit(end))).otherwise("")
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in TIER_NAMES.items() for x in kv]), F.col("tier"))
+    return F.concat(F.lit("判定为「"), name, F.lit("」。必备技能覆盖率 "), percent("required_coverage"), F.lit("，加权覆盖率 "), percent("weighted_coverage"), F.lit("。"), some("关键技能缺失 ", "critical_missing", " 项。"), some("完全缺失 ", "n_missing", " 项。"), some("水平不足 ", "n_insufficient", " 项。"))
+
+
+def diagnose(profiles: DataFrame, specs: DataFrame, burst_weights: DataFrame) -> DataFrame:
+    """profile_id, role_id, tier, score, coverage, n_missing, n_insufficient, n_surplus, rationale, better_fit (three roles, if there is a surplus)."""
+    m = metrics(profiles, specs)
+    g = gaps(judge(profiles, specs), burst_weights).groupBy("profile_id", "role_id").agg(F.count_if(F.col("kind") == "missing").alias("n_missing"), F.count_if(F.col("kind") == "insufficient").alias("n_insufficient"))
+    more = surplus(profiles, specs).groupBy("profile_id", "role_id").agg(F.count("*").alias("n_surplus"))
+    d = m.join(tier(m), ["profile_id", "role_id"]).join(g, ["profile_id", "role_id"], "left").join(more, ["profile_id", "role_id"], "left").na.fill(0, ["n_missing", "n_insufficient", "n_surplus"])
+    best = recommend(tier(m), 4).groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("place", F.col("role_id").alias("role")))).alias("best"))
+    others = F.slice(F.transform(F.filter("best", lambda b: b["role"] != F.col("role_id")), lambda b: b["role"]), 1, 3)
+    fit = F.when(F.col("n_surplus") > 0, others).otherwise(F.array().cast("array<string>"))
+    return d.join(best, "profile_id").select("profile_id", "role_id", "tier", "score", F.col("weighted_coverage").alias("coverage"), "n_missing", "n_insufficient", "n_surplus", rationale(d).alias("rationale"), fit.alias("better_fit"))
 
 
 def recommend(tiers: DataFrame, k: int = 3) -> DataFrame:
@@ -65,67 +108,206 @@ def recommend(tiers: DataFrame, k: int = 3) -> DataFrame:
     return tiers.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """skill_id, needs: all that comes before a skill, by joins until nothing is new; edges is (src, dst) over vocabulary skills."""
-    step = edges.select(F.col("dst").alias("skill_id"), F.col("src").alias("needs")).where("skill_id <> needs").distinct().persist()
-    found, n = step, step.count()
-    for _ in range(most):
-        longer = found.join(step.select(F.col("skill_id").alias("needs"), F.col("needs").alias("far")), "needs").select("skill_id", F.col("far").alias("needs")).where("skill_id <> needs")
-        found = found.union(longer).distinct().persist()
+def closure(edges: DataFrame, satisfied: DataFrame | None = None) -> DataFrame:
+    """skill_id, needs: all that comes before a skill, however far; edges is (src, dst) over vocabulary skills.
+
+    What is satisfied (skill_id) isn't needed, nor is what lies behind it only. Paths double in length until nothing is new.
+    """
+    found = edges.select(F.col("dst").alias("skill_id"), F.col("src").alias("needs")).where("skill_id <> needs").distinct()
+    if satisfied is not None:
+        found = found.join(satisfied.select(F.col("skill_id").alias("needs")), "needs", "left_anti").select("skill_id", "needs")
+    found = kept(found)
+    n = found.count()
+    while True:
+        longer = found.join(found.select(F.col("skill_id").alias("needs"), F.col("needs").alias("far")), "needs").select("skill_id", F.col("far").alias("needs")).where("skill_id <> needs")
+        found = kept(found.union(longer).distinct())
         if (now := found.count()) == n:
-            break
+            return found
         n = now
-    return found
 
 
-def learning_path(targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """profile_id, step_order, skill_id, urgency: prerequisites first, then by urgency inherited from what needs them, then by id.
+def strong_components(after: dict[str, list[str]]) -> list[list[str]]:
+    """Strongly connected components of a graph (node -> successors), each after all that it leads to."""
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    inside: set[str] = set()
+    out = []
+    for root in after:
+        if root in number:
+            continue
+        walk = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        inside.add(root)
+        while walk:
+            x, rest = walk[-1]
+            for y in rest:
+                if y not in number:
+                    number[y] = low[y] = len(number)
+                    held.append(y)
+                    inside.add(y)
+                    walk.append((y, iter(after[y])))
+                    break
+                if y in inside:
+                    low[x] = min(low[x], number[y])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[x])
+                if low[x] == number[x]:
+                    at = held.index(x)
+                    out.append(held[at:])
+                    inside.difference_update(held[at:])
+                    del held[at:]
+    return out
+
+
+def path_order(before: dict[str, set[str]], urgency: dict[str, float]) -> list[tuple[str, bool]]:
+    """Skills, and whether each is in a cycle: components in an order that keeps prerequisites first, of those at hand the most urgent.
+
+    before has the prerequisites of each skill to learn, among these. In a cycle the most urgent skill is first.
+    """
+    import heapq
+
+    after: dict[str, list[str]] = {s: [] for s in sorted(before)}
+    for s in sorted(before):
+        for x in sorted(before[s]):
+            after[x].append(s)
+    parts = strong_components(after)
+    part_of = {s: i for i, p in enumerate(parts) for s in p}
+    waits = [len({part_of[x] for s in p for x in before[s]} - {i}) for i, p in enumerate(parts)]
+    opens: list[set[int]] = [{part_of[y] for s in p for y in after[s]} - {i} for i, p in enumerate(parts)]
+    rank = lambda i: (-max(urgency[s] for s in parts[i]), min(parts[i]), i)
+    ready = [rank(i) for i, n in enumerate(waits) if n == 0]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        i = heapq.heappop(ready)[2]
+        out += [(s, len(parts[i]) > 1) for s in sorted(parts[i], key=lambda s: (-urgency[s], s))]
+        for k in opens[i]:
+            waits[k] -= 1
+            if waits[k] == 0:
+                heapq.heappush(ready, rank(k))
+    return out
+
+
+def plan_path(seeds: dict[str, float], before: dict[str, list[str]], satisfied: set[str]) -> list[dict]:
+    """Steps of one profile: seeds (skill -> urgency) and what they need that isn't satisfied, prerequisites first.
 
-    targets is (profile_id, skill_id, urgency); a profile's part of the prerequisite graph is one group.
+    A prerequisite is at least as urgent as what needs it.
     """
-    near = closure(edges)
-    wanted = targets.select("profile_id", "skill_id", "urgency")
-    passed = wanted.join(near, "skill_id").select("profile_id", F.col("needs").alias("skill_id"), "urgency")
-    nodes = wanted.union(passed).groupBy("profile_id", "skill_id").agg(F.max("urgency").alias("urgency"))
-    inner = nodes.select("profile_id", F.col("skill_id").alias("dst")).join(edges.select("src", "dst").distinct(), "dst").join(nodes.select("profile_id", F.col("skill_id").alias("src")), ["profile_id", "src"]).groupBy("profile_id", F.col("dst").alias("skill_id")).agg(F.collect_set("src").alias("before"))
+    urgency, open_ = dict(seeds), sorted(seeds)
+    while open_:
+        new = sorted({p for s in open_ for p in before.get(s, ()) if p not in satisfied and p not in urgency})
+        urgency |= dict.fromkeys(new, 0.0)
+        open_ = new
+    needs = {s: {p for p in before.get(s, ()) if p in urgency and p != s} for s in urgency}
+    spread = sorted(urgency, key=lambda s: -urgency[s])
+    while spread:
+        again = []
+        for s in spread:
+            for p in needs[s]:
+                if urgency[p] < urgency[s]:
+                    urgency[p] = urgency[s]
+                    again.append(p)
+        spread = again
+    order = path_order(needs, urgency)
+    place = {s: i for i, (s, _) in enumerate(order)}
+    steps = []
+    for i, (s, cyclic) in enumerate(order):
+        pres = [p for p in before.get(s, ()) if p != s]
+        blocking = [p for p in pres if p in place and place[p] < i]
+        said = ["依赖图存在环，已按紧迫度降级插入，不再等待循环依赖"] * cyclic + ["作为后续技能点的前置被纳入路径"] * (s not in seeds)
+        said += [f"前置 {', '.join(blocking)} 已排在更前"] if blocking else [] if cyclic else ["当前可学（前置已掌握或不存在）"]
+        steps.append({"step_order": i + 1, "skill_id": s, "urgency": float(urgency[s]), "in_cycle": cyclic, "implicit": s not in seeds, "prerequisites": pres, "blocking": blocking, "reason": "；".join([*said, f"紧迫度为 {urgency[s]:.2f}"])})
+    return steps
 
-    def order(rows):
-        import heapq
 
+#: Prerequisites that are sent to all tasks at most: a vocabulary's graph.
+MAX_PREREQUISITES = 2_000_000
+
+
+def learning_path(targets: DataFrame, edges: DataFrame, satisfied: DataFrame | None = None) -> DataFrame:
+    """profile_id, step_order, skill_id, urgency, in_cycle, implicit, prerequisites, blocking, reason.
+
+    targets is (profile_id, skill_id, urgency), satisfied (profile_id, skill_id); the prerequisite graph (src, dst) of a vocabulary is
+    sent to all tasks, after a check of its size. One profile's skills are a group.
+    """
+    known = at_most(edges.select("src", "dst").distinct(), MAX_PREREQUISITES, "prerequisites")
+    before: dict[str, list[str]] = {}
+    for src, dst in sorted(tuple(r) for r in known.collect()):
+        before.setdefault(dst, []).append(src)
+    shared = edges.sparkSession.sparkContext.broadcast(before)
+    rows = targets.select("profile_id", "skill_id", F.col("urgency").cast("double").alias("urgency"))
+    if satisfied is not None:
+        rows = rows.unionByName(satisfied.select("profile_id", "skill_id", F.lit(None).cast("double").alias("urgency")))
+    kind = dict(rows.dtypes)["profile_id"]
+
+    def plan(rows):
         import pandas as pd
 
-        urgency = dict(zip(rows["skill_id"], rows["urgency"]))
-        before = {s: {x for x in ([] if b is None else b) if x in urgency and x != s} for s, b in zip(rows["skill_id"], rows["before"])}
-        after: dict[str, list[str]] = {}
-        for s, b in before.items():
-            for x in b:
-                after.setdefault(x, []).append(s)
-        ready = [(-urgency[s], s) for s, b in before.items() if not b]
-        heapq.heapify(ready)
-        done, out = set(), []
-        while len(out) < len(urgency):
-            if not ready:  # a cycle: its most urgent skill comes first
-                s = min((x for x in urgency if x not in done), key=lambda x: (-urgency[x], x))
-            else:
-                s = heapq.heappop(ready)[1]
-            if s in done:
-                continue
-            done.add(s)
-            out.append(s)
-            for x in after.get(s, ()):
-                before[x].discard(s)
-                if not before[x] and x not in done:
-                    heapq.heappush(ready, (-urgency[x], x))
-        p = rows["profile_id"].iloc[0]
-        return pd.DataFrame([(p, i, s, urgency[s]) for i, s in enumerate(out, 1)], columns=["profile_id", "step_order", "skill_id", "urgency"])
-
-    kind = dict(nodes.dtypes)["profile_id"]
-    return nodes.join(inner, ["profile_id", "skill_id"], "left").groupBy("profile_id").applyInPandas(order, f"profile_id {kind}, step_order int, skill_id string, urgency double")
-
-
-def gold_tier(family_match: Column, coverage: Column, education: Column, experience: Column) -> Column:
-    """The annotation rules: family first, then coverage, then education and experience lower the tier by one."""
-    low = ~education | ~experience
-    base = F.when(coverage >= 0.85, 3).when(coverage >= 0.6, 2).when(coverage >= 0.3, 1).otherwise(0)
-    level = F.when(~family_match, 0).otherwise(F.greatest(base - low.cast("int"), F.lit(0)))
-    return F.element_at(F.array(F.lit("mismatch"), F.lit("gapped"), F.lit("adequate"), F.lit("strong")), level + 1)
+        wanted = rows[rows["urgency"].notna()]
+        seeds = wanted.groupby("skill_id")["urgency"].max().to_dict()
+        steps = plan_path(seeds, shared.value, set(rows["skill_id"]) - set(seeds))
+        columns = ["step_order", "skill_id", "urgency", "in_cycle", "implicit", "prerequisites", "blocking", "reason"]
+        out = pd.DataFrame(steps, columns=columns)
+        out.insert(0, "profile_id", rows["profile_id"].iloc[0])
+        return out
+
+    return rows.groupBy("profile_id").applyInPandas(plan, f"profile_id {kind}, step_order int, skill_id string, urgency double, in_cycle boolean, implicit boolean, prerequisites array<string>, blocking array<string>, reason string")
+
+
+#: Families of skills that say nothing about direction, and the order of degrees.
+SOFT, GENERAL = "soft", "general"
+DEGREES = {"不限": 0, "大专": 1, "本科": 2, "硕士": 3, "博士": 4}
+
+
+def skill_family(profiles: DataFrame) -> DataFrame:
+    """profile_id, own_family: the family that most of a profile's skills (profile_id, skill_id, family) have, soft and general ones aside."""
+    n = profiles.where(F.col("family").isNotNull() & ~F.col("family").isin(SOFT, GENERAL)).groupBy("profile_id", "family").count()
+    return n.groupBy("profile_id").agg(F.min_by("family", F.struct(-F.col("count"), "family")).alias("own_family"))
+
+
+def gold_coverage(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
+    """profile_id, job_id, coverage, direction_coverage, n_dir_miss of profiles (profile_id, skill_id, level) and the skills of
+    jobs (job_id, job_family, skill_id, family, necessity, level_hint).
+
+    Soft skills don't count. A job without required skills is covered as if all were asked for, of which none can be satisfied.
+    """
+    t = jobs.where(~F.col("family").eqNullSafe(F.lit(SOFT))).withColumn("req", F.coalesce("necessity", F.lit("required")) == "required")
+    t = t.withColumn("need", F.coalesce("level_hint", F.when(F.col("req"), 2).otherwise(1))).withColumn("dir", F.col("family").eqNullSafe(F.col("job_family")))
+    any_req = F.max("req").over(Window.partitionBy("job_id"))
+    t = t.withColumn("counts", F.col("req") | ~any_req)
+    n = t.groupBy("job_id").agg(F.count_if("counts").alias("n"), F.count_if(F.col("counts") & F.col("dir")).alias("n_dir"))
+    ok = profiles.select("profile_id", "skill_id", "level").join(t.where("req"), "skill_id").where("level >= need").groupBy("profile_id", "job_id").agg(F.count("*").alias("ok"), F.count_if("dir").alias("ok_dir"))
+    every = jobs.select("job_id", "job_family").distinct().join(n, "job_id", "left").na.fill(0)
+    j = profiles.select("profile_id").distinct().crossJoin(every).join(ok, ["profile_id", "job_id"], "left").na.fill(0, ["ok", "ok_dir"])
+    share = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.col(a) / F.col(b))
+    return j.select("profile_id", "job_id", "job_family", share("ok", "n").alias("coverage"), share("ok_dir", "n_dir").alias("direction_coverage"), (F.col("n_dir") - F.col("ok_dir")).alias("n_dir_miss"))
+
+
+def education_fits(own: Column, asked: Column) -> Column:
+    rank = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DEGREES.items() for x in kv]), c), F.lit(0))
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.when(none(asked) | (asked == "不限"), True).when(none(own), False).otherwise(rank(own) >= rank(asked))
+
+
+def experience_fits(years: Column, asked: Column) -> Column:
+    return F.when(asked.isNull() | (asked <= 0), True).otherwise(F.coalesce(years >= asked, F.lit(False)))
+
+
+def gold_tier(rows: DataFrame) -> DataFrame:
+    """rows (coverage, direction_coverage, n_dir_miss, own_family, job_family, edu_ok, exp_ok) with family_mismatch, rule and tier: the
+    first rule that holds."""
+    c, miss, edu, exp = F.col("coverage"), F.col("n_dir_miss"), F.col("edu_ok"), F.col("exp_ok")
+    rows = rows.withColumn("family_mismatch", F.coalesce((F.col("own_family") != F.col("job_family")) & (F.col("direction_coverage") < 0.2), F.lit(False)))
+    rules = [("R1", F.col("family_mismatch")), ("R2", c < 0.3), ("R3", (c < 0.4) & ~edu & ~exp), ("R4", (c >= 0.9) & (miss == 0) & (edu | exp)), ("R5", (c >= 0.7) & (miss <= 1)), ("R6", c >= 0.4)]
+    rule = F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in rules], F.lit("R7"))
+    return rows.withColumn("rule", rule).withColumn("tier", F.when(F.col("rule") == "R4", "strong").when(F.col("rule") == "R5", "adequate").when(F.col("rule") == "R6", "gapped").otherwise("mismatch"))
+
+
+def rank_jobs(assigned: DataFrame) -> DataFrame:
+    """assigned (profile_id, job_id, tier, coverage, n_dir_miss) with place: by tier, coverage, missing skills of the direction, id."""
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in {"strong": 0, "adequate": 1, "gapped": 2, "mismatch": 3}.items() for x in kv]), F.col("tier"))
+    return assigned.withColumn("place", F.row_number().over(Window.partitionBy("profile_id").orderBy(order, F.desc("coverage"), "n_dir_miss", "job_id")))

@@ -19,14 +19,13 @@ def latest_period(obs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def market_moves(obs: DataFrame, period: str, previous: str, band: float = 0.02, top: int = 8) -> DataFrame:
-    """skill_id, delta, direction: the largest moves up and down; skills that are gone are not looked at."""
+    """skill_id, delta, direction, place: the largest moves beyond the band; skills that are gone are not looked at."""
     now = obs.where(F.col("period") == period).select("skill_id", "weight")
     before = obs.where(F.col("period") == previous).select("skill_id", F.col("weight").alias("was"))
-    delta = F.round(F.col("weight") - F.coalesce("was", F.lit(0.0)), 4)
-    moved = now.join(before, "skill_id", "left").select("skill_id", delta.alias("delta"))
-    moved = moved.withColumn("direction", F.when(F.col("delta") >= band, "up").when(F.col("delta") <= -band, "down").otherwise("flat"))
+    raw = F.col("weight") - F.coalesce("was", F.lit(0.0))
+    moved = now.join(before, "skill_id", "left").select("skill_id", F.round(raw, 4).alias("delta"), F.when(raw > band, "rise").when(raw < -band, "fall").alias("direction"))
     w = Window.partitionBy("direction").orderBy(F.desc(F.abs("delta")), "skill_id")
-    return moved.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return moved.where("direction is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
 def top_skills(obs: DataFrame, n: int = 12) -> DataFrame:

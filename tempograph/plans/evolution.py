@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evolve, graph, observe
@@ -121,15 +121,16 @@ def edges(spark, d) -> DataFrame:
     return graph.slice_of(obs(spark, d, ["company"]), B).select(F.col("company").alias("role_id"), "skill_id", "weight")
 
 
-NEAR = "SELECT n.skill_id, count(DISTINCT role_id) AS shared_roles, max(weight) AS max_weight FROM e n WHERE skill_id <> 'Brand#11' AND role_id IN (SELECT role_id FROM e WHERE skill_id = 'Brand#11') GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1"
+NEAR = "SELECT n.skill_id, count(DISTINCT role_id) AS shared_roles, max(weight) AS max_weight FROM e n WHERE skill_id <> 'Brand#11' AND role_id IN (SELECT role_id FROM e WHERE skill_id = 'Brand#11') GROUP BY 1 ORDER BY 2 DESC, 1"
 
 
-@query(f"{with_(CD, EDGES)} {NEAR} LIMIT 50")
+@query(f"{with_(CD, EDGES)} {NEAR} LIMIT 200")
 def cooccur_one_hop(spark, d):
     return graph.cooccurrence(edges(spark, d), "Brand#11")
 
 
-@query(f"{with_(CD, EDGES)}, v AS ({NEAR} LIMIT 5) SELECT v.skill_id AS via, f.skill_id, count(DISTINCT f.role_id) AS shared_roles FROM v JOIN e x USING (skill_id) JOIN e f ON x.role_id = f.role_id WHERE f.skill_id <> v.skill_id AND f.skill_id <> 'Brand#11' GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 50")
+@query(f"""{with_(CD, EDGES)}, mid AS (SELECT b.skill_id AS via, count(DISTINCT a.role_id) AS hop1 FROM e a JOIN e b USING (role_id) WHERE a.skill_id = 'Brand#11' AND b.skill_id <> 'Brand#11' GROUP BY 1)
+SELECT via, hop1, far.skill_id, count(DISTINCT far.role_id) AS hop2 FROM mid JOIN e c ON c.skill_id = via JOIN e far ON far.role_id = c.role_id WHERE far.skill_id <> 'Brand#11' AND far.skill_id <> via GROUP BY ALL ORDER BY hop1 DESC, hop2 DESC, via, far.skill_id LIMIT 200""")
 def cooccur_two_hop(spark, d):
     return graph.cooccurrence_two_hops(edges(spark, d), "Brand#11")
 
@@ -159,17 +160,19 @@ def prereq_asymmetry(spark, d):
     return graph.prerequisites_by_asymmetry(edges(spark, d), high=0.14, low=0.12)
 
 
-SENIOR = f"""sb AS (SELECT DISTINCT company, skill_id, CASE WHEN c_acctbal < 2000 THEN 'junior' ELSE 'senior' END AS band FROM p JOIN ms USING (posting_id) JOIN customer ON company = c_custkey WHERE period = '{B}' AND (c_acctbal < 2000 OR c_acctbal > 8000)),
-sn AS (SELECT skill_id, count(*) AS n, avg(CASE WHEN band = 'junior' THEN 1.0 ELSE 0.0 END) AS j FROM sb GROUP BY 1 HAVING count(*) >= 2),
-sp AS (SELECT DISTINCT x.skill_id AS src, y.skill_id AS dst FROM sb x JOIN sb y ON x.company = y.company AND x.skill_id <> y.skill_id),
-sen AS (SELECT src, dst, 'seniority' AS rule, least(0.8, a.j - b.j) AS confidence FROM sp JOIN sn a ON src = a.skill_id JOIN sn b ON dst = b.skill_id WHERE a.j >= 0.6 AND 1 - b.j >= 0.6 AND a.j - b.j >= 0.3)"""
+SENIOR = f"""sb AS (SELECT DISTINCT company, skill_id, CASE WHEN c_acctbal < 2000 THEN 'junior' WHEN c_acctbal > 8000 THEN 'senior' END AS band FROM p JOIN ms USING (posting_id) JOIN customer ON company = c_custkey WHERE period = '{B}'),
+sn AS (SELECT skill_id, count(*) FILTER (band = 'junior') AS jun, count(*) FILTER (band = 'senior') AS sen FROM sb GROUP BY 1),
+sen AS (SELECT a.skill_id AS src, b.skill_id AS dst, 'seniority' AS rule, least(0.8, a.jun / (a.jun + a.sen) - b.jun / (b.jun + b.sen)) AS confidence FROM sn a, sn b
+  WHERE a.skill_id <> b.skill_id AND a.jun + a.sen >= 2 AND b.jun + b.sen >= 2 AND a.jun / (a.jun + a.sen) >= 0.6 AND b.sen / (b.jun + b.sen) >= 0.6 AND a.jun / (a.jun + a.sen) - b.jun / (b.jun + b.sen) >= 0.3)"""
 
 
 @query(f"{with_(SENIOR)} SELECT * FROM sen")
 def prereq_seniority(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("company"), F.when(F.col("c_acctbal") < 2000, "junior").when(F.col("c_acctbal") > 8000, "senior").alias("band")).where("band is not null")
+    """Customers as roles; names that mark a band come from their balances."""
+    name = F.when(F.col("c_acctbal") < 2000, "Junior buyer").when(F.col("c_acctbal") > 8000, "buyer, PRINCIPAL").otherwise("senior intern")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("company"), graph.role_band(name).alias("band"))
     rows = postings(spark, d).where(F.col("period") == B).join(mentions(spark, d, True), "posting_id").join(c, "company").select("company", "skill_id", "band").distinct()
-    return graph.prerequisites_by_seniority(rows, graph.pair_counts(rows.withColumnRenamed("company", "role_id")))
+    return graph.prerequisites_by_seniority(rows)
 
 
 @query()
@@ -228,18 +231,42 @@ def lead_lag_ccf(spark, d):
 @query()
 def lead_lag_granger(spark, d):
     o = obs(spark, d, ["source_id"])
-    return evolve.granger(o.where(F.col("source_id") == LEAD), o.where(F.col("source_id") == LAG), ["skill_id"])
+    first, second = o.where(F.col("source_id") == LEAD), o.where(F.col("source_id") == LAG)
+    lags = first.select("skill_id").distinct().join(evolve.lead_lag(first, second, ["skill_id"]), "skill_id", "left").select("skill_id", F.coalesce("lag_periods", F.lit(1)).alias("lag_periods"))
+    return evolve.granger(first, second, ["skill_id"], lags)
 
 
-def loads(spark, d, by: list[str]) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("posting_id"), "l_quantity").groupBy("posting_id").agg(F.count("*").alias("mentions"), F.sum("l_quantity").alias("chars"))
-    return postings(spark, d).join(lines, "posting_id", "left").groupBy(*by).agg(F.count("*").alias("n_postings"), F.sum(F.coalesce("mentions", F.lit(0))).alias("n_skill_mentions"), F.sum(F.coalesce("chars", F.lit(0.0))).cast("long").alias("total_text_chars"))
+@query(f"{with_(SD)} SELECT * FROM sd WHERE replace(lower(trim(source_id)), ' ', '_') NOT IN ('4-not_specified', '5-low')")
+def leading_observations(spark, d):
+    return evolve.not_leading(obs(spark, d, ["source_id"]), ["4-not_specified", "5-low"])
+
+
+def loads(spark, d, by: list[str], chars=None) -> DataFrame:
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("posting_id"), "l_quantity").groupBy("posting_id").agg(F.count("*").alias("mentions"), F.sum("l_quantity").alias("l_quantity"))
+    n = F.coalesce(chars if chars is not None else F.col("l_quantity"), F.lit(0.0))
+    return postings(spark, d).join(lines, "posting_id", "left").groupBy(*by).agg(F.count("*").alias("n_postings"), F.sum(F.coalesce("mentions", F.lit(0))).alias("n_skill_mentions"), F.round(F.sum(n), 6).cast("long").alias("total_text_chars"))
 
 
 LOADS = "ln AS (SELECT l_orderkey AS posting_id, count(*) AS mentions, sum(l_quantity) AS chars FROM lineitem GROUP BY 1)"
-INFL = """lo AS (SELECT period, count(*) AS n_postings, CAST(sum(coalesce(mentions, 0)) AS BIGINT) AS m, CAST(sum(coalesce(chars, 0)) AS BIGINT) AS t FROM p LEFT JOIN ln USING (posting_id) GROUP BY 1),
-il AS (SELECT period, m / n_postings AS skills_per_posting, CASE WHEN t = 0 THEN 0.0 ELSE m / t END AS c FROM lo),
-pt AS (SELECT period, skills_per_posting, 1000 * c AS per_kchars, CASE WHEN c > 0 THEN (SELECT arg_min(c, period) FROM il WHERE c > 0) / c ELSE 1.0 END AS adjustment FROM il)"""
+
+
+def infl_sql(chars: str) -> str:
+    """Loads, both series, their Mann-Kendall z, and points; density rises if z is beyond the 5 % point."""
+    mk = lambda v, n: f"""{n}_p AS (SELECT CAST(sum(sign(b.{v} - a.{v})) AS BIGINT) AS s, median((b.{v} - a.{v}) / (b.i - a.i)) AS slope FROM il a JOIN il b ON b.i > a.i),
+{n}_t AS (SELECT sum(t) AS n, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT count(*) AS t FROM il GROUP BY {v})),
+{n} AS (SELECT CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt(CAST(n * (n - 1) * (2 * n + 5) - ties AS DOUBLE) / 18) END AS z, slope FROM {n}_p, {n}_t)"""
+    return f"""lo AS (SELECT period, count(*) AS n_postings, CAST(sum(coalesce(mentions, 0)) AS BIGINT) AS m, CAST(trunc(round(sum(coalesce({chars}, 0)), 6)) AS BIGINT) AS t FROM p LEFT JOIN ln USING (posting_id) GROUP BY 1),
+il AS (SELECT period, n_postings, row_number() OVER (ORDER BY period) AS i, m / n_postings AS c_s, CASE WHEN t = 0 THEN 0.0 ELSE m / t END AS c FROM lo),
+{mk("c", "zc")}, {mk("c_s", "zs")},
+pt AS (SELECT period, c_s AS skills_per_posting, 1000 * c AS per_kchars, n_postings, CASE WHEN c > 0 AND (SELECT z FROM zc) > 1.959964 THEN (SELECT arg_min(c, period) FROM il WHERE c > 0) / c ELSE 1.0 END AS adjustment FROM il)"""
+
+
+INFL, RISING = infl_sql("chars"), infl_sql("chars / (year(day) - 1990)")
+
+
+def shrinking(spark, d, by: list[str]) -> DataFrame:
+    """Loads whose texts get shorter from year to year, so that mentions are inflated."""
+    return loads(spark, d, by, F.col("l_quantity") / (F.year("day") - 1990))
 
 
 @query(f"{with_(LOADS, INFL)} SELECT * FROM pt")
@@ -247,21 +274,34 @@ def inflation_points(spark, d):
     return evolve.inflation(loads(spark, d, ["period"]))
 
 
-@query(f"{with_(GD, LOADS, INFL)} SELECT skill_id, period, weight * coalesce(adjustment, 1.0) AS weight FROM gd LEFT JOIN pt USING (period)")
+@query(f"{with_(LOADS, RISING)} SELECT * FROM pt")
+def inflation_points_rising(spark, d):
+    return evolve.inflation(shrinking(spark, d, ["period"]))
+
+
+@query(f"""{with_(LOADS, RISING)}, k AS (SELECT zs.z AS a, zc.z AS b, zc.slope AS density_slope FROM zs, zc)
+SELECT CASE WHEN a > 1.959964 THEN 'increasing' WHEN a < -1.959964 THEN 'decreasing' ELSE 'no trend' END AS posting_trend, CASE WHEN b > 1.959964 THEN 'increasing' WHEN b < -1.959964 THEN 'decreasing' ELSE 'no trend' END AS density_trend, density_slope, b > 1.959964 AS inflated FROM k""")
+def inflation_report(spark, d):
+    """p-values are left out, as SQL has no normal distribution; the tests have them."""
+    return evolve.inflation_report(shrinking(spark, d, ["period"])).drop("posting_p_value", "density_p_value")
+
+
+@query(f"{with_(GD, LOADS, RISING)} SELECT skill_id, period, weight * coalesce(adjustment, 1.0) AS weight FROM gd LEFT JOIN pt USING (period)")
 def inflation_deflated(spark, d):
-    return evolve.deflate(obs(spark, d, []), evolve.inflation(loads(spark, d, ["period"]))).select("skill_id", "period", "weight")
+    return evolve.deflate(obs(spark, d, []), evolve.inflation(shrinking(spark, d, ["period"]))).select("skill_id", "period", "weight")
 
 
-@query(f"""{with_(LOADS)}, f AS (SELECT company, role_id, period, CASE WHEN sum(coalesce(chars, 0)) = 0 THEN 0.0 ELSE sum(coalesce(mentions, 0)) / sum(coalesce(chars, 0)) END AS density FROM p LEFT JOIN ln USING (posting_id) GROUP BY ALL)
-SELECT company, role_id, avg(density - market) AS deviation, count(*) AS n_periods FROM (SELECT *, avg(density) OVER (PARTITION BY period) AS market FROM f) GROUP BY ALL""")
+@query(f"""{with_(LOADS)}, f AS (SELECT company, role_id, period, CAST(sum(coalesce(mentions, 0)) AS BIGINT) AS n_skills FROM p LEFT JOIN ln USING (posting_id) GROUP BY ALL)
+SELECT company, role_id, avg(n_skills - market) AS deviation, count(*) AS n_periods FROM f JOIN (SELECT period, avg(n_skills) AS market FROM f GROUP BY 1) USING (period) GROUP BY ALL""")
 def firm_effects(spark, d):
-    return evolve.firm_effects(loads(spark, d, ["company", "role_id", "period"]).select("company", "role_id", "period", F.col("n_skill_mentions").alias("n_skills"), F.col("total_text_chars").alias("text_chars")))
+    return evolve.firm_effects(loads(spark, d, ["company", "role_id", "period"]).select("company", "role_id", "period", F.col("n_skill_mentions").alias("n_skills")))
 
 
 def drift_sql(source: str) -> str:
     return f"""SELECT 'chg-' || role_id || '-' || skill_id || '-' || kind || '-{B}' AS change_id, role_id, skill_id, kind, before_weight, after_weight, '2001-04-01' AS occurred_on FROM (SELECT role_id, skill_id, a.weight AS before_weight, b.weight AS after_weight,
   CASE WHEN a.weight IS NULL THEN 'added' WHEN b.weight IS NULL THEN 'removed' WHEN abs(b.weight - a.weight) / a.weight >= 0.3 THEN 'modified' END AS kind
-  FROM (SELECT * FROM {source} WHERE period = '{A}' AND weight >= 0.05) a FULL JOIN (SELECT * FROM {source} WHERE period = '{B}' AND weight >= 0.05) b USING (role_id, skill_id)) WHERE kind IS NOT NULL"""
+  FROM (SELECT * FROM {source} WHERE period = '{A}' AND weight >= 0.05) a FULL JOIN (SELECT * FROM {source} WHERE period = '{B}' AND weight >= 0.05) b USING (role_id, skill_id)) WHERE kind IS NOT NULL
+  AND role_id IN (SELECT role_id FROM {source} WHERE period = '{A}') AND role_id IN (SELECT role_id FROM {source} WHERE period = '{B}')"""
 
 
 def _drift(spark, d, sparse: bool) -> DataFrame:
@@ -307,38 +347,62 @@ def cluster_density(spark, d):
     return evolve.cluster_density(sourced_edges(spark, d).groupBy("a", "b").agg(F.sum("weight").alias("weight")), sparse_members(spark, d))
 
 
-GATES = f"""last4 AS (SELECT period FROM (SELECT DISTINCT period FROM p) ORDER BY period DESC LIMIT 4),
+CATALOGUE = "ca AS (SELECT 'o-' || p_type AS code, substr(p_type, 1, 6) AS name, list(DISTINCT p_brand || '/' || p_type) AS skill_ids FROM part WHERE p_type < 'LARGE' GROUP BY p_type)"
+
+
+def catalogue(spark, d) -> DataFrame:
+    """Some types as occupations, under names that hold part of a type."""
+    p = table(spark, d, "part").where("p_type < 'LARGE'")
+    return p.groupBy("p_type").agg(F.collect_set(F.concat_ws("/", "p_brand", "p_type")).alias("skill_ids")).select(F.concat(F.lit("o-"), "p_type").alias("code"), F.substring("p_type", 1, 6).alias("name"), "skill_ids")
+
+
+GATES = f"""last4 AS (SELECT period FROM (SELECT DISTINCT period FROM co) ORDER BY period DESC LIMIT 4),
 rec AS (SELECT * FROM co WHERE period IN (SELECT period FROM last4)), ear AS (SELECT * FROM co WHERE period NOT IN (SELECT period FROM last4)),
 re AS (SELECT a, b, sum(weight) AS weight FROM rec GROUP BY ALL), ee AS (SELECT a, b, sum(weight) AS weight FROM ear GROUP BY ALL),
 {density_sql('re', 'nw')}, {density_sql('ee', 'wa')},
 cs AS (SELECT cluster_id, count(*) AS size FROM mb GROUP BY 1), cb AS (SELECT cluster_id, count(*) AS n_bursts FROM mb WHERE skill_id IN (SELECT skill_id FROM b) GROUP BY 1),
-en AS (SELECT x.cluster_id, source_id, a, b FROM rec JOIN mb x ON a = x.skill_id JOIN mb y ON b = y.skill_id AND x.cluster_id = y.cluster_id WHERE a <> b),
-so AS (SELECT cluster_id, count(*) AS n_sources FROM (SELECT cluster_id, source_id, count(*) AS covered FROM (SELECT cluster_id, source_id, a AS s FROM en UNION SELECT cluster_id, source_id, b FROM en) GROUP BY ALL) JOIN cs USING (cluster_id) WHERE covered >= greatest(2, ceil(size / 2)) GROUP BY 1),
+en AS (SELECT x.cluster_id, source_id, a, b FROM rec JOIN mb x ON a = x.skill_id JOIN mb y ON b = y.skill_id AND x.cluster_id = y.cluster_id),
+tc AS (SELECT cluster_id, source_id, count(DISTINCT skill_id) AS covered FROM (SELECT source_id, a AS skill_id FROM rec UNION ALL SELECT source_id, b FROM rec) JOIN mb USING (skill_id) GROUP BY ALL),
+so AS (SELECT cluster_id, count(*) AS n_sources FROM tc JOIN cs USING (cluster_id) WHERE covered >= greatest(2, floor(0.5 * size + 0.999)) AND (cluster_id, source_id) IN (SELECT (cluster_id, source_id) FROM en) GROUP BY 1),
+li AS (SELECT cluster_id, count(DISTINCT (a, b)) AS n_links FROM en WHERE a <> b GROUP BY 1),
 ro AS (SELECT DISTINCT role_id, skill_id FROM rs WHERE period = '{B}' AND weight >= 0.05), rz AS (SELECT role_id, count(*) AS role_size FROM ro GROUP BY 1),
 nd AS (SELECT cluster_id, min(1 - common / (role_size + size - common)) AS d FROM (SELECT cluster_id, role_id, count(*) AS common FROM mb JOIN ro USING (skill_id) GROUP BY ALL) JOIN rz USING (role_id) JOIN cs USING (cluster_id) GROUP BY 1),
-g AS (SELECT cluster_id, size, CASE WHEN wa.density > 0 THEN nw.density / wa.density WHEN nw.density > 0 THEN 99.0 ELSE 0.0 END AS density_ratio, coalesce(n_bursts, 0) AS n_bursts, coalesce(n_sources, 0) AS n_sources, coalesce(d, 1.0) AS min_distance
-  FROM nw JOIN wa USING (cluster_id) JOIN cs USING (cluster_id) LEFT JOIN cb USING (cluster_id) LEFT JOIN so USING (cluster_id) LEFT JOIN nd USING (cluster_id)),
-gs2 AS (SELECT *, CASE WHEN density_ratio < 2 THEN 'not_new' WHEN n_bursts < 2 THEN 'few_bursts' WHEN n_sources < 2 THEN 'one_source' WHEN min_distance < 0.4 THEN 'near_role' END AS failed_gate,
+cl AS (SELECT cluster_id, list(skill_id) AS skills FROM mb GROUP BY 1),
+ch AS (SELECT cluster_id, min(code) AS catalogue_code FROM cl, ca WHERE 1 - len(list_intersect(skills, skill_ids)) / len(list_distinct(list_concat(skills, skill_ids))) < 0.4
+  OR contains(replace(lower(cluster_id), ' ', ''), replace(lower(name), ' ', '')) OR contains(replace(lower(name), ' ', ''), replace(lower(cluster_id), ' ', '')) GROUP BY 1),
+g AS (SELECT cluster_id, size, CASE WHEN wa.density > 0 THEN nw.density / wa.density WHEN nw.density > 0 THEN 99.0 ELSE 0.0 END AS density_ratio, coalesce(n_bursts, 0) AS n_bursts, coalesce(n_sources, 0) AS n_sources, coalesce(d, 1.0) AS min_distance, catalogue_code, coalesce(n_links, 0) AS n_links
+  FROM nw JOIN wa USING (cluster_id) JOIN cs USING (cluster_id) LEFT JOIN cb USING (cluster_id) LEFT JOIN so USING (cluster_id) LEFT JOIN nd USING (cluster_id) LEFT JOIN ch USING (cluster_id) LEFT JOIN li USING (cluster_id)),
+gs2 AS (SELECT *, CASE WHEN density_ratio < 2 THEN 'not_new' WHEN n_bursts < 2 THEN 'few_bursts' WHEN n_sources < 2 THEN 'one_source' WHEN min_distance < 0.4 THEN 'near_role' WHEN catalogue_code IS NOT NULL THEN 'in_catalogue' END AS failed_gate,
   (n_bursts / size + least(n_sources / 3, 1.0) + least(min_distance / 0.8, 1.0) + CASE WHEN density_ratio >= 99 THEN 1.0 WHEN density_ratio <= 1 THEN 0.0 ELSE least(log2(density_ratio) / 2, 1.0) END) / 4 AS strength FROM g)"""
 
 
+def emerging_inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, skills with bursts, and roles' skills."""
+    roles = obs(spark, d, ["role_id"], sparse=True).where((F.col("period") == B) & (F.col("weight") >= 0.05)).select("role_id", "skill_id")
+    return sourced_edges(spark, d), evolve.bursts(obs(spark, d, [], sparse=True), ["skill_id"]).select("skill_id"), roles
+
+
 def _gates(spark, d) -> DataFrame:
-    e = sourced_edges(spark, d)
-    latest = e.select("period").distinct().withColumn("place", F.dense_rank().over(Window.orderBy(F.desc("period")))).where("place <= 4").select("period")  # one row a period
-    rs = obs(spark, d, ["role_id"], sparse=True)
-    roles = rs.where((F.col("period") == B) & (F.col("weight") >= 0.05)).select("role_id", "skill_id")
-    b = evolve.bursts(obs(spark, d, [], sparse=True), ["skill_id"]).select("skill_id")
-    return evolve.emerging_gates(sparse_members(spark, d), e.join(latest, "period", "left_semi"), e.join(latest, "period", "left_anti"), b, roles)
+    e, bursts, roles = emerging_inputs(spark, d)
+    members = sparse_members(spark, d)
+    names = members.select("cluster_id", F.col("cluster_id").alias("name")).distinct()
+    return evolve.emerging_gates(members, evolve.recent_edges(e), bursts, roles, catalogue(spark, d), names)
 
 
-@query(f"{with_(RS, GS, burst_sql('gs', '', 'b'), CO, MEMBERS, GATES)} SELECT cluster_id, size, density_ratio, n_bursts, n_sources, min_distance, failed_gate FROM gs2")
+@query(f"{with_(RS, GS, burst_sql('gs', '', 'b'), CO, MEMBERS, CATALOGUE, GATES)} SELECT cluster_id, size, density_ratio, n_bursts, n_sources, min_distance, catalogue_code, failed_gate FROM gs2")
 def emerging_gates(spark, d):
-    return _gates(spark, d).drop("strength", "zone")
+    return _gates(spark, d).drop("strength", "zone", "evidence_count")
 
 
-@query(f"{with_(RS, GS, burst_sql('gs', '', 'b'), CO, MEMBERS, GATES)} SELECT cluster_id, strength, CASE WHEN strength >= 0.65 THEN 'publish' ELSE 'watch' END AS zone FROM gs2")
+@query(f"{with_(RS, GS, burst_sql('gs', '', 'b'), CO, MEMBERS, CATALOGUE, GATES)} SELECT cluster_id, strength, CASE WHEN strength >= 0.65 THEN 'publish' ELSE 'watch' END AS zone, n_sources + n_bursts + n_links AS evidence_count FROM gs2")
 def emerging_strength(spark, d):
-    return _gates(spark, d).select("cluster_id", "strength", "zone")
+    return _gates(spark, d).select("cluster_id", "strength", "zone", "evidence_count")
+
+
+@query()
+def discover_emerging(spark, d):
+    e, bursts, roles = emerging_inputs(spark, d)
+    return evolve.discover_emerging(e, bursts, roles, catalogue(spark, d), "0.1")
 
 
 @query()
@@ -346,8 +410,8 @@ def louvain_clusters(spark, d):
     return evolve.louvain(graph.pair_counts(edges(spark, d)).select("a", "b", F.col("both").cast("double").alias("weight")))
 
 
-MOVES = f"""mv AS (SELECT a.skill_id, round(a.weight - coalesce(b.weight, 0), 4) AS delta FROM (SELECT * FROM gs WHERE period = '{B}') a LEFT JOIN (SELECT * FROM gs WHERE period = '{A}') b USING (skill_id)),
-mw AS (SELECT *, CASE WHEN delta >= 0.005 THEN 'up' WHEN delta <= -0.005 THEN 'down' ELSE 'flat' END AS direction FROM mv)"""
+MOVES = f"""mv AS (SELECT skill_id, a.weight - coalesce(b.weight, 0) AS raw FROM (SELECT * FROM gs WHERE period = '{B}') a LEFT JOIN (SELECT * FROM gs WHERE period = '{A}') b USING (skill_id)),
+mw AS (SELECT skill_id, round(raw, 4) AS delta, CASE WHEN raw > 0.005 THEN 'rise' ELSE 'fall' END AS direction FROM mv WHERE raw > 0.005 OR raw < -0.005)"""
 
 
 @query(f"{with_(GS, MOVES)} SELECT skill_id, delta, direction, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY direction ORDER BY abs(delta) DESC, skill_id) AS INT) AS place FROM mw) WHERE place <= 8")

@@ -9,6 +9,7 @@ from ..functions import text, vacancy
 from ..operators import review
 from ..sources import payloads
 from ..sources.tables import table
+from .profiles import BLOCKS, PLACES, benchmark_quotes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -108,7 +109,7 @@ def document_sections(spark, d):
     return vacancy.segments(table(spark, d, "documents"), HEADINGS)
 
 
-@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_blocks, CAST(sum(length(b)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[。\n]')), ' ') AS b FROM documents) WHERE length(b) >= 8 GROUP BY 1")
+@query(f"WITH {BLOCKS} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_blocks, CAST(sum(length(block)) AS BIGINT) AS chars FROM bl WHERE length(block) >= 8 GROUP BY 1")
 def document_blocks(spark, d):
     return text.blocks(table(spark, d, "documents"), "source").groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).cast("long").alias("chars"))
 
@@ -152,18 +153,15 @@ def change_log_rollback(spark, d):
     return review.rolled_back(log, log.join(bad, "user_id", "left_semi")).select("change_id", "kind", "rolled_back")
 
 
-_FOUND = "f AS (SELECT d.doc_id, item_id, strpos(d.text, b.text) - 1 AS start, length(b.text) AS n, source FROM documents d JOIN benchmark b ON length(b.text) >= 60 AND contains(d.text, b.text))"
-
-
-@query(f"""WITH {_FOUND}, q AS (SELECT doc_id, item_id, start + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS s, n, source FROM f),
-t AS (SELECT item_id, max((substring(d.text, s + 1, n) = b.text)::INT) AS t, (count(DISTINCT q.source) >= 2)::INT AS m FROM q JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) GROUP BY 1)
+@query(f"""WITH {PLACES}, p AS (SELECT doc_id, item_id, min(start) AS s, arg_min("end", start) AS e FROM f GROUP BY ALL), q AS (SELECT doc_id, item_id, s + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS s, e + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS e FROM p),
+t AS (SELECT item_id, max((substring(d.text, s + 1, e - s) = b.text OR lower(substring(d.text, s + 1, e - s)) = lower(b.text))::INT) AS t, (count(DISTINCT source) >= 2)::INT AS m FROM q JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) GROUP BY 1)
 SELECT count(*) AS n_claims, avg(coalesce(t, 0)) AS traceable_rate, avg(coalesce(m, 0)) AS multi_source_rate FROM benchmark LEFT JOIN t USING (item_id)""")
 def evidence_trace_rates(spark, d):
-    """Each benchmark item as a claim, with its places in documents as evidence; places of every third item are off by one."""
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    places = text.locate(docs, bench.select("item_id", F.col("text").alias("quote"))).join(docs.select("doc_id", "source"), "doc_id").join(bench.select("item_id", F.col("text").alias("quote")), "item_id")
-    start = F.col("start") + (F.col("item_id") % 3 == 0).cast("int")
-    e = places.select(F.col("item_id").alias("claim_id"), "doc_id", F.col("source").alias("source_id"), start.alias("start"), (start + F.length("quote")).alias("end"), "quote")
+    """Each benchmark item as a claim, with its first places in documents as evidence; places of every third item are off by one."""
+    docs, bench = table(spark, d, "documents"), benchmark_quotes(spark, d)
+    places = text.pick_places(text.locate(docs, bench)).join(docs.select("doc_id", "source"), "doc_id").join(bench, "item_id")
+    off = (F.col("item_id") % 3 == 0).cast("int")
+    e = places.select(F.col("item_id").alias("claim_id"), "doc_id", F.col("source").alias("source_id"), (F.col("start") + off).alias("start"), (F.col("end") + off).alias("end"), "quote")
     return review.claim_rates(bench.select(F.col("item_id").alias("claim_id")), e, docs)
 
 

@@ -1,16 +1,22 @@
-"""Structured Streaming forms: first-seen rows, and daily observations with late data bounded by a watermark."""
+"""Structured Streaming forms: first-seen rows, daily observations, quarters, and the stateful duplicate test of postings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import indel, normalize_title
+from ..schema import period_of
+from ..sources.shared import shared_folder
+
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
+def read_events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    folder, name = path.rsplit("/", 1)
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+    folder, file = path.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -27,8 +33,60 @@ def daily(events: DataFrame, by: list[str], ts: str, delay: str = "2 days") -> D
     return events.withWatermark(ts, delay).groupBy(w, *by).agg(F.count("*").alias("n")).select(F.to_date("window.start").cast("string").alias("day"), *by, "n")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and give its rows."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def quarterly(events: DataFrame, by: list[str], ts: str) -> DataFrame:
+    """period, by, n: quarters have no fixed length, so they are a key and their rows are updated for as long as the stream runs."""
+    return events.groupBy(period_of(F.to_date(ts)).alias("period"), *by).agg(F.count("*").alias("n"))
+
+
+def duplicates(postings: DataFrame, by: list[str], days: int = 60, least: float = 92.0, delay: str = "1 day") -> DataFrame:
+    """posting_id, duplicate_of of a stream (posting_id, ts, title and by): the first canonical row of the block within days whose title fits.
+
+    The state of a block is its canonical rows of the last days; those older than that before the watermark are let go, and a block
+    without rows for so long is forgotten. Rows of a micro-batch are taken by time and id.
+    """
+    rows = postings.withWatermark("ts", delay).select("posting_id", "ts", *by, normalize_title("title").alias("key")).where("key <> ''")
+
+    def run(key, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, numbers, titles = (list(x) for x in state.get) if state.exists else ([], [], [])
+        g = pd.concat(list(frames)).sort_values(["ts", "posting_id"])
+        out = []
+        for i, ts, title in zip(g["posting_id"], g["ts"], g["key"]):
+            n = (ts - pd.Timestamp(0)).days
+            hit = next((c for c, m, t in zip(ids, numbers, titles) if abs(n - m) <= days and (t == title or indel(title, t) >= least)), None)
+            if hit is None:
+                ids.append(int(i))
+                numbers.append(n)
+                titles.append(title)
+            out.append((i, hit))
+        mark = state.getCurrentWatermarkMs() // 86_400_000
+        left = [x for x in zip(ids, numbers, titles) if x[1] >= mark - days]
+        ids, numbers, titles = ([x[k] for x in left] for k in range(3))
+        state.update((ids, numbers, titles))
+        state.setTimeoutTimestamp(max([*numbers, mark, 0]) * 86_400_000 + (days + 1) * 86_400_000)
+        yield pd.DataFrame(out, columns=["posting_id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+
+    return rows.groupBy(*by).applyInPandasWithState(run, "posting_id long, duplicate_of long", "ids array<long>, numbers array<long>, titles array<string>", "append", "EventTimeTimeout")
+
+
+def drain(stream: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there; its rows are files in the shared folder, read again.
+
+    key names the columns of a row that later batches update; without one, rows are appended only.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark)
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = stream.writeStream.foreachBatch(add).outputMode("update" if key else "append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, _batch int").parquet(f"{folder}/rows")
+    if key:
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_batch")))).where("_place = 1")
+    return rows.select(stream.columns)

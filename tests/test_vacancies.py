@@ -71,12 +71,14 @@ def test_postings_of_payloads(spark):
 
 
 def test_near_blocks_equal_brute_force(spark):
-    rows = [(i, "s" if i % 3 else "t", t) for i, t in enumerate(["the quick brown fox jumps over the dog", "the quick brown fox jumps over the dogs", "nothing like it at all here", "The quick brown fox jumps over the dog", "short", "", None, "the quick brown fox jumped over a dog"])]
+    lines = ["the quick brown fox jumps over the dog", "the quick brown fox jumps over the dogs", "nothing like it at all here", "The quick brown fox jumps over the dog", "short", "", None, "the quick brown fox jumped over a dog", "said twice in one text\nsaid twice in one text", "a text by itself is no peer\na text by itself is no peer!", "equal in two texts here", "equal in two texts here\nx"]
+    rows = [(i, "s" if i % 3 else "t", t) for i, t in enumerate(lines)] + [(100 + i, "s", f"many near copies of one line, this is number {i:03d}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     g = lambda t: {t.casefold()[i : i + 3] for i in range(len(t) - 2)}
-    blocks = {(s, t) for _, s, t in rows if t and len(t) >= 8}
-    want = {(s, a, b) for s, a in blocks for s2, b in blocks if s == s2 and a < b and len(g(a) & g(b)) >= 0.8 * len(g(a) | g(b))}
-    assert {(r.source, r.a, r.b) for r in text.near_blocks(docs, "source").collect()} == want
+    blocks = {(s, t, b) for _, s, t in rows if t for b in t.split("\n") if len(b) >= 8}
+    want = {(s, b) for s, t, b in blocks for s2, t2, b2 in blocks if s == s2 and t != t2 and len(g(b) & g(b2)) >= 0.8 * len(g(b) | g(b2))}
+    got = [(r.source, r.block) for r in text.near_blocks(docs, "source").collect()]
+    assert set(got) == want and len(got) == len(want) > 40
 
 
 def test_trace_flags(spark):
