@@ -353,7 +353,7 @@ def greedy_duplicates(rows: DataFrame, by: list[str], days: int = 60, least: flo
                     equal.setdefault((key, stretch), []).append((n, i, day))
                     near.setdefault(stretch, []).append((n, i, day, key))
                 out.append((i, hit))
-            yield pd.DataFrame(out, columns=["posting_id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+            yield pd.DataFrame({"posting_id": pd.array([i for i, _ in out], "Int64"), "duplicate_of": pd.array([h for _, h in out], "Int64")})  # no floats between
 
     sorted_rows = rows.where(fit).select("posting_id", *by, "number", "key", *[F.col(o).alias(f"order_{k}") for k, o in enumerate(order)]).repartition(*by).sortWithinPartitions(*by, *[f"order_{k}" for k in range(len(order))])
     return sorted_rows.mapInPandas(run, shape).unionByName(rows.where(~fit | fit.isNull()).select("posting_id", F.lit(None).cast("long").alias("duplicate_of")))

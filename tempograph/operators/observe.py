@@ -29,7 +29,7 @@ def market_moves(obs: DataFrame, period: str, previous: str, band: float = 0.02,
 
 
 def top_skills(obs: DataFrame, n: int = 12) -> DataFrame:
-    return obs.groupBy("skill_id").agg(F.sum("weight").alias("total_weight")).orderBy(F.desc("total_weight"), "skill_id").limit(n)
+    return obs.groupBy("skill_id").agg(F.sum("weight").alias("total_weight")).orderBy(F.desc(F.round("total_weight", 9)), "skill_id").limit(n)
 
 
 def pivot_series(obs: DataFrame, periods: list[str]) -> DataFrame:

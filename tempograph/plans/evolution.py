@@ -419,7 +419,7 @@ def market_moves(spark, d):
     return observe.market_moves(obs(spark, d, [], sparse=True), B, A, 0.005)
 
 
-@query(f"{with_(GD)} SELECT skill_id, sum(weight) AS total_weight FROM gd GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12")
+@query(f"{with_(GD)} SELECT skill_id, sum(weight) AS total_weight FROM gd GROUP BY 1 ORDER BY round(sum(weight), 9) DESC, 1 LIMIT 12")
 def trend_top12(spark, d):
     return observe.top_skills(obs(spark, d, []))
 

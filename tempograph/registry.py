@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import evolution, profiles, vacancies
+from .plans import evolution, operations, profiles, vacancies
 
-MODULES = [evolution, profiles, vacancies]
+MODULES = [evolution, profiles, vacancies, operations]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -68,7 +68,7 @@ def duplicates(postings: DataFrame, by: list[str], days: int = 60, least: float
         ids, numbers, titles = ([x[k] for x in left] for k in range(3))
         state.update((ids, numbers, titles))
         state.setTimeoutTimestamp(max([*numbers, mark, 0]) * 86_400_000 + (days + 1) * 86_400_000)
-        yield pd.DataFrame(out, columns=["posting_id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+        yield pd.DataFrame({"posting_id": pd.array([i for i, _ in out], "Int64"), "duplicate_of": pd.array([h for _, h in out], "Int64")})
 
     return rows.groupBy(*by).applyInPandasWithState(run, "posting_id long, duplicate_of long", "ids array<long>, numbers array<long>, titles array<string>", "append", "EventTimeTimeout")
 
