@@ -19,8 +19,8 @@ from .quality_rules import let
 
 #: Rules: (rule, verdict); host up to the first slash.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-#: Buckets of n-grams, labelled rows at most, lengths of n-grams, and how much a blocked row counts in the fit.
-BUCKETS, MAX_LABELLED, WIDTHS, BLOCK_WEIGHT = 1 << 15, 5000, (3, 4, 5), 1.5
+#: Buckets of n-grams, labelled rows at most, and lengths of n-grams.
+BUCKETS, MAX_LABELLED, WIDTHS = 1 << 15, 5000, (3, 4, 5)
 #: The labelled table: words that hosts are made of, blocked and allowed; allowed ones are common words and invented names.
 BAD = ["casino", "poker", "slots", "betting", "bets", "jackpot", "lottery", "pharma", "viagra", "pills", "diet", "porn", "xxx", "sex", "escort", "adult", "torrent", "warez", "keygen", "crack",
        "loans", "payday", "replica", "spam", "clickbait", "ads", "adserver", "tracker", "popunder", "giveaway"]
@@ -57,9 +57,12 @@ def with_parts(df: DataFrame) -> DataFrame:
 def features(host: Column, path: Column) -> Column:
     """Distinct buckets of the n-grams of the host and, apart from these, of the path."""
 
+    def of_width(t: Column, n: int) -> Column:
+        places = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.substring(t, i, F.lit(n)))
+
     def grams(t: Column) -> Column:
-        parts = [F.transform(F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in WIDTHS]
-        return F.concat(*parts)
+        return F.concat(*[of_width(t, n) for n in WIDTHS])
 
     bucket = lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int")
     of_host = let(F.concat(F.lit("^"), F.regexp_replace(host, r"^www\.", ""), F.lit("$")), grams)
@@ -67,7 +70,7 @@ def features(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(of_host, bucket), F.transform(of_path, lambda g: bucket(F.concat(F.lit("\t"), g)))))
 
 
-def fit(labelled: DataFrame, rounds: int = 300, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit(labelled: DataFrame, rounds: int = 200, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights of the buckets and bias of the logistic regression, by AdaGrad steps over all labelled rows."""
     rows = with_parts(labelled).select("url", "label", features(F.col("host"), F.col("path")).alias("f")).orderBy("url", "label").limit(MAX_LABELLED).collect()
     w, bias = np.zeros(BUCKETS), 0.0
@@ -76,10 +79,10 @@ def fit(labelled: DataFrame, rounds: int = 300, rate: float = 0.3, decay: float
     n = np.array([len(f) for _, _, f in rows])
     used, place = np.unique(np.array([i for _, _, f in rows for i in f], int), return_inverse=True)
     x = np.zeros((len(rows), len(used)))
-    x[np.repeat(np.arange(len(rows)), n), place] = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
+    x[np.repeat(np.arange(len(rows)), n), place] = 1.0
     y, own, seen = np.array([float(label) for _, label, _ in rows]), np.zeros(len(used)), np.full(len(used), 1e-12)
     for _ in range(rounds):
-        d = (y - 1 / (1 + np.exp(-(bias + x @ own)))) * np.where(y == 1, BLOCK_WEIGHT, 1.0)
+        d = y - 1 / (1 + np.exp(-(bias + x @ own)))
         bias += rate * d.mean()
         step = d @ x / len(rows) - decay * own
         seen += step**2
@@ -103,7 +106,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: list
     weights, bias = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     table = F.lit(weights)  # one literal of BUCKETS numbers
     df = with_parts(pages.select("page_id", F.col("url").cast("string").alias("url"))).withColumn("f", features(F.col("host"), F.col("path")))
-    logit = bias + F.aggregate("f", F.lit(0.0), lambda s, i: s + F.get(table, i)) / F.sqrt(F.greatest(F.size("f"), F.lit(1)))
+    logit = bias + F.aggregate("f", F.lit(0.0), lambda s, i: s + F.get(table, i))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     df = df.withColumn("score", 1 / (1 + F.exp(-logit))).withColumn("rule", rule)
     return df.withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).select("page_id", "host", "path", "rule", "verdict", "score")
