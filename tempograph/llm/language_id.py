@@ -111,9 +111,10 @@ def learn(learning: DataFrame, dim: int = DIM, bound: int = MAX_PER_LANG) -> tup
 def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score (cosine with the prototype, 0 to 1)."""
     dim = prototypes.shape[1] if len(languages) else DIM
-    # Prototypes share what all languages share; the choice is made without it.
+    # Prototypes share what all languages share; the choice is made without it. Equal prototypes leave rounding only, which isn't
+    # blown up, and cosines are compared to four digits, so that ties are ties.
     centred = prototypes - prototypes.mean(0) if len(languages) > 1 else prototypes
-    centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9) if len(languages) else centred
+    centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-2) if len(languages) else centred
 
     def make():
         bundler = Bundler(dim)
@@ -124,7 +125,7 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> D
             for i in range(0, len(texts), CHUNK):
                 v, ok = bundler.bundle(texts[i : i + CHUNK])
                 if len(languages):
-                    best = (v @ centred.T).argmax(1)
+                    best = np.round(v @ centred.T, 4).argmax(1)
                     cosine = np.clip((v * prototypes[best]).sum(1), 0, 1)
                 for j, good in enumerate(ok.tolist()):
                     good = good and len(languages) > 0
