@@ -161,3 +161,15 @@ PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return read_chats(format_chats(rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))))
+
+
+_HEAD = "CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' ELSE '### Turn: ' || escaped_role || '</role>' END"
+#: Escaping doubles the backslashes before a control string and adds one.
+_ESCAPED_SQL = rf"regexp_replace({{0}}, '(\\*)({_CONTROL})', '\1\1\\\2', 'g')"
+OP6_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES {", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PROBE)}) p(conv_id, turn, role, text)),
+e AS (SELECT *, {_ESCAPED_SQL.format("text")} AS escaped, {_ESCAPED_SQL.format("role")} AS escaped_role FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_HEAD}) + length(escaped) + length('</turn>') + 1) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .ann import op8_nearest_neighbours
-from .chat_format import op6_chat_format
+from .chat_format import OP6_SQL, op6_chat_format
 from .language_id import op7_language_id
 from .merge_dropout import op9_merge_dropout
 from .mixing import OP10_SQL, op10_mixing
@@ -14,4 +14,4 @@ from .quality_rules import OP4_SQL, op4_quality_rules
 from .url_filter import op5_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_jaccard_join, op3_quality_classifier, op4_quality_rules, op5_url_filter, op6_chat_format, op7_language_id, op8_nearest_neighbours, op9_merge_dropout, op10_mixing)}
-SQL = {"op4_quality_rules": OP4_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL, "op10_mixing": OP10_SQL}
