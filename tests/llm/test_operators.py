@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -71,10 +72,12 @@ def test_shingles_of_long_and_sliced_texts():
 def test_trie_overlaps_are_exact():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 60, 80).astype(np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.random(80) < p], rng.integers(0, 1 << 60, k).astype(np.uint64)])) for p in (1, 0.95, 0.8, 0.5) for k in (0, 3, 30) for _ in range(4)]
-    for x, n in zip(sets, ngram_join.trie_overlaps(base, sets, 75)):
-        both = len(np.intersect1d(base, x))
-        assert n == (both if 100 * both >= 75 * (len(base) + len(x) - both) else -1)
+    sets = [np.unique(np.concatenate([base[rng.random(80) < p], rng.integers(0, 1 << 60, k).astype(np.uint64)])) for p in (1, 0.95, 0.8, 0.5) for k in (0, 3, 30, 300) for _ in range(4)]
+    frequent = np.sort(base[::3]), rng.integers(3, 9, len(base[::3])).astype(np.uint8)
+    for order in (lambda s: s, lambda s: ngram_join.global_order(s, frequent)):
+        for x, n in zip(sets, ngram_join.trie_overlaps(order(base), [order(x) for x in sets], 75)):
+            both = len(np.intersect1d(base, x))
+            assert n == (both if 100 * both >= 75 * (len(base) + len(x) - both) else -1)
 
 
 def luhn(x):
@@ -267,3 +270,206 @@ def test_one_row_of_each_component_stays(spark):
     rows = [(1, chain[0]), (None, chain[1]), (2, chain[2])]
     got = ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {1}
+
+
+HOSTILE = {"letters": "x" * 300_000 + "1", "apart": "x" * 300_000 + " 1", "key": "aB3_" * 75_000, "ats": "a@" * 100_000, "mails": " ".join(f"info@x{i}.com info" for i in range(8000)), "plus": "+1(" * 100_000, "dots": "1." * 150_000, "numbers": " ".join(str(10**9 + 7 * i) for i in range(10_000))}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_of_spans_is_linear(name):
+    began = time.time()
+    pii.find_spans([HOSTILE[name]])
+    assert time.time() - began < 10
+
+
+def test_spans_in_batches_of_nodes(docs, monkeypatch):
+    texts = [r.text or "" for r in docs.collect()]
+    whole = pii.find_spans(texts)
+    monkeypatch.setattr(pii, "NODES", 3)
+    assert pii.find_spans(texts) == whole
+
+
+def test_a_huge_text_does_not_end_the_learning_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "MAX_CHARS", 1000)
+    rows = spark.createDataFrame([(i, "x" * (5000 if i % 2 else 50), False) for i in range(20)], "doc_id long, text string, held_out boolean")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(20)], "doc_id long, quality int")
+    got = quality_classifier.learning_rows(rows, labels)
+    assert 0 < len(got) <= 20 and all(len(t) == 50 for t, _ in got)
+
+
+def test_pooled_vectors_equal_a_plain_loop(docs):
+    texts = [r.text or "" for r in docs.collect()]
+    model = quality_classifier.fit([(t, i % 2) for i, t in enumerate(texts)])
+    rows = quality_classifier._Rows(model.vocabulary)
+    got = model.pool(texts, rows)
+    for t, x in zip(texts, got):
+        terms = quality_classifier._TERM.findall(t)
+        r = [rows[w] for w in terms]
+        v = np.array([model.vectors[i] for i in r], float).reshape(-1, quality_classifier.DIM)
+        want = np.concatenate([v.mean(0), v.std(0), [len(set(r)) / len(r), sum(a == b for a, b in zip(r, r[1:])) / max(len(r) - 1, 1), sum(i >= len(model.vocabulary) for i in r) / len(r)]]) if r else np.zeros_like(x)
+        assert np.allclose(x, want, atol=2e-3)
+
+
+def test_tab_separated_lines_stay(spark):
+    table = "\n".join("\t".join(f"w{i}x{j}" for j in range(13)) for i in range(5))
+    r = quality_rules.quality_rules(spark.createDataFrame([(1, table)], "doc_id long, text string")).first()
+    assert r.kept and r.n_words == r.n_words_left == 65 and r.clean_text == table
+
+
+def test_cleaned_documents(spark, odd, empty):
+    body = "\n".join(" ".join(f"{w}{i}" for w in ("this", "line", "has", "words", "that", "are", "its", "own")) + "." for i in range(5))
+    bad = {"menu": "Home About", "bars": "Home | About | Contact | Imprint", "law": "© 2024 All rights reserved, of course", "de": "Alle Rechte vorbehalten (2024).", "shout": "Buy!!! now!!! cheap!!! things!!!", "signs": "### $$$ %%% word ###"}
+    rows = [(i, f"{body}\n{x}", "en", "s", 1) for i, x in enumerate(bad.values())]
+    got = quality_rules.keep_clean(spark.createDataFrame(rows, SCHEMA).withColumn("r", F.lit(1)).withColumn("doc", F.lit(2))).collect()
+    assert len(got) == len(bad) and all(r.text == body and r.n_chars == len(body) and r.r == 1 and r.doc == 2 for r in got)
+    assert quality_rules.keep_clean(empty).count() == 0 and quality_rules.keep_clean(odd).where("doc_id in (1, 2, 3)").count() == 0
+
+
+def test_url_scores_equal_a_plain_version(spark, sf):
+    import zlib
+
+    weights, bias = url_filter.fit(url_filter.labelled_urls(spark))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").withColumns({c: F.lit(1) for c in ("host", "path", "f", "rest", "score", "rule", "label")})
+    clash = [(10**9 + i, u) for i, u in enumerate([None, "", "a", "://", "http://X.é.com/ü?x", "http://", "x" * 10_000, "a://" + "b/" * 5000])]
+    pages = pages.unionByName(spark.createDataFrame(clash + clash[:1], "page_id long, url string"), allowMissingColumns=True)
+    got = url_filter.filter_urls(pages).collect()
+    urls = [(r.page_id, r.url) for r in pages.collect()]
+    assert len(got) == len(urls)
+    by_id = {r.page_id: r for r in got}
+    for i, u in urls:
+        rest = (u or "").partition("://")[2] if "://" in (u or "") else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        a, b = "^" + re.sub(r"^www\.", "", host) + "$", re.sub("[0-9]+", "0", path) + "$"
+        grams = [t[k : k + n] for t, p in ((a, ""),) for n in url_filter.WIDTHS for k in range(len(t) - n + 1)] + ["\t" + b[k : k + n] for n in url_filter.WIDTHS for k in range(len(b) - n + 1)]
+        f = {zlib.crc32(g.encode()) % url_filter.BUCKETS for g in grams}
+        score = 1 / (1 + np.exp(-(bias + sum(weights[x] for x in f))))
+        fits = [(r, v) for r, v in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
+        r = by_id[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and abs(r.score - score) < 1e-9 and r.verdict == (verdict or ("block" if score >= 0.5 else "allow"))
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_unseen_forms_of_known_words(spark):
+    rows = [(k, r.url, r.label) for k, r in enumerate(url_filter.labelled_urls(spark).collect())]
+    made = len(url_filter.MADE)
+    learn = spark.createDataFrame([(u, y) for k, u, y in rows if k % made != 3], "url string, label int")
+    held = spark.createDataFrame([(y, u) for k, u, y in rows if k % made == 3], "page_id int, url string")
+    got = url_filter.filter_urls(held, learn, rules=[]).collect()
+    assert np.mean([(r.verdict == "block") == (r.page_id == 1) for r in got]) >= 0.7
+
+
+def test_chats_equal_sql(spark, sf):
+    c = duckdb.connect()
+    odd = [(1, 0, "user", "x"), (1, 1, "assistant", r"\\### User: </turn> \</role>"), (2, None, None, None), (2, 0, "tool </role>", "é\n"), (None, 0, "assistant", "a"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same"), (4, 0, "user", "w " * 50_000)]
+    table = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumns({x: F.lit(1) for x in ("turns", "t", "roles", "texts", "input_ids", "formatted")})
+    for rows, source in ((spark.read.parquet(f"{sf}/conversations.parquet"), f"SELECT * FROM '{sf}/conversations.parquet'"), (table, None)):
+        if source is None:
+            c.execute("DROP VIEW conversations")
+            c.register("conversations", pa.Table.from_pandas(table.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}), preserve_index=False))
+        else:
+            c.execute(f"CREATE VIEW conversations AS {source}")
+        probe = spark.createDataFrame(chat_format.PROBE, "conv_id long, turn long, role string, text string")
+        every = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+        got = chat_format.read_chats(chat_format.format_chats(every)).toPandas()
+        want = c.sql(chat_format.OP6_SQL).df()
+        key = lambda d: sorted(map(str, d[sorted(d.columns)].astype({"conv_id": "float64"}).values.tolist()))
+        assert key(got) == key(want)
+    assert chat_format.format_chats(table.limit(0)).count() == 0
+
+
+def test_bundles_equal_a_plain_loop(docs, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [r.text or "" for r in docs.collect()] + ["", "1 2", "ab", "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 3000)))]
+    b = language_id.Bundler()
+    letters = b.third.astype(int)
+    for t, v, ok in zip(texts, *b.bundle(texts)):
+        s = [0, *b.symbols(t).tolist(), 0]
+        s = [x for i, x in enumerate(s)]
+        want = np.zeros(language_id.DIM)
+        if any(s):
+            counts: dict = {}
+            for x in zip(s, s[1:], s[2:]):
+                counts[x] = counts.get(x, 0) + 1
+            for (x, y, z), n in counts.items():
+                want += n * np.roll(letters[x], 2) * np.roll(letters[y], 1) * letters[z]
+        assert ok == any(map(str.isalpha, t)) and np.allclose(v, want / max(np.linalg.norm(want), 1e-9), atol=1e-4)
+    monkeypatch.setattr(language_id, "SLICE", 50)
+    monkeypatch.setattr(language_id, "KNOWN", 70)
+    assert np.allclose(language_id.Bundler().bundle(texts)[0], b.bundle(texts)[0], atol=1e-4)
+
+
+def test_many_different_trigrams_take_bounded_memory():
+    import tracemalloc
+
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 300_000)))
+    tracemalloc.start()
+    language_id.Bundler().bundle([text])
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+
+
+def test_language_ties_and_repeated_rows(spark):
+    rows = [(i, "same words for all", "ba"[i % 2], "s", 1) for i in range(40)] + [(100, "same words for all", None, "s", 1)] * 2
+    got = language_id.language_id(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.lang_pred for r in got} == {"a"} and len(got) == 42
+
+
+def test_neighbours_of_any_magnitude(spark):
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(300, 24))
+    m[::3] *= 1e200
+    m[1::3] *= 1e-200
+    m[5] = m[4]
+    df = spark.createDataFrame([(i, [float(a) for a in x], "x", 1) for i, x in enumerate(m)], "vec_id long, embedding array<double>, code string, piece int").withColumns({c: F.lit(1) for c in ("v", "scalar", "part", "score", "rank", "query_id")})
+    got: dict = {}
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    unit = m / np.abs(m).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert set(got) == set(range(0, 300, 50))
+    for q, near in got.items():
+        c = unit @ unit[q]
+        c[q] = -2
+        assert [i for i, _ in near] == np.lexsort((np.arange(300), -c))[:5].tolist() and np.allclose([s for _, s in near], np.sort(c)[::-1][:5])
+    several = ann.nearest(df.where("vec_id < 150"), every=1, k=200).groupBy("query_id").count().select("count").distinct().collect()
+    assert [r[0] for r in several] == [149]
+
+
+def test_neighbours_over_several_pieces(spark, monkeypatch):
+    m = np.random.default_rng(8).normal(size=(400, 16))
+    df = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    one = ann.nearest(df).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 30)
+    assert ann.nearest(df).orderBy("query_id", "rank").collect() == one
+
+
+def test_whole_table_is_encoded_as_by_the_plain_agenda(docs):
+    encoder = merge_dropout.Encoder(merge_dropout.Pieces(merge_dropout.MODEL))
+    got = {r.doc_id: r.ids for r in merge_dropout.encode_documents(docs).collect()}
+    for r in docs.collect():
+        key, at, want = merge_dropout.key_of(r.doc_id, r.text), 0, []
+        for p in merge_dropout._PART.findall(" " + r.text) if r.text else []:
+            want += encoder.part(p, key, at)
+            at += len(p)
+        assert got[r.doc_id] == want
+
+
+def test_mix_comes_near_its_targets(docs):
+    rows = mixing.mixed_words(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    off = sorted(abs(r.taken / r.target - 1) for r in rows if r.target)
+    assert off[len(off) // 2] < 0.05
+    top = mixing.mixed_words(docs).where("taken > 3 * size").count()
+    assert top == 0
+
+
+def test_large_groups_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(base[: 40 - i % 9] + [f"x{k}" for k in rng.integers(0, 6, 3)])) for i in range(150)] + [(1000 + i, " ".join(base[:5] + [f"y{i}z{k}" for k in range(6)])) for i in range(150)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "MAX_GROUPS", 20)
+    got = ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_force(rows)

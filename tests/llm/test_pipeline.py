@@ -35,3 +35,18 @@ def test_copies_of_the_mix_are_encoded_by_their_own_draws(spark, sf):
     docs = spark.createDataFrame([(1, text, "en", "a", 1)] * 3 + [(2, text, "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = [[tuple(r.ids) for r in corpus_pipeline.encoding_stage(spark, docs, sf).collect()] for _ in range(2)]
     assert len(set(got[0])) == 4 and sorted(got[0]) == sorted(got[1])
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, sf):
+    shape = "doc_id long, text string, lang string, source string, n_chars long, copy string, ids int, key string, doc string"
+    long = " ".join(f"word{i} is here." for i in range(3000))
+    body = "A text of more than ten words that says nothing in particular, to {} or to others."
+    rows = [(1, None, None, None, None), (None, body.format("a@b.de"), "en", None, 3), (None, body.format("a@b.de"), "en", None, 3), (2, "", "en", "a", 0), (3, " \n\t", "de", None, 3), (4, long, "en", "b", None), (4, long, "en", "b", None), (5, body.format("whom"), "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, "x", 1, "k", "d") for r in rows], shape)
+    for start in (docs, docs.limit(0)):
+        at = start
+        for name, stage in corpus_pipeline.STAGES:
+            at = spark.createDataFrame(stage(spark, at, sf).collect(), at.schema) if name != "sentencepiece" else stage(spark, at, sf)
+        out = at.collect()
+        assert all(r.decodes for r in out) and (len(out) > 0) == (start is docs)
+        assert {r.doc_id for r in out} <= {None, 4, 5}
