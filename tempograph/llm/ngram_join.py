@@ -37,7 +37,7 @@ SLICE = 1 << 20
 #: A pair has to meet at a shingle for each so many of its smaller set, once at least, before it is verified.
 EXTRA = 48
 #: Partners of a set that are verified in one trie, and shingles of a shared run that are looked up at once.
-PIECE, STEP = 256, 32
+PIECE, STEP = 64, 32
 #: Rows of one shingle or component beyond which they are dealt to several tasks.
 BLOCK, MAX_GROUPS = 4096, 100_000
 
