@@ -371,18 +371,19 @@ def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
 def _with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """rows left-joined with one row a key; keys of many rows are broadcast, so no task gets a large group.
 
-    A key is large from 1 / MAX_GROUPS of all rows on (and BLOCK at least, where there are few), so at most MAX_GROUPS are.
+    A key is large from 1 / MAX_GROUPS of all rows on (and BLOCK at least, where there are few), so at most MAX_GROUPS are. In the
+    join by shuffle, rows of large keys and of none are spread by a salt that no group has.
     """
     sizes = rows.groupBy(key).count()
     n = rows.count()
     large = cut(groups.join(sizes.where(F.col("count") > max(min(BLOCK, n // 1000), n // MAX_GROUPS)), key).drop("count"))
     value = [c for c in groups.columns if c != key]
-    rows = rows.join(F.broadcast(large.withColumn("_large", F.lit(True)).withColumnsRenamed({c: f"_{c}" for c in value})), key, "left")
-    # Rows of large keys get a key of the join that no group has.
-    rows = rows.withColumn("_key", F.when(F.col("_large").isNull(), F.col(key)))
-    small = groups.withColumnRenamed(key, "_key")
-    joined = rows.join(small, "_key", "left")
-    return joined.select(*rows.drop("_large", "_key", *[f"_{c}" for c in value]).columns, *[F.coalesce(f"_{c}", c).alias(c) for c in value])
+    spread = 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1000))
+    placed = rows.join(F.broadcast(large.withColumn("_large", F.lit(True)).withColumnsRenamed({c: f"_{c}" for c in value})), key, "left")
+    placed = placed.withColumn("_salt", F.when(F.col("_large").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(spread))
+    zero = F.pmod(F.xxhash64(key), F.lit(1))  # not a constant: a join on one would be one on the key alone
+    joined = placed.join(groups.withColumn("_salt", zero), [key, "_salt"], "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"_{c}", c).alias(c) for c in value])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -541,7 +542,7 @@ def _members(docs: DataFrame, percent: int) -> DataFrame:
     classes = cut(_with_group(classes, over.withColumnRenamed("node", "first"), "first").select("cls", "doc_id", of("first").alias("comp")))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_class = _with_group(classes, least, "comp").select("cls", "component_id", "comp")
-    return members.join(by_class, "cls", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
+    return _with_group(members, cut(by_class), "cls").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -561,7 +562,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = cut(_members(docs, 75).groupBy("comp", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     first = found.where("comp is not null").groupBy("comp").agg(F.min(order).getField("key").alias("first"))
-    placed = found.join(first, "comp", "left").select("key", F.coalesce(F.col("key") == F.col("first"), F.lit(True)).alias("stays"), "rows")
+    placed = _with_group(found, first, "comp").select("key", F.coalesce(F.col("key") == F.col("first"), F.lit(True)).alias("stays"), "rows")
     away = cut(placed.where("not stays or rows > 1"))
     keyed = docs.withColumn("_key", _row_key())
     kept = keyed.join(away.select(F.col("key").alias("_key")), "_key", "left_anti").select(docs.columns)
