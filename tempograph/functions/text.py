@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import kept
+
 #: Suffixes of titles, stripped once each in this order, and the marker of redacted text.
 SUFFIXES = ["工程师", "工程師", "专员", "專員", "岗位", "職位", "职位"]
 REDACTED = "[已脱敏]"
@@ -261,7 +263,8 @@ def near_blocks(docs: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
     texts = docs.select(by, F.md5(F.col("text").cast("binary")).alias("doc_id"), "text").dropDuplicates([by, "doc_id"])
     b = blocks(texts, by).groupBy(by, "block").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("only"))
     b = b.select(by, "block", F.md5(F.col("block").cast("binary")).alias("id"), F.when(F.col("n") == 1, F.col("only")).alias("only"))
-    keyed = b.select(by, "id", "only", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("band"), block_bands("block").alias("key"))).alias("k")).select(by, "id", "only", "k.band", "k.key")
+    b = kept(b)
+    keyed = kept(b.select(by, "id", "only", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("band"), block_bands("block").alias("key"))).alias("k")).select(by, "id", "only", "k.band", "k.key"))
     bucket = Window.partitionBy(by, "band", "key").orderBy("id")
     own = F.struct("id", "only")
     near = keyed.select(by, "id", "only", F.array(F.first(own).over(bucket), F.lag(own).over(bucket)).alias("os")).select(by, "id", "only", F.explode("os").alias("o"))
