@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vacancy
-from ..operators import evaluate, extract, graph, ingest, match, observe, pages
+from ..operators import evaluate, extract, graph, ingest, match, observe, pages, vocabulary
 from ..sources import boards
 from ..sources.tables import mentions, postings, table
 from .evolution import A, B, GD, OTHER, RD, ROLE, RS, obs, with_
@@ -397,3 +397,72 @@ def attached_resources(spark, d):
     picked = c.where("skill_id = 'Brand#12' and url = 'https://x.org/12'").select("skill_id", F.lit(1).alias("place"), "url").union(spark.createDataFrame([("Brand#12", 2, "https://made.up")], "skill_id string, place int, url string"))
     alive = c.select("url").where("url <> 'https://x.org/7'").union(cached.select("url"))
     return evaluate.attach_resources(p.select(F.col("p_brand").alias("skill_id")), c, cached, picked, alive).select("skill_id", "place", "url")
+
+
+# Vocabularies
+
+
+def _vocabulary(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Skills and aliases of parts: brands are their languages, every second name is an example."""
+    p = table(spark, d, "part")
+    slug = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    given = p.select(
+        slug.alias("slug"), F.col("p_name").alias("name_zh"), F.initcap("p_name").alias("name_en"), F.array("p_type", F.concat("p_brand", F.lit(" "), "p_name")).alias("extra"),
+        F.lit("").alias("parent"), F.col("p_brand").alias("cluster_id"), F.lit("x").alias("direction"), F.col("p_brand").alias("language"),
+    )
+    spoken = p.select(F.col("p_brand").alias("name"), F.lit(0).alias("place"), F.replace("p_brand", F.lit("#"), F.lit("  ")).alias("alias")).distinct()
+    seen = vocabulary.examples_of(p.where("p_partkey % 2 = 0").select(F.upper("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "Y").otherwise("N").alias("hot_technology"), F.col("p_partkey").alias("place")))
+    more = p.where("p_partkey % 7 = 0").select(slug.alias("slug"), F.lit(0).alias("place"), F.concat(F.lit("the "), "p_name").alias("alias"))
+    return vocabulary.build_skills(given, spoken, seen, more, "1")
+
+
+_CLAIMS = """WITH p AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS slug FROM part), e AS (SELECT DISTINCT upper(p_name) AS u FROM part WHERE p_partkey % 2 = 0),
+w AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS en FROM part),
+c AS (SELECT slug, 0 AS step, p_name AS text, 'curated' AS source FROM p UNION ALL SELECT slug, 1, en, 'curated' FROM p JOIN w USING (p_partkey) UNION ALL SELECT slug, 2, p_type, 'curated' FROM p UNION ALL SELECT slug, 3, p_brand || ' ' || p_name, 'curated' FROM p
+UNION ALL SELECT slug, 4, lower(p_name), 'curated' FROM p UNION ALL SELECT slug, 5, replace(p_brand, '#', '  '), 'linguist' FROM p UNION ALL SELECT slug, 6, u, 'onet' FROM p JOIN e ON upper(p_name) = u UNION ALL SELECT slug, 7, 'the ' || p_name, 'llm' FROM p WHERE p_partkey % 7 = 0),
+k AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS surface, row_number() OVER (ORDER BY slug, step) AS place FROM c),
+held AS (SELECT arg_min(surface, place) AS surface, lower(surface) AS surface_folded, 'skill.' || arg_min(slug, place) AS skill_id, arg_min(source, place) AS source FROM k WHERE length(surface) >= 2 GROUP BY lower(surface))"""
+
+
+@query(f"{_CLAIMS} SELECT *, '1' AS ontology_version FROM held")
+def built_aliases(spark, d):
+    return _vocabulary(spark, d)[1]
+
+
+@query(f"""{_CLAIMS}, own AS (SELECT skill_id, text, min(place) AS place, arg_min(k.source, place) AS source FROM k JOIN held ON lower(k.surface) = surface_folded AND 'skill.' || slug = skill_id JOIN p USING (slug) WHERE text <> p_name GROUP BY skill_id, text),
+a AS (SELECT skill_id, string_agg(text, '|' ORDER BY place) AS aliases, max(source = 'llm') AS by_model FROM own GROUP BY skill_id)
+SELECT 'skill.' || slug AS id, p_name AS name, p_brand AS cluster_id, coalesce(aliases, '') AS aliases, 'curated,linguist' || CASE WHEN u IS NOT NULL THEN ',onet' ELSE '' END || CASE WHEN by_model THEN ',llm' ELSE '' END AS sources FROM p LEFT JOIN a ON 'skill.' || slug = skill_id LEFT JOIN e ON upper(p_name) = u""")
+def built_skills(spark, d):
+    return _vocabulary(spark, d)[0].select("id", "name", "cluster_id", F.array_join("aliases", "|").alias("aliases"), F.array_join("sources", ",").alias("sources"))
+
+
+@query("""SELECT 'c' || n AS id, 'group ' || n AS name, coalesce(string_agg('skill.' || p_partkey, ',' ORDER BY 'skill.' || p_partkey), '') AS skill_ids, '1' AS ontology_version FROM range(1, 8) r(n) LEFT JOIN part ON p_partkey % 7 = n GROUP BY n""")
+def built_clusters(spark, d):
+    of = F.concat(F.lit("c"), F.col("p_partkey") % 7)
+    skills = table(spark, d, "part").select(F.concat(F.lit("skill."), "p_partkey").alias("id"), of.alias("cluster_id"))
+    n = F.col("id").cast("string")
+    given = spark.range(1, 8).select(F.concat(F.lit("c"), n).alias("id"), F.concat(F.lit("group "), n).alias("name"), n.alias("name_en"), F.lit("x").alias("direction"))
+    return vocabulary.build_clusters(given, skills, "1").select("id", "name", F.array_join("skill_ids", ",").alias("skill_ids"), "ontology_version")
+
+
+@query("""WITH r AS (SELECT CASE p_partkey % 5 WHEN 0 THEN 'major' WHEN 1 THEN 'mid' WHEN 2 THEN 'small' WHEN 3 THEN 'occupation' ELSE 'job_type' END AS level, p_partkey AS k, p_name,
+CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN '2-' || p_partkey WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN '2-02-10' ELSE '2-02-1' END || CASE WHEN p_partkey % 4 < 2 THEN '' ELSE '0' END ELSE '4-04-05-' || p_partkey END AS code FROM part)
+SELECT 'occ.' || code AS id, code, CASE WHEN k % 5 < 3 THEN 'g' END AS gbm, CASE WHEN k % 5 = 3 AND k % 10 = 3 THEN 'fixed' ELSE p_name END AS name, level, CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '2' WHEN 2 THEN '2-02' WHEN 3 THEN '4-04-05' ELSE 'own' END AS parent_code,
+k % 5 = 3 AND k % 10 = 3 OR k % 5 >= 3 AND k % 2 = 0 AND NOT (k % 5 = 3 AND k % 10 = 3) AS is_digital, false AS is_green, k % 5 >= 3 OR code = '2-02-10' AS is_it_related, k % 5 = 2 AND code <> '2-02-10' AS is_placeholder, '1' AS ontology_version, 's' AS source FROM r""")
+def occupation_catalogue(spark, d):
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    s, m = k.cast("string"), k % 5
+    small = F.concat(F.when(k % 2 == 0, "2-02-10").otherwise("2-02-1"), F.when(k % 4 < 2, "").otherwise("0"))
+    code = F.when(m == 0, s).when(m == 1, F.concat(F.lit("2-"), s)).when(m == 2, small).otherwise(F.concat(F.lit("4-04-05-"), s))
+    level = F.when(m == 0, "major").when(m == 1, "mid").when(m == 2, "small").when(m == 3, "occupation").otherwise("job_type")
+    rows = p.select(level.alias("level"), code.alias("code"), F.col("p_name").alias("name"), F.lit("g").alias("gbm"), F.lit("own").alias("parent_code"), (k % 2 == 0).alias("is_digital"), F.lit(False).alias("is_green"))
+    fixes = p.where((m == 3) & (k % 10 == 3)).select(code.alias("code"), F.lit("fixed").alias("name"), F.lit(True).alias("is_digital"), F.lit(False).alias("is_green"))
+    return vocabulary.occupation_rows(rows, fixes, "1", "s")
+
+
+@query("""WITH r AS (SELECT CAST(p_size AS INT) AS batch, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN 'job_type' ELSE 'occupation' END AS kind FROM part)
+SELECT DISTINCT 'newocc.' || CASE WHEN batch < 10 THEN '0' ELSE '' END || batch || CASE kind WHEN 'job_type' THEN '.job.' ELSE '.' END || name AS id, name, kind, batch, 'b' || batch AS batch_name, '1' AS ontology_version FROM r""")
+def new_occupation_catalogue(spark, d):
+    job, b = F.col("p_partkey") % 4 == 0, F.col("p_size").cast("int")
+    batches = table(spark, d, "part").groupBy(b.alias("batch")).agg(F.collect_set(F.when(~job, F.col("p_name"))).alias("occupations"), F.collect_set(F.when(job, F.col("p_name"))).alias("job_types"))
+    return vocabulary.new_occupation_rows(batches.withColumn("batch_name", F.concat(F.lit("b"), "batch")), "1")
