@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch at most, and of a table of sources or languages that is broadcast.
@@ -102,3 +102,18 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 def word_count(text):
     """Number of [^\\x20\\x09-\\x0D]+ words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def ordinals(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows, written, with their place (from 0 on) in the order of their group and its size; group and order are columns without nulls.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread over tasks; each range's own counts give where
+    it begins. That table has a row a range and group in it, so at most groups + partitions rows.
+    """
+    ranged = cut(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    held = ranged.groupBy("_range", group).agg(F.count("*").alias("_rows"))
+    of = Window.partitionBy(group)
+    begins = F.coalesce(F.sum("_rows").over(of.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select("_range", group, begins.alias("_begins"), F.sum("_rows").over(of).alias("size"))
+    inside = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order)).cast("long")
+    return ranged.join(held, ["_range", group]).withColumn("place", inside - 1 + F.col("_begins")).drop("_range", "_begins")
