@@ -87,7 +87,7 @@ def proofs(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields:
     now = leaf_hash([(changed or {}).get(c, x) for c, x in zip(fields, held)])
     by = [F.col(order).isNotNull().cast("int").alias("_has"), F.coalesce(F.col(order), F.lit(0)).alias("_by")]
     leaves = docs.select(name.alias("group"), F.col(order).alias("id"), *by, leaf_hash(held).alias("hash"), now.alias("now"))
-    leaves = cut(ordinals(leaves, "group", ["_has", "_by", "hash"]).drop("_has", "_by"))
+    leaves = cut(ordinals(cut(leaves), "group", ["_has", "_by", "hash"]).drop("_has", "_by"))
     tree = levels(leaves.select("group", "place", "hash", "size"), width)
     tops = leaves.where("size = 1").select("group", "hash")
     for level in tree:
