@@ -272,7 +272,18 @@ def test_one_row_of_each_component_stays(spark):
     assert {r.component_id for r in got} == {1}
 
 
-HOSTILE = {"letters": "x" * 300_000 + "1", "apart": "x" * 300_000 + " 1", "key": "aB3_" * 75_000, "ats": "a@" * 100_000, "mails": " ".join(f"info@x{i}.com info" for i in range(8000)), "plus": "+1(" * 100_000, "dots": "1." * 150_000, "numbers": " ".join(str(10**9 + 7 * i) for i in range(10_000))}
+def test_long_runs_of_backslashes_and_numbers():
+    for x in ("\\" * 1_000_000, "\\" * 999_999 + "</turn>", "### User:" * 1000 + "\\\\### User:"):
+        began = time.time()
+        assert chat_format.unescape(chat_format.escape(x)) == x and time.time() - began < 2
+    for n in (1, 20_000):
+        (base, added), = pii.find_spans(["+1 " * n])
+        graph = pii._Graph()
+        graph.add(0, "+1 " * n, base)
+        assert len(graph.weights) <= 7 * graph.size
+
+
+HOSTILE = {"short": "+1 " * 100_000, "letters": "x" * 300_000 + "1", "apart": "x" * 300_000 + " 1", "key": "aB3_" * 75_000, "ats": "a@" * 100_000, "mails": " ".join(f"info@x{i}.com info" for i in range(8000)), "plus": "+1(" * 100_000, "dots": "1." * 150_000, "numbers": " ".join(str(10**9 + 7 * i) for i in range(10_000))}
 
 
 @pytest.mark.parametrize("name", HOSTILE)
@@ -289,12 +300,14 @@ def test_spans_in_batches_of_nodes(docs, monkeypatch):
     assert pii.find_spans(texts) == whole
 
 
-def test_a_huge_text_does_not_end_the_learning_rows(spark, monkeypatch):
-    monkeypatch.setattr(quality_classifier, "MAX_CHARS", 1000)
+def test_a_huge_text_does_not_end_the_learning_rows(spark):
     rows = spark.createDataFrame([(i, "x" * (5000 if i % 2 else 50), False) for i in range(20)], "doc_id long, text string, held_out boolean")
     labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(20)], "doc_id long, quality int")
-    got = quality_classifier.learning_rows(rows, labels)
+    got = quality_classifier.learning_rows(rows, labels, chars=1000)
     assert 0 < len(got) <= 20 and all(len(t) == 50 for t, _ in got)
+    many = spark.range(12_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") < 5, 3).otherwise(1000).cast("int")).alias("text"), F.lit(False).alias("held_out"))
+    got = quality_classifier.learning_rows(many.union(many.where("doc_id < 5")), many.select("doc_id", F.lit(1).alias("quality")), bound=20_000, chars=50_000)
+    assert sum(len(t) for t, _ in got) <= 50_000 and len(got) > 40
 
 
 def test_pooled_vectors_equal_a_plain_loop(docs):
@@ -458,13 +471,34 @@ def test_whole_table_is_encoded_as_by_the_plain_agenda(docs):
 
 
 def test_mix_comes_near_its_targets(docs):
-    rows = mixing.mixed_words(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
-    off = sorted(abs(r.taken / r.target - 1) for r in rows if r.target)
-    assert off[len(off) // 2] < 0.05
+    rows = mixing.mixed_words(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()
+    assert all(abs(r.taken - r.target) <= r.most for r in rows)  # sizes ascend, so at most one largest document is missed
     top = mixing.mixed_words(docs).where("taken > 3 * size").count()
     assert top == 0
 
 
+def test_each_document_is_drawn_with_its_probability(spark):
+    """A thousand sources have a thousand offsets: one large document and four small ones, whose copies have probabilities 0.875, 0.75 and 0.375."""
+    sizes = [1000, 10, 10, 10, 5]
+    rows = spark.range(1200).select(F.format_string("s%04d", "id").alias("source"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).cast("long").alias("size")) for k, n in enumerate(sizes)])).alias("d")).select("source", "d.*")
+    rows = rows.select("source", mixing._source_key().alias("source_key"), F.md5(F.concat_ws(":", F.col("k").cast("string"), "source").cast("binary")).alias("tie"), "size", "k")
+    for seed in (1, 2):
+        got = mixing.plan(rows.drop("k"), seed=seed).join(rows, ["source_key", "tie"]).withColumn("rate", F.expr("target / source_size"))
+        rates = got.groupBy("k", F.round("rate", 4).alias("rate")).agg(F.avg(F.col("copies") - F.floor("rate")).alias("drawn"), F.count("*").alias("n")).collect()
+        assert len(rates) == 3 * len(sizes)
+        for r in rates:
+            f = r.rate % 1
+            assert abs(r.drawn - f) < 4 * (f * (1 - f) / r.n) ** 0.5, r
+    assert mixing.plan(rows.drop("k"), seed=1).exceptAll(mixing.plan(rows.drop("k").repartition(3), seed=1)).count() == 0
+
+
+def test_rows_of_one_document_draw_alike(spark):
+    rows = [(i % 7 if i % 3 else None, f"text {i % 5} of many words", "en", "b" if i > 6 else None, 1) for i in range(60)]
+    got = mixing.mixed_words(spark.createDataFrame(rows, SCHEMA)).where("doc_id is not null").groupBy("doc_id", "source_size").agg(F.countDistinct("taken").alias("n")).collect()
+    assert len(got) > 7 and all(r.n == 1 for r in got)
+    assert mixing.mix(spark.createDataFrame(rows, SCHEMA)).groupBy("doc_id", "text", "source").count().count() > 0
+
+
 def test_large_groups_are_dealt(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(40)]
