@@ -28,8 +28,9 @@ SYSTEM, USER, ASSISTANT, OTHER, NAMED, END = range(6)
 CONTROLS = ["### System: ", "### User: ", "### Assistant: ", "### Turn: ", "</role>", "</turn>\n"]
 ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 _CONTROL = r"(?:### (?:System|User|Assistant|Turn):|</role>|</turn>)"
-_PLAIN = re.compile(rf"(\\*)({_CONTROL})")
-_ESCAPED = re.compile(rf"(\\+)({_CONTROL})")
+# A run of backslashes is tried once, at its first one, so that long runs take linear time.
+_PLAIN = re.compile(rf"(?<!\\)(\\*+)({_CONTROL})")
+_ESCAPED = re.compile(rf"(?<!\\)(\\++)({_CONTROL})")
 
 
 def escape(text: str) -> str:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ ROUNDS = 8
 NODES = 100_000
 #: Digits that numbers must share at their ends, and characters of which two may differ in similar tokens.
 END, LIKE = 7, 8
+#: Links by digits that a token gets at most: to base spans, and to others. Messages that are computed at once.
+LINKS, STEP = 2, 200_000
 
 
 def _luhn(digits: str) -> bool:
@@ -168,12 +171,18 @@ def _at(base: list[tuple[int, int, int]], at: int, start: int, end: int) -> list
 
 class _Graph:
     def __init__(self) -> None:
-        self.unary: list[list[float]] = []
-        self.edges: list[tuple[int, int, float]] = []
-        self.spans: list[tuple[int, int, int]] = []  # document, start, end of each node
+        # Flat arrays, so that a long text of many numbers takes some hundred bytes a node.
+        self.unary, self.size = array("d"), 0
+        self.ends_of, self.weights = array("q"), array("f")  # two nodes of each edge, and its weight
+        self.docs, self.starts, self.stops = array("q"), array("q"), array("q")
+        self.linked = bytearray()
+
+    def link(self, a: int, b: int, weight: float) -> None:
+        self.ends_of.extend((a, b))
+        self.weights.append(weight)
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        last_end, at, equal, alike, ends, first = -2, 0, {}, {}, {}, len(self.unary)
+        last_end, at, equal, alike, ends, first = -2, 0, {}, {}, {}, self.size
         mails = _mail_parts(text, base)
         named: dict[str, int] = {}  # the node of each address, and nodes that wait for it
         waits: list[tuple[int, str]] = []
@@ -181,12 +190,16 @@ class _Graph:
             while at < len(base) and base[at][2] <= start:
                 at += 1
             kind = next((k for s, k, e in base[at : at + 3] if s < end and e > start), None)
-            node = len(self.unary)
+            node = self.size
+            self.size += 1
             token = text[start:end]
-            self.unary.append(_unary(token, text[max(0, start - 24) : start].rstrip('"\'`'), kind))
-            self.spans.append((doc, start, end))
+            self.unary.extend(_unary(token, text[max(0, start - 24) : start].rstrip('"\'`'), kind))
+            self.docs.append(doc)
+            self.starts.append(start)
+            self.stops.append(end)
+            self.linked.append(0)
             if start - last_end == 1:
-                self.edges.append((node - 1, node, CHAIN))
+                self.link(node - 1, node, CHAIN)
             last_end = end
             if mail and kind is None:
                 waits.append((node, mail))
@@ -198,30 +211,34 @@ class _Graph:
                 word = core[0].lower()
                 if len(word) >= 4:
                     if word in equal:
-                        self.edges.append((equal[word], node, SKIP))
+                        self.link(equal[word], node, SKIP)
                     equal[word] = node
                 if len(word) >= LIKE:
                     # Tokens that differ in one place share a half.
                     h = len(word) // 2
                     near = {alike[k] for k in ((len(word), 0, word[:h]), (len(word), 1, word[h:])) if k in alike}
-                    self.edges += [(n, node, ALIKE) for n, w in near if w != word and sum(x != y for x, y in zip(w, word)) <= 2]
+                    for n, w in near:
+                        if w != word and sum(x != y for x, y in zip(w, word)) <= 2:
+                            self.link(n, node, ALIKE)
                     alike[len(word), 0, word[:h]] = alike[len(word), 1, word[h:]] = (node, word)
                 if not any(map(str.isalpha, word)):
                     self._link_digits(node, first, text, next(((s, e) for s, k, e in base[at : at + 3] if k in (2, 3) and s < end and e > start), None), ends)
-        self.edges += [(named[mail], node, SKIP) for node, mail in waits if mail in named]
+        for node, mail in waits:
+            if mail in named:
+                self.link(named[mail], node, SKIP)
 
     def _link_digits(self, node: int, first: int, text: str, span: tuple[int, int] | None, ends: dict) -> None:
         """Link a number to the last one of which it is the end, or which is its end; its parts before it in a run, too.
 
-        A base span counts as a whole, at its last token.
+        A base span counts as a whole, at its last token. A token has LINKS such links to base spans and as many to others at most.
         """
-        start, end = self.spans[node][1:]
+        start, end = self.starts[node], self.stops[node]
         if span and _digits(text[end : span[1]]):
             return
         digits = _digits(text[span[0] : span[1]] if span else text[start:end])
         run = node  # the first token of the number
-        while run > first and self.spans[run][1] - self.spans[run - 1][2] == 1:
-            s, e = self.spans[run - 1][1:]
+        while run > first and self.starts[run] - self.stops[run - 1] == 1:
+            s, e = self.starts[run - 1], self.stops[run - 1]
             if not 0 < len(before := _digits(text[s:e])) <= 6 or any(map(str.isalpha, text[s:e])) or span and e <= span[0] or len(digits) >= 19:
                 break
             run -= 1
@@ -231,40 +248,44 @@ class _Graph:
             return
         key = digits[-END:]
         if key in ends:
-            other, known = ends[key]
-            n = 0
+            other, known, based = ends[key]
+            n, one = 0, 16 if based else 1
             while n < min(len(digits), len(known)) and digits[-1 - n] == known[-1 - n]:
                 n += 1
             own = 0  # digits from a token of the run on
             for i in range(node, run - 1, -1):
-                own += len(_digits(text[self.spans[i][1] : self.spans[i][2]]))
+                own += len(_digits(text[self.starts[i] : self.stops[i]]))
                 if own > n and i < node:
                     break
-                if own <= n or n == len(known):
-                    self.edges.append((other, i, SKIP))
+                if (own <= n or n == len(known)) and self.linked[i] // one % 16 < LINKS:
+                    self.linked[i] += one
+                    self.link(other, i, SKIP)
                 if own >= n:
                     break
         if key not in ends or span or len(digits) >= len(ends[key][1]):
-            ends[key] = (node, digits)
+            ends[key] = (node, digits, bool(span))
 
     def labels(self) -> np.ndarray:
         """Of each node, the label of the largest belief; outside unless its share is over one half."""
         u = np.array(self.unary).reshape(-1, OUT + 1)
-        belief = u.copy()
-        if self.edges:
-            a, b, w = (np.array(x) for x in zip(*self.edges))
-            src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])[:, None]
-            back = np.roll(np.arange(len(src)), len(a))
-            message = np.zeros((len(src), OUT + 1))
+        belief, m = u.copy(), len(self.weights)
+        if m:
+            a, b = np.array(self.ends_of).reshape(-1, 2).T
+            w = np.array(self.weights)
+            old, new = (np.zeros((2, m, OUT + 1), np.float32) for _ in range(2))  # messages from a to b, and from b to a
             for _ in range(ROUNDS):
-                out = belief[src] - message[back]
-                # Agreement adds w, so a message is log(sum(exp) + (e^w - 1) exp(own)).
-                out -= out.max(1, keepdims=True)
-                e = np.exp(out)
-                out = np.log(e.sum(1, keepdims=True) + np.expm1(w) * e)
-                message = 0.5 * (message + out - out.mean(1, keepdims=True))
-                belief = u.copy()
-                np.add.at(belief, dst, message)
+                after = u.copy()
+                for way, (src, dst) in enumerate(((a, b), (b, a))):
+                    for k in range(0, m, STEP):
+                        at = slice(k, k + STEP)
+                        out = belief[src[at]] - old[1 - way, at]
+                        # Agreement adds w, so a message is log(sum(exp) + (e^w - 1) exp(own)).
+                        out -= out.max(1, keepdims=True)
+                        e = np.exp(out)
+                        out = np.log(e.sum(1, keepdims=True) + np.expm1(w[at])[:, None] * e)
+                        new[way, at] = 0.5 * (old[way, at] + out - out.mean(1, keepdims=True))
+                        np.add.at(after, dst[at], new[way, at])
+                belief, old, new = after, new, old
         belief -= belief.max(1, keepdims=True)
         share = np.exp(belief)
         share /= share.sum(1, keepdims=True)
@@ -293,7 +314,7 @@ def find_spans(texts: list[str]) -> list[tuple[list, list]]:
     for i, t in enumerate(texts):
         if _MARK.search(t):
             graph.add(i, t, bases[i])
-        if len(graph.unary) > NODES:
+        if graph.size > NODES:
             _add_spans(graph, texts, bases, added)
             graph = _Graph()
     _add_spans(graph, texts, bases, added)
@@ -302,10 +323,10 @@ def find_spans(texts: list[str]) -> list[tuple[list, list]]:
 
 def _add_spans(graph: _Graph, texts: list[str], bases: list[list], added: list[list]) -> None:
     """The spans of nodes that the field labels and no base span meets; pieces of one number are one span."""
-    if not graph.unary:
+    if not graph.size:
         return
     last, doc_at, taken = None, -1, _Taken([])
-    for (doc, start, end), kind in zip(graph.spans, graph.labels().tolist()):
+    for doc, start, end, kind in zip(graph.docs, graph.starts, graph.stops, graph.labels().tolist()):
         if doc != doc_at:
             doc_at, taken = doc, _Taken(bases[doc])
         if kind == OUT or taken.meets(start, end):

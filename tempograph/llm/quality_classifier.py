@@ -166,23 +166,33 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select("doc_id", "text", "held_out"), make, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """About bound rows (text, quality) at most, chosen by hash of doc_id; texts that would exceed MAX_CHARS are left out.
+def learning_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS, chars: int = MAX_CHARS) -> list[tuple[str, int]]:
+    """About bound rows (text, quality) at most, chosen by hash of doc_id; texts that would exceed so many characters are left out.
 
-    docs has held_out.
+    docs has held_out. What is taken is settled by ids and lengths, so that only texts within the bound leave their tasks.
     """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = labels.where(~held)
     n = labels.count()
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, bound / max(n, 1)) * 1_000_003)
-    rows, size = [], 0
-    joined = docs.where("not held_out").join(chosen, "doc_id").select("text", "quality", "doc_id")
-    for text, quality, _ in joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * bound).toLocalIterator():
-        if size + len(text or "") <= MAX_CHARS:
-            size += len(text or "")
-            rows.append((text or "", int(quality)))
-    return rows
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    sizes = docs.where("not held_out").select("doc_id", row.alias("row"), F.length(F.coalesce("text", F.lit(""))).alias("size")).join(chosen, "doc_id")
+    taken, total = [], 0
+    for doc_id, row_key, size, quality in sizes.select("doc_id", "row", "size", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(2 * bound).collect():
+        if total + size <= chars:
+            total += size
+            taken.append((len(taken), doc_id, row_key, int(quality)))
+    spark = docs.sparkSession
+    times = {}  # repeated rows are as many rows of the sample
+    for _, _, key, _ in taken:
+        times[key] = times.get(key, 0) + 1
+    first = {key: (place, quality) for place, _, key, quality in reversed(taken)}
+    wanted = F.broadcast(spark.createDataFrame([(key,) for key in first], "row long"))
+    texts = {}
+    for key, text in docs.where("not held_out").select(row.alias("row"), "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]).toLocalIterator():
+        texts[key] = text or ""
+    return [(texts[key], quality) for key, (place, quality) in sorted(first.items(), key=lambda x: x[1][0]) for _ in range(times[key])]
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
