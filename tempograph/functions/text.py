@@ -166,8 +166,20 @@ def too_ambiguous(surface: Column, name: Column) -> Column:
     return (surface != name) & surface.rlike(r"^[\x00-\x7f]{1,3}$") & (surface == F.lower(surface)) & (surface != F.upper(surface))
 
 
+#: Surfaces of a dictionary that every task holds.
+MAX_SURFACES = 1_000_000
+
+
+def bounded(vocabulary: dict[str, str]) -> dict[str, str]:
+    """A dictionary that may be sent to every task; an error beyond that."""
+    if len(vocabulary) > MAX_SURFACES:
+        raise ValueError(f"more than {MAX_SURFACES} surfaces: a dictionary is held by every task")
+    return vocabulary
+
+
 def scan(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
-    """doc_id, start, end, skill_id, surface of all mentions; vocabulary maps surfaces to skills and is a bounded dictionary."""
+    """doc_id, start, end, skill_id, surface of all mentions; vocabulary maps surfaces to skills, MAX_SURFACES at most."""
+    bounded(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(frames):

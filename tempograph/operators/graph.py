@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import check_period, last_day
-from ..sources.shared import at_most
+from ..sources.shared import kept
 
-#: Edges of a vocabulary's graph that one task may hold.
-MAX_EDGES = 2_000_000
+#: Candidate edges that are chosen from in one task.
+AT_ONCE = 200_000
 
 #: Weight bands of the tiers, half-open.
 TIERS = {"high": (0.7, 1.01), "medium": (0.3, 0.7), "low": (0.0, 0.3)}
@@ -34,9 +37,9 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def capped(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """The first nodes, and the edges that have both ends among them."""
-    kept = nodes(edges).orderBy("kind", "node_id").limit(limit)
-    ids = lambda kind, name: kept.where(F.col("kind") == kind).select(F.col("node_id").alias(name))
-    return kept, edges.join(ids("role", "role_id"), "role_id", "left_semi").join(ids("skill", "skill_id"), "skill_id", "left_semi")
+    first = nodes(edges).orderBy("kind", "node_id").limit(limit)
+    ids = lambda kind, name: first.where(F.col("kind") == kind).select(F.col("node_id").alias(name))
+    return first, edges.join(ids("role", "role_id"), "role_id", "left_semi").join(ids("skill", "skill_id"), "skill_id", "left_semi")
 
 
 def competency_diff(obs: DataFrame, covers: DataFrame, a: str, b: str) -> DataFrame:
@@ -136,26 +139,109 @@ def prerequisites_by_seniority(rows: DataFrame, least: int = 2, share: float = 0
 RULE_ORDER = {"manual": 0, "hierarchy": 1, "asymmetry": 2, "seniority": 3}
 
 
-def select_acyclic(candidates: DataFrame) -> DataFrame:
+def acyclic(src: list[int], dst: list[int], n: int) -> list[bool]:
+    """Which of the edges, taken in order, stay: those that repeat none and close no cycle with the ones before.
+
+    A topological order of the n nodes is kept up. An edge that agrees with it stays at once. Another one may close a cycle or bend
+    the order only between its ends. There nodes behind its head and nodes before its tail are looked up by turns: if they meet,
+    it closes a cycle; as soon as one side has no more, that side moves past the other end.
+    """
+    order, at = array("q", range(n)), np.arange(n)
+    places = np.frombuffer(order, np.int64) if n else at  # the same memory
+    after, before, there, stays = [[] for _ in range(n)], [[] for _ in range(n)], set(), []
+    for a, b in zip(src, dst):
+        ok = a != b and (a, b) not in there
+        if ok and order[b] < order[a]:
+            low, high = order[b], order[a]
+            behind, ahead, seen, met, i, j, cost = [b], [a], {b}, {a}, 0, 0, 0
+            while ok and i < len(behind) and j < len(ahead):
+                if cost <= 0:
+                    near = after[behind[i]]
+                    i, cost = i + 1, cost + len(near) + 1
+                    for y in near:
+                        if y in met:
+                            ok = False
+                            break
+                        if y not in seen and order[y] < high:
+                            seen.add(y)
+                            behind.append(y)
+                else:
+                    near = before[ahead[j]]
+                    j, cost = j + 1, cost - len(near) - 1
+                    for y in near:
+                        if y in seen:
+                            ok = False
+                            break
+                        if y not in met and order[y] > low:
+                            met.add(y)
+                            ahead.append(y)
+            if ok:
+                moved = np.zeros(high - low + 1, bool)
+                forward = i == len(behind)
+                moved[places[behind if forward else ahead] - low] = True
+                part = at[low : high + 1]
+                part = np.concatenate([part[~moved], part[moved]] if forward else [part[moved], part[~moved]])
+                at[low : high + 1] = part
+                places[part] = np.arange(low, high + 1)
+        if ok:
+            there.add((a, b))
+            after[a].append(b)
+            before[b].append(a)
+        stays.append(ok)
+    return stays
+
+
+def off_cycles(edges: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, ...) that are surely in no cycle, and the rest: ends of chains are taken away again and again."""
+    left, free, n = kept(edges), None, None
+    for _ in range(rounds):
+        into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        inner = kept(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select(edges.columns))
+        outer = left.join(into, "src", "left_anti").unionByName(left.join(into, "src", "left_semi").join(out, "dst", "left_anti"))
+        free = outer if free is None else free.unionByName(outer)
+        left, before, n = inner, n, inner.count()
+        if not n or n == before:
+            break
+    return free, left
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, part: the smallest node that edges (src, dst), taken in both directions, lead to.
+
+    Each round a node takes the smallest label around it, and then that label's own label, so chains halve.
+    """
+    both = kept(edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(edges.select("dst", "src")).distinct())
+    labels, state = kept(both.groupBy("node").agg(F.least("node", F.min("near")).alias("part"))), None
+    while True:
+        around = both.join(labels.select(F.col("node").alias("near"), "part"), "near").groupBy("node").agg(F.min("part").alias("other"))
+        least = labels.join(around, "node").select("node", F.least("part", "other").alias("part"))
+        of = labels.select(F.col("node").alias("part"), F.col("part").alias("next"))
+        labels = kept(least.join(of, "part").select("node", F.least("part", "next").alias("part")))
+        now = labels.agg(F.sum(F.xxhash64("node", "part").cast("decimal(38,0)"))).first()[0]
+        if now == state:
+            return labels
+        state = now
+
+
+def select_acyclic(candidates: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """Edges in order of rule, confidence and ids, without those that repeat, reverse or close a cycle.
 
-    The choice of each edge depends on all before it, so the candidates (pairs of vocabulary skills) are one group.
+    The choice of an edge depends on those before it, but only on ones it shares a cycle of candidates with. So of more than `at_once`
+    candidates, edges off all cycles stay without a look, and the others are chosen by connected parts, each in a task of its own.
     """
 
     def pick(rows):
-        after: dict[str, set[str]] = {}
         rows = rows.assign(o=rows["rule"].map(RULE_ORDER)).sort_values(["o", "confidence", "src", "dst"], ascending=[True, False, True, True])
-        keep = []
-        for i, (src, dst) in zip(rows.index, zip(rows["src"], rows["dst"])):
-            seen, stack = {dst}, [dst]
-            while stack and src not in seen:
-                for x in after.get(stack.pop(), ()):
-                    if x not in seen:
-                        seen.add(x)
-                        stack.append(x)
-            if src not in seen and dst not in after.get(src, ()):
-                after.setdefault(src, set()).add(dst)
-                keep.append(i)
-        return rows.loc[keep, ["src", "dst", "rule", "confidence"]]
-
-    return at_most(candidates, MAX_EDGES, "candidate edges").groupBy(F.lit("all").alias("group")).applyInPandas(pick, "src string, dst string, rule string, confidence double")
+        number = {x: i for i, x in enumerate(dict.fromkeys([*rows["src"], *rows["dst"]]))}
+        stays = acyclic([number[x] for x in rows["src"]], [number[x] for x in rows["dst"]], len(number))
+        return rows.loc[stays, ["src", "dst", "rule", "confidence"]]
+
+    schema = "src string, dst string, rule string, confidence double"
+    edges = kept(candidates.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "rule", "confidence").where("src <> dst"))
+    if edges.count() <= at_once:
+        return edges.groupBy(F.lit("all").alias("group")).applyInPandas(pick, schema)
+    rule = F.element_at(F.create_map(*[F.lit(x) for kv in RULE_ORDER.items() for x in kv]), F.col("rule"))
+    first = edges.groupBy("src", "dst").agg(F.min(F.struct(rule.alias("o"), (-F.col("confidence")).alias("c"), "rule", "confidence")).alias("e"))
+    free, core = off_cycles(first.select("src", "dst", "e.rule", "e.confidence"))
+    parts = core.join(connected(core).withColumnRenamed("node", "src"), "src")
+    return free.select("src", "dst", "rule", "confidence").unionByName(parts.groupBy("part").applyInPandas(pick, schema))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schema import period_of
 from ..sources import payloads
-from ..sources.shared import kept
+from ..sources.shared import at_most, kept
 
 
 def _first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -100,7 +100,7 @@ def extract(postings: DataFrame, vocabulary: DataFrame, fallback_period: str, ve
     """
     forms = vocabulary.select("id", "name", F.posexplode("surfaces").alias("place", "surface")).where(~tx.too_ambiguous(F.col("surface"), F.col("name")))
     of = forms.groupBy("surface").agg(F.min_by("id", F.struct("id", "place")).alias("id"))
-    skill_of = {r.surface: r.id for r in of.collect()}  # a vocabulary
+    skill_of = {r.surface: r.id for r in at_most(of, tx.MAX_SURFACES, "surfaces").collect()}
     p = canonical(postings).withColumns({"role_id": role_id(F.col("title")), "at": F.coalesce(period_of(anchor()), F.lit(fallback_period))}).where("role_id is not null")
     shown = F.btrim(plain_title(F.col("title")))
     order = F.struct(F.col("published_at").isNull(), "published_at", "posting_id")

@@ -8,9 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql as functions
+from ..operators import store
 from ..sources import responses
 from ..sources.shared import shared_folder
-from ..sources.tables import table
+from ..sources.tables import SQL_BASE, sql_obs, table
+from ..streaming import collect
+from .evolution import obs
+from .profiles import _BARE, DRESSED, PLAIN_WORDS, mention_counts
+from .profiles import SQL as PROFILES_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +138,133 @@ def jobhive_stored(spark, d):
     path = shared_folder(spark)
     table(spark, d, "supplier").select(row.alias("value")).write.text(path)
     return responses.stored(spark, "jobhive_moka", path, since="2024-01-04").drop("fetched_at")
+
+
+# Collecting as a stream
+
+
+def _stored_parts(spark, d, files: int) -> str:
+    """Pages of parts as greenhouse's responses; every tenth part is listed by two pages."""
+    key = F.col("p_partkey")
+    job = F.to_json(F.struct(key.alias("id"), F.col("p_name").alias("title"), F.lit("2024-03-05").alias("updated_at"), F.lit("x").alias("jobManager")))
+    rows = table(spark, d, "part").withColumns({"key": key, "page": F.floor(key / 40)})
+    every = rows.select("key", "p_partkey", "p_name", "page").unionByName(rows.where(key % 10 == 0).select("key", "p_partkey", "p_name", (F.col("page") + 1_000_000).alias("page")))
+    token = F.struct(F.lit("t").alias("token"), F.lit("T").alias("name"))
+    return responses.write(pages(every, F.col("page"), job, token, '{"jobs":[', "]}"), shared_folder(spark), files)
+
+
+@query("""SELECT 'greenhouse:' || sha256(x) AS id, x AS payload, 5 AS flushes FROM (SELECT '{"board_name":"T","board_token":"t","job":{"id":' || p_partkey || ',"title":"' || p_name || '","updated_at":"2024-03-05"}}' AS x FROM part)""")
+def collected_snapshots(spark, d):
+    """Five files, a flush each; the run ends after two of them and is started again."""
+    source, to = _stored_parts(spark, d, 5), collect.Store(spark, shared_folder(spark))
+    if collect.collect(spark, "greenhouse", source, to, today="2024-04-01", peers=False, flushes=2) != "interrupted":
+        raise RuntimeError("the run was to end")
+    collect.collect(spark, "greenhouse", source, to, today="2024-04-01", peers=False)
+    n = to.ledger().count()
+    return to.snapshots().select("id", "payload", F.lit(n).cast("int").alias("flushes"))
+
+
+@query("""SELECT 'greenhouse:' || p_partkey AS posting_id, p_name AS title, 'T' AS company, '2024-03-05' AS updated_at, '2024Q1' AS period FROM part""")
+def collected_postings(spark, d):
+    """Postings of a run by two files a flush; parts that two pages list are one."""
+    to = collect.Store(spark, shared_folder(spark))
+    collect.collect(spark, "greenhouse", _stored_parts(spark, d, 4), to, files=2, today="2024-04-01", peers=False)
+    return to.postings().select("posting_id", "title", "company", F.col("updated_at").cast("string").alias("updated_at"), "period")
+
+
+@query("SELECT '/zhaopin/' || p_partkey AS url, p_name AS text, 'halted' AS state FROM part WHERE p_partkey // 20 < 6")
+def collected_until_halt(spark, d):
+    """Cards of pages in one flush; the board objects to the seventh."""
+    key = F.col("p_partkey")
+    job = F.concat(F.lit('<a href="/zhaopin/'), key.cast("string"), F.lit('">'), F.col("p_name"), F.lit("</a>"))
+    p = pages(table(spark, d, "part").withColumn("key", key), F.floor(key / 20), job, F.struct(F.lit("x").alias("page_no")), "<html>", "</html>")
+    p = p.withColumn("status", F.when(F.col("seq") == 6, 403).otherwise(200))
+    to = collect.Store(spark, shared_folder(spark))
+    state = collect.collect(spark, "liepin", responses.write(p, shared_folder(spark), 3), to, files=3, today="2024-04-01", peers=False)
+    return to.snapshots().select("url", F.get_json_object("payload", "$.text").alias("text"), F.lit(state).alias("state"))
+
+
+# Sinks
+
+
+def _store(spark) -> str:
+    """A new store; its database's name."""
+    root = shared_folder(spark)
+    db = "graph_" + root.rsplit("-", 1)[-1]
+    store.migrate(spark, root, db)
+    return db
+
+
+_OBS = f"WITH {SQL_BASE}, {sql_obs('o', 'role_id', 'md')}"
+
+
+def _observed(spark, d) -> DataFrame:
+    return obs(spark, d, ["role_id"]).withColumn("ontology_version", F.lit("0.1"))
+
+
+@query(_OBS + """ SELECT role_id, skill_id, period, CASE WHEN period = '1995Q1' THEN weight / 2 ELSE weight END AS weight, posting_count + CASE WHEN period = '1995Q1' THEN 1 ELSE 0 END AS posting_count, total_postings FROM o
+UNION ALL SELECT NULL, 'new', '1995Q1', 1.0, 1, 1""")
+def observation_partitions(spark, d):
+    """Observations stored by version and quarter; one quarter comes again, corrected, with a row for all roles."""
+    db = _store(spark)
+    rows = _observed(spark, d)
+    store.put_observations(spark, db, rows)
+    again = rows.where("period = '1995Q1'").withColumns({"weight": F.col("weight") / 2, "posting_count": F.col("posting_count") + 1})
+    extra = spark.createDataFrame([(None, "new", "1995Q1", 1.0, 1, 1, "0.1")], "role_id string, skill_id string, period string, weight double, posting_count long, total_postings long, ontology_version string")
+    store.put_observations(spark, db, again.unionByName(extra))
+    return spark.table(f"{db}.observation").drop("ontology_version")
+
+
+@query(_OBS + """ SELECT a.role_id, a.skill_id, a.weight AS before, b.weight AS after, n.state, s.ontology_version FROM (SELECT * FROM o WHERE period = '1995Q1') a JOIN (SELECT * FROM o WHERE period = '1995Q2') b USING (role_id, skill_id)
+JOIN (SELECT DISTINCT role_id, CASE WHEN role_id = 'BUILDING' THEN 'proposed' ELSE 'published' END AS state FROM o) n USING (role_id), (SELECT '0.1' AS ontology_version) s""")
+def graph_partitions(spark, d):
+    """Edges by version and quarter, bucketed by role; two quarters join on role and skill without a shuffle, nodes have been made."""
+    db = _store(spark)
+    rows = _observed(spark, d)
+    roles = spark.createDataFrame([("BUILDING", "Building", "proposed")], "role_id string, name string, state string")
+    store.put_graph(spark, db, rows.where("period like '1995%'"), roles)
+    store.put_graph(spark, db, rows.where("period = '1995Q2'").withColumn("ontology_version", F.lit("0.2")))
+    a, b = (store.slice_edges(spark, db, "0.1", p).withColumnRenamed("weight", n) for p, n in (("1995Q1", "before"), ("1995Q2", "after")))
+    skills = spark.table(f"{db}.skill").select("skill_id", "ontology_version")
+    return a.join(b, ["role_id", "skill_id"]).join(spark.table(f"{db}.role").select("role_id", "state"), "role_id").join(skills, "skill_id")
+
+
+@query("SELECT 'ev.' || event_id // 2 AS evidence_id, event_type AS source_id, user_id::VARCHAR AS posting_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 2 ORDER BY user_id::VARCHAR, event_type) = 1")
+def evidence_sink(spark, d):
+    """Evidence that is inserted once: rows whose id is there are left, of several the smallest comes."""
+    db = _store(spark)
+    e = table(spark, d, "events").withColumn("evidence_id", F.concat(F.lit("ev."), F.floor(F.col("event_id") / 2).cast("string")))
+    rows = e.select("evidence_id", F.col("event_type").alias("source_id"), F.col("user_id").cast("string").alias("posting_id"), F.lit("s").alias("skill_id"), F.lit(0).alias("span_start"), F.lit(1).alias("span_end"), F.lit("q").alias("quote"), F.lit("x").alias("extractor"), F.lit(0.9).alias("confidence"))
+    store.put_new(spark, f"{db}.evidence", rows, ["evidence_id"])
+    store.put_new(spark, f"{db}.evidence", rows.withColumn("quote", F.lit("again")), ["evidence_id"])
+    return spark.table(f"{db}.evidence").where("quote = 'q'").select("evidence_id", "source_id", "posting_id")
+
+
+@query("SELECT unnest([1, 2]) AS version, unnest([0, 0]) AS applied_again, (SELECT count(*) FROM region) AS n_kept")
+def schema_versions(spark, d):
+    """A store that is brought to its first version, filled, brought to the last one, and once more."""
+    root = shared_folder(spark)
+    db = "graph_" + root.rsplit("-", 1)[-1]
+    store.migrate(spark, root, db, upto=1)
+    table(spark, d, "region").select(F.col("r_name").alias("role_id"), F.col("r_name").alias("name"), F.lit("published").alias("state")).write.insertInto(f"{db}.role")
+    store.migrate(spark, root, db)
+    again = len(store.migrate(spark, root, db))
+    n = spark.table(f"{db}.role").count()
+    return spark.table(f"{db}.{store.LEDGER}").select("version", F.lit(again).alias("applied_again"), F.lit(n).cast("long").alias("n_kept"))
+
+
+# Functions in SQL
+
+
+@query(PROFILES_SQL[mention_counts.__name__])
+def mention_counts_in_sql(spark, d):
+    functions.register(spark, {w: w for w in PLAIN_WORDS})
+    table(spark, d, "documents").createOrReplaceTempView("tempograph_documents")
+    return spark.sql("SELECT doc_id, s.surface, true AS here, count(*) AS n FROM tempograph_documents, LATERAL scan_skills(text) s GROUP BY doc_id, s.surface")
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '急聘java' || {_BARE} || '开发' WHEN 1 THEN {_BARE} || 'senior' WHEN 2 THEN {_BARE} || '工程师' ELSE {_BARE} || '产品经理专员' END AS title_key, p_name || chr(10) || '& more' AS page, 200.0 * length(p_name) / (2 * length(p_name) + 4) AS alike FROM part")
+def functions_in_sql(spark, d):
+    functions.register(spark)
+    table(spark, d, "part").createOrReplaceTempView("tempograph_part")
+    return spark.sql(f"""SELECT p_partkey, normalize_title({DRESSED}) AS title_key, html_text(concat('<script>x</script><p>', p_name, '</p><b>&amp; more</b>')) AS page, indel_ratio(p_name, concat(p_name, '####')) AS alike FROM tempograph_part""")
