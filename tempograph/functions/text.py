@@ -330,6 +330,35 @@ def boilerplate(docs: DataFrame, by: str, peers: bool = True) -> DataFrame:
     return docs.select("doc_id").join(found.select("doc_id", merge_spans(F.col("s")).alias("spans")), "doc_id", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def _letters(text: str) -> np.ndarray:
+    """Length, then how many characters fall in each of 31 classes."""
+    out = np.bincount(np.fromiter((1 + ord(c) % 31 for c in text), np.int64, len(text)), minlength=32).astype(np.int32)
+    out[0] = len(text)
+    return out
+
+
+class _Stretch:
+    """Canonical rows of a stretch of days, with what bounds the similarity of their titles."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.letters = np.zeros((16, 32), np.int32)
+
+    def add(self, row: tuple) -> None:
+        if len(self.rows) == len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[len(self.rows)] = _letters(row[3])
+        self.rows.append(row)
+
+    def like(self, own: np.ndarray, least: float) -> list[tuple]:
+        """The rows, in order, whose titles have enough characters in common to be that similar."""
+        of = self.letters[: len(self.rows)]
+        both = of[:, 0] + own[0]
+        fit = np.flatnonzero(200.0 * np.minimum(of[:, 0], own[0]) >= least * both)
+        common = np.minimum(of[fit, 1:], own[1:]).sum(1)
+        return [self.rows[i] for i in fit[200.0 * common >= least * both[fit]].tolist()]
+
+
 def greedy_duplicates(rows: DataFrame, by: list[str], days: int = 60, least: float | None = 92.0, order: tuple[str, ...] = ("day", "posting_id")) -> DataFrame:
     """posting_id, duplicate_of: in arrival order, the first canonical row of the block within days whose title fits.
 
@@ -344,18 +373,23 @@ def greedy_duplicates(rows: DataFrame, by: list[str], days: int = 60, least: flo
     shape = "posting_id long, duplicate_of long"
 
     def run(frames):
-        at, equal, near = None, {}, {}
+        at, equal, near, count = None, {}, {}, 0
         for f in frames:
             out = []
             for i, group, day, key in zip(f["posting_id"], zip(*(f[b] for b in by)), f["number"], f["key"]):
                 if group != at:
-                    at, equal, near = group, {}, {}
+                    at, equal, near, count = group, {}, {}, 0
+                if order[0] == "day" and near and min(near) < day // (days + 1) - 1:  # days ascend, so those before are too old for all to come
+                    old = {s for s in near if s < day // (days + 1) - 1}
+                    near = {s: x for s, x in near.items() if s not in old}
+                    equal = {k: x for k, x in equal.items() if k[1] not in old}
                 stretch = day // (days + 1)
                 found = [(n, c) for s in (stretch - 1, stretch, stretch + 1) for n, c, d in equal.get((key, s), ()) if abs(d - day) <= days]
                 if least is not None:
                     best = min(found, default=(float("inf"), None))[0]
+                    own = _letters(key)
                     for s in (stretch - 1, stretch, stretch + 1):
-                        for n, c, d, k in near.get(s, ()):
+                        for n, c, d, k in near[s].like(own, least) if s in near else ():
                             if n >= best:
                                 break
                             if abs(d - day) <= days and k != key and indel(key, k) >= least:
@@ -364,9 +398,10 @@ def greedy_duplicates(rows: DataFrame, by: list[str], days: int = 60, least: flo
                                 break
                 hit = min(found)[1] if found else None
                 if hit is None:
-                    n = sum(map(len, near.values()))
+                    n, count = count, count + 1
                     equal.setdefault((key, stretch), []).append((n, i, day))
-                    near.setdefault(stretch, []).append((n, i, day, key))
+                    if least is not None:
+                        near.setdefault(stretch, _Stretch()).add((n, i, day, key))
                 out.append((i, hit))
             yield pd.DataFrame({"posting_id": pd.array([i for i, _ in out], "Int64"), "duplicate_of": pd.array([h for _, h in out], "Int64")})  # no floats between
 

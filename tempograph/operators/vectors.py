@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 #: Rows of a piece about; a task holds one piece and a batch of queries.
 PIECE = 65536
+#: More than a vector has numbers.
+DIMENSIONS = 1_000_000
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """query_id, vec_id, score, place: the k rows (vec_id, e) of the largest cosine to each query (query_id, e), but the query's own id.
 
-    All vectors have one length. Rows are sent once, queries to every piece; the k best of each piece are merged.
+    Vectors of one length are compared with each other; null ones and those that hold null or what isn't finite take no part, and
+    one of zeros has a cosine of 0 to all. Rows are sent once, queries to every piece; the k best of each piece are merged.
     """
+    sound = F.size("e").between(1, DIMENSIONS - 1) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows, queries = rows.where(sound), queries.where(sound)
     pieces = max(1, -(-rows.count() // PIECE))
-    stored = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).alias("piece"), F.lit(0).alias("part"), F.col("vec_id").alias("id"), "e")
-    asked = queries.select(F.explode(F.expr(f"sequence(0L, {pieces - 1}L)")).alias("piece"), F.lit(1).alias("part"), F.col("query_id").alias("id"), "e")
+    stored = rows.select((F.pmod(F.xxhash64("vec_id"), F.lit(pieces)) * DIMENSIONS + F.size("e")).alias("piece"), F.lit(0).alias("part"), F.col("vec_id").alias("id"), "e")
+    asked = queries.withColumn("piece", F.explode(F.expr(f"sequence(0L, {pieces - 1}L)"))).select((F.col("piece") * DIMENSIONS + F.size("e")).alias("piece"), F.lit(1).alias("part"), F.col("query_id").alias("id"), "e")
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         e = np.array([np.asarray(x, np.float64) for x in batch.column(3).to_pylist()]).reshape(batch.num_rows, -1)

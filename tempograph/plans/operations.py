@@ -221,6 +221,29 @@ def normalized_surfaces(spark, d):
     return extract.normalize_surfaces(s, vocabulary)
 
 
+def brands(spark, d) -> DataFrame:
+    """Brands as skills, named by themselves and by their parts."""
+    p = table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.sort_array(F.collect_set("p_name")).alias("names"))
+    return p.select("id", F.col("id").alias("name"), F.concat(F.array("id"), "names").alias("surfaces"))
+
+
+@query()
+def recall_candidates(spark, d):
+    """The candidates of surfaces that are like names of parts, but none of them."""
+    p = table(spark, d, "part").where("p_name is not null")
+    s = p.select(F.concat(F.substring("p_name", 2, 40), F.lit(" "), F.substring("p_type", 1, 3)).alias("surface"))
+    return extract.recalled(s, brands(spark, d))
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand AS skill_id, string_split(p_name, ' ') AS w FROM part), s AS (SELECT DISTINCT 'zz ' || p_name AS surface, string_split('zz ' || p_name, ' ') AS x FROM part)
+SELECT surface, min(skill_id) AS skill_id, 'adjudicator' AS decided_by, 0.75::DOUBLE AS confidence FROM s JOIN f ON list_has_all(x, w) GROUP BY surface""")
+def adjudicated_surfaces(spark, d):
+    """Surfaces with a word too many: an adjudicator that takes the first candidate, of which all words are in the surface."""
+    first = lambda candidates: candidates.where("place = 1").select("surface", "skill_id", F.lit(0.75).alias("confidence"))
+    s = table(spark, d, "part").select(F.concat(F.lit("zz "), "p_name").alias("surface"))
+    return extract.normalize_surfaces(s, brands(spark, d), adjudicate=first)
+
+
 # Pages
 
 SKILLS = "sk AS (SELECT DISTINCT p_brand || '/' || p_type AS skill_id, CASE WHEN p_brand < 'Brand#2' THEN NULL ELSE 'Brand#1/' || p_type END AS parent_id, CASE WHEN p_type <> 'PROMO' THEN p_type END AS cluster_id FROM part)"

@@ -147,8 +147,6 @@ def test_layout_of_two_columns(spark):
     chars = spark.createDataFrame([(1, 0, 600.0, *r) for r in reversed(rows)], "doc_id long, page int, page_width double, text string, x0 double, y0 double, x1 double, y1 double, size double")
     r = extract.page_layout(chars).first()
     assert r.text == "left one\nleft two\n\nSkills\nright, two" and [(t.label, r.text[t.start : t.end]) for t in r.titles] == [("Skills", "Skills")]
-    whole = "a long line of words that crosses the whole page from left to right, all of it".replace(" ", "-")
-    assert extract.column_gap([dict(zip(("text", "x0", "y0", "x1", "y1", "size"), x)) for i in range(3) for x in line(20 + 2 * i, i, whole)], 600) is None
     df = extract.page_layout(chars).select(extract.span_geometry(F.lit(0), F.lit(8), F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(0).alias("page"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1")))).alias("g"))
     assert list(df.first().g.box) == [20.0, 700.0, 67.0, 710.0]
 
