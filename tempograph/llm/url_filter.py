@@ -21,26 +21,69 @@ from .quality_rules import let
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Buckets of n-grams, labelled rows at most, and lengths of n-grams.
 BUCKETS, MAX_LABELLED, WIDTHS = 1 << 15, 5000, (3, 4, 5)
-#: The labelled table: words that hosts are made of, blocked and allowed; allowed ones are common words and invented names.
-BAD = ["casino", "poker", "slots", "betting", "bets", "jackpot", "lottery", "pharma", "viagra", "pills", "diet", "porn", "xxx", "sex", "escort", "adult", "torrent", "warez", "keygen", "crack",
-       "loans", "payday", "replica", "spam", "clickbait", "ads", "adserver", "tracker", "popunder", "giveaway"]
-GOOD = ["library", "science", "news", "history", "weather", "museum", "garden", "recipes", "travel", "school", "university", "music", "books", "health", "sports", "football", "data", "research", "city", "council",
-        "hospital", "cinema", "theatre", "photo", "maps", "bakery", "bicycle", "camera", "software", "energy", "forest", "river", "mountain", "academy", "archive", "journal", "market", "kitchen", "design", "nature",
-        "velora", "tandrix", "omnaro", "quillet", "brevika", "lumento", "sarvant", "nordeva", "pelagia", "ostrava", "merinth", "halcyon", "corvane", "tessaly", "andorin", "fenwick", "galanor", "isthmia", "kelvara", "wynter"]
-#: What comes before and after a word of either label, and how a URL goes on.
-MADE = ["{}", "{}-online", "the-{}", "my{}", "{}24", "best-{}", "{}-world", "{}hub"]
-REST = ["", "/", "/index.html", "/en/12", "/de/345.html", "/blog/a-post?id=7", "/2024/03/item-9/", "/fr/88#top"]
-
-
-def labelled_urls(spark: SparkSession, bad: list[str] = BAD, good: list[str] = GOOD) -> DataFrame:
-    """url, label (1: block): each word in all forms of hosts, so that forms, ends and paths say nothing by themselves."""
+#: Words of the labelled table by subject; the first table's subjects are blocked, the second's allowed.
+BAD = {
+    "gambling": "casino gamble gambling poker slots roulette betting bets wager jackpot lotto lottery bookmaker blackjack",
+    "adult": "porn porno xxx sex sexy nude naked escort hookup hardcore adult webcam erotic fetish",
+    "pharmacy": "viagra cialis pills pharma tramadol xanax steroids slimming weightloss painkiller",
+    "credit": "payday loans cashadvance fastcash quickloan debtfree instantcredit getrich forex binaryoption",
+    "piracy": "torrent warez keygen crack cracked nulled serialkey freemovies fullmovie streamrip",
+    "fraud": "replica fakewatch spam phishing malware clickbait giveaway freeprize winner claimnow",
+    "ads": "ads adserver adclick tracker tracking popunder popup banner affiliate redirect",
+}
+GOOD = {
+    "learning": "school university academy college library education lecture course tutorial textbook student",
+    "news": "news journal magazine gazette weather daily report press editorial bulletin",
+    "science": "science research physics biology chemistry astronomy geology laboratory archive statistics",
+    "public": "city council government museum hospital parliament ministry police court embassy",
+    "home": "garden kitchen recipes bakery furniture carpenter painting plumbing family cooking",
+    "leisure": "travel music cinema theatre football bicycle hiking camera camping festival",
+    "technology": "software computer network database hardware developer engineering robotics electronics internet",
+    "nature": "forest river mountain ocean animals flowers climate energy farming harvest",
+    "trade": "market insurance accounting transport logistics consulting factory printing textile packaging",
+}
+#: How two words of a subject, or a word and one that says nothing, make a name.
+NAMES = ["{0}{1}", "{0}-{1}", "{0}-{2}", "{2}-{0}", "my{0}{2}", "{0}{2}", "the-{0}", "{0}24", "{2}{0}", "{0}-{2}-{1}", "{0}-{3}", "{3}-{0}", "{0}{3}", "{3}{0}", "{3}-{0}-{2}", "{0}"]
+NEUTRAL = "shop online top world hub zone club store site plus pro direct live center place point base house group team".split()
+#: How URLs go on: by subjects of either kind, or so that nothing is said.
+PATHS = {1: ["/bonus/free-spins", "/signup/vip-offer", "/buy-now/discount-pack", "/click/out/9", "/download-full-free", "/hot-videos/12", "/win/claim", "/cheap/order-online"], 0: ["/about/history", "/articles/2024/03/report-9", "/docs/manual.html", "/courses/intro", "/events/calendar", "/research/papers/7", "/contact/staff", "/exhibition/opening-hours"]}
+PLAIN = ["", "/", "/index.html", "/en/12", "/de/345.html", "/fr/88#top", "/es/7?page=2", "/item/4/"]
+
+
+#: Invented names among the allowed ones: what no word speaks against is allowed.
+INVENTED, SEED = 200, 23
+
+
+def invented(words: list[str], n: int = INVENTED, seed: int = SEED) -> list[str]:
+    """Names whose letters follow each other as in the words, two by two."""
+    rng, after = np.random.default_rng(seed), {}
+    for w in words:
+        for a, b in zip("^" + w, w + "$"):
+            after.setdefault(a, []).append(b)
+    out: list[str] = []
+    while len(out) < n:
+        name, at = "", "^"
+        while len(name) < 14 and (at := after[at][rng.integers(len(after[at]))]) != "$":
+            name += at
+        if len(name) >= 5:
+            out.append(name)
+    return out
+
+
+def labelled_urls(spark: SparkSession, bad: dict[str, str] = BAD, good: dict[str, str] = GOOD) -> DataFrame:
+    """url, label (1: block), word: each word in all forms of names, with other words of its subject; ends of hosts say nothing, and of the paths every second."""
     rows = []
-    for label, words in ((1, bad), (0, good)):
-        for i, word in enumerate(words):
-            for k, form in enumerate(MADE):
-                front, end, rest = ("", "www.", "m.", "blog.")[(i + k) % 4], ("com", "net", "org", "example.com", "example.org")[(i + 2 * k) % 5], REST[(3 * i + k + i // 8) % len(REST)]
-                rows.append((f"https://{front}{form.format(word)}.{end}{rest}", label))
-    return spark.createDataFrame(rows, "url string, label int")
+    for label, subjects in ((1, bad), (0, good)):
+        for words in map(str.split, subjects.values()):
+            for i, word in enumerate(words):
+                for k, form in enumerate(NAMES):
+                    other, *neutral = words[(i + 1 + k * 2) % len(words)], *(NEUTRAL[(a * i + b * k) % len(NEUTRAL)] for a, b in ((7, 3), (11, 9)))
+                    front, end = ("", "www.", "m.", "blog.")[(i + k) % 4], ("com", "net", "org", "example.com", "example.org")[(i + 2 * k) % 5]
+                    path = PATHS[label][(i + k) % len(PATHS[label])] if (i + k) % 2 else PLAIN[(3 * i + k) % len(PLAIN)]
+                    rows.append((f"https://{front}{form.format(word, other, *neutral)}.{end}{path}", label, word))
+    for i, name in enumerate(invented([w for words in good.values() for w in words.split()]) if good else []):
+        rows.append((f"https://{('', 'www.', 'm.', 'blog.')[i % 4]}{name}.{('com', 'net', 'org', 'example.com', 'example.org')[i % 5]}{PLAIN[i % len(PLAIN)]}", 0, name))
+    return spark.createDataFrame(rows, "url string, label int, word string")
 
 
 def with_parts(df: DataFrame) -> DataFrame:
@@ -78,13 +121,13 @@ def fit(labelled: DataFrame, rounds: int = 200, rate: float = 0.05, decay: float
         return w, bias
     n = np.array([len(f) for _, _, f in rows])
     used, place = np.unique(np.array([i for _, _, f in rows for i in f], int), return_inverse=True)
-    x = np.zeros((len(rows), len(used)))
-    x[np.repeat(np.arange(len(rows)), n), place] = 1.0
+    of = np.repeat(np.arange(len(rows)), n)
     y, own, seen = np.array([float(label) for _, label, _ in rows]), np.zeros(len(used)), np.full(len(used), 1e-12)
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))  # both labels count the same
     for _ in range(rounds):
-        d = y - 1 / (1 + np.exp(-(bias + x @ own)))
+        d = weight * (y - 1 / (1 + np.exp(-(bias + np.bincount(of, own[place], len(rows))))))
         bias += rate * d.mean()
-        step = d @ x / len(rows) - decay * own
+        step = np.bincount(place, d[of], len(used)) / len(rows) - decay * own
         seen += step**2
         own += rate * step / np.sqrt(seen)
     w[used] = own
