@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..schema import first_day
 from ..sources.shared import at_most, kept
 
-#: Edges of a vocabulary's graph that one task may hold.
-MAX_EDGES = 2_000_000
+#: Edges of a graph that are clustered in one task, and entries of a catalogue that every task holds.
+AT_ONCE, MAX_ENTRIES = 200_000, 100_000
 
 
 def bursts(obs: DataFrame, by: list[str], s: float = 2.0, gamma: float = 1.0) -> DataFrame:
@@ -79,9 +79,21 @@ def classify(trends: DataFrame, burst_rows: DataFrame, by: list[str], z: float =
     return trends.join(b, by, "left").select(*by, kind.alias("trend"))
 
 
+def aligned(leading: DataFrame, lagging: DataFrame, by: list[str]) -> DataFrame:
+    """by, period, x, y: weights of periods that both series have, of one version of the ontology if they tell it: that of the last such
+    period, of several the largest."""
+    own = [c for c in ["ontology_version"] if c in leading.columns and c in lagging.columns]
+    of = lambda df, name: df.select(*by, "period", *own, F.col("weight").alias(name))
+    both = of(leading, "x").join(of(lagging, "y"), [*by, "period", *own])
+    if own:
+        last = F.max(F.struct("period", "ontology_version")).over(Window.partitionBy(*by))
+        both = both.withColumn("_last", last).where(F.col("ontology_version") == F.col("_last.ontology_version")).drop("_last", "ontology_version")
+    return both
+
+
 def lead_lag(leading: DataFrame, lagging: DataFrame, by: list[str], least: int = 8, widest: int = 8) -> DataFrame:
     """by, lag_periods, correlation, n: the shift of the largest cross-correlation where it reaches 1.96 / sqrt(n)."""
-    both = leading.select(*by, "period", F.col("weight").alias("x")).join(lagging.select(*by, "period", F.col("weight").alias("y")), [*by, "period"])
+    both = aligned(leading, lagging, by)
     w = Window.partitionBy(*by)
     rows = both.withColumns({"n": F.count("*").over(w), "t": F.row_number().over(w.orderBy("period")), "mx": F.avg("x").over(w), "my": F.avg("y").over(w), "sx": F.stddev_pop("x").over(w), "sy": F.stddev_pop("y").over(w)}).where((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0))
     xs = rows.select(*by, F.col("t").alias("tx"), (F.col("x") - F.col("mx")).alias("dx"), "n", "sx", "sy")
@@ -120,8 +132,7 @@ def granger(leading: DataFrame, lagging: DataFrame, by: list[str], lags: DataFra
 
     lags is (by, lag_periods) of the pairs that lead; the order is the lag, at least 1, and at most widest, n - 2 and a fifth of n.
     """
-    both = leading.select(*by, "period", F.col("weight").alias("x")).join(lagging.select(*by, "period", F.col("weight").alias("y")), [*by, "period"])
-    both = both.join(lags.select(*by, "lag_periods"), by)
+    both = aligned(leading, lagging, by).join(lags.select(*by, "lag_periods"), by)
 
     def test(rows):
         import numpy as np
@@ -193,9 +204,14 @@ def firm_effects(panel: DataFrame) -> DataFrame:
 def drift(before: DataFrame, after: DataFrame, floor: float = 0.05, change: float = 0.3) -> DataFrame:
     """Skills (role_id, skill_id, weight, period) that came above the floor, fell below it, or changed by a share.
 
-    Only roles that both slices have are compared. A change occurs on the first day of the role's last period. Weights below the
-    floor count as absent, but are told.
+    Only roles that both slices have are compared, and where rows tell their version of the ontology, only roles that both slices have
+    in one and the same. A change occurs on the first day of the role's last period. Weights below the floor count as absent, but are
+    told. reason says what has changed.
     """
+    if "ontology_version" in before.columns and "ontology_version" in after.columns:
+        versions = before.select("role_id", "ontology_version").union(after.select("role_id", "ontology_version")).groupBy("role_id")
+        one = versions.agg(F.min("ontology_version").eqNullSafe(F.max("ontology_version")).alias("_one")).where("_one").select("role_id")
+        before, after = before.join(one, "role_id", "left_semi"), after.join(one, "role_id", "left_semi")
     roles = before.select("role_id").distinct().join(after.groupBy("role_id").agg(F.max("period").alias("after_period")), "role_id")
     of = lambda df, name: df.groupBy("role_id", "skill_id").agg(F.max_by("weight", "period").alias(name))
     j = of(before, "w0").join(of(after, "w1"), ["role_id", "skill_id"], "full_outer").join(roles, "role_id")
@@ -203,7 +219,18 @@ def drift(before: DataFrame, after: DataFrame, floor: float = 0.05, change: floa
     was, is_ = w0 >= floor, w1 >= floor
     kind = F.when(~was & is_, "added").when(was & ~is_, "removed").when(was & is_ & (F.abs(w1 - w0) / F.greatest(F.abs(w0), F.lit(1e-9)) >= change), "modified")
     j = j.withColumn("kind", kind).where("kind is not null")
-    return j.select(F.concat_ws("-", F.lit("chg"), "role_id", "skill_id", "kind", "after_period").alias("change_id"), "role_id", "skill_id", "kind", F.when(was, w0).alias("before_weight"), F.when(is_, w1).alias("after_weight"), first_day(F.col("after_period")).cast("string").alias("occurred_on"))
+    return j.select(F.concat_ws("-", F.lit("chg"), "role_id", "skill_id", "kind", "after_period").alias("change_id"), "role_id", "skill_id", "kind", F.when(was, w0).alias("before_weight"), F.when(is_, w1).alias("after_weight"), first_day(F.col("after_period")).cast("string").alias("occurred_on"), _reason(w0, w1, floor).alias("reason"))
+
+
+def _reason(w0: Column, w1: Column, floor: float) -> Column:
+    """What a change says, of kind, skill_id and after_period; the sentences are fixed values."""
+    two = lambda w: F.format_string("%.2f", F.bround(w, 2))
+    share = F.concat(F.bround(F.abs(w1 - w0) / F.greatest(F.abs(w0), F.lit(1e-9)) * 100, 0).cast("long").cast("string"), F.lit("%"))
+    skill = F.concat(F.lit("技能点 "), "skill_id")
+    new = F.concat(skill, F.lit(" 在 "), "after_period", F.lit(" 首次达到显著重要度 （"), two(w1), F.lit(f"），上一时间片不存在或低于噪声地板 {floor}"))
+    gone = F.concat(skill, F.lit(" 在 "), "after_period", F.lit(" 从岗位能力要求中消失（此前重要度 "), two(w0), F.lit("）"))
+    other = F.concat(skill, F.lit(" 重要度由 "), two(w0), F.lit(" 变为 "), two(w1), F.lit("（相对变化 "), share, F.lit("）"))
+    return F.when(F.col("kind") == "added", new).when(F.col("kind") == "removed", gone).otherwise(other)
 
 
 def pooled(edges: DataFrame, *keys: str) -> DataFrame:
@@ -232,8 +259,84 @@ def cluster_density(edges: DataFrame, members: DataFrame) -> DataFrame:
     return sizes.select("cluster_id", n.cast("long").alias("n"), F.when(n < 2, 0.0).otherwise(F.coalesce("w", F.lit(0)) * 2.0 / (n * (n - 1))).alias("density"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """cluster_id, skill_id by modularity; nodes are visited in sorted order. A vocabulary's graph is one group."""
+def _seeded(*keys, seed: int) -> Column:
+    return F.xxhash64(*keys, F.lit(seed))
+
+
+def _moved(edges: DataFrame, resolution: float, seed: int, rounds: int) -> DataFrame:
+    """node, part: nodes moved to the part around them that gains most, in rounds, until none moves.
+
+    In a round only nodes of one colour (half of them, by a hash of node and round) may move, so that neighbours seldom change places;
+    and a node that is alone goes to another one that is alone only if that has the smaller name. edges is (src, dst, weight), both
+    ways, loops once.
+    """
+    total = edges.agg(F.sum("weight")).first()[0] or 1.0
+    degree = kept(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree")))
+    state, still = kept(degree.select("node", F.col("node").alias("part"))), 0
+    links = edges.where("src <> dst")
+    for k in range(rounds):
+        own = kept(state.join(degree, "node"))
+        parts = own.groupBy("part").agg(F.sum("degree").alias("sum"), F.count("*").alias("size"))
+        near = links.join(state.select(F.col("node").alias("dst"), F.col("part").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("links"))
+        may = own.where(F.pmod(_seeded("node", seed=seed + k), F.lit(2)) == 0)
+        both = may.join(near, "node").unionByName(may.withColumns({"to": F.col("part"), "links": F.lit(0.0)}))
+        both = both.groupBy("node", "part", "degree", "to").agg(F.sum("links").alias("links")).join(parts.select(F.col("part").alias("to"), "sum", "size"), "to").join(parts.select("part", F.col("size").alias("own_size")), "part")
+        home = F.col("to") == F.col("part")
+        gain = F.col("links") - resolution * (F.col("sum") - F.when(home, F.col("degree")).otherwise(0.0)) * F.col("degree") / total
+        swap = ~home & (F.col("size") == 1) & (F.col("own_size") == 1) & (F.col("to") > F.col("part"))
+        best = both.where(~swap).groupBy("node").agg(F.max(F.struct(gain.alias("gain"), home.alias("home"), "to")).alias("best"), F.max(F.when(home, gain)).alias("stay"))
+        moves = kept(best.where(F.col("best.gain") > F.col("stay") + 1e-9 * total).select("node", F.col("best.to").alias("to")))
+        if moves.isEmpty():
+            still += 1
+            if still == 3:
+                break
+            continue
+        still = 0
+        state = kept(state.join(moves, "node", "left").select("node", F.coalesce("to", "part").alias("part")))
+    return state
+
+
+def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> float:
+    """How much more weight lies within clusters than by chance; edges (a, b, weight), members (cluster_id, skill_id)."""
+    e = pooled(edges)
+    total = e.agg(F.sum("weight")).first()[0]
+    if not total:
+        return 0.0
+    ends = e.select(F.explode(F.array("a", "b")).alias("skill_id"), "weight").groupBy("skill_id").agg(F.sum("weight").alias("degree"))
+    chance = members.join(ends, "skill_id").groupBy("cluster_id").agg(F.sum("degree").alias("d")).agg(F.sum((F.col("d") / (2 * total)) ** 2)).first()[0] or 0.0
+    inside = within(e, members).agg(F.sum("weight")).first()[0] or 0.0
+    return inside / total - resolution * chance
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, rounds: int = 24, levels: int = 12) -> DataFrame:
+    """cluster_id, skill_id by modularity, for graphs of any size: nodes move in rounds of joins, then parts become the nodes of a smaller graph.
+
+    The result isn't that of one task that visits node by node, but of like modularity.
+    """
+    e = pooled(edges)
+    graph = kept(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(e.select("b", "a", "weight")))
+    members = kept(graph.select(F.col("src").alias("skill_id"), F.col("src").alias("node")).distinct())
+    n = members.count()
+    for level in range(levels):
+        moved = _moved(graph, resolution, seed + 1000 * level, rounds)
+        members = kept(members.join(moved, "node").select("skill_id", F.col("part").alias("node")))
+        now = moved.select("part").distinct().count()
+        if now == n:
+            break
+        n = now
+        ends = lambda name: moved.select(F.col("node").alias(name), F.col("part").alias(f"{name}_part"))  # noqa: B023, E731
+        graph = kept(graph.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).agg(F.sum("weight").alias("weight")))
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("skill_id").alias("least"))
+    named = sizes.select("node", F.concat(F.lit("cluster-"), (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("string")).alias("cluster_id"))  # one row a cluster
+    return members.join(named, "node").select("cluster_id", "skill_id")
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, at_once: int = AT_ONCE) -> DataFrame:
+    """cluster_id, skill_id by modularity; nodes are visited in sorted order, in one task. A graph of more than `at_once` edges is clustered
+    by rounds of joins."""
+    edges = kept(edges.select("a", "b", "weight"))
+    if edges.count() > at_once:
+        return communities(edges, resolution)
 
     def cluster(rows):
         import pandas as pd
@@ -280,7 +383,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         ordered = sorted((sorted(g) for g in groups.values()), key=lambda g: (-len(g), g))
         return pd.DataFrame([(f"cluster-{i}", x) for i, g in enumerate(ordered) for x in g], columns=["cluster_id", "skill_id"])
 
-    return at_most(edges, MAX_EDGES, "edges").groupBy(F.lit("all").alias("group")).applyInPandas(cluster, "cluster_id string, skill_id string")
+    return edges.groupBy(F.lit("all").alias("group")).applyInPandas(cluster, "cluster_id string, skill_id string")
 
 
 def recent_edges(edges: DataFrame, current: str | None = None, last: int = 4) -> DataFrame:
@@ -296,15 +399,16 @@ def recent_edges(edges: DataFrame, current: str | None = None, last: int = 4) ->
 def catalogue_hits(members: DataFrame, names: DataFrame, catalogue: DataFrame, distance: float = 0.4) -> DataFrame:
     """cluster_id, code: the first entry of a catalogue (code, name, skill_ids) that a cluster is near to by skills or that shares its name.
 
-    names is (cluster_id, name). Names are compared without blanks and in lower case; one may hold the other. Names meet by a product of
-    clusters and entries, both small.
+    names is (cluster_id, name). Names are compared without blanks and in lower case; one may hold the other. Names of clusters are
+    streamed past those of the catalogue, which may have MAX_ENTRIES.
     """
+    catalogue = at_most(catalogue, MAX_ENTRIES, "entries of a catalogue")
     size = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
     entries = catalogue.select("code", F.explode("skill_ids").alias("skill_id")).distinct()
     common = members.join(entries, "skill_id").groupBy("cluster_id", "code").agg(F.count("*").alias("common"))
     near = common.join(entries.groupBy("code").agg(F.count("*").alias("n")), "code").join(size, "cluster_id").where(1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common")) < distance).select("cluster_id", "code")
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    named = names.select("cluster_id", plain(F.col("name")).alias("x")).where("x <> ''").crossJoin(catalogue.select("code", plain(F.col("name")).alias("y")).where("y <> ''"))
+    named = names.select("cluster_id", plain(F.col("name")).alias("x")).where("x <> ''").crossJoin(F.broadcast(catalogue.select("code", plain(F.col("name")).alias("y")).where("y <> ''")))
     return near.union(named.where(F.contains("x", "y") | F.contains("y", "x")).select("cluster_id", "code")).groupBy("cluster_id").agg(F.min("code").alias("code"))
 
 

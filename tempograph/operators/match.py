@@ -22,15 +22,29 @@ def merge_specs(specs: DataFrame) -> DataFrame:
     return specs.groupBy("role_id", "skill_id").agg(F.when(required, "required").otherwise("bonus").alias("necessity"), F.max("importance").alias("importance"), F.max("required_level").alias("required_level"))
 
 
-def judge(profiles: DataFrame, specs: DataFrame) -> DataFrame:
-    """Every profile against every role, skill by skill: the result is as large as profiles times specs."""
+#: Roles, and rows of what they ask for, that profiles are streamed past; pairs of more are asked for by name.
+MAX_ROLES, MAX_SPECS = 200_000, 1_000_000
+
+
+def _met(profiles: DataFrame, rows: DataFrame, pairs: DataFrame | None, most: int, what: str) -> DataFrame:
+    """profile_id with rows (role_id, ...): of the pairs (profile_id, role_id) asked for, or of all profiles with a bounded table.
+
+    That table is sent to every task, so profiles aren't shuffled and none of them meets roles in one task only.
+    """
+    if pairs is not None:
+        return pairs.select("profile_id", "role_id").distinct().join(rows, "role_id")
+    return profiles.select("profile_id").distinct().crossJoin(F.broadcast(at_most(rows, most, what)))
+
+
+def judge(profiles: DataFrame, specs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Every profile against every role, skill by skill: the result is as large as profiles times specs, or as the pairs asked for."""
     held = F.coalesce("level", F.lit(0))
-    j = profiles.select("profile_id").distinct().crossJoin(specs).join(profiles, ["profile_id", "skill_id"], "left")
+    j = _met(profiles, specs, pairs, MAX_SPECS, "rows of roles' skills").join(profiles, ["profile_id", "skill_id"], "left")
     verdict = F.when(held >= F.col("required_level"), "satisfied").when(F.col("level").isNull(), "missing").otherwise("insufficient")
     return j.select("profile_id", "role_id", "skill_id", "necessity", "importance", "required_level", held.alias("held_level"), F.col("level").isNotNull().alias("present"), verdict.alias("verdict"))
 
 
-def metrics(profiles: DataFrame, specs: DataFrame, critical: int = 3) -> DataFrame:
+def metrics(profiles: DataFrame, specs: DataFrame, critical: int = 3, pairs: DataFrame | None = None) -> DataFrame:
     """profile_id, role_id, required_coverage, bonus_coverage, weighted_coverage, partial, n_critical, critical_missing.
 
     Only skills that a profile holds and a role asks for meet; what is missing comes from the sums of the role. So there is one row
@@ -49,7 +63,7 @@ def metrics(profiles: DataFrame, specs: DataFrame, critical: int = 3) -> DataFra
     part = F.when(f, 0.0).otherwise(F.least(held / F.col("required_level"), F.lit(1.0)))
     met = profiles.select("profile_id", "skill_id", "level").join(s, "skill_id").groupBy("profile_id", "role_id").agg(
         total(one(r & ok)).alias("req1"), total(one(~r & ok)).alias("bonus1"), total(F.when(r & ok, imp)).alias("imp1"), total(F.when(r, imp * part)).alias("part1"), total(one(F.col("critical") & (held > 0))).alias("critical1"))
-    j = profiles.select("profile_id").distinct().crossJoin(roles).join(met, ["profile_id", "role_id"], "left").na.fill(0.0)
+    j = _met(profiles, roles, pairs, MAX_ROLES, "roles").join(met, ["profile_id", "role_id"], "left").na.fill(0.0)
     share = lambda n, of: F.when(F.col(of) == 0, 1.0).otherwise(n / F.col(of))
     c = F.col
     return j.select("profile_id", "role_id", share(c("req0") + c("req1"), "n_req").alias("required_coverage"), share(c("bonus0") + c("bonus1"), "n_bonus").alias("bonus_coverage"), share(c("imp0") + c("imp1"), "imp").alias("weighted_coverage"),
@@ -73,10 +87,10 @@ def gaps(judged: DataFrame, burst_weights: DataFrame) -> DataFrame:
     return lack.select("profile_id", "role_id", "skill_id", F.when(F.col("present"), "insufficient").otherwise("missing").alias("kind"), F.greatest(F.col("importance") * deficit * (1 + F.greatest(F.coalesce("burst", F.lit(0.0)), F.lit(0.0))), F.lit(0.0)).alias("urgency"))
 
 
-def surplus(profiles: DataFrame, specs: DataFrame) -> DataFrame:
-    """profile_id, role_id, skill_id, held_level: what a profile holds and a role doesn't ask for."""
-    roles = specs.select("role_id").distinct()
-    return profiles.crossJoin(roles).join(specs.select("role_id", "skill_id"), ["role_id", "skill_id"], "left_anti").select("profile_id", "role_id", "skill_id", F.col("level").alias("held_level"))
+def surplus(profiles: DataFrame, specs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """profile_id, role_id, skill_id, held_level: what a profile holds and a role doesn't ask for, of all pairs or those asked for."""
+    of = profiles.join(pairs.select("profile_id", "role_id").distinct(), "profile_id") if pairs is not None else profiles.crossJoin(F.broadcast(at_most(specs.select("role_id").distinct(), MAX_ROLES, "roles")))
+    return of.join(specs.select("role_id", "skill_id"), ["role_id", "skill_id"], "left_anti").select("profile_id", "role_id", "skill_id", F.col("level").alias("held_level"))
 
 
 #: Names of the tiers in explanations.
@@ -91,13 +105,17 @@ def rationale(diagnosed: DataFrame) -> Column:
     return F.concat(F.lit("判定为「"), name, F.lit("」。必备技能覆盖率 "), percent("required_coverage"), F.lit("，加权覆盖率 "), percent("weighted_coverage"), F.lit("。"), some("关键技能缺失 ", "critical_missing", " 项。"), some("完全缺失 ", "n_missing", " 项。"), some("水平不足 ", "n_insufficient", " 项。"))
 
 
-def diagnose(profiles: DataFrame, specs: DataFrame, burst_weights: DataFrame) -> DataFrame:
-    """profile_id, role_id, tier, score, coverage, n_missing, n_insufficient, n_surplus, rationale, better_fit (three roles, if there is a surplus)."""
-    m = metrics(profiles, specs)
-    g = gaps(judge(profiles, specs), burst_weights).groupBy("profile_id", "role_id").agg(F.count_if(F.col("kind") == "missing").alias("n_missing"), F.count_if(F.col("kind") == "insufficient").alias("n_insufficient"))
-    more = surplus(profiles, specs).groupBy("profile_id", "role_id").agg(F.count("*").alias("n_surplus"))
+def diagnose(profiles: DataFrame, specs: DataFrame, burst_weights: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """profile_id, role_id, tier, score, coverage, n_missing, n_insufficient, n_surplus, rationale, better_fit (three roles, if there is a surplus).
+
+    pairs are the ones to be diagnosed, all by default; better fits are looked for among all roles.
+    """
+    every = metrics(profiles, specs)
+    m = every if pairs is None else every.join(pairs.select("profile_id", "role_id").distinct(), ["profile_id", "role_id"], "left_semi")
+    g = gaps(judge(profiles, specs, pairs), burst_weights).groupBy("profile_id", "role_id").agg(F.count_if(F.col("kind") == "missing").alias("n_missing"), F.count_if(F.col("kind") == "insufficient").alias("n_insufficient"))
+    more = surplus(profiles, specs, pairs).groupBy("profile_id", "role_id").agg(F.count("*").alias("n_surplus"))
     d = m.join(tier(m), ["profile_id", "role_id"]).join(g, ["profile_id", "role_id"], "left").join(more, ["profile_id", "role_id"], "left").na.fill(0, ["n_missing", "n_insufficient", "n_surplus"])
-    best = recommend(tier(m), 4).groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("place", F.col("role_id").alias("role")))).alias("best"))
+    best = recommend(tier(every), 4).groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("place", F.col("role_id").alias("role")))).alias("best"))
     others = F.slice(F.transform(F.filter("best", lambda b: b["role"] != F.col("role_id")), lambda b: b["role"]), 1, 3)
     fit = F.when(F.col("n_surplus") > 0, others).otherwise(F.array().cast("array<string>"))
     return d.join(best, "profile_id").select("profile_id", "role_id", "tier", "score", F.col("weighted_coverage").alias("coverage"), "n_missing", "n_insufficient", "n_surplus", rationale(d).alias("rationale"), fit.alias("better_fit"))
@@ -282,7 +300,7 @@ def gold_coverage(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
     n = t.groupBy("job_id").agg(F.count_if("counts").alias("n"), F.count_if(F.col("counts") & F.col("dir")).alias("n_dir"))
     ok = profiles.select("profile_id", "skill_id", "level").join(t.where("req"), "skill_id").where("level >= need").groupBy("profile_id", "job_id").agg(F.count("*").alias("ok"), F.count_if("dir").alias("ok_dir"))
     every = jobs.select("job_id", "job_family").distinct().join(n, "job_id", "left").na.fill(0)
-    j = profiles.select("profile_id").distinct().crossJoin(every).join(ok, ["profile_id", "job_id"], "left").na.fill(0, ["ok", "ok_dir"])
+    j = profiles.select("profile_id").distinct().crossJoin(F.broadcast(at_most(every, MAX_ROLES, "jobs"))).join(ok, ["profile_id", "job_id"], "left").na.fill(0, ["ok", "ok_dir"])
     share = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.col(a) / F.col(b))
     return j.select("profile_id", "job_id", "job_family", share("ok", "n").alias("coverage"), share("ok_dir", "n_dir").alias("direction_coverage"), (F.col("n_dir") - F.col("ok_dir")).alias("n_dir_miss"))
 

@@ -111,3 +111,17 @@ def text_lines(docs: DataFrame, most: int = 80) -> DataFrame:
     """doc_id, line, text, y: the first lines of each text as a page shows them."""
     lines = docs.select("doc_id", F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, most)).alias("line", "text"))
     return lines.withColumn("y", F.least(F.lit(0.96), 0.04 + F.col("line") * 0.035))
+
+
+def evidence_details(ids: DataFrame, evidence: DataFrame, documents: DataFrame, most: int = 80) -> DataFrame:
+    """place, evidence_id, source_id, skill_id, doc_id, kind, text, lines of the evidence asked for (place, evidence_id), in the order of asking.
+
+    evidence is (evidence_id, source_id, doc_id, quote, extractor), documents (doc_id, kind, text); evidence that isn't there gives no
+    row. Without its document the quote is the text, of kind posting. lines are those of the first page (text, y).
+    """
+    found = ids.select("place", "evidence_id").join(evidence, "evidence_id").join(documents.select("doc_id", "kind", "text"), "doc_id", "left")
+    text = F.coalesce("text", "quote")
+    line = lambda x, i: F.struct(x.alias("text"), F.least(F.lit(0.96), 0.04 + i * 0.035).alias("y"))
+    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, most), line)
+    named = F.coalesce(F.col("doc_id").cast("string"), "evidence_id").alias("doc_id")
+    return found.select("place", "evidence_id", "source_id", skill_of(F.col("extractor")).alias("skill_id"), named, F.coalesce("kind", F.lit("posting")).alias("kind"), text.alias("text"), lines.alias("lines")).orderBy("place")

@@ -306,7 +306,7 @@ def drift_sql(source: str) -> str:
 
 def _drift(spark, d, sparse: bool) -> DataFrame:
     o = obs(spark, d, ["role_id"], sparse)
-    return evolve.drift(o.where(F.col("period") == A), o.where(F.col("period") == B))
+    return evolve.drift(o.where(F.col("period") == A), o.where(F.col("period") == B)).drop("reason")
 
 
 @query(f"{with_(RD)} {drift_sql('rd')}")
