@@ -1,14 +1,18 @@
-"""N-gram Jaccard join by a prefix-filter index, verified by tries.
+"""N-gram Jaccard join by prefix trees, cut into sub-trees by the shingles of the sets' prefixes.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes). All sets are ordered by one global order: shingles
 that many sets share come last, by how many do, the others by hash. Two sets of Jaccard similarity t or more then share a shingle among the
-first n - ceil(t n) + 1 of each. Candidates come from an index of these prefixes, not from a trie. Sets that meet are verified by a
-trie of the partners in the global order: a run of shingles that all sets below a node share is looked up in the probing set once,
-when the walk comes to it, and a subtree is left as soon as the overlap so far plus what remains cannot reach the bound.
+first n - ceil(t n) + 1 of each, their prefixes. A tree of all whole sets would lie in one task, and one for each shingle, with
+whole sets, would be many times the input. So the tree is cut: the sub-tree of a shingle holds, of each set that has it in its
+prefix, the path that follows: the next DEPTH shingles of the prefix that any other set has, with their places. Sub-trees are
+dealt to tasks by their shingle. There sets walk their own sub-tree: a run of shingles that all paths below a node share is compared
+once, the overlap so far is shared by all of them, and a subtree is left as soon as the overlap and the rest of both sets, by their
+lengths and places, can't reach the bound. What remains are partners; they are verified exactly, by a tree of the whole sets of a
+probe's partners, walked in the same way.
 
 Work is linear in the text: one pass for set classes and frequent shingles, one for the prefixes, and one shuffle of the prefix
-rows. Groups of copies never make all pairs: equal sets are one class; sets that meet at a shingle are first chained to
-neighbours and a leader, joined into components, and only pairs across components are looked at afterwards, all of them.
+rows. Groups of copies never make all pairs: equal sets are one class; first only the most central sets of a sub-tree walk it, so that sets
+get a leader and components; then all sets walk, past those of their own component.
 Prefix rows go to partitions by shingle, and frequent shingles are last in the order, so that they are in few prefixes; where pairs
 across components are made, the rows of a frequent shingle are dealt to several tasks. Large components are broadcast to their
 classes, so that none of them lies in one task.
@@ -19,6 +23,7 @@ null unless its text's component holds an id. Repeated rows give a row each. An
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +39,8 @@ MAX_FREQUENT, FREQUENT = 1_000_000, 8
 MAX_BROADCAST_ROWS = 2_000_000
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
-#: A pair has to meet at a shingle for each so many of its smaller set, once at least, before it is verified.
-EXTRA = 48
+#: Shingles of a path in a sub-tree.
+DEPTH = 16
 #: Partners of a set that are verified in one trie, and shingles of a shared run that are looked up at once.
 PIECE, STEP = 64, 32
 #: Rows of one shingle or component beyond which they are dealt to several tasks.
@@ -289,7 +294,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
     """Tables whose rows of one first column are whole, from batches sorted by it."""
     rest = None
     for batch in batches:
-        cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+        cols = {n: _unpacked(batch.column(i), np.uint64 if n == "path" else np.int32) if n in ("path", "places") else batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
         if rest is not None:
             cols = {n: np.concatenate([rest[n], cols[n]]) for n in names}
         key = cols[names[0]]
@@ -313,11 +318,11 @@ def _has_partner(n: np.ndarray, pos: np.ndarray, group: np.ndarray, percent: int
     at[~inside] = 0
     inside &= (group[at] == group) & (100 * np.minimum(n[at], n) >= percent * np.maximum(n[at], n))
     need = -(-percent * (n + n[at]) // (100 + percent))
-    return inside & (pos < n - need + np.maximum(n // EXTRA, 1))
+    return inside & (pos <= n - need)
 
 
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows of shingles that two classes or more have, and how many do; rows whose place rules out all sizes at hand are left out."""
+    """The rows of shingles that two classes or more have, and how many do; may: whether their place allows a partner of any size at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["token", "n", "cls", "pos"]):
@@ -328,16 +333,96 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
             edge = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1]))
             length = np.diff(np.append(edge, len(t["token"])))
             many = np.repeat(length > 1, length)
-            many[many] = _has_partner(t["n"][many].astype(np.int64), t["pos"][many].astype(np.int64), np.repeat(np.arange(len(edge)), length)[many], percent)
+            may = _has_partner(t["n"][many].astype(np.int64), t["pos"][many].astype(np.int64), np.repeat(np.arange(len(edge)), length)[many], percent)
             df = np.repeat(length, length)[many]
-            yield pa.RecordBatch.from_arrays([pa.array(t[k][many]) for k in ("token", "n", "cls", "pos")] + [pa.array(df)], ["token", "n", "cls", "pos", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[k][many]) for k in ("token", "n", "cls", "pos")] + [pa.array(df), pa.array(may)], ["token", "n", "cls", "pos", "df", "may"])
 
     sorted_rows = rows.select("token", "n", "cls", "pos").repartition("token").sortWithinPartitions("token", "n", "cls")
-    return sorted_rows.mapInArrow(tidy(run), "token long, n int, cls long, pos int, df long")
+    return sorted_rows.mapInArrow(tidy(run), "token long, n int, cls long, pos int, df long, may boolean")
+
+
+def _with_paths(rows: DataFrame, frequent) -> DataFrame:
+    """The rows that may have a partner, each with the path that follows in its class: numbers of the global order, and places.
+
+    Rows of a class are those of one set's prefix. Paths have DEPTH entries, those beyond the end are 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cls", "pos", "token", "n", "df", "may"]
+        for t in _runs(batches, names):
+            k, last = len(t["cls"]), frequent.value
+            token = t["token"].view(np.uint64)
+            order = np.argsort(token)
+            number = np.zeros(k, np.uint64)
+            rarity = _rarity(token[order], last)
+            number[order] = np.maximum((token[order] >> np.uint64(6)) | (np.minimum(rarity, 63).astype(np.uint64) << np.uint64(58) if rarity is not None else np.uint64(0)), np.uint64(1))
+            end = np.searchsorted(t["cls"], t["cls"], "right")
+            at = np.flatnonzero(t["may"])
+            place = at[:, None] + 1 + np.arange(DEPTH)[None, :]
+            inside = place < end[at][:, None]
+            place[~inside] = 0
+            path, places = np.where(inside, number[place], np.uint64(0)), np.where(inside, t["pos"][place], 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[pa.array(t[c][at]) for c in ("token", "n", "cls", "pos", "df")], _packed(path), _packed(places)], ["token", "n", "cls", "pos", "df", "path", "places"])
+
+    met = rows.select("cls", "pos", "token", "n", "df", "may").repartition("cls").sortWithinPartitions("cls", "pos")
+    return met.mapInArrow(tidy(run), "token long, n int, cls long, pos int, df long, path binary, places binary")
+
+
+def _packed(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes."""
+    m = np.ascontiguousarray(m)
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * (m.shape[1] * m.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m)])
+
+
+def _unpacked(c: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(c.to_pylist()), kind).reshape(len(c), DEPTH)
+
+
+class SubTree:
+    """The paths of the sets that have one shingle, sorted, so that a node of the tree is a range of them."""
+
+    def __init__(self, n: np.ndarray, pos: np.ndarray, path: np.ndarray, places: np.ndarray, percent: int) -> None:
+        self.order = np.lexsort(path.T[::-1])
+        self.n, self.pos, self.path, self.places = n[self.order].astype(np.int64), pos[self.order].astype(np.int64), path[self.order], places[self.order].astype(np.int64)
+        self.length, self.percent = (self.path > 0).sum(1), percent
+        self.rest = np.concatenate([(self.n - self.pos)[:, None] - 1, self.n[:, None] - self.places - 1], axis=1)  # of the set, behind each node
+
+    def partners(self, n: int, pos: int, path: np.ndarray, places: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """Which of the sets marked in ok (in the order given) may reach the bound with a set that has the shingle at pos and this path."""
+        ok = ok[self.order]
+        need = -(-self.percent * (n + self.n) // (100 + self.percent))
+        ok &= 1 + np.minimum(self.rest[:, 0], n - pos - 1) >= need
+        if not ok.any():
+            return np.empty(0, np.int64)
+        own = path[path > 0].tolist()
+        behind = [n - pos - 1, *(n - places[: len(own)].astype(np.int64) - 1).tolist()]  # of the probe, behind so many of its path
+        before, out, stack = np.append(0, np.cumsum(ok)), [], [(0, len(ok), 0, 1, 0)]
+        while stack:
+            lo, hi, depth, overlap, k = stack.pop()
+            if before[lo] == before[hi]:
+                continue
+            first, last = self.path[lo], self.path[hi - 1]
+            while depth < DEPTH and first[depth] == last[depth] and first[depth]:  # the run that all paths below share
+                number = int(first[depth])
+                k = bisect_left(own, number, k)
+                if k < len(own) and own[k] == number:
+                    overlap, k = overlap + 1, k + 1
+                depth += 1
+            alive = ok[lo:hi] & (overlap + np.minimum(self.rest[lo:hi, depth], behind[k]) >= need[lo:hi])
+            if not alive.any():
+                continue
+            ended = int(np.searchsorted(self.length[lo:hi] > depth, True)) if depth < DEPTH else hi - lo
+            out.append(lo + np.flatnonzero(alive[:ended]))
+            if lo + ended < hi:
+                of = self.path[lo + ended : hi, depth]
+                edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+                stack += [(lo + ended + a, lo + ended + b, depth, overlap, k) for a, b in zip(edges[:-1], edges[1:])]
+        return self.order[np.concatenate(out)] if out else np.empty(0, np.int64)
 
 
 def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
-    """cls, other, prefix: each class with the most central class at a shingle whose size allows.
+    """cls, other: each class with the most central class of the sub-trees that it meets it in.
 
     What near copies have changed is rare and so first in their order; the text that they come from has shared shingles only. So a
     class is the more central, the more classes share the shingles of its prefix.
@@ -346,23 +431,27 @@ def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
     central = rows.groupBy("cls").agg((-F.sum("df") / F.first(prefix)).alias("order"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["token", "order", "cls", "n", "prefix"]):
-            edge = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1]))
-            group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(t["token"]))))
-            n, lead, open_ = t["n"].astype(np.int64), np.full(len(group), -1), np.ones(len(group), bool)
-            for _ in range(most):  # the first row of a group that has no leader becomes one
-                at = np.flatnonzero(open_)
-                if not len(at):
-                    break
-                first = at[np.append(True, group[at][1:] != group[at][:-1])]
-                of = first[np.searchsorted(group[first], group[at])]
-                ok = 100 * np.minimum(n[at], n[of]) >= percent * np.maximum(n[at], n[of])
-                lead[at[ok]] = of[ok]
-                open_[at[ok]] = False
-            got = np.flatnonzero((lead >= 0) & (lead != np.arange(len(lead))))
-            yield pa.RecordBatch.from_arrays([pa.array(t["cls"][got]), pa.array(t["cls"][lead[got]]), pa.array(t["prefix"][got])], ["cls", "other", "prefix"])
-
-    work = rows.join(central, "cls").select("token", "order", "cls", "n", prefix.cast("long").alias("prefix"))
+        for t in _runs(batches, ["token", "order", "cls", "n", "prefix", "pos", "path", "places"]):
+            edge = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1])).tolist() + [len(t["token"])]
+            made = []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if hi - lo < 2:
+                    continue
+                n, pos, path, places = (t[c][lo:hi] for c in ("n", "pos", "path", "places"))
+                tree, open_ = SubTree(n, pos, path, places, percent), np.ones(hi - lo, bool)
+                for _ in range(most):  # the first set of a sub-tree that has no leader walks it
+                    if not open_.any():
+                        break
+                    i = int(open_.argmax())
+                    open_[i] = False
+                    got = tree.partners(int(n[i]), int(pos[i]), path[i], places[i], open_)
+                    open_[got] = False
+                    made.append((lo + got, np.full(len(got), lo + i)))
+            if made:
+                got, lead = (np.concatenate(c) for c in zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.array(t["cls"][got]), pa.array(t["cls"][lead]), pa.array(t["prefix"][got])], ["cls", "other", "prefix"])
+
+    work = rows.join(central, "cls").select("token", "order", "cls", "n", prefix.cast("long").alias("prefix"), "pos", "path", "places")
     met = work.repartition("token").sortWithinPartitions("token", "order", "cls").mapInArrow(tidy(run), "cls long, other long, prefix long")
     counted = met.groupBy("cls", "other", "prefix").count().where(10 * F.col("count") >= F.col("prefix"))
     return counted.groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
@@ -396,48 +485,41 @@ def _dealt(rows: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     parts = dealt.withColumn("other", other)
     deal = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
-    return parts.select("token", deal.cast("int").alias("deal"), "n", "cls", "pos", "comp", F.when(F.col("chunks") == 1, -1).otherwise(F.col("chunk")).alias("chunk"))
+    return parts.select("token", deal.cast("int").alias("deal"), "n", "cls", "pos", "comp", F.when(F.col("chunks") == 1, -1).otherwise(F.col("chunk")).alias("chunk"), "path", "places")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs that meet at a shingle, lie in two components, and that sizes and places allow.
+    """All pairs that lie in two components and stay when the sets of a sub-tree walk it, each past those that come after it.
 
-    Of a pair of overlap o or more, at least EXTRA common shingles are among the first n - o + EXTRA of both sets; what of EXTRA
-    lies beyond the kept prefixes is not asked for. Rows come by parts of a shingle; in a part of two chunks, rows of one chunk don't
-    meet, as they do in the chunk's own part.
+    A pair of the bound is found in the sub-tree of its first common shingle at the latest. Sub-trees come by parts; in a part of two
+    chunks, sets of one chunk don't meet, as they do in the chunk's own part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cls", "other", "least"]
-        for t in _runs(batches, ["token", "deal", "n", "cls", "pos", "comp", "chunk"]):
+        names = ["cls", "other"]
+        for t in _runs(batches, ["token", "deal", "n", "cls", "pos", "comp", "chunk", "path", "places"]):
             token, deal = t["token"], t["deal"]
             edge = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (deal[1:] != deal[:-1]))).tolist() + [len(token)]
             made, size = [], 0
             for lo, hi in zip(edge[:-1], edge[1:]):
-                comp, chunk = t["comp"][lo:hi], t["chunk"][lo:hi]
+                n, cls, pos, comp, chunk, path, places = (t[c][lo:hi] for c in ("n", "cls", "pos", "comp", "chunk", "path", "places"))
                 if (comp == comp[0]).all():
                     continue
                 apart = chunk if (chunk != chunk[0]).any() else np.arange(hi - lo)
-                n, cls, pos = t["n"][lo:hi].astype(np.int64), t["cls"][lo:hi], t["pos"][lo:hi].astype(np.int64)
-                ends = np.searchsorted(n, n * 100 // percent, "right")
-                for i in range(hi - lo):
-                    j = slice(i + 1, int(ends[i]))
-                    need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                    kept = np.minimum(n[i] + (-percent * n[i] // 100) + 1 - (n[i] - need), n[j] + (-percent * n[j] // 100) + 1 - (n[j] - need))
-                    least = np.clip(np.minimum(n[i] // EXTRA, kept), 1, None)
-                    ok = (comp[j] != comp[i]) & (apart[j] != apart[i]) & (pos[i] < n[i] - need + least) & (pos[j] < n[j] - need + least)
-                    if ok.any():
-                        other = cls[j][ok]
-                        made.append((np.minimum(other, cls[i]), np.maximum(other, cls[i]), least[ok]))
-                        size += len(other)
+                tree, later = SubTree(n, pos, path, places, percent), np.arange(hi - lo)
+                for i in range(hi - lo - 1):
+                    got = tree.partners(int(n[i]), int(pos[i]), path[i], places[i], (later > i) & (comp != comp[i]) & (apart != apart[i]))
+                    if len(got):
+                        made.append((np.minimum(cls[got], cls[i]), np.maximum(cls[got], cls[i])))
+                        size += len(got)
                         if size > 100_000:
                             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
                             made, size = [], 0
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
 
-    met = rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "cls").mapInArrow(tidy(run), "cls long, other long, least long")
-    return met.groupBy("cls", "other", "least").count().where("count >= least").select("cls", "other")
+    met = rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "cls").mapInArrow(tidy(run), "cls long, other long")
+    return met.distinct()
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -530,11 +612,11 @@ def _members(docs: DataFrame, percent: int) -> DataFrame:
     seen = cut(_classes(docs))
     members = seen.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
     frequent = spark.sparkContext.broadcast(_frequent(seen.where("kind = 1").select("token", "n")))
-    rows = cut(_meet(_prefix_rows(docs, frequent, percent), percent))
+    rows = cut(_with_paths(_meet(_prefix_rows(docs, frequent, percent), percent), frequent))
     reps = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     comps = cut(components(_verify(cut(_leaders(rows, percent)), docs, reps, frequent, percent)))
     of = lambda c: F.coalesce("comp", c)
-    labelled = rows.join(_sized(comps.withColumnRenamed("node", "cls")), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"))
+    labelled = rows.join(_sized(comps.withColumnRenamed("node", "cls")), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"), "path", "places")
     more = cut(_verify(cut(_across(_dealt(labelled), percent)), docs, reps, frequent, percent))
     named = lambda df, c: df.join(comps.withColumnRenamed("node", c), c, "left").withColumn(c, of(c)).drop("comp")
     over = components(named(named(more, "cls"), "other"))
