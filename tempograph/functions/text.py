@@ -268,18 +268,23 @@ def gram_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 def near_blocks(docs: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
     """by, block: blocks to which a block of another text of one source is alike, equal or by sets of character 3-grams.
 
-    Equal blocks are counted. Of the others, MinHash bands meet and candidates are verified by exact Jaccard: first each with the
-    first and the next one of its bucket, so that groups of near copies make no pairs among themselves; only blocks without a
-    partner then meet all of their buckets. Only ids travel to the bands; texts join the distinct candidates once.
+    Equal blocks are counted. Of the others, MinHash bands meet and candidates are verified by exact Jaccard. Bands that a block has for
+    itself, nearly all of them, go at once, in the pass that sorts them. Of the rest each block meets the first and the next one of its
+    buckets, so that groups of near copies make no pairs among themselves; only blocks without a partner then meet all of their buckets.
+    Only ids (16 bytes) travel to the bands; texts join the distinct candidates once.
     """
-    texts = docs.select(by, F.md5(F.col("text").cast("binary")).alias("doc_id"), "text").dropDuplicates([by, "doc_id"])
-    b = blocks(texts, by).groupBy(by, "block").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("only"))
-    b = b.select(by, "block", F.md5(F.col("block").cast("binary")).alias("id"), F.when(F.col("n") == 1, F.col("only")).alias("only"))
+    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
+    texts = docs.select(by, digest("text").alias("doc_id"), "text").dropDuplicates([by, "doc_id"])
+    b = blocks(texts, by).groupBy(by, "block").agg(F.min("doc_id").alias("only"), F.max("doc_id").alias("last"))
+    b = b.select(by, "block", digest("block").alias("id"), F.when(F.col("only") == F.col("last"), F.col("only")).alias("only"))
     b = kept(b)
-    keyed = kept(b.select(by, "id", "only", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("band"), block_bands("block").alias("key"))).alias("k")).select(by, "id", "only", "k.band", "k.key"))
-    bucket = Window.partitionBy(by, "band", "key").orderBy("id")
+    keyed = b.select(by, "id", "only", F.posexplode(block_bands("block")).alias("band", "key"))
+    place = Window.partitionBy(by, "band", "key")
+    bucket = place.orderBy("id")
     own = F.struct("id", "only")
-    near = keyed.select(by, "id", "only", F.array(F.first(own).over(bucket), F.lag(own).over(bucket)).alias("os")).select(by, "id", "only", F.explode("os").alias("o"))
+    sizes = keyed.select(by, "id", "only", "band", "key", F.array(F.first(own).over(bucket), F.lag(own).over(bucket)).alias("os"), F.count("*").over(place).alias("n"))
+    keyed = kept(sizes.where("n > 1").drop("n"))
+    near = keyed.select(by, "id", "only", F.explode("os").alias("o"))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """by, id of both sides of pairs (by, id, only, o) that are alike and in different texts."""
