@@ -294,7 +294,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
     """Tables whose rows of one first column are whole, from batches sorted by it."""
     rest = None
     for batch in batches:
-        cols = {n: _unpacked(batch.column(i), np.uint64 if n == "path" else np.int32) if n in ("path", "places") else batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+        cols = {n: _unpacked(batch.column(i), np.uint32 if n == "path" else np.uint16) if n in ("path", "steps") else batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
         if rest is not None:
             cols = {n: np.concatenate([rest[n], cols[n]]) for n in names}
         key = cols[names[0]]
@@ -341,10 +341,13 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(tidy(run), "token long, n int, cls long, pos int, df long, may boolean")
 
 
-def _with_paths(rows: DataFrame, frequent) -> DataFrame:
-    """The rows that may have a partner, each with the path that follows in its class: numbers of the global order, and places.
+def _with_paths(rows: DataFrame, frequent, percent: int) -> DataFrame:
+    """The rows that may have a partner, each with the path that follows in its class, and the class's order: the more central, the smaller.
 
-    Rows of a class are those of one set's prefix. Paths have DEPTH entries, those beyond the end are 0.
+    Rows of a class are those of one set's prefix. Paths have DEPTH entries, those beyond the end are 0: numbers of the global order,
+    of which 32 bits are kept, and steps between places, of which 16 bits are. Both can only raise bounds, so no partner is lost.
+    What near copies have changed is rare and so first in their order; the text that they come from has shared shingles only. So a
+    class is the more central, the more classes share the shingles of its prefix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,19 +356,23 @@ def _with_paths(rows: DataFrame, frequent) -> DataFrame:
             k, last = len(t["cls"]), frequent.value
             token = t["token"].view(np.uint64)
             order = np.argsort(token)
-            number = np.zeros(k, np.uint64)
             rarity = _rarity(token[order], last)
-            number[order] = np.maximum((token[order] >> np.uint64(6)) | (np.minimum(rarity, 63).astype(np.uint64) << np.uint64(58) if rarity is not None else np.uint64(0)), np.uint64(1))
-            end = np.searchsorted(t["cls"], t["cls"], "right")
+            number = np.zeros(k, np.uint32)
+            number[order] = np.maximum((token[order] >> np.uint64(38)).astype(np.uint32) | (np.minimum(rarity, 63).astype(np.uint32) << np.uint32(26) if rarity is not None else np.uint32(0)), np.uint32(1))
+            first, end = np.searchsorted(t["cls"], t["cls"], "left"), np.searchsorted(t["cls"], t["cls"], "right")
+            shared = np.append(0, np.cumsum(np.where(t["may"], t["df"], 0)))
+            prefix = t["n"].astype(np.int64) - -(-percent * t["n"].astype(np.int64) // 100) + 1
+            central = -(shared[end] - shared[first]) / prefix
+            step = np.append(0, np.minimum(np.diff(t["pos"].astype(np.int64)), 65535))  # from the row before, of the same class where it is used
             at = np.flatnonzero(t["may"])
             place = at[:, None] + 1 + np.arange(DEPTH)[None, :]
             inside = place < end[at][:, None]
             place[~inside] = 0
-            path, places = np.where(inside, number[place], np.uint64(0)), np.where(inside, t["pos"][place], 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[pa.array(t[c][at]) for c in ("token", "n", "cls", "pos", "df")], _packed(path), _packed(places)], ["token", "n", "cls", "pos", "df", "path", "places"])
+            path, steps = np.where(inside, number[place], 0).astype(np.uint32), np.where(inside, step[place], 0).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([*[pa.array(t[c][at]) for c in ("token", "n", "cls", "pos")], pa.array(central[at]), pa.array(prefix[at]), _packed(path), _packed(steps)], ["token", "n", "cls", "pos", "order", "prefix", "path", "steps"])
 
     met = rows.select("cls", "pos", "token", "n", "df", "may").repartition("cls").sortWithinPartitions("cls", "pos")
-    return met.mapInArrow(tidy(run), "token long, n int, cls long, pos int, df long, path binary, places binary")
+    return met.mapInArrow(tidy(run), "token long, n int, cls long, pos int, order double, prefix long, path binary, steps binary")
 
 
 def _packed(m: np.ndarray) -> pa.Array:
@@ -382,21 +389,23 @@ def _unpacked(c: pa.Array, kind: type) -> np.ndarray:
 class SubTree:
     """The paths of the sets that have one shingle, sorted, so that a node of the tree is a range of them."""
 
-    def __init__(self, n: np.ndarray, pos: np.ndarray, path: np.ndarray, places: np.ndarray, percent: int) -> None:
+    def __init__(self, n: np.ndarray, pos: np.ndarray, path: np.ndarray, steps: np.ndarray, percent: int) -> None:
         self.order = np.lexsort(path.T[::-1])
-        self.n, self.pos, self.path, self.places = n[self.order].astype(np.int64), pos[self.order].astype(np.int64), path[self.order], places[self.order].astype(np.int64)
-        self.length, self.percent = (self.path > 0).sum(1), percent
-        self.rest = np.concatenate([(self.n - self.pos)[:, None] - 1, self.n[:, None] - self.places - 1], axis=1)  # of the set, behind each node
-
-    def partners(self, n: int, pos: int, path: np.ndarray, places: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        """Which of the sets marked in ok (in the order given) may reach the bound with a set that has the shingle at pos and this path."""
-        ok = ok[self.order]
+        self.at = np.argsort(self.order)
+        self.n, self.path, self.percent = n[self.order].astype(np.int64), path[self.order], percent
+        self.length = (self.path > 0).sum(1)
+        gone = np.cumsum(np.concatenate([pos[self.order, None].astype(np.int64), steps[self.order].astype(np.int64)], axis=1), axis=1)
+        self.rest = self.n[:, None] - gone - 1  # of the set, behind each node
+
+    def partners(self, i: int, ok: np.ndarray) -> np.ndarray:
+        """Which of the sets marked in ok may reach the bound with set i; sets are numbered as they were given."""
+        ok, i = ok[self.order], int(self.at[i])
+        n, path, behind = int(self.n[i]), self.path[i], self.rest[i].tolist()
         need = -(-self.percent * (n + self.n) // (100 + self.percent))
-        ok &= 1 + np.minimum(self.rest[:, 0], n - pos - 1) >= need
+        ok &= 1 + np.minimum(self.rest[:, 0], behind[0]) >= need
         if not ok.any():
             return np.empty(0, np.int64)
-        own = path[path > 0].tolist()
-        behind = [n - pos - 1, *(n - places[: len(own)].astype(np.int64) - 1).tolist()]  # of the probe, behind so many of its path
+        own = path[: self.length[i]].tolist()
         before, out, stack = np.append(0, np.cumsum(ok)), [], [(0, len(ok), 0, 1, 0)]
         while stack:
             lo, hi, depth, overlap, k = stack.pop()
@@ -422,39 +431,31 @@ class SubTree:
 
 
 def _leaders(rows: DataFrame, percent: int, most: int = 3) -> DataFrame:
-    """cls, other: each class with the most central class of the sub-trees that it meets it in.
-
-    What near copies have changed is rare and so first in their order; the text that they come from has shared shingles only. So a
-    class is the more central, the more classes share the shingles of its prefix.
-    """
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    central = rows.groupBy("cls").agg((-F.sum("df") / F.first(prefix)).alias("order"))
+    """cls, other: each class with the most central class of the sub-trees that it meets it in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["token", "order", "cls", "n", "prefix", "pos", "path", "places"]):
+        for t in _runs(batches, ["token", "order", "cls", "n", "pos", "path", "steps"]):
             edge = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1])).tolist() + [len(t["token"])]
             made = []
             for lo, hi in zip(edge[:-1], edge[1:]):
                 if hi - lo < 2:
                     continue
-                n, pos, path, places = (t[c][lo:hi] for c in ("n", "pos", "path", "places"))
-                tree, open_ = SubTree(n, pos, path, places, percent), np.ones(hi - lo, bool)
+                tree, open_ = SubTree(*(t[c][lo:hi] for c in ("n", "pos", "path", "steps")), percent), np.ones(hi - lo, bool)
                 for _ in range(most):  # the first set of a sub-tree that has no leader walks it
                     if not open_.any():
                         break
                     i = int(open_.argmax())
                     open_[i] = False
-                    got = tree.partners(int(n[i]), int(pos[i]), path[i], places[i], open_)
+                    got = tree.partners(i, open_)
                     open_[got] = False
                     made.append((lo + got, np.full(len(got), lo + i)))
             if made:
                 got, lead = (np.concatenate(c) for c in zip(*made))
-                yield pa.RecordBatch.from_arrays([pa.array(t["cls"][got]), pa.array(t["cls"][lead]), pa.array(t["prefix"][got])], ["cls", "other", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(t["cls"][got]), pa.array(t["cls"][lead])], ["cls", "other"])
 
-    work = rows.join(central, "cls").select("token", "order", "cls", "n", prefix.cast("long").alias("prefix"), "pos", "path", "places")
-    met = work.repartition("token").sortWithinPartitions("token", "order", "cls").mapInArrow(tidy(run), "cls long, other long, prefix long")
-    counted = met.groupBy("cls", "other", "prefix").count().where(10 * F.col("count") >= F.col("prefix"))
-    return counted.groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+    work = rows.select("token", "order", "cls", "n", "pos", "path", "steps")
+    met = work.repartition("token").sortWithinPartitions("token", "order", "cls").mapInArrow(tidy(run), "cls long, other long")
+    return met.groupBy("cls", "other").count().groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -481,11 +482,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
     A shingle of BLOCK rows or fewer is one part. Of a larger one, rows have a chunk each, and every two chunks are a part.
     """
     mixed = rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed"), F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).where("mixed").select("token", "chunks")
-    dealt = rows.join(mixed, "token").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    dealt = rows.join(_sized(cut(mixed)), "token").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     parts = dealt.withColumn("other", other)
     deal = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
-    return parts.select("token", deal.cast("int").alias("deal"), "n", "cls", "pos", "comp", F.when(F.col("chunks") == 1, -1).otherwise(F.col("chunk")).alias("chunk"), "path", "places")
+    return parts.select("token", deal.cast("int").alias("deal"), "n", "cls", "pos", "comp", F.when(F.col("chunks") == 1, -1).otherwise(F.col("chunk")).alias("chunk"), "path", "steps")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -497,18 +498,18 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cls", "other"]
-        for t in _runs(batches, ["token", "deal", "n", "cls", "pos", "comp", "chunk", "path", "places"]):
+        for t in _runs(batches, ["token", "deal", "n", "cls", "pos", "comp", "chunk", "path", "steps"]):
             token, deal = t["token"], t["deal"]
             edge = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (deal[1:] != deal[:-1]))).tolist() + [len(token)]
             made, size = [], 0
             for lo, hi in zip(edge[:-1], edge[1:]):
-                n, cls, pos, comp, chunk, path, places = (t[c][lo:hi] for c in ("n", "cls", "pos", "comp", "chunk", "path", "places"))
+                n, cls, pos, comp, chunk, path, steps = (t[c][lo:hi] for c in ("n", "cls", "pos", "comp", "chunk", "path", "steps"))
                 if (comp == comp[0]).all():
                     continue
                 apart = chunk if (chunk != chunk[0]).any() else np.arange(hi - lo)
-                tree, later = SubTree(n, pos, path, places, percent), np.arange(hi - lo)
+                tree, later = SubTree(n, pos, path, steps, percent), np.arange(hi - lo)
                 for i in range(hi - lo - 1):
-                    got = tree.partners(int(n[i]), int(pos[i]), path[i], places[i], (later > i) & (comp != comp[i]) & (apart != apart[i]))
+                    got = tree.partners(i, (later > i) & (comp != comp[i]) & (apart != apart[i]))
                     if len(got):
                         made.append((np.minimum(cls[got], cls[i]), np.maximum(cls[got], cls[i])))
                         size += len(got)
@@ -612,11 +613,11 @@ def _members(docs: DataFrame, percent: int) -> DataFrame:
     seen = cut(_classes(docs))
     members = seen.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
     frequent = spark.sparkContext.broadcast(_frequent(seen.where("kind = 1").select("token", "n")))
-    rows = cut(_with_paths(_meet(_prefix_rows(docs, frequent, percent), percent), frequent))
+    rows = cut(_with_paths(_meet(_prefix_rows(docs, frequent, percent), percent), frequent, percent))
     reps = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     comps = cut(components(_verify(cut(_leaders(rows, percent)), docs, reps, frequent, percent)))
     of = lambda c: F.coalesce("comp", c)
-    labelled = rows.join(_sized(comps.withColumnRenamed("node", "cls")), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"), "path", "places")
+    labelled = rows.join(_sized(comps.withColumnRenamed("node", "cls")), "cls", "left").select("token", "n", "cls", "pos", of("cls").alias("comp"), "path", "steps")
     more = cut(_verify(cut(_across(_dealt(labelled), percent)), docs, reps, frequent, percent))
     named = lambda df, c: df.join(comps.withColumnRenamed("node", c), c, "left").withColumn(c, of(c)).drop("comp")
     over = components(named(named(more, "cls"), "other"))
