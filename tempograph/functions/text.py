@@ -501,39 +501,62 @@ def locate(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return _locate_by_join(docs, quotes)
 
 
+#: Beginnings of quotes whose hashes every task holds; with more, all windows of texts travel. Places of a text that are verified together.
+MAX_BEGINNINGS, STRETCH = 4_000_000, 10_000
+
+
 def _locate_by_join(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """locate for quotes of any number: windows of texts join the beginnings of quotes, exact ones and folded ones."""
-    width = Quotes.WIDTH
+    """locate for quotes of any number: windows of texts join the beginnings of quotes, exact ones and folded ones.
 
-    def windows(frames):
-        for f in frames:
-            for doc, t in zip(f["doc_id"], f["text"]):
-                for kind, x, at in ((0, t or "", None), (1, *fold(t or ""))):
-                    for w in range(1, width + 1):
-                        h = Quotes.windows(x, w).view(np.int64)
-                        for lo in range(0, len(h), 100_000):
-                            p = np.arange(lo, min(lo + 100_000, len(h)))
-                            yield pd.DataFrame({"doc_id": doc, "kind": kind, "width": w, "hash": h[p], "place": p})
+    Windows have the widths that quotes begin with, and those whose hash no quote has are left in their tasks. The hits in a stretch of
+    a text are gathered before the text joins them, so it is copied for a stretch, not for a hit.
+    """
+    width = Quotes.WIDTH
 
     def beginnings(frames):
         for f in frames:
             rows = [(i, k, min(width, len(x)), int(Quotes.windows(x[: min(width, len(x))], min(width, len(x))).view(np.int64)[0]), x) for i, q in zip(f["item_id"], f["quote"]) for k, x in ((0, q), (1, fold(q)[0])) if x]
             yield pd.DataFrame(rows, columns=["item_id", "kind", "width", "hash", "form"])
 
-    b = quotes.mapInPandas(beginnings, "item_id long, kind int, width int, hash long, form string")
+    b = kept(quotes.mapInPandas(beginnings, "item_id long, kind int, width int, hash long, form string"))
+    keys = b.select("kind", "width", "hash").distinct()
+    sizes = {(r.kind, r.width): r["count"] for r in keys.groupBy("kind", "width").count().collect()}  # at most 2 * width
+    known = dict.fromkeys(sizes)
+    if sum(sizes.values()) <= MAX_BEGINNINGS:
+        rows = keys.collect()
+        known = {k: np.sort(np.array([r.hash for r in rows if (r.kind, r.width) == k], np.int64)) for k in sizes}
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def windows(frames):
+        for f in frames:
+            for doc, t in zip(f["doc_id"], f["text"]):
+                forms = {0: t or "", 1: fold(t)[0] if t else ""}
+                for (kind, w), some in shared.value.items():
+                    h = Quotes.windows(forms[kind], w).view(np.int64)
+                    p = np.arange(len(h)) if some is None else np.flatnonzero(some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h)
+                    for lo in range(0, len(p), 100_000):
+                        at = p[lo : lo + 100_000]
+                        yield pd.DataFrame({"doc_id": doc, "kind": kind, "width": w, "hash": h[at], "place": at})
+
     w = docs.select("doc_id", "text").mapInPandas(windows, "doc_id long, kind int, width int, hash long, place int")
-    near = w.join(b, ["kind", "width", "hash"]).select("doc_id", "item_id", "kind", "form", "place").join(docs.select("doc_id", "text"), "doc_id")
+    hits = w.join(b, ["kind", "width", "hash"]).select("doc_id", F.struct("item_id", "kind", "form", "place").alias("hit"))
+    near = hits.groupBy("doc_id", F.floor(F.col("hit.place") / STRETCH).alias("stretch")).agg(F.collect_list("hit").alias("hits")).join(docs.select("doc_id", "text"), "doc_id")
 
     def verify(frames):
         for f in frames:
             rows = []
-            for doc, item, kind, form, p, t in zip(f["doc_id"], f["item_id"], f["kind"], f["form"], f["place"], f["text"]):
-                x, at = (t, None) if kind == 0 else fold(t)
-                if x.startswith(form, p):
-                    rows.append((item, doc, kind, p, p + len(form)) if at is None else (item, doc, kind, int(at[p]), int(at[p + len(form) - 1]) + 1))
+            for doc, hits, t in zip(f["doc_id"], f["hits"], f["text"]):
+                flat = None
+                for hit in hits:
+                    item, kind, form, p = (hit[c] for c in ("item_id", "kind", "form", "place"))
+                    if kind and flat is None:
+                        flat = fold(t)
+                    x, at = (t, None) if kind == 0 else flat
+                    if x.startswith(form, p):
+                        rows.append((item, doc, kind, p, p + len(form)) if at is None else (item, doc, kind, int(at[p]), int(at[p + len(form) - 1]) + 1))
             yield pd.DataFrame(rows, columns=["item_id", "doc_id", "kind", "start", "end"])
 
-    found = near.mapInPandas(verify, "item_id long, doc_id long, kind int, start int, end int")
+    found = near.select("doc_id", "hits", "text").mapInPandas(verify, "item_id long, doc_id long, kind int, start int, end int")
     exact = found.where("kind = 0")
     return exact.unionByName(found.where("kind = 1").join(exact.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")).drop("kind")
 

@@ -242,32 +242,59 @@ def plan_path(seeds: dict[str, float], before: dict[str, list[str]], satisfied:
     return steps
 
 
-#: Prerequisites that are sent to all tasks at most: a vocabulary's graph.
+#: Prerequisites that are sent to all tasks; of a larger graph each profile gets its own part.
 MAX_PREREQUISITES = 2_000_000
 
 
-def learning_path(targets: DataFrame, edges: DataFrame, satisfied: DataFrame | None = None) -> DataFrame:
+def own_prerequisites(targets: DataFrame, edges: DataFrame, satisfied: DataFrame | None) -> DataFrame:
+    """profile_id, src, dst: the prerequisites of a profile's targets, of these, and so on, not going on from what is satisfied."""
+    done = satisfied.select("profile_id", "skill_id").distinct() if satisfied is not None else None
+    front = kept(targets.select("profile_id", "skill_id").distinct())
+    seen, found = front, None
+    while not front.isEmpty():
+        more = kept(front.join(edges, F.col("skill_id") == F.col("dst")).select("profile_id", "src", "dst"))
+        found = more if found is None else found.unionByName(more)
+        new = more.select("profile_id", F.col("src").alias("skill_id")).distinct().join(seen, ["profile_id", "skill_id"], "left_anti")
+        front = kept(new.join(done, ["profile_id", "skill_id"], "left_anti") if done is not None else new)
+        seen = seen.unionByName(front)
+    return found if found is not None else targets.select("profile_id").crossJoin(edges.limit(0))
+
+
+def learning_path(targets: DataFrame, edges: DataFrame, satisfied: DataFrame | None = None, most: int = MAX_PREREQUISITES) -> DataFrame:
     """profile_id, step_order, skill_id, urgency, in_cycle, implicit, prerequisites, blocking, reason.
 
     targets is (profile_id, skill_id, urgency), satisfied (profile_id, skill_id); the prerequisite graph (src, dst) of a vocabulary is
-    sent to all tasks, after a check of its size. One profile's skills are a group.
+    sent to all tasks, or, if it is larger, what a profile needs of it to the profile's group.
     """
-    known = at_most(edges.select("src", "dst").distinct(), MAX_PREREQUISITES, "prerequisites")
-    before: dict[str, list[str]] = {}
-    for src, dst in sorted(tuple(r) for r in known.collect()):
-        before.setdefault(dst, []).append(src)
-    shared = edges.sparkSession.sparkContext.broadcast(before)
+    edges = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     rows = targets.select("profile_id", "skill_id", F.col("urgency").cast("double").alias("urgency"))
     if satisfied is not None:
         rows = rows.unionByName(satisfied.select("profile_id", "skill_id", F.lit(None).cast("double").alias("urgency")))
+    rows = rows.withColumn("src", F.lit(None).cast("string"))
+    shared = None
+    if edges.count() <= most:
+        before: dict[str, list[str]] = {}
+        for src, dst in sorted(tuple(r) for r in edges.collect()):
+            before.setdefault(dst, []).append(src)
+        shared = edges.sparkSession.sparkContext.broadcast(before)
+    else:
+        own = own_prerequisites(targets, edges, satisfied)
+        known = targets.select("profile_id").distinct()
+        rows = rows.unionByName(own.join(known, "profile_id", "left_semi").select("profile_id", F.col("dst").alias("skill_id"), F.lit(None).cast("double").alias("urgency"), "src"))
     kind = dict(rows.dtypes)["profile_id"]
 
     def plan(rows):
         import pandas as pd
 
+        needs = rows[rows["src"].notna()]
+        before = shared.value if shared is not None else {}
+        if shared is None:
+            for src, dst in sorted(set(zip(needs["src"], needs["skill_id"]))):
+                before.setdefault(dst, []).append(src)
+        rows = rows[rows["src"].isna()]
         wanted = rows[rows["urgency"].notna()]
         seeds = wanted.groupby("skill_id")["urgency"].max().to_dict()
-        steps = plan_path(seeds, shared.value, set(rows["skill_id"]) - set(seeds))
+        steps = plan_path(seeds, before, set(rows["skill_id"]) - set(seeds))
         columns = ["step_order", "skill_id", "urgency", "in_cycle", "implicit", "prerequisites", "blocking", "reason"]
         out = pd.DataFrame(steps, columns=columns)
         out.insert(0, "profile_id", rows["profile_id"].iloc[0])

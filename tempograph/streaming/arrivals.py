@@ -42,9 +42,15 @@ def duplicates(postings: DataFrame, by: list[str], days: int = 60, least: float
     """posting_id, duplicate_of of a stream (posting_id, ts, title and by): the first canonical row of the block within days whose title fits.
 
     The state of a block is its canonical rows of the last days; those older than that before the watermark are let go, and a block
-    without rows for so long is forgotten. Rows of a micro-batch are taken by time and id.
+    without rows for so long is forgotten. Rows of a micro-batch are taken by time and id. Rows without a time, or with an empty title
+    or part of by, have no duplicate and are none's, as in the batch form.
     """
-    rows = postings.withWatermark("ts", delay).select("posting_id", "ts", *by, normalize_title("title").alias("key")).where("key <> ''")
+    rows = postings.withWatermark("ts", delay).select("posting_id", "ts", *by, normalize_title("title").alias("key"))
+    fit = F.col("ts").isNotNull() & (F.coalesce("key", F.lit("")) != "")
+    for b in by:
+        fit = fit & F.col(b).isNotNull() & (F.col(b).cast("string") != "")
+    apart = rows.where(~fit).select("posting_id", F.lit(None).cast("long").alias("duplicate_of"))
+    rows = rows.where(fit)
 
     def run(key, frames: Iterator, state) -> Iterator:
         import pandas as pd
@@ -70,7 +76,8 @@ def duplicates(postings: DataFrame, by: list[str], days: int = 60, least: float
         state.setTimeoutTimestamp(max([*numbers, mark, 0]) * 86_400_000 + (days + 1) * 86_400_000)
         yield pd.DataFrame({"posting_id": pd.array([i for i, _ in out], "Int64"), "duplicate_of": pd.array([h for _, h in out], "Int64")})
 
-    return rows.groupBy(*by).applyInPandasWithState(run, "posting_id long, duplicate_of long", "ids array<long>, numbers array<long>, titles array<string>", "append", "EventTimeTimeout")
+    found = rows.groupBy(*by).applyInPandasWithState(run, "posting_id long, duplicate_of long", "ids array<long>, numbers array<long>, titles array<string>", "append", "EventTimeTimeout")
+    return found.unionByName(apart)
 
 
 def drain(stream: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -62,3 +62,13 @@ def test_evidence_in_the_order_of_asking(spark):
     got = review.evidence_details(asked, evidence, docs).collect()
     assert [(r.place, r.evidence_id, r.skill_id, r.doc_id, r.kind, r.text) for r in got] == [(0, "e2", None, "e2", "posting", "q2"), (2, "e1", "k", "d1", "resume", "a\nb"), (3, "e2", None, "e2", "posting", "q2")]
     assert [(x.text, round(x.y, 3)) for x in got[1].lines] == [("a", 0.04), ("b", 0.075)]
+
+
+def test_paths_over_a_graph_that_is_not_sent(spark):
+    r = random.Random(6)
+    edges = spark.createDataFrame([(f"s{r.randrange(40)}", f"s{r.randrange(40)}") for _ in range(90)], "src string, dst string")
+    targets = spark.createDataFrame([(p, f"s{r.randrange(40)}", r.randrange(9) / 4) for p in range(12) for _ in range(4)], "profile_id long, skill_id string, urgency double")
+    known = spark.createDataFrame([(p, f"s{r.randrange(40)}") for p in range(14) for _ in range(5)], "profile_id long, skill_id string")
+    for done in (known, None):
+        whole, own = (sorted(map(str, match.learning_path(targets, edges, done, most=m).collect())) for m in (1000, 0))
+        assert whole == own and len(whole) > 48
