@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, evolve, graph, pages, review
 from ..sources.tables import table
-from .evolution import A, B, LAG, LEAD, RD, ROLE, SD, TYPES, obs, types, with_
+from .evolution import A, B, LAG, LEAD, RD, ROLE, RS, SD, TYPES, burst_sql, obs, types, with_
+from .evolution import SQL as EVOLUTION_SQL
+from .operations import ROLES, roles
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -149,3 +151,36 @@ def evidence_pages(spark, d):
     found = review.evidence_details(asked.unionByName(missing), evidence, t.where("doc_id % 9 <> 0").select("doc_id", F.lit("resume").alias("kind"), "text"))
     text = F.when(F.col("text") == "q", F.col("text")).otherwise(F.sha2("text", 256))
     return found.select("place", "evidence_id", "source_id", "skill_id", "doc_id", "kind", text.alias("text_sha256"), F.size("lines").cast("long").alias("n_lines"))
+
+
+# The parts of the market's page
+
+
+def _market(spark, d, part: str, sparse: bool = False) -> DataFrame:
+    covers = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("skill_id"), F.col("p_type").alias("competency")).distinct()
+    return pages.market(obs(spark, d, ["role_id"], sparse), roles(spark, d), covers, B, A)[part]
+
+
+@query(f"WITH {ROLES} SELECT role_id FROM ro WHERE is_emerging")
+def market_emerging(spark, d):
+    return _market(spark, d, "emerging").select("role_id")
+
+
+@query(f"WITH {ROLES} SELECT role_id, CASE WHEN signal_strength >= 0.65 THEN 'strong' WHEN signal_strength >= 0.4 THEN 'medium' ELSE 'weak' END AS signal_band FROM ro WHERE state = 'unverified'")
+def market_candidates(spark, d):
+    return _market(spark, d, "candidates").select("role_id", "signal_band")
+
+
+@query(EVOLUTION_SQL["competency_diff"])
+def market_changes(spark, d):
+    return _market(spark, d, "changes", sparse=True)
+
+
+@query(f"{with_(RS, 'ps AS (SELECT skill_id, period, sum(posting_count) AS posting_count, sum(total_postings) AS total_postings FROM rs GROUP BY ALL)', burst_sql('ps', '', 'b'))} SELECT * FROM b ORDER BY skill_id, start_period LIMIT 40")
+def market_bursts(spark, d):
+    return _market(spark, d, "bursts", sparse=True)
+
+
+@query(f"{with_(RD)} SELECT role_id, skill_id, weight FROM rd WHERE period = '{B}'")
+def market_observations(spark, d):
+    return _market(spark, d, "observations").select("role_id", "skill_id", "weight")
