@@ -19,9 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tempograph-{uuid.uuid4().hex}"
 
 
+_kept: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that kept() has written in this process, and say how many; results that read them and aren't written elsewhere are lost."""
+    n = len(_kept)
+    while _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written and read again: its lineage ends there."""
     path = shared_folder(df.sparkSession)
+    _kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

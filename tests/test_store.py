@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tempograph.functions import sql, text
 from tempograph.operators import store
-from tempograph.sources.shared import shared_folder
+from tempograph.sources.files import first_existing
+from tempograph.sources.shared import forget, kept, shared_folder
 
 SCHEMA = "role_id string, skill_id string, period string, weight double, posting_count long, total_postings long, ontology_version string"
 
@@ -89,3 +90,11 @@ def test_dictionaries_are_bounded(monkeypatch):
     monkeypatch.setattr(text, "MAX_SURFACES", 2)
     with pytest.raises(ValueError, match="surfaces"):
         sql.scanner({"a": "1", "b": "1", "c": "1"})
+
+
+def test_kept_tables_can_be_forgotten(spark):
+    forget(spark)
+    df = kept(spark.range(3))
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 3 and first_existing(spark, [path]) == path
+    assert forget(spark) == 1 and first_existing(spark, [path]) is None and forget(spark) == 0
