@@ -29,8 +29,8 @@ def rank_measures(rows: DataFrame, by: str, k: int = 3) -> DataFrame:
     mean_rank = lambda c: F.rank().over(w.orderBy(F.desc(c))) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
     r = rows.withColumns({"rp": mean_rank("predicted"), "rg": mean_rank("gold"), "place": F.row_number().over(w.orderBy(F.desc("predicted"), "item")), "ideal": F.row_number().over(w.orderBy(F.desc("gold"), "item"))})
     gain = lambda p: F.sum(F.when(F.col(p) <= k, F.col("gold") / F.log2(F.col(p) + 1.0)).otherwise(0.0))
-    t = r.groupBy(by).agg(F.corr("rp", "rg").alias("c"), F.count("*").alias("n"), F.stddev_pop("rp").alias("sp"), F.stddev_pop("rg").alias("sg"), gain("place").alias("dcg"), gain("ideal").alias("best"))
-    return t.select(by, F.when((F.col("n") < 2) | (F.col("sp") == 0) | (F.col("sg") == 0), 0.0).otherwise(F.col("c")).alias("spearman"), F.when(F.col("best") == 0, 0.0).otherwise(F.col("dcg") / F.col("best")).alias("ndcg"))
+    t = r.groupBy(by).agg(F.covar_pop("rp", "rg").alias("c"), F.count("*").alias("n"), F.stddev_pop("rp").alias("sp"), F.stddev_pop("rg").alias("sg"), gain("place").alias("dcg"), gain("ideal").alias("best"))
+    return t.select(by, F.when((F.col("n") < 2) | (F.col("sp") == 0) | (F.col("sg") == 0), 0.0).otherwise(F.col("c") / (F.col("sp") * F.col("sg"))).alias("spearman"), F.when(F.col("best") == 0, 0.0).otherwise(F.col("dcg") / F.col("best")).alias("ndcg"))
 
 
 def stratified(rows: DataFrame, stratum: str, quotas: dict[str, int], key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tempograph import schema
 from tempograph.functions import text
-from tempograph.operators import evolve, graph, match
+from tempograph.operators import evaluate, evolve, graph, match
 
 
 def series(spark, counts, totals, skill="s"):
@@ -229,3 +229,9 @@ def test_periods(spark):
     assert schema.previous_period("2024Q1") == "2023Q4"
     r = spark.sql("SELECT '2024Q1' AS p").select(schema.first_day(F.col("p")).cast("string"), schema.last_day(F.col("p")).cast("string"), schema.consecutive_quarters(F.col("p"), F.lit(3))).first()
     assert tuple(r) == ("2024-01-01", "2024-03-31", ["2024Q1", "2024Q2", "2024Q3"])
+
+
+def test_ranks_that_are_all_tied(spark):
+    rows = spark.createDataFrame([("a", "x", 0.3, 0.1), ("a", "y", 0.2, 0.1), ("b", "x", 0.3, 0.1), ("b", "y", 0.2, 0.3), ("c", "x", 0.1, 0.1)], "period string, item string, predicted double, gold double")
+    got = {r.period: (round(r.spearman, 9), round(r.ndcg, 6)) for r in evaluate.rank_measures(rows, "period").collect()}
+    assert got["a"] == (0.0, 1.0) and got["b"][0] == -1.0 and got["c"] == (0.0, 1.0)
