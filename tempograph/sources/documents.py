@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one part of a Word file when unpacked, at most; files that a task holds at once.
@@ -146,13 +146,35 @@ def read_documents(spark: SparkSession, folder: str, suffixes: str = "{docx,txt,
     return parsed(spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffixes}").option("recursiveFileLookup", "true").load(folder))
 
 
+def heading_spans(text: Column, runs: Column, larger: float = 1.25, most: int = 20) -> Column:
+    """start, end, label of a document's titles in order, from its own text and runs: nothing of a document leaves its row."""
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+
+    def paragraphs(ordered: Column) -> Column:
+        """start, end, size, style, label of what runs of one paragraph tell together."""
+        begins = F.transform(ordered, lambda r, i: F.when((i == 0) | (F.get(ordered, i - 1)["paragraph"] != r["paragraph"]), i))
+
+        def one(at: Column, first: Column, k: Column) -> Column:
+            start, last = F.get(ordered, first)["start"], F.get(ordered, F.coalesce(F.get(at, k + 1), F.size(ordered)) - 1)
+            label = F.trim(F.substr(text, start + 1, last["end"] - start))
+            return F.struct(start.alias("start"), last["end"].alias("end"), last["size"].alias("size"), F.get(ordered, first)["style"].alias("style"), label.alias("label"))
+
+        return F.filter(let(F.array_compact(begins), lambda at: F.transform(at, lambda first, k: one(at, first, k))), lambda p: p["label"] != "")
+
+    def headings(found: Column) -> Column:
+        sizes = F.sort_array(F.transform(found, lambda p: p["size"]))
+        headed = lambda p: F.coalesce(F.lower(p["style"]).startswith("heading") | (F.lower(p["style"]) == "title"), F.lit(False))
+        fits = lambda middle: F.filter(found, lambda p: (F.length(p["label"]) <= most) & (headed(p) | (p["size"] >= larger * middle)))
+        return let(F.get(sizes, F.floor(F.size(found) / 2).cast("int")), fits)
+
+    ordered = F.array_sort(F.transform(runs, lambda r: F.struct(r["paragraph"].alias("paragraph"), r["start"].alias("start"), r["end"].alias("end"), r["size"].alias("size"), r["style"].alias("style"))))
+    found = let(let(ordered, paragraphs), headings)
+    return F.transform(found, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["label"].alias("label")))
+
+
 def titles(documents: DataFrame, larger: float = 1.25, most: int = 20) -> DataFrame:
     """path, start, end, label: short paragraphs in a heading's style, or larger than the document's middle paragraph by a quarter."""
-    p = documents.select("path", "text", F.explode("runs").alias("r")).groupBy("path", "r.paragraph").agg(F.min("r.start").alias("start"), F.max("r.end").alias("end"), F.max_by("r.size", "r.start").alias("size"), F.first("r.style").alias("style"), F.first("text").alias("text"))
-    p = p.withColumn("label", F.trim(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))).where("label <> ''")
-    sizes = p.groupBy("path").agg(F.sort_array(F.collect_list("size")).alias("s")).select("path", F.get("s", F.expr("size(s) div 2").cast("int")).alias("middle"))
-    headed = F.coalesce(F.lower("style").startswith("heading") | (F.lower("style") == "title"), F.lit(False))
-    return p.join(sizes, "path").where((F.length("label") <= most) & (headed | (F.col("size") >= larger * F.col("middle")))).select("path", "start", "end", "label")
+    return documents.select("path", F.explode(heading_spans(F.col("text"), F.col("runs"), larger, most)).alias("t")).select("path", "t.*")
 
 
 def write_word(lines: list[tuple[str, float | None, bool, str | None]]) -> bytes:

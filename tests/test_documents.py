@@ -59,6 +59,14 @@ def test_files_that_cannot_be_read(spark, monkeypatch):
     assert documents.parsed(spark.createDataFrame([], "path string, content binary")).count() == 0
 
 
+def test_titles_leave_no_row(spark):
+    lines = [("Head ", 14.0, True, None), ("", None, False, None), ("body one", None, False, None), ("x" * 30, 20.0, False, None), ("body two", None, False, "Heading2"), ("end", None, False, None)]
+    files = spark.createDataFrame([("a.docx", bytearray(documents.write_word(lines))), ("b.docx", bytearray(b"none")), ("c.docx", bytearray(documents.write_word([])))], "path string, content binary")
+    found = documents.titles(documents.parsed(files))
+    assert [(r.path, r.label) for r in found.orderBy("start").collect()] == [("a.docx", "Head"), ("a.docx", "body two")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def page(lines, width=600.0):
     """Characters of lines (x, y, text, size)."""
     return [(1, 0, width, c, x + 6.0 * i, float(y), x + 6.0 * i + 5, y + 10.0, size) for x, y, t, size in lines for i, c in enumerate(t) if c != " "]
