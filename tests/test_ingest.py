@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -121,6 +122,17 @@ def test_claims_keep_what_the_text_says(spark):
     assert sorted((r.kind, r.text, r.necessity, r.quote) for r in claims.collect()) == [("competency", "能写", "required", "熟悉Java开发"), ("skill", "Go", "required", "了解Go语言")] and lost.first().discarded == 3  # the rule looks for the quote as it is
 
 
+def test_quotes_are_looked_for_in_their_own_text_only(spark):
+    """All texts have all quotes: every text against every quote would be 36 million hits."""
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source_id"), F.concat(F.lit("of the same words in ＪＡＶＡ "), F.col("id").cast("string")).alias("text"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("boilerplate_spans"))
+    reply = json.dumps({"competencies": [{"statement": "T", "quote": "the same words"}], "skills": [{"surface_form": "Java", "quote": "JAVA"}, {"surface_form": "x", "quote": " "}]})
+    began = time.time()
+    claims, lost = extract.extract_posting(docs.select("doc_id", F.lit(reply).alias("content")), docs)
+    assert {tuple(r) for r in claims.groupBy("kind", "start", "end", "quote").count().collect()} == {("competency", 3, 17, "the same words", n), ("skill", 21, 25, "ＪＡＶＡ", n)}
+    assert time.time() - began < 60 and lost.agg(F.sum("discarded")).first()[0] == n
+
+
 def test_surfaces_are_decided_once(spark):
     vocabulary = spark.createDataFrame([("go", "Go", ["Go", "golang"]), ("react", "React", ["React", "React.js"])], "id string, name string, surfaces array<string>")
     s = spark.createDataFrame([("go",), ("Golang",), ("REACT",), ("react native",), ("cached",)], "surface string")
