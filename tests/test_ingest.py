@@ -133,6 +133,16 @@ def test_quotes_are_looked_for_in_their_own_text_only(spark):
     assert time.time() - began < 60 and lost.agg(F.sum("discarded")).first()[0] == n
 
 
+def test_resumes_meet_their_own_quotes_only(spark):
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("Go and the same words").alias("text"))
+    reply = json.dumps({"skills": [{"surface_form": "w", "quote": "the same words"}]})
+    vocabulary = spark.createDataFrame([("go", "Go", ["Go"])], "id string, name string, surfaces array<string>")
+    began = time.time()
+    skills, _, new = extract.extract_resume(docs, docs.select("doc_id", F.lit(reply).alias("content")), vocabulary)
+    assert skills.count() == n and new.where("start = 7 and end = 21").count() == n and time.time() - began < 60
+
+
 def test_surfaces_are_decided_once(spark):
     vocabulary = spark.createDataFrame([("go", "Go", ["Go", "golang"]), ("react", "React", ["React", "React.js"])], "id string, name string, surfaces array<string>")
     s = spark.createDataFrame([("go",), ("Golang",), ("REACT",), ("react native",), ("cached",)], "surface string")
