@@ -268,38 +268,37 @@ def gram_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 def near_blocks(docs: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
     """by, block: blocks to which a block of another text of one source is alike, equal or by sets of character 3-grams.
 
-    Equal blocks are counted. Of the others, MinHash bands meet and candidates are verified by exact Jaccard. Bands that a block has for
-    itself, nearly all of them, go at once, in the pass that sorts them. Of the rest each block meets the first and the next one of its
-    buckets, so that groups of near copies make no pairs among themselves; only blocks without a partner then meet all of their buckets.
-    Only ids (16 bytes) travel to the bands; texts join the distinct candidates once.
+    Equal blocks are counted. Of the others, MinHash bands meet and candidates are verified by exact Jaccard. Of a band only two numbers
+    of 8 bytes travel, the hash of what meets and that of the block; bands that a block has for itself, nearly all of them, go at once,
+    in the pass that sorts them. Of the rest each block meets the first and the next one of its buckets, so that groups of near copies
+    make no pairs among themselves; only blocks without a partner then meet all of their buckets. Texts of blocks that meet another are
+    written once more, and join the distinct candidates.
     """
     digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
-    texts = docs.select(by, digest("text").alias("doc_id"), "text").dropDuplicates([by, "doc_id"])
-    b = blocks(texts, by).groupBy(by, "block").agg(F.min("doc_id").alias("only"), F.max("doc_id").alias("last"))
-    b = b.select(by, "block", digest("block").alias("id"), F.when(F.col("only") == F.col("last"), F.col("only")).alias("only"))
-    b = kept(b)
-    keyed = b.select(by, "id", "only", F.posexplode(block_bands("block")).alias("band", "key"))
-    place = Window.partitionBy(by, "band", "key")
-    bucket = place.orderBy("id")
-    own = F.struct("id", "only")
-    sizes = keyed.select(by, "id", "only", "band", "key", F.array(F.first(own).over(bucket), F.lag(own).over(bucket)).alias("os"), F.count("*").over(place).alias("n"))
-    keyed = kept(sizes.where("n > 1").drop("n"))
-    near = keyed.select(by, "id", "only", F.explode("os").alias("o"))
+    texts = docs.where(F.col(by).isNotNull()).select(by, digest("text").alias("doc_id"), "text")
+    b = blocks(texts, by).groupBy(by, "block").agg(F.min("doc_id").alias("only"), F.max("doc_id").alias("last"))  # copies of a text have one digest
+    b = kept(b.select(by, "block", digest("block").alias("id"), F.when(F.col("only") == F.col("last"), F.col("only")).alias("only")))
+    short = F.xxhash64(by, "id")
+    keyed = b.select(by, short.alias("s"), F.posexplode(block_bands("block")).alias("band", "key")).select("s", F.xxhash64(by, "band", "key").alias("h"))
+    bucket = Window.partitionBy("h").orderBy("s")
+    sizes = keyed.select("s", "h", F.first("s").over(bucket).alias("first"), F.lag("s").over(bucket).alias("before"), F.lead("s").over(bucket).alias("after"))
+    keyed = kept(sizes.where("before is not null or after is not null").drop("after"))
+    met = kept(b.withColumn("s", short).join(keyed.select("s").distinct(), "s", "left_semi"))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """by, id of both sides of pairs (by, id, only, o) that are alike and in different texts."""
-        apart = F.col("o.id").isNotNull() & (F.col("id") != F.col("o.id")) & (F.col("only").isNull() | F.col("o.only").isNull() | (F.col("only") != F.col("o.only")))
-        pairs = pairs.where(apart).select(by, F.least("id", "o.id").alias("id_a"), F.greatest("id", "o.id").alias("id_b")).distinct()
-        side = lambda n: b.select(by, F.col("id").alias(f"id_{n}"), F.col("block").alias(f"t{n}"))
-        both = pairs.join(side("a"), [by, "id_a"]).join(side("b"), [by, "id_b"]).where(gram_jaccard("ta", "tb") >= threshold)
-        return both.select(by, F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-
-    first = alike(near)
-    rest = keyed.where(F.col("only").isNotNull()).join(first, [by, "id"], "left_anti")
-    other = keyed.select(by, "band", "key", F.struct("id", "only").alias("o"))
-    second = alike(rest.join(other, [by, "band", "key"]))
-    found = b.where("only is null").select(by, "id").union(first).union(second).distinct()
-    return b.join(found, [by, "id"], "left_semi").select(by, "block")
+        """by, id of both sides of pairs (s, o) that are alike, of one source and in different texts."""
+        pairs = pairs.where("s <> o").select(F.least("s", "o").alias("s_a"), F.greatest("s", "o").alias("s_b")).distinct()
+        side = lambda n, *more: met.select(F.col(by).alias(f"by_{n}"), F.col("s").alias(f"s_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in more])
+        apart = (F.col("by_a") == F.col("by_b")) & (F.col("only_a").isNull() | F.col("only_b").isNull() | (F.col("only_a") != F.col("only_b")))
+        pairs = pairs.join(side("a", "only"), "s_a").join(side("b", "only"), "s_b").where(apart).select("s_a", "s_b").distinct()
+        both = pairs.join(side("a", "id", "block"), "s_a").join(side("b", "id", "block"), "s_b").where((F.col("by_a") == F.col("by_b")) & (gram_jaccard("block_a", "block_b") >= threshold))
+        return both.select(F.col("by_a").alias(by), F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+
+    first = kept(alike(keyed.select("s", F.explode(F.array("first", "before")).alias("o")).where("o is not null")))
+    rest = met.where(F.col("only").isNotNull()).join(first, [by, "id"], "left_anti").select("s")
+    second = alike(keyed.join(rest, "s", "left_semi").select("s", "h").join(keyed.select("h", F.col("s").alias("o")), "h"))
+    near = met.where(F.col("only").isNotNull()).join(first.union(second).distinct(), [by, "id"], "left_semi")
+    return b.where("only is null").select(by, "block").union(near.select(by, "block"))
 
 
 #: Phrases on benefits that say nothing about skills.

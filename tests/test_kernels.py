@@ -235,3 +235,14 @@ def test_ranks_that_are_all_tied(spark):
     rows = spark.createDataFrame([("a", "x", 0.3, 0.1), ("a", "y", 0.2, 0.1), ("b", "x", 0.3, 0.1), ("b", "y", 0.2, 0.3), ("c", "x", 0.1, 0.1)], "period string, item string, predicted double, gold double")
     got = {r.period: (round(r.spearman, 9), round(r.ndcg, 6)) for r in evaluate.rank_measures(rows, "period").collect()}
     assert got["a"] == (0.0, 1.0) and got["b"][0] == -1.0 and got["c"] == (0.0, 1.0)
+
+
+def shuffled(spark) -> int:
+    return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_bands_travel_as_two_numbers(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = shuffled(spark)
+    assert text.near_blocks(docs, "source").count() > 5
+    assert shuffled(spark) - before < 2_000_000
