@@ -328,8 +328,10 @@ def boilerplate(docs: DataFrame, by: str, peers: bool = True) -> DataFrame:
     some = "|".join(BENEFITS)
     phrases = docs.where(F.col("text").rlike(some)).select("doc_id", F.explode(benefit_spans("text")).alias("s")).select("doc_id", "s.*")
     if peers:
-        known = near_blocks(docs.where(F.col(by).isNotNull()), by)
-        phrases = phrases.unionByName(placed_blocks(docs, by).join(known, [by, "block"], "left_semi").select("doc_id", "start", "end"))
+        mark = F.unhex(F.md5(F.col("block").cast("binary"))).alias("mark")  # blocks meet by digests, their texts stay where they are
+        known = near_blocks(docs.where(F.col(by).isNotNull()), by).select(by, mark)
+        placed = placed_blocks(docs, by).select(by, "doc_id", "start", "end", mark)
+        phrases = phrases.unionByName(placed.join(known, [by, "mark"], "left_semi").select("doc_id", "start", "end"))
     found = phrases.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     return docs.select("doc_id").join(found.select("doc_id", merge_spans(F.col("s")).alias("spans")), "doc_id", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
