@@ -143,11 +143,16 @@ class Surfaces:
                 of.append(len(p))
         for of in self.lengths.values():
             of.sort(reverse=True)
-        self.first = re.compile("[" + re.escape("".join(self.lengths)) + "]") if self.lengths else re.compile("(?!)")
-
-    def all_hits(self, text: str) -> Iterator[tuple[int, int, str]]:
+        # ASCII surfaces begin words; a character that begins others, too, is looked at wherever it stands.
+        free = sorted({p[0] for p in self.skill_of if not p.isascii()})
+        bound = sorted(set(self.lengths) - set(free))
+        inside = lambda cs: "[" + re.escape("".join(cs)) + "]"
+        self.first = re.compile(inside(self.lengths)) if self.lengths else re.compile("(?!)")
+        self.begins = re.compile("|".join([rf"(?<![0-9A-Za-z_]){inside(bound)}"] * bool(bound) + [inside(free)] * bool(free)) or "(?!)")
+
+    def all_hits(self, text: str, first: re.Pattern | None = None) -> Iterator[tuple[int, int, str]]:
         """Every place of every surface, overlaps included, by start and the longest first."""
-        for m in self.first.finditer(text):
+        for m in (first or self.first).finditer(text):
             for n in self.lengths[m[0]]:
                 if (p := text[m.start() : m.start() + n]) in self.skill_of:
                     yield m.start(), m.start() + n, p
@@ -155,7 +160,7 @@ class Surfaces:
     def mentions(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Whole words only, leftmost, then longest, none of which overlap."""
         done = 0
-        for hit in self.all_hits(text):
+        for hit in self.all_hits(text, self.begins):
             if hit[0] >= done and whole_word(text, hit[0], hit[1]):
                 done = hit[1]
                 yield hit

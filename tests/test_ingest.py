@@ -143,6 +143,22 @@ def test_resumes_meet_their_own_quotes_only(spark):
     assert skills.count() == n and new.where("start = 7 and end = 21").count() == n and time.time() - began < 60
 
 
+def test_texts_of_resumes_are_read_once(spark):
+    n, read = 50, spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("Go and 好的C语言 words").alias("text")).mapInPandas(count, "doc_id long, text string")
+    reply = json.dumps({"skills": [{"surface_form": "w", "quote": "and"}, {"surface_form": "x", "quote": "语言"}]})
+    vocabulary = spark.createDataFrame([("go", "Go", ["Go"]), ("c", "C", ["C语言", "ords"])], "id string, name string, surfaces array<string>")
+    skills, evidence, new = extract.extract_resume(docs, spark.range(n).select(F.col("id").alias("doc_id"), F.lit(reply).alias("content")), vocabulary)
+    assert skills.count() == 2 * n and evidence.count() == 3 * n and new.where("quote = 'and' and start = 3").count() == n
+    assert read.value == n
+
+
 def test_surfaces_are_decided_once(spark):
     vocabulary = spark.createDataFrame([("go", "Go", ["Go", "golang"]), ("react", "React", ["React", "React.js"])], "id string, name string, surfaces array<string>")
     s = spark.createDataFrame([("go",), ("Golang",), ("REACT",), ("react native",), ("cached",)], "surface string")
