@@ -207,8 +207,17 @@ def objects(body: Column, status: Column) -> Column:
 
 def liepin(responses: DataFrame, most: int | None = None) -> DataFrame:
     """Snapshots of the cards of pages (page_no, status, url, fetched_at, body), up to the first that objects or has no card."""
-    r = responses.withColumn("cards", job_cards("body"))
-    r = until_halt(r, objects(F.col("body"), F.col("status")) | (F.size("cards") == 0), ["page_no"]).select("page_no", "url", "fetched_at", F.posexplode("cards").alias("place", "card"))
+    return liepin_cards(with_cards(until_halt(responses, objects(F.col("body"), F.col("status")), ["page_no"])), most)
+
+
+def with_cards(responses: DataFrame) -> DataFrame:
+    """page_no, url, fetched_at, cards of pages that do not object."""
+    return responses.select("page_no", "url", "fetched_at", job_cards("body").alias("cards"))
+
+
+def liepin_cards(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Snapshots of pages with their cards, up to the first without one."""
+    r = until_halt(pages, F.size("cards") == 0, ["page_no"]).select("page_no", "url", "fetched_at", F.posexplode("cards").alias("place", "card"))
     href = F.coalesce(F.nullif(F.col("card.href"), F.lit("")), F.col("url"))
     return as_snapshots(r.select(href.alias("url"), "fetched_at", F.to_json(F.struct(href.alias("href"), F.col("card.text").alias("text"))).alias("raw"), "page_no", "place"), "liepin", most, [F.col("page_no"), F.col("place")])
 

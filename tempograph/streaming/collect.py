@@ -71,8 +71,10 @@ def _snapshots(board: str, batch: DataFrame, since: str | None) -> tuple[DataFra
         return boards.mohrss(batch.withColumn("page_no", F.col("seq")), since), False
     if board == "liepin":
         rows = batch.withColumn("page_no", F.col("seq"))
-        bad = boards.objects(F.col("body"), F.col("status")) | (F.size(boards.job_cards("body")) == 0)
-        return boards.liepin(rows), not rows.where(bad).isEmpty()
+        said = boards.objects(F.col("body"), F.col("status"))
+        asked_for = boards.until_halt(rows, said, ["page_no"])  # what comes after an open objection is not read by Python
+        cards = kept(boards.with_cards(asked_for))
+        return boards.liepin_cards(cards), not (rows.where(said).isEmpty() and cards.where(F.size("cards") == 0).isEmpty())
     raise ValueError(f"not collected as a stream: {board}")
 
 
@@ -113,6 +115,7 @@ def collect(spark: SparkSession, board: str, source: str, store: Store, since: s
         if flushes is not None and done >= flushes:
             raise Interrupted(f"ended after {done} flushes")
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(responses.ROWS))  # a row may be a page of many vacancies
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(source)
     rows = lines.select(F.from_json("value", RESPONSE, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]"}).alias("r")).select("r.*")
     query = rows.writeStream.foreachBatch(flush).option("checkpointLocation", f"{store.folder}/checkpoint").trigger(availableNow=True).start()

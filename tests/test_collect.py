@@ -7,6 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from tempograph.sources import boards, responses
 from tempograph.sources.shared import shared_folder
 from tempograph.streaming import collect
 
@@ -89,3 +90,19 @@ def test_files_without_vacancies(spark, to, tmp_path):
     assert run(spark, write(f"{tmp_path}/in", ["no JSON", []]), to, files=2) == "ok" and to.snapshots().count() == to.postings().count() == 0
     with pytest.raises(Exception, match="not collected"):
         run(spark, write(f"{tmp_path}/other", [[job(1)]]), collect.Store(spark, shared_folder(spark)), board="moka")
+
+
+def test_pages_after_an_objection_are_not_parsed(spark, tmp_path, monkeypatch):
+    parsed = spark.sparkContext.accumulator(0)
+    cards = boards._cards
+
+    @F.pandas_udf("array<struct<href:string,text:string>>")
+    def counted(s):
+        parsed.add(len(s))
+        return s.map(cards)
+
+    monkeypatch.setattr(boards, "job_cards", counted)
+    rows = spark.range(50).select(F.col("id").alias("seq"), F.lit("u").alias("url"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), F.when(F.col("id") == 5, 403).otherwise(200).alias("status"), F.struct(F.lit("x").alias("page_no")).alias("asked"), F.concat(F.lit('<a href="/zhaopin/'), F.col("id").cast("string"), F.lit('">A</a>')).alias("body"))
+    to = collect.Store(spark, str(tmp_path / "to"))
+    assert collect.collect(spark, "liepin", responses.write(rows, str(tmp_path / "in"), 1), to, today="2024-04-01", peers=False) == "halted"
+    assert to.snapshots().count() == 5 and parsed.value == 5
