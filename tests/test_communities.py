@@ -72,3 +72,14 @@ def test_paths_over_a_graph_that_is_not_sent(spark):
     for done in (known, None):
         whole, own = (sorted(map(str, match.learning_path(targets, edges, done, most=m).collect())) for m in (1000, 0))
         assert whole == own and len(whole) > 48
+
+
+def test_graphs_without_links_need_no_rounds(spark, monkeypatch):
+    written = []
+    keep = evolve.kept
+    monkeypatch.setattr(evolve, "kept", lambda df: written.append(1) or keep(df))
+    loops = spark.createDataFrame([("a", "a", 2.0), ("b", "b", 1.0)], "src string, dst string, weight double")
+    assert {tuple(r) for r in evolve._moved(loops, 1.0, 42, 24).collect()} == {("a", "a"), ("b", "b")}
+    assert len(written) == 1
+    pair = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    assert {r.part for r in evolve._moved(pair, 1.0, 42, 24).collect()} in ({"a"}, {"b"})
