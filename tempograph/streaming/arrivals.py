@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,14 +39,18 @@ def quarterly(events: DataFrame, by: list[str], ts: str) -> DataFrame:
     return events.groupBy(period_of(F.to_date(ts)).alias("period"), *by).agg(F.count("*").alias("n"))
 
 
+#: Groups of blocks. A call of Python takes a group's rows and its state: one for each block would cost more than its rows.
+GROUPS = 2048
+
+
 def duplicates(postings: DataFrame, by: list[str], days: int = 60, least: float = 92.0, delay: str = "1 day") -> DataFrame:
     """posting_id, duplicate_of of a stream (posting_id, ts, title and by): the first canonical row of the block within days whose title fits.
 
     The state of a block is its canonical rows of the last days; those older than that before the watermark are let go, and a block
-    without rows for so long is forgotten. Rows of a micro-batch are taken by time and id. Rows without a time, or with an empty title
+    without rows for so long is forgotten. Blocks are dealt to GROUPS groups, whose blocks' states are kept together. Rows of a micro-batch are taken by time and id. Rows without a time, or with an empty title
     or part of by, have no duplicate and are none's, as in the batch form.
     """
-    rows = postings.withWatermark("ts", delay).select("posting_id", "ts", *by, normalize_title("title").alias("key"))
+    rows = postings.withWatermark("ts", delay).select("posting_id", "ts", *by, normalize_title("title").alias("key")).withColumn("block", F.to_json(F.struct(*by)))
     fit = F.col("ts").isNotNull() & (F.coalesce("key", F.lit("")) != "")
     for b in by:
         fit = fit & F.col(b).isNotNull() & (F.col(b).cast("string") != "")
@@ -55,28 +60,29 @@ def duplicates(postings: DataFrame, by: list[str], days: int = 60, least: float
     def run(key, frames: Iterator, state) -> Iterator:
         import pandas as pd
 
+        like = functools.lru_cache(10_000)(indel)
         if state.hasTimedOut:
             state.remove()
             return
-        ids, numbers, titles = (list(x) for x in state.get) if state.exists else ([], [], [])
+        held: dict[str, list[tuple]] = {}
+        for block, *row in zip(*state.get) if state.exists else ():
+            held.setdefault(block, []).append(tuple(row))
         g = pd.concat(list(frames)).sort_values(["ts", "posting_id"])
         out = []
-        for i, ts, title in zip(g["posting_id"], g["ts"], g["key"]):
-            n = (ts - pd.Timestamp(0)).days
-            hit = next((c for c, m, t in zip(ids, numbers, titles) if abs(n - m) <= days and (t == title or indel(title, t) >= least)), None)
+        for i, n, title, block in zip(g["posting_id"], (g["ts"] - pd.Timestamp(0)).dt.days.tolist(), g["key"], g["block"]):
+            own = held.setdefault(block, [])
+            hit = next((c for c, m, t in own if abs(n - m) <= days and (t == title or like(title, t) >= least)), None)
             if hit is None:
-                ids.append(int(i))
-                numbers.append(n)
-                titles.append(title)
+                own.append((int(i), n, title))
             out.append((i, hit))
         mark = state.getCurrentWatermarkMs() // 86_400_000
-        left = [x for x in zip(ids, numbers, titles) if x[1] >= mark - days]
-        ids, numbers, titles = ([x[k] for x in left] for k in range(3))
-        state.update((ids, numbers, titles))
-        state.setTimeoutTimestamp(max([*numbers, mark, 0]) * 86_400_000 + (days + 1) * 86_400_000)
+        left = [(block, *x) for block, own in held.items() for x in own if x[1] >= mark - days]
+        state.update(tuple([x[k] for x in left] for k in range(4)))
+        state.setTimeoutTimestamp(max([*(x[2] for x in left), mark, 0]) * 86_400_000 + (days + 1) * 86_400_000)
         yield pd.DataFrame({"posting_id": pd.array([i for i, _ in out], "Int64"), "duplicate_of": pd.array([h for _, h in out], "Int64")})
 
-    found = rows.groupBy(*by).applyInPandasWithState(run, "posting_id long, duplicate_of long", "ids array<long>, numbers array<long>, titles array<string>", "append", "EventTimeTimeout")
+    grouped = rows.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(GROUPS)))
+    found = grouped.groupBy("group").applyInPandasWithState(run, "posting_id long, duplicate_of long", "blocks array<string>, ids array<long>, numbers array<long>, titles array<string>", "append", "EventTimeTimeout")
     return found.unionByName(apart)
 
 

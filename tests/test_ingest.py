@@ -231,6 +231,18 @@ def test_streamed_duplicates_equal_the_batch(spark, tmp_path):
     assert len(got) == 300 and got == duplicates_by_force([(i, t.date(), c, "x", title) for i, t, c, title in rows])
 
 
+def test_streamed_blocks_share_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrivals, "GROUPS", 2)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, day + datetime.timedelta(days=i // 4), f"c{i % 40}", ["Java", "Data"][i % 3 % 2]) for i in range(240)]
+    shape = "posting_id long, ts timestamp, company string, title string"
+    for k in range(2):
+        spark.createDataFrame(rows[120 * k : 120 * k + 120], shape).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = {r.posting_id: r.duplicate_of for r in arrivals.drain(arrivals.duplicates(stream, ["company"])).collect()}
+    assert got == duplicates_by_force([(i, t.date(), c, "x", title) for i, t, c, title in rows])
+
+
 def test_role_bands_and_pages(spark):
     df = spark.createDataFrame([("Junior dev",), ("高级工程师",), ("Senior intern",), (None,), ("dev",)], "name string")
     assert [r[0] for r in df.select(graph.role_band(F.col("name"))).collect()] == ["junior", "senior", None, None, None]
