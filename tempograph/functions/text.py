@@ -182,9 +182,14 @@ def bounded(vocabulary: dict[str, str]) -> dict[str, str]:
     return vocabulary
 
 
+#: Rows of an Arrow batch where rows are texts; the session is set to it.
+ROWS = 1000
+
+
 def scan(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
     """doc_id, start, end, skill_id, surface of all mentions; vocabulary maps surfaces to skills, MAX_SURFACES at most."""
     bounded(vocabulary)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(frames):

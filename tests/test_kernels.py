@@ -246,3 +246,10 @@ def test_bands_travel_as_two_numbers(spark, sf):
     before = shuffled(spark)
     assert text.near_blocks(docs, "source").count() > 5
     assert shuffled(spark) - before < 2_000_000
+
+
+def test_scans_take_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a Java b").alias("text"))
+    hits = text.scan(docs, {"Java": "java"})
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and hits.count() == 3000
