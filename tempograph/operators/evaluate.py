@@ -75,6 +75,18 @@ def verdict_accuracy(gold: DataFrame, pred: DataFrame, key: list[str]) -> DataFr
     return j.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce((F.col("verdict") == F.col("_pred")).cast("double"), F.lit(0.0))), F.lit(0.0)).alias("accuracy"))
 
 
+def verdict_accuracy_of_pairs(gold: DataFrame, pred: DataFrame, key: list[str]) -> DataFrame:
+    """verdict_accuracy of tables with a row a pair: key and verdicts, an array of (skill_id, verdict), in which pred has a skill once.
+
+    A pair is shuffled once, not each of its skills two or three times. Verdicts that are in one order in both tables aren't looked for.
+    """
+    j = gold.select(*key, "verdicts").join(pred.select(*key, F.col("verdicts").alias("_pred")), key)
+    place = lambda v, i: F.when(F.get("_pred", i)["skill_id"] == v["skill_id"], i).otherwise(F.array_position(F.transform("_pred", lambda p: p["skill_id"]), v["skill_id"]).cast("int") - 1)
+    right = F.size(F.filter("verdicts", lambda v, i: F.coalesce(v["verdict"] == F.get("_pred", place(v, i))["verdict"], F.lit(False))))
+    n, ok = (F.coalesce(F.sum(x.cast("long")), F.lit(0)) for x in (F.size("verdicts"), right))
+    return j.agg(n.alias("n"), ok.alias("_right")).select("n", F.when(F.col("n") == 0, 0.0).otherwise(F.col("_right") / F.col("n")).alias("accuracy"))
+
+
 def filled_sample(rows: DataFrame, n: int, shares: dict[str, float], rest: str, key: str) -> DataFrame:
     """n rows, if there are: of each tier its share (what rounding leaves goes to rest), then leftovers in the order of shares.
 
