@@ -253,3 +253,19 @@ def test_scans_take_small_batches(spark):
     docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a Java b").alias("text"))
     hits = text.scan(docs, {"Java": "java"})
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and hits.count() == 3000
+
+
+def test_edges_are_read_once_for_clusters_and_gates(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(w):
+        read.add(1)
+        return w
+
+    ids = ["agent", "rag", "vector"]
+    rows = [(s, p, a, b, 5.0) for s in ("s1", "s2", "s3") for p in ("2024Q1", "2024Q2", "2024Q3", "2024Q4") for i, a in enumerate(ids) for b in ids[i + 1 :]]
+    e = spark.createDataFrame(rows, "source_id string, period string, a string, b string, weight double").withColumn("weight", counted("weight"))
+    bursts, roles = spark.createDataFrame([("agent",), ("rag",)], "skill_id string"), spark.createDataFrame([("r", "old")], "role_id string, skill_id string")
+    none = spark.createDataFrame([("1", "cook", ["pan"])], "code string, name string, skill_ids array<string>")
+    assert len(evolve.discover_emerging(e, bursts, roles, none, "v1").collect()) == 1 and read.value == len(rows)
