@@ -66,6 +66,8 @@ def to_postings(snapshots: DataFrame, existing: DataFrame | None = None, peers:
     every = new
     if existing is not None:
         old = existing.select(*[c for c in mapped.columns if c in existing.columns], "duplicate_of").where("duplicate_of is null").drop("duplicate_of")
+        if not peers:  # of other blocks none is a duplicate's first; of blocks without a city none is compared
+            old = old.join(mapped.select("company", "city").distinct(), ["company", "city"], "left_semi").select(old.columns)
         every = new.unionByName(old.withColumns({"_new": F.lit(False), "_time": F.lit(None).cast("timestamp")}), allowMissingColumns=True)
     every = kept(every.withColumn("_row", F.xxhash64("posting_id", "snapshot_id", "_new")))
     order = F.struct(F.col("_new"), F.col("_time").isNotNull(), "_time", "posting_id", "snapshot_id").alias("_order")

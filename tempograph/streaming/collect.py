@@ -95,7 +95,7 @@ def collect(spark: SparkSession, board: str, source: str, store: Store, since: s
         if number in ledger or any(r.state == "halted" for r in ledger.values()):
             return
         saved = sum(r.saved for r in ledger.values())
-        made, halted = _snapshots(board, kept(batch), since)
+        made, halted = _snapshots(board, kept(batch.repartition("seq")), since)  # a stored file is read by one task, its pages are parsed by many
         made = kept(made.dropDuplicates(["source_id", "content_hash"]))
         key = ["source_id", "content_hash"]
         fresh = made.join(store.snapshots().select(*key), key, "left_anti").select(made.columns)
@@ -103,10 +103,11 @@ def collect(spark: SparkSession, board: str, source: str, store: Store, since: s
             fresh = kept(fresh.orderBy("fetched_at", "url", "id").limit(max(0, most - saved)))
         seen = made.join(store.snapshots().select(*key), key, "left_semi").select(made.columns)  # a run may have ended between the two
         fresh.write.mode("overwrite").parquet(f"{store.folder}/snapshots/batch={number}")
-        n = spark.read.parquet(f"{store.folder}/snapshots/batch={number}").count()
-        batch = kept(fresh.unionByName(seen))
+        written = spark.read.schema(fresh.schema).parquet(f"{store.folder}/snapshots/batch={number}")
+        n = written.count()
+        batch = kept(written.unionByName(seen))
         own = ingest.payloads.to_postings(batch).select("posting_id").distinct()  # not to be found as duplicates of themselves
-        known = kept(store.postings().where(F.col("period").isin(*recent)).join(own, "posting_id", "left_anti"))
+        known = store.postings().where(F.col("period").isin(*recent)).join(own, "posting_id", "left_anti")
         postings = kept(ingest.to_postings(batch, known, peers))
         postings.write.mode("overwrite").parquet(f"{store.folder}/postings/batch={number}")
         row = spark.createDataFrame([(number, n, postings.count(), "halted" if halted else "ok")], LEDGER)

@@ -7,6 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from tempograph.operators import ingest
 from tempograph.sources import boards, responses
 from tempograph.sources.shared import shared_folder
 from tempograph.streaming import collect
@@ -106,3 +107,16 @@ def test_pages_after_an_objection_are_not_parsed(spark, tmp_path, monkeypatch):
     to = collect.Store(spark, str(tmp_path / "to"))
     assert collect.collect(spark, "liepin", responses.write(rows, str(tmp_path / "in"), 1), to, today="2024-04-01", peers=False) == "halted"
     assert to.snapshots().count() == 5 and parsed.value == 5
+
+
+def test_known_postings_of_other_blocks_are_left(spark, monkeypatch):
+    def snapshots(jobs):
+        rows = [(f"g:{i}", "greenhouse", None, "u", f"h{i}", json.dumps({"board_name": "T", "job": {**job(i, "Cook of soups"), "location": {"name": city}}})) for i, city in jobs]
+        return spark.createDataFrame(rows, collect.SNAPSHOTS)
+
+    old = collect.kept(ingest.to_postings(snapshots([(i, f"city {i}") for i in range(20)]), peers=False))
+    counts, keep = [], ingest.kept
+    monkeypatch.setattr(ingest, "kept", lambda df: counts.append(df.count()) or keep(df))
+    made = ingest.to_postings(snapshots([(100, "city 7"), (101, "elsewhere")]), old, peers=False)
+    assert {r.posting_id: r.duplicate_of for r in made.collect()} == {"greenhouse:100": "greenhouse:7", "greenhouse:101": None}
+    assert counts == [3]
