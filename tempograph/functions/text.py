@@ -231,8 +231,13 @@ def shared_blocks(docs: DataFrame, by: str) -> DataFrame:
     return blocks(docs, by).select(by, "doc_id", "block").distinct().groupBy(by, "block").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
 
 
-#: 40 bands of 6 minima: blocks of similarity 0.8 meet with a probability of 1 - 5e-6, those of 0.4 in one case of seven.
-BANDS, PER_BAND = 40, 6
+#: A sketch has four bits of each of 240 minima. Blocks meet in bands of ten of them, 24 bands from each of eight orders: two of similarity
+#: 0.8 meet and agree in as many minima as is asked for with a probability of 1 - 5e-6.
+MINIMA, PER_BAND, ORDERS = 240, 10, 8
+#: Calls of Python that the cells are dealt to; characters of a source whose blocks meet in one cell of each size, at most.
+SHARDS, TILE = 1024, 1_000_000_000
+#: Candidates of a block that are verified before the others; rows that are sent to all tasks, at most.
+NEAREST, MAX_SENT = 8, 1_000_000
 
 
 def gram_set(text: str) -> np.ndarray:
@@ -243,26 +248,160 @@ def gram_set(text: str) -> np.ndarray:
     return np.unique(c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42))
 
 
-def band_keys(text: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = gram_set(text)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    low = np.full(len(a), 2**32 - 1, np.uint64)
-    for i in range(0, len(x), 2048):
-        low = np.minimum(low, ((x[None, i : i + 2048] * a[:, None] + b[:, None]) >> np.uint64(32)).min(axis=1))
-    rows = low.reshape(BANDS, PER_BAND)
-    key = np.zeros(BANDS, np.uint64)
-    for j in range(PER_BAND):
-        key = (key ^ rows[:, j]) * np.uint64(0x100000001B3)
-        key ^= key >> np.uint64(31)
-    return key.view(np.int64)
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def block_bands(s: pd.Series) -> pd.Series:
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many 3-grams each text has, and its sketch: two minima a byte. All texts go through a hash function together."""
     rng = np.random.default_rng(17)
-    a, b = (rng.integers(0, 2**63, BANDS * PER_BAND, dtype=np.uint64) for _ in range(2))
-    return s.map(lambda t: band_keys(t, a | np.uint64(1), b))
+    odd, mask = (rng.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+    folded = [t.casefold().ljust(3, "\0") for t in texts]
+    long = np.fromiter(map(len, folded), np.int64, len(folded))
+    c = np.frombuffer(("".join(folded) + "\0\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    x = c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    end = np.cumsum(long)
+    text = np.repeat(np.arange(len(texts)), long)
+    own = np.arange(len(x)) < (end - 2)[text]  # others reach into the next text
+    grams = np.sort(text[own].astype(np.uint64) << np.uint64(32) | x[own])
+    grams = grams[np.r_[True, grams[1:] != grams[:-1]]]
+    sizes = np.bincount((grams >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+    low, h, at = np.empty((MINIMA, len(texts)), np.uint32), np.empty_like(x), np.stack([end - long, end - 2], 1).ravel()
+    for i in range(MINIMA):
+        np.bitwise_xor(x, mask[i], out=h)
+        np.multiply(h, odd[i] | np.uint32(1), out=h)
+        low[i] = np.minimum.reduceat(h, at)[::2]
+    bits = (low * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint8)
+    return sizes, np.ascontiguousarray((bits[::2] | bits[1::2] << 4).T)
+
+
+def sketched(blocks: DataFrame) -> DataFrame:
+    """source, tiles, s, t, n, sketch: of the same block (s) in the same texts (t) a task leaves two rows at most, those of two texts."""
+
+    def run(frames):
+        seen: dict[int, int | None] = {}
+        for f in frames:
+            rows = []
+            for i, (s, t) in enumerate(zip(f["s"].tolist(), f["t"].tolist())):
+                if s not in seen:
+                    seen[s] = t
+                elif seen[s] is None or seen[s] == t:
+                    continue
+                else:
+                    seen[s] = None
+                rows.append(i)
+            if len(seen) > 200_000:
+                seen.clear()
+            some = f.iloc[rows]
+            slab = some["block"].str.len().cumsum() // 2**16  # what fits into a cache
+            made = [sketches(g.tolist()) for _, g in some["block"].groupby(slab)]
+            if made:
+                n, bits = (np.concatenate(x) for x in zip(*made))
+                yield some[["source", "tiles", "s", "t"]].assign(n=n.astype(np.int32), sketch=[r.tobytes() for r in bits])
+
+    return blocks.mapInPandas(run, "source long, tiles int, s long, t long, n int, sketch binary")
+
+
+def partners(sketches: DataFrame, threshold: float, late: DataFrame | None = None) -> DataFrame:
+    """s, o, more: blocks s of a single text with blocks o that may be alike, and (s, s) for those of several texts.
+
+    Blocks lie in cells by source and size, each in that of its size and in the next smaller one. A cell is sorted by each band, and
+    who meets there stays if enough minima agree. A block whose band has shown it some that are alike by all appearance looks no
+    further there, and one with some of these has only its nearest ones as rows; more says that there may be others. The late blocks
+    (s), if given, have all, and others none.
+    """
+    p = threshold + (1 - threshold) / 16
+    agreed = lambda n, off: n * p + off * (n * p * (1 - p)) ** 0.5
+    least, least_early, likely, early = agreed(MINIMA, -5.2), agreed(80, -5.2), agreed(MINIMA, 0), 5  # five words have 80 minima
+    ratio = threshold - 0.01  # sizes are counted by hashes
+    nearest, every = NEAREST, late is not None
+
+    def agreeing(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        for i in range(0, len(x), 2**14):
+            d = words[x[i : i + 2**14]] ^ words[y[i : i + 2**14]]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            out[i : i + 2**14] = 16 * words.shape[1] - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1)
+        return out
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        cell, s, t = (f[c].to_numpy() for c in ("cell", "s", "t"))
+        o = np.lexsort((t, s, cell))
+        cell, s, t = cell[o], s[o], t[o]
+        new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (s[1:] != s[:-1])])
+        first, single = t[new], t[new] == t[np.r_[new[1:], len(t)] - 1]
+        cell, s, o = cell[new].view(np.uint64), s[new], o[new]
+        size, upper, asks = (f[c].to_numpy()[o] for c in ("n", "upper", "asks"))
+        asks = asks & single
+        packed = np.frombuffer(b"".join(f["sketch"].to_numpy()[o]), np.uint8).reshape(len(o), -1)
+        bits = np.stack([packed.T & 15, packed.T >> 4], 1).reshape(MINIMA, len(o))
+        words = packed.view(np.uint64)
+        lead, count, more = np.ascontiguousarray(words[:, :early]), len(o), np.zeros(len(o), bool)
+        low, high, shift = (size * ratio).astype(np.float32), size.astype(np.float32), np.uint64(count.bit_length())
+
+        def fitting(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs, each as one number, and how many minima agree."""
+            fit = (low[x] <= high[y]) & (low[y] <= high[x]) & ~(upper[x] & upper[y])
+            x, y = x[fit], y[fit]
+            fit = agreeing(lead, x, y) >= least_early
+            x, y = np.minimum(x, y)[fit], np.maximum(x, y)[fit]
+            agree = agreeing(words, x, y)
+            fit = (agree >= least) & (asks[x] | asks[y]) & ~(single[x] & single[y] & (first[x] == first[y]))
+            return (x * count + y)[fit], agree[fit]
+
+        def distinct() -> tuple[np.ndarray, np.ndarray]:
+            pairs, at = np.unique(np.concatenate([q for q, _ in found]), return_index=True)
+            return pairs, np.concatenate([g for _, g in found])[at]
+
+        found = [fitting(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        rng = np.random.default_rng(18)
+        for band in np.concatenate([rng.permutation(MINIMA).reshape(-1, PER_BAND) for _ in range(ORDERS)]):
+            key = np.zeros(count, np.uint64)
+            for c in band:
+                key <<= np.uint64(4)
+                key |= bits[c]
+            key = (key + cell) * np.uint64(0x9E3779B97F4A7C15) >> shift << shift | np.arange(count, dtype=np.uint64)  # rows are sorted with their keys
+            key.sort()
+            o, key = (key & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64), key >> shift
+            at, met, step = np.flatnonzero(key[1:] == key[:-1]), np.zeros(count, np.int32), 1
+            while len(at):
+                pairs, agree = fitting(o[at], o[at + step])
+                found.append((pairs, agree))
+                if not every:
+                    pairs = pairs[agree >= likely]
+                    np.add.at(met, np.concatenate([pairs // count, pairs % count]), 1)
+                    busy = asks & (met < nearest)
+                    on = busy[o[at]] | busy[o[at + step]]
+                    more[o[at[~on]]] = more[o[at[~on] + step]] = True
+                    at = at[on]
+                step += 1
+                at = at[at + step < count]
+                at = at[key[at] == key[at + step]]
+            if len(found) > 1000 or sum(len(q) for q, _ in found) > 2_000_000:
+                found = [distinct()]
+        pairs, agree = distinct()
+        x, y = pairs // count, pairs % count
+        x, y, agree = np.r_[x[asks[x]], y[asks[y]]], np.r_[y[asks[x]], x[asks[y]]], np.r_[agree[asks[x]], agree[asks[y]]]
+        if not every:
+            o = np.lexsort((-agree, x))
+            x, y = x[o], y[o]
+            settled = np.bincount(x, agree[o] >= likely, count) >= nearest
+            near = ~settled[x] | (np.arange(len(x)) - np.searchsorted(x, x) < nearest)
+            more[x[~near]] = True
+            x, y = x[near], y[near]
+        shared = s[~single & ~upper]
+        return pd.DataFrame({"s": np.r_[s[x], shared], "o": np.r_[s[y], shared], "more": np.r_[more[x], np.zeros(len(shared), bool)]})
+
+    size = F.floor(F.log(F.col("n")) / F.lit(-np.log(ratio).item())).cast("int")
+    tile = F.pmod("s", "tiles").cast("int")
+    both = sketches.select("*", F.explode(F.array(F.struct(size.alias("size"), F.lit(False).alias("upper")), F.struct((size - 1).alias("size"), F.lit(True).alias("upper")))).alias("at"), tile.alias("tile"))
+    both = both.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    both = both.select(F.xxhash64("source", "at.size", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell"), "at.upper", "s", "t", "n", "sketch")
+    if late is None:
+        both = both.withColumn("asks", F.lit(True))
+    else:  # only their cells
+        both = both.join(sent(both.join(late, "s", "left_semi").select("cell").distinct()), "cell", "left_semi")
+        both = both.join(late.withColumn("asks", F.lit(True)), "s", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    return both.groupBy(F.pmod("cell", F.lit(SHARDS)).alias("shard")).applyInPandas(run, "s long, o long, more boolean")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -275,39 +414,43 @@ def gram_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """df, sent to all tasks where it is joined, unless it has too many rows for that."""
+    df = kept(df)
+    return F.broadcast(df) if df.count() <= MAX_SENT else df
+
+
 def near_blocks(docs: DataFrame, by: str, threshold: float = 0.8) -> DataFrame:
     """by, block: blocks to which a block of another text of one source is alike, equal or by sets of character 3-grams.
 
-    Equal blocks are counted. Of the others, MinHash bands meet and candidates are verified by exact Jaccard. Of a band only two numbers
-    of 8 bytes travel, the hash of what meets and that of the block; bands that a block has for itself, nearly all of them, go at once,
-    in the pass that sorts them. Of the rest each block meets the first and the next one of its buckets, so that groups of near copies
-    make no pairs among themselves; only blocks without a partner then meet all of their buckets. Texts of blocks that meet another are
-    written once more, and join the distinct candidates.
+    Texts stay where they are: of a block its hash, that of its text and a sketch of 120 bytes travel, twice. Where sketches meet, pairs
+    that can't be alike are left, nearly all of them. The blocks of the rest are read once more, and exact Jaccard verifies the pairs.
+    Of large groups of near copies these are each block's nearest ones; blocks that find no partner so meet all others in a second round.
     """
-    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
-    texts = docs.where(F.col(by).isNotNull()).select(by, digest("text").alias("doc_id"), "text")
-    b = blocks(texts, by).groupBy(by, "block").agg(F.min("doc_id").alias("only"), F.max("doc_id").alias("last"))  # copies of a text have one digest
-    b = kept(b.select(by, "block", digest("block").alias("id"), F.when(F.col("only") == F.col("last"), F.col("only")).alias("only")))
-    short = F.xxhash64(by, "id")
-    keyed = b.select(by, short.alias("s"), F.posexplode(block_bands("block")).alias("band", "key")).select("s", F.xxhash64(by, "band", "key").alias("h"))
-    bucket = Window.partitionBy("h").orderBy("s")
-    sizes = keyed.select("s", "h", F.first("s").over(bucket).alias("first"), F.lag("s").over(bucket).alias("before"), F.lead("s").over(bucket).alias("after"))
-    keyed = kept(sizes.where("before is not null or after is not null").drop("after"))
-    met = kept(b.withColumn("s", short).join(keyed.select("s").distinct(), "s", "left_semi"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """by, id of both sides of pairs (s, o) that are alike, of one source and in different texts."""
+    texts = docs.where(F.col(by).isNotNull()).select(by, F.unhex(F.md5(F.col("text").cast("binary"))).alias("doc_id"), "text")  # copies of a text have one digest
+    large = docs.groupBy(by).agg(F.sum(F.length("text")).alias("long")).where(F.col("long") > TILE)
+    tiles = F.coalesce(F.ceil(F.col("long") / TILE), F.lit(1)).cast("int").alias("tiles")
+    hashed = texts.join(F.broadcast(large), by, "left").select(by, F.struct(F.xxhash64("text").alias("t"), tiles).alias("doc_id"), "text")
+    name = F.xxhash64(by, "block").alias("s")
+    found = kept(sketched(blocks(hashed, by).select(F.xxhash64(by).alias("source"), "doc_id.tiles", name, "doc_id.t", "block")))
+
+    def alike(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """by, block, s, only (its text, if there is one): the blocks of pairs (s, o); and those of a single text that are alike to another."""
+        asked = sent(pairs.select(F.explode(F.array("s", "o")).alias("s")).distinct())
+        b = blocks(texts, by).withColumn("s", name).join(asked, "s", "left_semi").groupBy(by, "block", "s").agg(F.min("doc_id").alias("only"), F.max("doc_id").alias("last"))
+        b = kept(b.select(by, "block", "s", F.when(F.col("only") == F.col("last"), F.col("only")).alias("only")))
+        side = lambda n: b.select(*[F.col(c).alias(f"{c}_{n}") for c in b.columns])
+        apart = (F.col(f"{by}_a") == F.col(f"{by}_b")) & (F.col("only_a").isNull() | F.col("only_b").isNull() | (F.col("only_a") != F.col("only_b")))
         pairs = pairs.where("s <> o").select(F.least("s", "o").alias("s_a"), F.greatest("s", "o").alias("s_b")).distinct()
-        side = lambda n, *more: met.select(F.col(by).alias(f"by_{n}"), F.col("s").alias(f"s_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in more])
-        apart = (F.col("by_a") == F.col("by_b")) & (F.col("only_a").isNull() | F.col("only_b").isNull() | (F.col("only_a") != F.col("only_b")))
-        pairs = pairs.join(side("a", "only"), "s_a").join(side("b", "only"), "s_b").where(apart).select("s_a", "s_b").distinct()
-        both = pairs.join(side("a", "id", "block"), "s_a").join(side("b", "id", "block"), "s_b").where((F.col("by_a") == F.col("by_b")) & (gram_jaccard("block_a", "block_b") >= threshold))
-        return both.select(F.col("by_a").alias(by), F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-
-    first = kept(alike(keyed.select("s", F.explode(F.array("first", "before")).alias("o")).where("o is not null")))
-    rest = met.where(F.col("only").isNotNull()).join(first, [by, "id"], "left_anti").select("s")
-    second = alike(keyed.join(rest, "s", "left_semi").select("s", "h").join(keyed.select("h", F.col("s").alias("o")), "h"))
-    near = met.where(F.col("only").isNotNull()).join(first.union(second).distinct(), [by, "id"], "left_semi")
+        both = pairs.join(side("a"), "s_a").join(side("b"), "s_b").where(apart & (gram_jaccard("block_a", "block_b") >= threshold))
+        sides = F.explode(F.array(*[F.struct(*[F.col(f"{c}_{n}").alias(c) for c in b.columns]) for n in "ab"])).alias("b")
+        return b, kept(both.select(sides).select("b.*").where("only is not null").distinct())
+
+    met = kept(partners(found, threshold))
+    b, near = alike(met)
+    late = sent(met.where("more").select("s").distinct().join(b.where("only is not null"), "s", "left_semi").join(near.select("s"), "s", "left_anti"))
+    if not late.isEmpty():
+        near = near.union(alike(kept(partners(found, threshold, late).where("s <> o")))[1]).distinct()
     return b.where("only is null").select(by, "block").union(near.select(by, "block"))
 
 
@@ -339,7 +482,7 @@ def boilerplate(docs: DataFrame, by: str, peers: bool = True) -> DataFrame:
     phrases = docs.where(F.col("text").rlike(some)).select("doc_id", F.explode(benefit_spans("text")).alias("s")).select("doc_id", "s.*")
     if peers:
         mark = F.unhex(F.md5(F.col("block").cast("binary"))).alias("mark")  # blocks meet by digests, their texts stay where they are
-        known = near_blocks(docs.where(F.col(by).isNotNull()), by).select(by, mark)
+        known = sent(near_blocks(docs, by).select(by, mark))
         placed = placed_blocks(docs, by).select(by, "doc_id", "start", "end", mark)
         phrases = phrases.unionByName(placed.join(known, [by, "mark"], "left_semi").select("doc_id", "start", "end"))
     found = phrases.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))

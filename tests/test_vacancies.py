@@ -1,6 +1,7 @@
 """Values of vacancies and payload mappers on worked examples."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,39 @@ def test_files(spark, tmp_path):
     assert sorted(r.a for r in files.since(files.read_rows(spark, path), "posted_at", "2023-01-01").collect()) == [1, 2]
     (tmp_path / "boards.txt").write_text("# boards\nacme\tAcme Inc\n\nsolo\n")
     assert [tuple(r) for r in files.read_lists(spark, str(tmp_path / "boards.txt")).collect()] == [("acme", "Acme Inc"), ("solo", "solo")]
+
+
+def near_copies(spark):
+    """Lines of one source, a text each: variants of a few, so that many pairs lie around a similarity of 0.8."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for base in range(12):
+        line = r.sample(words, 14)
+        for k in range(15):
+            changed = [r.choice(words) if r.random() < 0.08 else w for w in line]
+            rows.append((100 * base + k, "s", " ".join(changed)))
+    g = {t: {t[i : i + 3] for i in range(len(t) - 2)} for _, _, t in rows}
+    want = {t for t in g for u in g if t != u and len(g[t] & g[u]) >= 0.8 * len(g[t] | g[u])}
+    return spark.createDataFrame(rows, "doc_id long, source string, text string"), want
+
+
+def test_near_blocks_of_tiles_and_of_late_blocks(spark, monkeypatch):
+    docs, want = near_copies(spark)
+    assert 20 < len(want) < docs.count() - 20
+    assert {r.block for r in text.near_blocks(docs, "source").collect()} == want
+    monkeypatch.setattr(text, "NEAREST", 1)  # blocks whose nearest one is not alike look for the others later
+    monkeypatch.setattr(text, "TILE", 5000)
+    monkeypatch.setattr(text, "MAX_SENT", 10)
+    got = [r.block for r in text.near_blocks(docs, "source").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_blocks_that_are_not_alike_make_no_pairs(spark):
+    r = random.Random(5)
+    parts = ["tion", "the ", "er", "ing ", "and", "on ", "re", "st", "ed ", "ou"]
+    docs = spark.createDataFrame([(i, "s", "".join(r.choice(parts) for _ in range(90))) for i in range(1500)], "doc_id long, source string, text string")
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert text.near_blocks(docs, "source").count() < 10
+    assert written() - before < 2_000_000
