@@ -146,3 +146,14 @@ def test_blocks_that_are_not_alike_make_no_pairs(spark):
     before = written()
     assert text.near_blocks(docs, "source").count() < 10
     assert written() - before < 2_000_000
+
+
+def test_spans_of_peers_shuffle_little(spark):
+    r = random.Random(7)
+    parts = ["tion", "the ", "er", "ing ", "and", "on ", "re", "st", "ed ", "ou"]
+    docs = spark.createDataFrame([(i, "s", "".join(r.choice(parts) for _ in range(90)) + "\nsaid by two of them" * (i < 2)) for i in range(1000)], "doc_id long, source string, text string")
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    spans = {x.doc_id: x.spans for x in text.boilerplate(docs, "source").collect()}
+    assert len(spans) == 1000 and spans[0] and spans[1] and sum(map(bool, spans.values())) < 20
+    assert written() - before < 2_000_000
